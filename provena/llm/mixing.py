@@ -44,9 +44,12 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), most: int = 3) -> DataFrame:
     total, whole = F.sum("source_size").over(Window.partitionBy()).cast("double"), F.sum("weight").over(Window.partitionBy())
     before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
     level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (whole - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    w = w.withColumn("total", total).withColumn("level", level).withColumn("full", F.col("cap") <= F.col("level") * F.col("weight"))
-    share = F.min(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy())
-    return w.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(share * F.col("weight"))).select("source", "source_size", "weight", "target", "total", "rank")
+    w = w.withColumn("total", total).withColumn("level", level).withColumn("place", F.row_number().over(by_cap))
+    # the first source, in this order, whose share at the level of its place lies under its cap: from it on nobody is full
+    w = w.withColumn("open", F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.col("place"))).over(Window.partitionBy()))
+    share = F.max(F.when(F.col("place") == F.col("open"), F.col("level"))).over(Window.partitionBy())
+    full = F.col("open").isNull() | (F.col("place") < F.col("open"))
+    return w.withColumn("target", F.when(full, F.col("cap")).otherwise(share * F.col("weight"))).select("source", "source_size", "weight", "target", "total", "rank")
 
 
 def apportion(t: DataFrame, blocks: int = BLOCKS) -> DataFrame:
@@ -117,11 +120,12 @@ s0 as (select source, cast(sum(size) as bigint) as source_size from d group by s
 s1 as (select *, row_number() over (order by source asc nulls last) - 1 as rank from s0),
 s2 as (select *, cast([5, 2, 1][1 + rank % 3] as double) as weight, cast(source_size * 3 as double) as cap,
   cast(sum(source_size) over () as double) as total from s1),
-s3 as (select *, (total - coalesce(sum(cap) over w, 0)) / (sum(weight) over () - coalesce(sum(weight) over w, 0)) as level
+s3 as (select *, row_number() over (order by cap / weight, rank) as place,
+  (total - coalesce(sum(cap) over w, 0)) / (sum(weight) over () - coalesce(sum(weight) over w, 0)) as level
   from s2 window w as (order by cap / weight, rank rows between unbounded preceding and 1 preceding)),
-s4 as (select *, cap <= level * weight as is_full from s3),
-s5 as (select *, case when is_full then cap else min(case when not is_full then level end) over () * weight end as target,
-  count(*) over () as n from s4),
+s4 as (select *, min(case when cap > level * weight then place end) over () as opened from s3),
+s5 as (select *, case when opened is null or place < opened then cap
+  else max(case when place = opened then level end) over () * weight end as target, count(*) over () as n from s4),
 s6 as (select *, greatest(65536, n * 256) as blocks, case when total > 0 then target / total else 0 end as p from s5),
 q as (select rank, target, k from s6, lateral (select unnest(generate_series(0::bigint, cast(ceil(p * (blocks + n / 2.0) + 0.5) as bigint))) as k) where p > 0),
 won as (select rank, count(*) as seats from (select *, row_number() over (order by target / (2 * k + 1) desc, rank, k) as place from q)
