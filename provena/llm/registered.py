@@ -1,11 +1,13 @@
 """The queries of this package and their SQL, for __spark_entry__.py."""
 
+from .decontamination import op6_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .mixing import OP8_SQL, op8_mixing
 from .sharding import op7_sharding
 
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
 }
