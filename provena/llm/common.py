@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,14 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
         have.add(n.lower())
         out.append(n)
     return out
+
+
+class Shared:
+    """An object of this package sent to every executor once, its class included. The caller bounds its size."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return pickle.loads(self._sent.value)

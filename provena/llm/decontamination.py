@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, read
+from .common import LOWER, Shared, read
 
 WINDOW = 10
 CHUNK, SAMPLE, BLOCK = 64, 8, 1 << 19
@@ -261,7 +261,7 @@ def _held(spark, benchmark: DataFrame, item_col: str, item_text_col: str, window
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 50), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-int(size) // int(benchmark_mb * 1_000_000)))
     mine = lambda part: items if parts == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)
-    return [spark.sparkContext.broadcast(Patterns([(r["id"], bytes(r["text"])) for r in mine(part).collect()], window)) for part in range(parts)]
+    return [Shared(spark, Patterns([(r["id"], bytes(r["text"])) for r in mine(part).collect()], window)) for part in range(parts)]
 
 
 def _shards(column: pa.Array) -> Iterator[tuple[int, int]]:
@@ -338,10 +338,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 def _cleaner(held, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = held.value
         for batch in batches:
             column = batch.column(k).cast(pa.binary())
             for at, n in _shards(column):
-                texts = clean(column.slice(at, n).to_pylist(), held.value)
+                texts = clean(column.slice(at, n).to_pylist(), patterns)
                 part = batch.slice(at, n)
                 columns = list(part.columns)
                 columns[k] = pa.array([None if t is None else t.decode() for t, _ in texts], pa.string()).cast(batch.column(k).type)

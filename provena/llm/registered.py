@@ -3,13 +3,17 @@
 from .decontamination import op6_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .mixing import OP8_SQL, op8_mixing
+from .quality import op10_quality
 from .sharding import op7_sharding
+from .toxicity import op4_toxicity
 
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
+    "op10_quality": op10_quality,
 }
 ORACLES = {
     "op5_exact_dedup": OP5_SQL,
