@@ -2,12 +2,16 @@
 
 from .decontamination import op6_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .html_extract import op3_html_extraction
+from .line_dedup import op1_line_dedup
 from .mixing import OP8_SQL, op8_mixing
 from .quality import op10_quality
 from .sharding import op7_sharding
 from .toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontamination": op6_decontamination,
