@@ -3,6 +3,7 @@
 from .decontamination import op6_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .html_extract import op3_html_extraction
+from .licenses import op9_license_scans
 from .line_dedup import op1_line_dedup
 from .mixing import OP8_SQL, op8_mixing
 from .quality import op10_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
+    "op9_license_scans": op9_license_scans,
     "op10_quality": op10_quality,
 }
 ORACLES = {
