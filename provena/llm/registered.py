@@ -6,12 +6,14 @@ from .html_extract import op3_html_extraction
 from .licenses import op9_license_scans
 from .line_dedup import op1_line_dedup
 from .mixing import OP8_SQL, op8_mixing
+from .ngram_join import OP2_SQL, op2_ngram_join
 from .quality import op10_quality
 from .sharding import op7_sharding
 from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_ngram_join": op2_ngram_join,
     "op3_html_extraction": op3_html_extraction,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
@@ -22,6 +24,7 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 ORACLES = {
+    "op2_ngram_join": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op8_mixing": OP8_SQL,
 }
