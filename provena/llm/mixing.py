@@ -144,3 +144,13 @@ select j.doc_id, j.size, j.source_size, j.target, cast(j.size * passes + coalesc
 """
 _N = int.from_bytes(b"mix-1"[:6], "big")
 OP8_SQL = OP8_SQL.replace("1000000007", str(PRIMES[_N % len(PRIMES)])).replace("SHIFT", str(_N % 1000003))
+
+
+def whole_copies(taken: Column, size: Column, key: Column, seed: str = "mix-1") -> Column:
+    """How many copies of a whole document stand for its taken words: taken / size, the fraction decided by a seeded draw of the key.
+
+    A document without words has nothing to take and comes once.
+    """
+    share = taken / F.when(size > 0, size)
+    draw = F.conv(F.substring(_hash(key, f"{seed}:copies"), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    return F.coalesce(F.floor(share) + F.when(draw < share - F.floor(share), 1).otherwise(0), F.lit(1)).cast("int")
