@@ -1 +1,699 @@
-"""The engine's queries over the driver's tables, one per operator, each with its SQL."""
+"""The engine's operators over the driver's tables, which stand in for audio: orders are discs, lines are tracks, events are samples.
+
+Every query runs over whole tables. Where SQL can say the same, the SQL stands beside it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from provena.functions import exprs
+from provena.operators import assign, checksum, cover, discs, limiter, merge, tags, votes
+from provena.plans.registry import query, table
+from provena.sources import binary, lookup_xml
+
+#: A total order of an order's lines: line numbers repeat in the driver's table.
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+U32 = 4294967296
+
+
+def lines(spark, sf: str) -> DataFrame:
+    """lineitem with pos, the place of a line in its order."""
+    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    return table(spark, sf, "lineitem").withColumn("pos", F.row_number().over(w))
+
+
+LINES = "select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as pos from lineitem"
+
+
+def event_samples(spark, sf: str) -> DataFrame:
+    """events as samples: (user_id, j, s), j by event_id."""
+    e = table(spark, sf, "events").select("user_id", "event_id", F.floor(F.coalesce("value", F.lit(0.0)) * 1000).cast("long").alias("v"))
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return e.select("user_id", F.row_number().over(w).cast("long").alias("j"), F.pmod(F.col("v") * 2654435761, F.lit(U32)).alias("s"))
+
+
+SAMPLES = f"""select user_id, cast(row_number() over (partition by user_id order by event_id) as bigint) as j,
+  cast(((cast(floor(coalesce(value, 0) * 1000) as bigint) * 2654435761::hugeint) % {U32} + {U32}) % {U32} as bigint) as s from events"""
+
+
+# -- order-dependent checksums ------------------------------------------------------------------------------------------------------
+
+@query("weighted_checksum_v1", f"""
+with l as ({LINES})
+select l_orderkey, cast(sum((pos * (cast(l_quantity as bigint) * 98765431 % {U32})) % {U32}) % {U32} as bigint) as v1 from l group by l_orderkey
+""")
+def weighted_checksum_v1(spark, sf):
+    s = lines(spark, sf).select("l_orderkey", F.col("pos").alias("j"), exprs.u32(F.col("l_quantity").cast("long") * 98765431).alias("s"))
+    return checksum.weighted_checksums(s, ["l_orderkey"]).select("l_orderkey", "v1")
+
+
+@query("weighted_checksum_v2", f"""
+with l as (select *, (l_partkey * 2654435761) % {U32} as s from ({LINES}))
+select l_orderkey, cast(sum((pos * s) // {U32} + (pos * s) % {U32}) % {U32} as bigint) as v2 from l group by l_orderkey
+""")
+def weighted_checksum_v2(spark, sf):
+    s = lines(spark, sf).select("l_orderkey", F.col("pos").alias("j"), exprs.u32(F.col("l_partkey") * 2654435761).alias("s"))
+    return checksum.weighted_checksums(s, ["l_orderkey"]).select("l_orderkey", "v2")
+
+
+@query("checksum_offset_shift", f"""
+with s as ({SAMPLES}), t as (select user_id, user_id // 10 as disc, cast(user_id % 10 as int) as track_pos, j, s from s),
+n as (select disc, track_pos, max(j) as n from t group by all),
+m as (select n.*, b.n as n_before, a.n as n_after from n left join n b on b.disc = n.disc and b.track_pos = n.track_pos - 1
+  left join n a on a.disc = n.disc and a.track_pos = n.track_pos + 1),
+o as (select m.*, o.o as "offset", case when n_before is null then 3 else 1 end as lo, case when n_after is null then n - 3 else n end as hi
+  from m, (select unnest([-2, -1, 0, 1, 2]) as o) o),
+r as (select o.disc, o.track_pos, o."offset", lo, hi, t.s,
+  case t.track_pos - o.track_pos when -1 then t.j - n_before when 1 then t.j + n else t.j end - o."offset" as l
+  from o join t on t.disc = o.disc and t.track_pos between o.track_pos - 1 and o.track_pos + 1)
+select cast(disc as bigint) as disc, track_pos, "offset", cast(sum((l * s) % {U32}) % {U32} as bigint) as v1,
+  cast(sum((l * s) // {U32} + (l * s) % {U32}) % {U32} as bigint) as v2 from r where l between lo and hi group by all
+""")
+def checksum_offset_shift(spark, sf):
+    e = event_samples(spark, sf)
+    s = e.select(F.call_function("div", F.col("user_id"), F.lit(10)).alias("disc"), (F.col("user_id") % 10).cast("int").alias("track_pos"), "j", "s")
+    return checksum.checksums_at_offsets(s, [-2, -1, 0, 1, 2], head=3, tail=3)
+
+
+WINDOWS = f"""select user_id, j - 8 as start, cast((sum((j * s) % {U32}) over w - (sum(s) over w)::hugeint * (j - 8)) % {U32} as bigint) as value,
+  count(*) over w as n from s window w as (partition by user_id order by j rows between 7 preceding and current row)"""
+
+
+@query("offset_finder", f"""
+with s as ({SAMPLES}), w as (select user_id, start, (value + {U32}) % {U32} as value from ({WINDOWS}) where n = 8),
+t as (select distinct user_id, value as target from w where start % 5 = 0 and value <> 0)
+select w.user_id, target, cast(start - 10 as bigint) as "offset" from w join t on w.user_id = t.user_id and w.value = t.target where start between 2 and 18
+""")
+def offset_finder(spark, sf):
+    s = event_samples(spark, sf)
+    t = checksum.window_checksums(s, 8, "user_id").where("start % 5 = 0").select("user_id", F.col("value").alias("target"))
+    return checksum.find_offsets(s, t, centre=10, half=8, width=8, key="user_id")
+
+
+@query("prefix_sums", f"""
+with s as ({SAMPLES}) select user_id, j, cast(sum(s) over w as bigint) as sum_s, cast(sum((j * s) % {U32}) over w % {U32} as bigint) as sum_js
+from s window w as (partition by user_id order by j rows unbounded preceding)
+""")
+def prefix_sums(spark, sf):
+    return checksum.prefix_sums(event_samples(spark, sf), "user_id").select("user_id", "j", "sum_s", "sum_js")
+
+
+@query("region_accumulators", f"""
+with l as (select *, count(*) over (partition by l_orderkey) as n, (l_partkey * 2654435761) % {U32} as s from ({LINES}))
+select l_orderkey, case when pos < 2 then 'head' when pos + 2 > n then 'tail' else 'body' end as region, cast(sum((pos * s) % {U32}) % {U32} as bigint) as v1,
+  cast(sum((pos * s) // {U32} + (pos * s) % {U32}) % {U32} as bigint) as v2 from l group by all
+""")
+def region_accumulators(spark, sf):
+    s = lines(spark, sf).select("l_orderkey", F.col("pos").alias("j"), exprs.u32(F.col("l_partkey") * 2654435761).alias("s"))
+    return checksum.region_sums(s, s.groupBy("l_orderkey").agg(F.count("*").alias("n")), ["l_orderkey"], head=2, tail=2)
+
+
+@query("sliding_crc_matches")
+def sliding_crc_matches(spark, sf):
+    """Windows of 8 samples whose CRC-32 is that of a window at a start divisible by 5."""
+    s = event_samples(spark, sf)
+    t = checksum.sliding_crc(s.where("j <= 40"), 8, "user_id").where("start % 5 = 0").select("user_id", F.col("crc32").alias("target"))
+    return checksum.find_offsets_crc(s, t, centre=16, half=16, width=8, key="user_id")
+
+
+@query("region_crcs")
+def region_crcs(spark, sf):
+    return checksum.region_crcs(event_samples(spark, sf), ["user_id"])
+
+
+@query("crc32_rows")
+def crc32_rows(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.crc32("text").alias("crc32"))
+
+
+@query("byte_diff", """
+with o as (select lang, doc_id, n_chars, row_number() over (partition by lang order by doc_id) as j from documents),
+p as (select lang, cast((j - 1) // 2 as bigint) as j, (j - 1) % 2 as side, n_chars % 3 as s from o),
+b as (select coalesce(x.lang, y.lang) as lang, x.s as x, y.s as y from (select * from p where side = 0) x full join (select * from p where side = 1) y on x.lang = y.lang and x.j = y.j)
+select lang, count_if(x is not null and y is not null and x <> y) as changed, count_if(x is null or y is null) as unmatched,
+  count_if(x is null or y is null or x <> y) as different from b group by lang
+""")
+def byte_diff(spark, sf):
+    w = Window.partitionBy("lang").orderBy("doc_id")
+    d = table(spark, sf, "documents").select("lang", (F.col("n_chars") % 3).alias("s"), (F.row_number().over(w) - 1).alias("k"))
+    side = lambda k: d.where(F.col("k") % 2 == k).select("lang", F.call_function("div", F.col("k"), F.lit(2)).alias("j"), "s")
+    return checksum.byte_differences(side(0), side(1), ["lang"])
+
+
+@query("mono_detection", "select l_orderkey, bool_and(l_returnflag = l_linestatus) as mono from lineitem group by l_orderkey")
+def mono_detection(spark, sf):
+    return checksum.is_mono(table(spark, sf, "lineitem"), ["l_orderkey"], "l_returnflag", "l_linestatus")
+
+
+# -- candidate filters --------------------------------------------------------------------------------------------------------------
+
+@query("cover_filter", """
+select user_id, event_type, count(*) as n from events where user_id in
+  (select user_id from events group by user_id having count(distinct event_type) = (select count(distinct event_type) from events)) group by all
+""")
+def cover_filter(spark, sf):
+    return cover.covering(table(spark, sf, "events"), "user_id", "event_type").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("any_match_prune", """
+with o as (select o_orderkey, c_nationkey, coalesce(o_totalprice > 300000, false) as ok from orders join customer on o_custkey = c_custkey),
+a as (select *, max(ok) over (partition by c_nationkey) as has_any from o)
+select o_orderkey, c_nationkey from a where ok or not has_any
+""")
+def any_match_prune(spark, sf):
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return cover.keep_matching_if_any(o.select("o_orderkey", "c_nationkey", "o_totalprice"), F.col("o_totalprice") > 300000, ["c_nationkey"]).select("o_orderkey", "c_nationkey")
+
+
+@query("matching_discs", """
+select o_orderkey, not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_suppkey % 7 = 0) as matches from orders
+""")
+def matching_discs(spark, sf):
+    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("release_id"), F.col("l_suppkey").alias("stream_index"))
+    r = table(spark, sf, "orders").select(F.col("o_orderkey").alias("release_id"))
+    out = cover.with_matching_discs(r, l, l.where("stream_index % 7 <> 0"))
+    return out.select(F.col("release_id").alias("o_orderkey"), "matches")
+
+
+def _voted_discs(spark, sf) -> DataFrame:
+    l = table(spark, sf, "lineitem")
+    v = l.select(F.col("l_orderkey").alias("release_id"), (F.col("l_suppkey") % 3).alias("medium_pos"), F.col("l_suppkey").alias("disc_id"), F.col("l_partkey").alias("track_pos"), F.when(F.col("l_quantity") > 10, 1).otherwise(0).alias("v1"), F.lit(0).alias("v2"))
+    keys = ["release_id", "medium_pos", "disc_id"]
+    return cover.perfect_discs(v.select(*keys).distinct(), v, [*keys, "track_pos"], keys)
+
+
+TRACKS = """
+with t as (select l_orderkey as release_id, l_suppkey % 3 as medium_pos, l_suppkey as disc_id, l_partkey, bool_or(l_quantity > 10) as good from lineitem group by all),
+d as (select release_id, medium_pos, disc_id, bool_and(good) as perfect from t group by all),"""
+
+
+@query("perfect_disc_prune", TRACKS + """
+a as (select *, max(perfect) over (partition by release_id, medium_pos) as has_any from d)
+select release_id, medium_pos, disc_id, perfect from a where perfect or not has_any
+""")
+def perfect_disc_prune(spark, sf):
+    return cover.prune_imperfect_discs(_voted_discs(spark, sf)).select("release_id", "medium_pos", "disc_id", "perfect")
+
+
+@query("perfect_group_prune", TRACKS + """
+w as (select release_id, bool_and(perfect) as whole from d group by all),
+r as (select o_orderkey as release_id, o_custkey as release_group_id, coalesce(whole, true) as whole from orders left join w on o_orderkey = release_id),
+a as (select *, max(whole) over (partition by release_group_id) as has_any from r)
+select release_id, release_group_id from a where whole or not has_any
+""")
+def perfect_group_prune(spark, sf):
+    r = table(spark, sf, "orders").select(F.col("o_orderkey").alias("release_id"), F.col("o_custkey").alias("release_group_id"))
+    return cover.prune_imperfect_releases(r, _voted_discs(spark, sf)).select("release_id", "release_group_id")
+
+
+@query("keep_best", """
+select o_orderkey, o_custkey from (select *, max(o_totalprice) over (partition by o_custkey) as best from orders) where o_totalprice = best
+""")
+def keep_best(spark, sf):
+    return cover.keep_best(table(spark, sf, "orders"), F.col("o_totalprice"), ["o_custkey"]).select("o_orderkey", "o_custkey")
+
+
+@query("occurs_elsewhere", """
+select o_orderkey, l_partkey, l_suppkey, exists (select 1 from lineitem b where b.l_partkey = a.l_partkey and b.l_suppkey <> a.l_suppkey) as elsewhere
+from (select l_orderkey as o_orderkey, l_partkey, l_suppkey from lineitem) a
+""")
+def occurs_elsewhere(spark, sf):
+    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_suppkey")
+    return cover.occurs_elsewhere(l, "l_partkey", "l_suppkey")
+
+
+@query("valid_configurations", "select l_orderkey, count(l_suppkey) = count(distinct l_suppkey) as valid from lineitem group by l_orderkey")
+def valid_configurations(spark, sf):
+    return cover.valid_configurations(table(spark, sf, "lineitem"), ["l_orderkey"], "l_suppkey")
+
+
+# -- merging and sets ---------------------------------------------------------------------------------------------------------------
+
+@query("nested_merge", """
+select l_orderkey, l_suppkey, l_returnflag, max(l_quantity) as score from
+  (select * from lineitem where l_discount < 0.05 union all select * from lineitem where l_discount >= 0.03) group by all
+""")
+def nested_merge(spark, sf):
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", F.col("l_quantity").alias("score"), "l_discount")
+    keys = ["l_orderkey", "l_suppkey", "l_returnflag"]
+    part = lambda c: l.where(c).select(*keys, "score")
+    return merge.nested_merge(part("l_discount < 0.05"), part("l_discount >= 0.03"), keys=keys)
+
+
+@query("merge_recordings", """
+with r as (select l_partkey as recording_id, 'fp' || (l_suppkey % 23) as fp, l_quantity, l_orderkey,
+    cast(l_shipdate as date) as d, l_linenumber, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as ordinal from lineitem),
+f as (select recording_id, fp, min(ordinal) as ordinal from r group by all),
+g as (select recording_id, list(fp order by ordinal) as ids from f group by all),
+j as (select recording_id, list_reduce(ids[2:], lambda acc, x: case when contains(acc, x) then acc else acc || ', ' || x end, ids[1]) as fingerprint_ids from g)
+select recording_id, any_value(fingerprint_ids) as fingerprint_ids, max(l_quantity) as score, count(distinct l_orderkey) as n_releases,
+  case when count(distinct l_orderkey) <= 1 then min(cast(d as varchar)) else '' end as date,
+  case when count(distinct l_orderkey) <= 1 then min(cast(l_linenumber as varchar)) else '' end as track
+from r join j using (recording_id) group by recording_id
+""")
+def merge_recordings(spark, sf):
+    l = table(spark, sf, "lineitem")
+    ordinal = F.struct("l_orderkey", *LINE_ORDER)  # ordered by what it holds: no numbering of all rows
+    return merge.merge_recordings(l.select(F.col("l_partkey").alias("recording_id"), ordinal.alias("ordinal"), F.concat(F.lit("fp"), (F.col("l_suppkey") % 23).cast("string")).alias("fingerprint_id"), F.col("l_quantity").alias("score"), F.col("l_orderkey").alias("release_id"), F.col("l_shipdate").cast("date").cast("string").alias("date"), F.col("l_linenumber").cast("string").alias("track")))
+
+
+@query("set_difference_fill", """
+with c as (select distinct l_orderkey as release, l_linenumber as pos, l_suppkey as stream from lineitem),
+cat as (select o_orderkey as release, p as pos from orders, (select unnest([1, 2, 3, 4]) as p)),
+st as (select o_orderkey as release, s as stream from orders, (select unnest([1, 2, 3]) as s)),
+ot as (select * from cat where not exists (select 1 from c where c.release = cat.release and c.pos = cat.pos)),
+os as (select * from st where not exists (select 1 from c where c.release = st.release and c.stream = st.stream))
+select release as release_id, cast(pos as int) as track_pos, cast(stream as bigint) as stream_index, false as filled from c
+union all select ot.release, cast(pos as int), cast(stream as bigint), true from ot join os using (release)
+""")
+def set_difference_fill(spark, sf):
+    l, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    c = l.select(F.col("l_orderkey").alias("lookup"), F.col("l_orderkey").alias("release_id"), F.lit(1).alias("medium_pos"), F.col("l_linenumber").alias("track_pos"), F.col("l_suppkey").alias("stream_index"), F.lit("r").alias("recording_id")).distinct()
+    catalogue = o.select(F.col("o_orderkey").alias("lookup"), F.col("o_orderkey").alias("release_id"), F.lit(1).alias("medium_pos"), F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("track_pos"))
+    streams = o.select(F.col("o_orderkey").alias("lookup"), F.explode(F.array(*(F.lit(k).cast("long") for k in (1, 2, 3)))).alias("stream_index"))
+    out = discs.complete(c, catalogue, streams)
+    return out.select("release_id", "track_pos", "stream_index", F.col("recording_id").isNull().alias("filled"))
+
+
+@query("common_to_all", """
+select l_partkey % 50 as item from lineitem group by 1 having count(distinct l_suppkey % 10) = (select count(distinct l_suppkey % 10) from lineitem)
+""")
+def common_to_all(spark, sf):
+    return merge.common_to_all(table(spark, sf, "lineitem").select((F.col("l_partkey") % 50).alias("item"), (F.col("l_suppkey") % 10).alias("holder")), "item", "holder")
+
+
+@query("union_offsets", """
+with f as (select l_suppkey as disc_id, l_partkey % 100 as stream_index, l_linenumber as "offset" from lineitem)
+select distinct a.stream_index, b."offset" from (select distinct disc_id, stream_index from f) a join (select distinct disc_id, "offset" from f) b using (disc_id)
+""")
+def union_offsets(spark, sf):
+    return discs.disc_offsets_union(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("disc_id"), (F.col("l_partkey") % 100).alias("stream_index"), F.col("l_linenumber").alias("offset")))
+
+
+@query("erase_elements", """
+select o_orderkey, o_orderstatus from orders where not exists (select 1 from customer where c_custkey = o_custkey and c_acctbal < 0)
+""")
+def erase_elements(spark, sf):
+    gone = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return merge.erase(table(spark, sf, "orders"), gone, ["o_custkey"]).select("o_orderkey", "o_orderstatus")
+
+
+@query("add_or_find", """
+select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by event_id) as n from events) where n = 1
+""")
+def add_or_find(spark, sf):
+    return merge.add_or_find(table(spark, sf, "events"), ["user_id", "event_type"], ["event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query("result_summary", """
+select l_suppkey % 50 as release_group_id, l_orderkey as release_id, count(distinct l_linenumber) as n_media,
+  count(distinct (l_linenumber, l_partkey % 20)) as n_tracks, count(distinct l_partkey) as n_streams from lineitem group by 1, 2
+""")
+def result_summary(spark, sf):
+    return merge.summary(table(spark, sf, "lineitem").select((F.col("l_suppkey") % 50).alias("release_group_id"), F.col("l_orderkey").alias("release_id"), F.col("l_linenumber").alias("medium_pos"), (F.col("l_partkey") % 20).alias("track_pos"), F.col("l_partkey").alias("stream_index")))
+
+
+# -- votes --------------------------------------------------------------------------------------------------------------------------
+
+VOTES = """
+v as (select l_orderkey as disc_id, l_linenumber as track_pos, l_partkey % 11 as crc, cast(l_quantity as int) as confidence from lineitem),
+c as (select distinct l_orderkey as disc_id, l_linenumber as track_pos, o as "offset", l_suppkey % 11 as v1, (l_suppkey + o) % 11 as v2
+  from lineitem, (select unnest([0, 1, 2]) as o))"""
+
+
+def _votes(spark, sf) -> tuple[DataFrame, DataFrame]:
+    l = table(spark, sf, "lineitem")
+    v = l.select(F.col("l_orderkey").alias("disc_id"), F.col("l_linenumber").alias("track_pos"), (F.col("l_partkey") % 11).alias("crc"), F.col("l_quantity").cast("int").alias("confidence"))
+    o = F.explode(F.array(*map(F.lit, (0, 1, 2))))
+    c = l.select(F.col("l_orderkey").alias("disc_id"), F.col("l_linenumber").alias("track_pos"), "l_suppkey", o.alias("offset"))
+    return c.select("disc_id", "track_pos", "offset", (F.col("l_suppkey") % 11).alias("v1"), ((F.col("l_suppkey") + F.col("offset")) % 11).alias("v2")).distinct(), v
+
+
+@query("vote_aggregate", "with" + VOTES + """
+select c.disc_id, c.track_pos, "offset", v1, v2, cast(sum(case when v1 = crc then confidence else 0 end) as bigint) as conf_v1,
+  cast(sum(case when v2 = crc then confidence else 0 end) as bigint) as conf_v2, cast(sum(confidence) as bigint) as total, max(confidence) as max
+from c join v on c.disc_id = v.disc_id and c.track_pos = v.track_pos group by all
+""")
+def vote_aggregate(spark, sf):
+    c, v = _votes(spark, sf)
+    # a line number may stand twice in an order: the checksums are part of the track's key here
+    k = ["disc_id", "track_pos"]
+    return votes.vote_aggregate(c.withColumn("offset", F.struct("offset", "v1", "v2")), v, k).select(*k, "offset.*", "conf_v1", "conf_v2", "total", "max")
+
+
+@query("vote_aggregate_exclusive", "with" + VOTES + """
+select c.disc_id, c.track_pos, "offset", v1, v2, cast(sum(case when v1 = crc then confidence else 0 end) as bigint) as conf_v1,
+  cast(sum(case when v1 <> crc and v2 = crc then confidence else 0 end) as bigint) as conf_v2
+from c join v on c.disc_id = v.disc_id and c.track_pos = v.track_pos group by all
+""")
+def vote_aggregate_exclusive(spark, sf):
+    c, v = _votes(spark, sf)
+    return votes.vote_aggregate_exclusive(c.withColumn("offset", F.struct("offset", "v1", "v2")), v).select("disc_id", "track_pos", "offset.*", "conf_v1", "conf_v2")
+
+
+@query("eac_vote_aggregate", "with" + VOTES + """
+select c.disc_id, c.track_pos, "offset", v1, v2, cast(sum(case when v1 = crc then confidence else 0 end) as bigint) as conf_eac, cast(sum(confidence) as bigint) as total, max(confidence) as max
+from c join v on c.disc_id = v.disc_id and c.track_pos = v.track_pos group by all
+""")
+def eac_vote_aggregate(spark, sf):
+    c, v = _votes(spark, sf)
+    c = c.select("disc_id", "track_pos", F.struct("offset", "v1", "v2").alias("offset"), F.col("v1").alias("crc32"))
+    out = votes.eac_vote_aggregate(c, v.select("disc_id", "track_pos", F.col("crc").alias("crc32"), F.col("confidence").alias("count")))
+    return out.select("disc_id", "track_pos", "offset.*", "conf_eac", "total", "max")
+
+
+@query("release_confidence", """
+with s as (select l_orderkey, l_suppkey, max(cast(l_quantity as bigint) + l_linenumber) as c from lineitem group by all)
+select l_orderkey, min(c) as confidence_min from s group by l_orderkey
+""")
+def release_confidence(spark, sf):
+    v = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("stream_index"), F.col("l_quantity").cast("long").alias("conf_v1"), F.col("l_linenumber").alias("conf_v2"))
+    return votes.release_confidence(v, ["l_orderkey"])
+
+
+@query("release_score", """
+select release_id, sum(s) as score from (select l_orderkey as release_id, l_suppkey, max(l_quantity) as s from lineitem group by all) group by all
+""")
+def release_score(spark, sf):
+    return votes.release_score(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("release_id"), F.col("l_suppkey").alias("stream_index"), F.col("l_quantity").alias("score")))
+
+
+@query("neighbour_join", """
+with f as (select conv_id, turn, min(length(text)) as n from conversations group by all)
+select c.conv_id, c.turn, c.n, b.n as before, a.n as after from (select conv_id, turn, length(text) as n from conversations) c
+left join f b on b.conv_id = c.conv_id and b.turn = c.turn - 1 left join f a on a.conv_id = c.conv_id and a.turn = c.turn + 1
+""")
+def neighbour_join(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.char_length("text").cast("long").alias("n"))
+    return votes.neighbours(c, "conv_id", "turn", "n")
+
+
+@query("offsets_at_neighbours", """
+with r as (select distinct l_orderkey as disc_id, l_linenumber as track_pos, l_suppkey % 4 as "offset" from lineitem), t as (select distinct disc_id, track_pos from r)
+select * from r where not exists (select 1 from t where t.disc_id = r.disc_id and abs(t.track_pos - r.track_pos) = 1
+  and not exists (select 1 from r k where k.disc_id = t.disc_id and k.track_pos = t.track_pos and k."offset" = r."offset"))
+""")
+def offsets_at_neighbours(spark, sf):
+    return votes.offsets_at_neighbours(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("disc_id"), F.col("l_linenumber").alias("track_pos"), (F.col("l_suppkey") % 4).alias("offset")).distinct())
+
+
+# -- discs --------------------------------------------------------------------------------------------------------------------------
+
+@query("disc_ids", f"""
+with l as ({LINES}), o as (select l_orderkey as disc_id, pos, sum(cast(l_quantity as bigint) * 300) over (partition by l_orderkey order by pos rows unbounded preceding) - cast(l_quantity as bigint) * 300 as o from l),
+e as (select l_orderkey as disc_id, sum(cast(l_quantity as bigint) * 300) as leadout, count(*) as n from lineitem group by all),
+s as (select disc_id, sum(o) as s1, sum(case when o = 0 then 1 else o end * pos) as s2, min_by(o, pos) as first,
+  sum(list_sum(list_transform(string_split(cast(o // 75 + 2 as varchar), ''), lambda x: cast(x as int)))) as digits from o group by all)
+select disc_id, n as n_tracks, cast((s1 + leadout) % {U32} as bigint) as id1, cast((s2 + leadout * (n + 1)) % {U32} as bigint) as id2,
+  cast((digits % 255 * 16777216 + (leadout // 75 - first // 75) * 256 + n) % {U32} as bigint) as cddb,
+  concat('/accuraterip/', substr(x1, 8, 1), '/', substr(x1, 7, 1), '/', substr(x1, 6, 1), '/dBAR-', lpad(cast(n as varchar), 3, '0'), '-', x1, '-',
+    lpad(lower(to_hex(cast((s2 + leadout * (n + 1)) % {U32} as bigint))), 8, '0'), '-',
+    lpad(lower(to_hex(cast((digits % 255 * 16777216 + (leadout // 75 - first // 75) * 256 + n) % {U32} as bigint))), 8, '0'), '.bin') as path
+from (select *, lpad(lower(to_hex(cast((s1 + leadout) % {U32} as bigint))), 8, '0') as x1 from s join e using (disc_id))
+""")
+def disc_ids(spark, sf):
+    """Orders as discs: a line's length is 300 sectors per unit."""
+    l = lines(spark, sf).select(F.col("l_orderkey").alias("disc_id"), F.col("pos").alias("position"), (F.col("l_quantity").cast("long") * 300).alias("n"))
+    w = Window.partitionBy("disc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    o = l.select("disc_id", "position", (F.sum("n").over(w) - F.col("n") + 150).alias("offset"))
+    return discs.disc_ids(o, l.groupBy("disc_id").agg((F.sum("n") + 150).alias("leadout")))
+
+
+@query("toc_lengths", """
+with o as (select o_custkey as disc_id, row_number() over (partition by o_custkey order by o_orderkey) as p, o_orderkey as "offset" from orders),
+k as (select disc_id, case when p % 5 = 0 then p + 1 else p end as position, "offset" from o), d as (select disc_id, position, min("offset") as "offset" from k group by all),
+e as (select disc_id, max("offset") + 1000 as leadout, max(position) as last from d group by all), n as (select disc_id, position - 1 as position, "offset" as next from d)
+select d.disc_id, d.position, d."offset", coalesce(coalesce(next, case when d.position = last then leadout end) - d."offset", -1) as sectors
+from d join e using (disc_id) left join n on n.disc_id = d.disc_id and n.position = d.position
+""")
+def toc_lengths(spark, sf):
+    """Customers as discs with gaps in the positions."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("disc_id"), F.row_number().over(w).cast("long").alias("p"), F.col("o_orderkey").alias("offset"))
+    d = o.groupBy("disc_id", F.when(F.col("p") % 5 == 0, F.col("p") + 1).otherwise(F.col("p")).alias("position")).agg(F.min("offset").alias("offset"))
+    return discs.track_lengths(d, d.groupBy("disc_id").agg((F.max("offset") + 1000).alias("leadout")))
+
+
+@query("duration_match", """
+with c as (select distinct l_orderkey as release_id, l_linenumber as track_pos, l_suppkey as stream_index, case when l_partkey % 3 > 0 then l_partkey end as recording_id from lineitem),
+s as (select release_id, stream_index, min(recording_id) as lo, max(recording_id) as hi from c where recording_id is not null group by all),
+x as (select c.*, coalesce(lo <> recording_id or hi <> recording_id or (recording_id is null and lo is not null), false) as elsewhere from c left join s using (release_id, stream_index)),
+t as (select distinct l_orderkey as release_id, l_linenumber as track_pos, l_orderkey * 10 + l_partkey % 2 as disc_id, l_suppkey % 5 as sectors from lineitem),
+r as (select x.*, disc_id, sectors, (stream_index % 5) = sectors as fits from x join t using (release_id, track_pos)),
+bad as (select distinct disc_id from r where not fits and recording_id is not null and not elsewhere)
+select distinct disc_id, track_pos, stream_index, recording_id from r where fits and disc_id not in (select disc_id from bad)
+""")
+def duration_match(spark, sf):
+    l = table(spark, sf, "lineitem")
+    base = l.select(F.col("l_orderkey").alias("release_id"), F.lit(1).alias("medium_pos"), F.col("l_linenumber").alias("track_pos"), "l_suppkey", "l_partkey")
+    c = base.select("release_id", "medium_pos", "track_pos", F.col("l_suppkey").alias("stream_index"), F.when(F.col("l_partkey") % 3 > 0, F.col("l_partkey")).alias("recording_id")).distinct()
+    t = base.select("release_id", "medium_pos", "track_pos", (F.col("release_id") * 10 + F.col("l_partkey") % 2).alias("disc_id"), (F.col("l_suppkey") % 5).alias("sectors")).distinct()
+    d = l.select(F.col("l_suppkey").alias("stream_index"), (F.col("l_suppkey") % 5).alias("sectors")).distinct()
+    return discs.assign_discs(c, t, d)
+
+
+@query("remapped_paths", """
+select o_orderkey as disc_id, coalesce(r_name, o_orderstatus) as path from orders left join region on r_regionkey = o_orderkey
+""")
+def remapped_paths(spark, sf):
+    d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("disc_id"), F.col("o_orderstatus").alias("path"))
+    return discs.remapped(d, table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("disc_id"), F.col("r_name").alias("path")))
+
+
+@query("response_status", """
+select distinct l_partkey as path, case when l_partkey % 5 = 0 then 0 when l_partkey % 5 = 1 then 1 else -1 end as status from lineitem
+""")
+def response_status(spark, sf):
+    """Stored answers exist for three of five paths."""
+    asked = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("path")).distinct()
+    k = F.col("path") % 5
+    stored = asked.where(k < 3).withColumn("http", F.when(k == 0, 200).when(k == 1, 404).otherwise(500))
+    return discs.responses(asked, stored).select("path", "status")
+
+
+@query("duration_scalars", """
+select o_orderkey, o_custkey * 588 // 44100 as seconds, case when (o_custkey * 147) % 588 = 0 then (o_custkey * 147) // 588 else -1 end as sectors from orders
+""")
+def duration_scalars(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey", exprs.duration_seconds(F.col("o_custkey") * 588).alias("seconds"), exprs.duration_sectors(F.col("o_custkey") * 147).alias("sectors"))
+
+
+# -- tags ---------------------------------------------------------------------------------------------------------------------------
+
+@query("edit_distance_sum", """
+select a.n_regionkey as region, cast(sum(levenshtein(a.n_name, b.n_name)) as bigint) as distance from nation a join nation b on a.n_regionkey = b.n_regionkey group by 1
+""")
+def edit_distance_sum(spark, sf):
+    n = table(spark, sf, "nation")
+    a, b = n.select(F.col("n_regionkey").alias("region"), F.col("n_name").alias("a")), n.select(F.col("n_regionkey").alias("region"), F.col("n_name").alias("b"))
+    return a.join(b, "region").groupBy("region").agg(F.sum(exprs.edit_distance(F.col("a"), F.col("b"))).alias("distance"))
+
+
+@query("metadata_distance", """
+select s_nationkey, cast(sum(case when c_name is null then 10000 else levenshtein(s_name, c_name) end) as bigint) as distance
+from supplier left join (select c_custkey, c_name from customer where c_custkey % 3 > 0) on s_suppkey = c_custkey group by 1
+""")
+def metadata_distance(spark, sf):
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), "s_nationkey", F.col("s_name").alias("title"))
+    c = table(spark, sf, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("title"))
+    return tags.metadata_distance(s, c, ["k"], ["s_nationkey"], ("title",))
+
+
+@query("field_diff", """
+with a as (select s_suppkey as k, coalesce(s_name, '') as title, coalesce(cast(s_nationkey as varchar), '') as album from supplier),
+b as (select c_custkey as k, coalesce(c_name, '') as title, coalesce(cast(c_nationkey as varchar), '') as album from customer)
+select k, 'title' as field, a.title as file_value, b.title as database_value from a join b using (k) where a.title <> b.title
+union all select k, 'album', a.album, b.album from a join b using (k) where a.album <> b.album
+""")
+def field_diff(spark, sf):
+    a = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("title"), F.col("s_nationkey").cast("string").alias("album"))
+    b = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("title"), F.col("c_nationkey").cast("string").alias("album"))
+    return tags.field_diff(a, b, ["k"], ("title", "album"))
+
+
+@query("artist_credit_join", """
+select r_name as owner_id, string_agg(n_name || case when n_nationkey % 2 = 0 then ' & ' else ', ' end, '' order by n_nationkey) as artist,
+  string_agg(n_name, '; ' order by n_nationkey) as sort_artist from nation join region on n_regionkey = r_regionkey group by 1
+""")
+def artist_credit_join(spark, sf):
+    return tags.artist_credits(_credits(spark, sf))
+
+
+def _credits(spark, sf) -> DataFrame:
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    phrase = F.when(F.col("n_nationkey") % 2 == 0, " & ").otherwise(", ")
+    return n.select(F.col("r_name").alias("owner_id"), F.col("n_nationkey").alias("ordinal"), F.col("n_nationkey").cast("string").alias("artist_id"), F.col("n_name").alias("name"), F.col("n_name").alias("sort_name"), F.lit("").alias("credited_name"), phrase.alias("joinphrase"))
+
+
+@query("album_artist_join", """
+with n as (select r_name, n_name, case when n_nationkey % 2 = 0 then ' & ' else ', ' end as p, row_number() over w as i, count(*) over (partition by r_name) as c
+  from nation join region on n_regionkey = r_regionkey window w as (partition by r_name order by n_nationkey))
+select r_name as owner_id, string_agg(n_name || case when i = c or p = ', ' then p when i = c - 1 then ' & ' else ', ' end, '' order by i) as album_artist,
+  string_agg(n_name, '; ' order by i) as sort_album_artist, cast(null as varchar) as compilation from n group by 1
+""")
+def album_artist_join(spark, sf):
+    return tags.album_artists(_credits(spark, sf), various="various")
+
+
+@query("tag_scalars", """
+select p_partkey, coalesce(nullif(case when p_size % 2 = 0 then '' else p_name end, ''), p_type) as title, p_size || '/' || count(*) over (partition by p_brand) as track,
+  case when p_brand = p_type then '' else p_type end as sort_artist, coalesce(case when p_size > 25 then '1' end, '0') as compilation from part
+""")
+def tag_scalars(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", exprs.title(F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_name")), F.col("p_type")).alias("title"), exprs.position_of(F.col("p_size"), F.count("*").over(Window.partitionBy("p_brand"))).alias("track"), exprs.unless_same(F.col("p_type"), F.col("p_brand")).alias("sort_artist"), exprs.compilation(F.when(F.col("p_size") > 25, "1")).alias("compilation"))
+
+
+@query("tag_record", """
+with e as (select user_id, case event_id % 4 when 0 then 'Title' when 1 then 'ARTIST' when 2 then 'x-' || event_type else 'date' end as name, event_type as value from events)
+select user_id, cast(null as varchar) as album, cast(null as varchar) as album_artist, max(case when name = 'ARTIST' then value end) as artist, cast(null as varchar) as compilation, cast(null as varchar) as composer,
+  max(case when name = 'date' then value end) as date, cast(null as varchar) as disc, cast(null as varchar) as sort_album_artist, cast(null as varchar) as sort_artist, cast(null as varchar) as sort_composer,
+  max(case when name = 'Title' then value end) as title, cast(null as varchar) as track, coalesce(list_sort(list_distinct(list(case when name like 'x-%' then name end))), []) as unknown from e group by 1
+""")
+def tag_record(spark, sf):
+    k = F.col("event_id") % 4
+    name = F.when(k == 0, "Title").when(k == 1, "ARTIST").when(k == 2, F.concat(F.lit("x-"), "event_type")).otherwise("date")
+    return tags.tag_record(table(spark, sf, "events").select("user_id", name.alias("name"), F.col("event_type").alias("value")), "user_id")
+
+
+@query("distinct_in_order", "select conv_id, role, min(turn) as turn from conversations group by all")
+def distinct_in_order(spark, sf):
+    return merge.distinct_in_order(table(spark, sf, "conversations"), ["conv_id"], "role", "turn")
+
+
+@query("composer_greedy")
+def composer_greedy(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("recording_id"), F.lit("w").alias("work_id"), F.lit("composer").alias("role"), F.col("n_nationkey").cast("string").alias("artist_id"), F.col("n_name").alias("name"), F.col("n_name").alias("sort_name"), F.lit(False).alias("additional"), F.lit(False).alias("instrumental"), F.col("n_nationkey").alias("ordinal"))
+    reference = n.groupBy("recording_id").agg(F.array_join(F.sort_array(F.collect_list("name"), asc=False), ", ").alias("composer"))
+    return tags.composers(tags.composers_in_question(n, reference))
+
+
+# -- search, limits, formats --------------------------------------------------------------------------------------------------------
+
+@query("candidate_rank", """
+select l_orderkey, l_linenumber, l_suppkey, l_partkey, row_number() over (partition by l_orderkey order by abs(l_partkey % 7 - 3), l_partkey, l_suppkey, l_linenumber) as place
+from (select distinct l_orderkey, l_linenumber, l_suppkey, l_partkey from lineitem)
+""")
+def candidate_rank(spark, sf):
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").distinct()
+    return assign.ranked_candidates(l.withColumn("residual", F.col("l_partkey") % 7 - 3).withColumn("s", F.struct("l_partkey", "l_suppkey", "l_linenumber")), ["l_orderkey"], "s").drop("residual", "s")
+
+
+@query("toc_manhattan", """
+with t as (select l_suppkey as disc, l_linenumber as p, sum(cast(l_quantity as bigint)) as sectors from lineitem group by all),
+s as (select p_size as candidate, p, p_size * p * 20 as length from (select distinct p_size from part), (select unnest([1, 2, 3, 4, 5, 6, 7]) as p)),
+d as (select disc, candidate, sum(abs(sectors - length)) as distance from t join s using (p) group by all)
+select disc, min_by(candidate, (distance, candidate)) as candidate, cast(min(distance) as bigint) as distance from d group by 1
+""")
+def toc_manhattan(spark, sf):
+    t = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("disc"), F.col("l_linenumber").alias("track_pos")).agg(F.sum(F.col("l_quantity").cast("long")).alias("sectors"))
+    p = table(spark, sf, "part").select(F.col("p_size").alias("candidate")).distinct()
+    s = p.select("candidate", F.explode(F.array(*map(F.lit, range(1, 8)))).alias("track_pos")).withColumn("length", F.col("candidate") * F.col("track_pos") * 20)
+    return assign.nearest_toc(assign.toc_distance(t, s, ["disc"]), ["disc"])
+
+
+@query("configuration_residual", "select l_orderkey, cast(sum(abs(l_partkey % 9 - 4)) as bigint) as residual from lineitem group by 1")
+def configuration_residual(spark, sf):
+    return assign.total_residual(table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_partkey") % 9 - 4).alias("residual")), ["l_orderkey"])
+
+
+@query("disc_choices", """
+with recursive m as (select l_orderkey as release_id, l_suppkey % 2 as medium, list_sort(list_distinct(list('d' || l_suppkey % 5))) as ids from lineitem group by all),
+k as (select *, row_number() over (partition by release_id order by medium) as i, count(*) over (partition by release_id) as n from m),
+c as (select release_id, i, n, [d] as discs from k, lateral (select unnest(ids) as d) where i = 1
+  union all select c.release_id, k.i, k.n, list_append(c.discs, d) from c join k on k.release_id = c.release_id and k.i = c.i + 1, lateral (select unnest(k.ids) as d))
+select release_id, cast(row_number() over (partition by release_id order by discs) - 1 as int) as configuration, discs from c where i = n
+""")
+def disc_choices(spark, sf):
+    return assign.disc_choices(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("release_id"), (F.col("l_suppkey") % 2).alias("medium_pos"), F.concat(F.lit("d"), (F.col("l_suppkey") % 5).cast("string")).alias("disc_id")))
+
+
+@query("best_assignment")
+def best_assignment(spark, sf):
+    l = table(spark, sf, "lineitem")
+    return assign.best_assignment(l.select(F.col("l_orderkey").alias("release_id"), F.lit(1).alias("medium_pos"), F.col("l_linenumber").alias("track_pos"), (F.col("l_suppkey") % 8).cast("int").alias("stream_index"), (F.col("l_partkey") % 2).alias("residual")))
+
+
+@query("rate_slots", """
+with a as (select event_type, event_id, cast(epoch(date_trunc('second', ts)) as bigint) * 1000 as arrival, row_number() over (partition by event_type order by ts, event_id) - 1 as i from events)
+select event_type, event_id, arrival, cast(max(arrival - i * 60000) over (partition by event_type order by i rows unbounded preceding) + i * 60000 as bigint) as slot from a
+""")
+def rate_slots(spark, sf):
+    """Events as calls of a service that may be called once a minute, in milliseconds."""
+    a = table(spark, sf, "events").select("event_type", "event_id", "ts", (F.unix_seconds(F.date_trunc("second", F.col("ts").cast("timestamp"))) * 1000).alias("arrival"))
+    return limiter.rate_slots(a, F.lit(60000), "event_type", "arrival", ["ts", "event_id"]).select("event_type", "event_id", "arrival", F.col("slot").cast("long").alias("slot"))
+
+
+@query("cache_statistics", "select count(*) as lookups, count(*) - count(distinct (user_id, event_type)) as hits from events")
+def cache_statistics(spark, sf):
+    return limiter.cache_statistics(limiter.cached(table(spark, sf, "events"), ["user_id", "event_type"], "event_id"))
+
+
+@query("lookup_pages", """
+with t as (select o_custkey, count(*) * 7 as total from orders group by 1)
+select o_custkey, cast(least(k * 25, total) as bigint) as "offset", cast(least(25, total - least(k * 25, total)) as bigint) as rows from t, lateral (select unnest(generate_series(0::bigint, (total + 24) // 25)) as k)
+""")
+def lookup_pages(spark, sf):
+    return limiter.pages(table(spark, sf, "orders").groupBy("o_custkey").agg((F.count("*") * 7).alias("total")), ["o_custkey"]).select("o_custkey", "offset", "rows")
+
+
+@query("lookup_retries", """
+with a as (select l_orderkey, l_linenumber as attempt, min(case when l_partkey % 2 = 0 then 503 else 200 end) as http from lineitem where l_linenumber <= 5 group by all)
+select l_orderkey, coalesce(min(case when http < 500 then attempt end), max(attempt)) as attempts, case when min(http) < 500 then 200 else 503 end as http from a group by 1
+""")
+def lookup_retries(spark, sf):
+    a = table(spark, sf, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("attempt")).agg(F.min(F.when(F.col("l_partkey") % 2 == 0, 503).otherwise(200)).alias("http"))
+    return limiter.retries(a, ["l_orderkey"])
+
+
+@query("request_body", f"""
+with r as (select l_orderkey as lookup, pos - 1 as n, l_suppkey, cast(l_quantity as bigint) as d, l_partkey from ({LINES}))
+select lookup, string_agg(concat('&duration.', n, '=', d, '&fingerprint.', n, '=', l_partkey), '' order by n) as body, list(l_suppkey order by n) as streams from r group by 1
+""")
+def request_body(spark, sf):
+    l = lines(spark, sf).select(F.col("l_orderkey").alias("lookup"), F.col("pos").alias("ordinal"), F.col("l_suppkey").alias("stream_index"), F.col("l_partkey").cast("string").alias("fingerprint"), F.col("l_quantity").cast("long").alias("duration"))
+    return limiter.request_body(l)
+
+
+@query("xml_flatten", """
+select l_orderkey as lookup, l_linenumber as index, 'f' || l_partkey as fingerprint_id, 'r' || l_suppkey as recording_id, 'g' || l_suppkey % 7 as release_group_id, 'l' || l_partkey % 9 as release_id,
+  1 as medium_pos, l_linenumber as track_pos, max(cast(l_discount as float)) as score from lineitem group by all
+""")
+def xml_flatten(spark, sf):
+    """Lines written as lookup responses, one per order, and read back."""
+    el = lambda name, *inner: F.concat(F.lit(f"<{name}>"), *(x.cast("string") if isinstance(x, Column) else F.lit(x) for x in inner), F.lit(f"</{name}>"))
+    named = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    medium = el("medium", el("position", "1"), el("tracks", el("track", el("position", F.col("l_linenumber")))))
+    release = el("release", el("id", named("l", F.col("l_partkey") % 9)), el("mediums", medium))
+    group = el("releasegroup", el("id", named("g", F.col("l_suppkey") % 7)), el("releases", release))
+    recording = el("recording", el("id", named("r", F.col("l_suppkey"))), el("releasegroups", group))
+    result = el("result", el("id", named("f", F.col("l_partkey"))), el("score", F.col("l_discount")), el("recordings", recording))
+    one = el("fingerprint", el("index", F.col("l_linenumber")), el("results", result))
+    r = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("lookup")).agg(F.array_join(F.collect_list(one), "").alias("f"))
+    return lookup_xml.matches(r.select("lookup", el("response", el("status", "ok"), el("fingerprints", F.col("f"))).alias("body")), ["lookup"])
+
+
+@query("binary_decode", f"""
+select l_orderkey as path, 0 as entry, l_orderkey as id1, 2 as id2, 3 as cddb, cast(pos as int) as track_pos, cast(l_quantity as int) as confidence, l_partkey as crc, l_suppkey as offset_crc from ({LINES})
+""")
+def binary_decode(spark, sf):
+    """Lines written as responses of the rip database, one per order, and decoded."""
+    return binary.decode_rip(_rip_responses(spark, sf)).select("path", "entry", "id1", F.col("id2").cast("int").alias("id2"), F.col("cddb").cast("int").alias("cddb"), "track_pos", "confidence", "crc", "offset_crc")
+
+
+def _rip_responses(spark, sf) -> DataFrame:
+    octet = lambda c: F.lpad(F.hex(c.cast("int")), 2, "0")
+    chunk = F.concat(octet(F.col("l_quantity")), exprs.le32(F.col("l_partkey")), exprs.le32(F.col("l_suppkey")))
+    r = lines(spark, sf).groupBy(F.col("l_orderkey").alias("path")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", chunk.alias("h")))), lambda x: x["h"]), "").alias("h"))
+    return r.select("path", F.unhex(F.concat(octet(F.col("n")), exprs.le32(F.col("path")), exprs.le32(F.lit(2)), exprs.le32(F.lit(3)), "h")).alias("content"))
+
+
+@query("binary_decode_native", f"""
+select l_orderkey as path, 0 as entry, l_orderkey as id1, 2::bigint as id2, 3::bigint as cddb, cast(pos as int) as track_pos, cast(l_quantity as int) as confidence, l_partkey as crc, l_suppkey as offset_crc from ({LINES})
+""")
+def binary_decode_native(spark, sf):
+    return binary.rip_rows_native(_rip_responses(spark, sf))
