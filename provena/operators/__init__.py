@@ -1 +1 @@
-
+"""Relational operators: DataFrames in, DataFrames out."""

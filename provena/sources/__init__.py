@@ -1 +1 @@
-
+"""Readers and decoders of the lookup formats."""
