@@ -4,11 +4,14 @@ A document is its sequence of lines that are not blank, white space inside a lin
 every MIN_LINES consecutive lines, every line of MIN_WORDS words, every two lines that reach MIN_WORDS words together only. Of the MIN_LINES-line units
 the minima of every WINDOW consecutive ones are fingerprints (the last of equal minima), so a repeated run of MIN_LINES + WINDOW - 1 lines shares at
 least one; units picked by their words are always fingerprints. Each occurrence of a fingerprint but the first, in order of (id, text hash,
-position), is joined to the first; the match is extended line by line both ways; all lines of B in the extended match are deleted. Lines that
-only meet in shorter runs stay, so a common short line does not go.
+position), is joined to the first; the match is extended line by line both ways, at most EXTEND lines each way; the lines of the extended match are
+deleted. Lines that only meet in shorter runs stay, so a common short line does not go.
 
-One occurrence meets one other, the first, so a fingerprint that a third of all documents share gives as many pairs as it has
-occurrences; the joins are sort-merge joins whose hot keys adaptive execution splits, and first occurrences are found by a pre-aggregated minimum.
+Fingerprints of a repeated run lie so close that their units cover it but for WINDOW - 1 lines at either end, which is what the extension
+is for; it needs no more of the other document than EXTEND lines around the place, and these travel with the fingerprint. So a line costs the same
+however long its document is, and one occurrence meets one other, the first: a fingerprint that a third of all documents share gives as many
+pairs as it has occurrences. First occurrences are found by a pre-aggregated minimum; the join is a sort-merge join whose hot keys
+adaptive execution splits.
 
 Defined cases: null and empty texts have no lines and stay as they are; a null id stands before all others; rows that repeat id and text are one document
 and get the same result; a document whose lines all go keeps an empty text; blank lines stay but inside a deleted run.
@@ -20,13 +23,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, read, written
 
-MIN_LINES, MIN_WORDS, WINDOW = 3, 50, 2
+MIN_LINES, MIN_WORDS, WINDOW, EXTEND = 3, 50, 2, 4
 
 LINES = "id {id}, tx long, hashes array<long>, units array<struct<fp: long, pos: int, len: int>>"
 
@@ -65,21 +68,6 @@ def units(lines: list[list[str]], hashes: list[int]) -> list[tuple[int, int, int
     return out
 
 
-def extend(b: list[int], a: list[int], diagonal: int, seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal ranges [from, to) of b around the seeds (position in b, lines), whose lines equal those of a `diagonal` lines before."""
-    out: list[tuple[int, int]] = []
-    for at, n in sorted(seeds):
-        if out and at + n <= out[-1][1]:
-            continue
-        lo, hi = at, at + n
-        while lo > 0 and lo - 1 - diagonal >= 0 and b[lo - 1] == a[lo - 1 - diagonal]:
-            lo -= 1
-        while hi < len(b) and hi - diagonal < len(a) and b[hi] == a[hi - diagonal]:
-            hi += 1
-        out.append((lo, hi))
-    return out
-
-
 def delete_lines(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int]:
     """(text without the solid lines in ranges, how many went)."""
     gone = {i for a, b in ranges for i in range(a, b)}
@@ -96,6 +84,17 @@ def delete_lines(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int]:
     return "\n".join(kept), len(gone)
 
 
+def _common(mine: Column, first: Column, sign: int) -> Column:
+    """How many entries of two arrays are equal from the start (sign 1) or from the end (sign -1), EXTEND at most."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
+
+    def step(acc: Column, k: Column) -> Column:
+        same = acc["on"] & F.coalesce(F.try_element_at(mine, k * sign) == F.try_element_at(first, k * sign), F.lit(False))
+        return F.struct((acc["n"] + same.cast("int")).alias("n"), same.alias("on"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(EXTEND)), zero, step, lambda acc: acc["n"])
+
+
 ADDED = ("n_lines", "n_removed", "clean_text")
 
 
@@ -114,26 +113,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(found, unit)], names=["id", "tx", "hashes", "units"])
 
     lines = written(source.mapInArrow(hashed, LINES.format(id=kind)), "lines")
-    marks = lines.select("id", "tx", F.explode("units").alias("u")).select("id", "tx", "u.fp", "u.pos", "u.len")
+    pos, size = F.col("u.pos"), F.col("u.len")
+    before = F.slice("hashes", F.greatest(pos - EXTEND, F.lit(0)) + 1, F.least(pos, F.lit(EXTEND)))
+    after = F.slice("hashes", pos + size + 1, F.lit(EXTEND))
+    marks = lines.select("id", "tx", "hashes", F.explode("units").alias("u")).select("id", "tx", "u.fp", "u.pos", "u.len", before.alias("before"), after.alias("after"))
     me = F.struct("id", "tx", "pos")
-    first = marks.groupBy("fp", "len").agg(F.min(me).alias("a"), F.max(me).alias("z")).where("a != z").select("fp", "len", "a")
-    met = marks.join(first, ["fp", "len"]).where(me != F.col("a"))
-    # repeated rows of one document meet twice in the same place; sets keep one
-    pairs = met.groupBy("id", "tx", F.col("a.id").alias("aid"), F.col("a.tx").alias("atx"), (F.col("pos") - F.col("a.pos")).alias("diagonal")).agg(F.collect_set(F.struct("pos", "len")).alias("seeds"))
-    one = lines.select("id", "tx", "hashes").dropDuplicates(["id", "tx"])
-    a, b = one.select(F.col("id").alias("aid_"), F.col("tx").alias("atx_"), F.col("hashes").alias("ha")), one.select(F.col("id").alias("bid_"), F.col("tx").alias("btx_"), F.col("hashes").alias("hb"))
-    both = pairs.join(a, F.col("atx").eqNullSafe(F.col("atx_")) & F.col("aid").eqNullSafe(F.col("aid_"))).join(b, (F.col("tx") == F.col("btx_")) & F.col("id").eqNullSafe(F.col("bid_")))
-
-    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            rows = zip(*(x.column(k).to_pylist() for k in ("hb", "ha", "diagonal", "seeds")), strict=True)
-            ranges = [extend(hb, ha, d, [(s["pos"], s["len"]) for s in seeds]) for hb, ha, d, seeds in rows]
-            out = pa.array([[{"lo": lo, "hi": hi} for lo, hi in r] for r in ranges], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([x.column("id"), x.column("tx"), out], names=["id", "tx", "ranges"])
-
-    spans = both.select("id", "tx", "hb", "ha", "diagonal", "seeds").mapInArrow(extended, f"id {kind}, tx long, ranges array<struct<lo: int, hi: int>>")
+    first = marks.groupBy("fp", "len").agg(F.min(F.struct("id", "tx", "pos", "before", "after")).alias("a"), F.max(me).alias("z"))
+    first = first.where(F.struct("a.id", "a.tx", "a.pos") != F.col("z")).select("fp", "len", "a")
+    met = marks.join(first, ["fp", "len"]).where(me != F.struct("a.id", "a.tx", "a.pos"))
+    ranges = met.select("id", "tx", (F.col("pos") - _common(F.col("before"), F.col("a.before"), -1)).alias("lo"), (F.col("pos") + F.col("len") + _common(F.col("after"), F.col("a.after"), 1)).alias("hi"))
+    spans = ranges.groupBy("id", "tx").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     i, t, r, tx = fresh(docs, "line_id", "line_tx", "line_ranges", "line_hash")
-    spans = spans.groupBy("id", "tx").agg(F.flatten(F.collect_list("ranges")).alias("ranges")).select(F.col("id").alias(i), F.col("tx").alias(t), F.col("ranges").alias(r))
+    spans = spans.select(F.col("id").alias(i), F.col("tx").alias(t), F.col("ranges").alias(r))
     joined = docs.withColumn(tx, F.xxhash64(text_col)).join(spans, (F.col(tx) == F.col(t)) & F.col(id_col).eqNullSafe(F.col(i)), "left")
     names = docs.columns
     k = names.index(text_col)
@@ -164,24 +155,26 @@ def brute_force(docs: list[tuple[int | None, str | None]]) -> dict[tuple, tuple[
             x = solid_lines(t)
             rows[i, t] = x
     key = {(i, t): ((i is not None, i or 0), _signed(xxhash.xxh64_intdigest(t.encode(), seed=42))) for i, t in rows}
+    hashes = {d: line_hashes(x) for d, x in rows.items()}
+    found = {d: units(x, hashes[d]) for d, x in rows.items()}
     first: dict[tuple, tuple] = {}
-    for d, x in rows.items():
-        for f, p, n in units(x, line_hashes(x)):
+    for d in rows:
+        for f, p, n in found[d]:
             mine = (*key[d], p, d)
             if (f, n) not in first or mine[:3] < first[f, n][:3]:
                 first[f, n] = mine
     out = {}
-    for d, x in rows.items():
-        h, gone = line_hashes(x), set()
-        for f, p, n in units(x, h):
+    for d in rows:
+        h, gone = hashes[d], set()
+        for f, p, n in found[d]:
             _, _, q, a = first[f, n]
             if (a, q) == (d, p):
                 continue
-            g = line_hashes(rows[a])
+            g = hashes[a]
             lo, hi = p, p + n
-            while lo > 0 and lo - 1 - p + q >= 0 and h[lo - 1] == g[lo - 1 - p + q]:
+            while p - lo < EXTEND and lo > 0 and lo - 1 - p + q >= 0 and h[lo - 1] == g[lo - 1 - p + q]:
                 lo -= 1
-            while hi < len(h) and hi - p + q < len(g) and h[hi] == g[hi - p + q]:
+            while hi - p - n < EXTEND and hi < len(h) and hi - p + q < len(g) and h[hi] == g[hi - p + q]:
                 hi += 1
             gone.update(range(lo, hi))
         out[d] = delete_lines(d[1], [(i, i + 1) for i in gone]) if gone else (d[1], 0)
