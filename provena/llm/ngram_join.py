@@ -7,7 +7,11 @@ H = (den - num) (n1 + n2) / (den + num) grams. Sizes fall into classes so that l
 class the grams are dealt by hash into H + 1 + slack parts; of two linked sets some part is equal and not empty, or else both have more than
 `slack` empty parts, and such rare sets offer their empty parts too. Classes with an equal part are tied together; the components of
 these ties are the groups inside which all links lie. Texts that only share a passage have no equal part, so groups stay as small as the families
-of near copies are, whatever the text has in common with the rest.
+of near copies are.
+
+Common passages can still tie strangers where parts are small. So each set also has a parity sketch, whose differing bits never outnumber the differing
+grams: inside the tied groups, blocks of sketches (a hundredth of the sets) are multiplied first, pairs over the size-derived bound on differences are
+discarded, and what the rest connects are the groups.
 
 The product. A group's rows are dealt by hash into blocks of about BLOCK_ROWS rows per size class. For each pair of blocks whose size classes can link
 (the size bound), one task multiplies the blocks over column slices, accumulating overlap counts, and stops as soon as no pair can reach
@@ -23,6 +27,7 @@ are 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +39,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, fresh, read, written
 from .graph import components
 
-BLOCK_ROWS, BLOCK_GRAMS, COLUMNS = 256, 2_000_000, 8192
-#: Candidate rows (about 60 bytes each) up to this number are sent to every executor; beyond it they are joined by sort and merge.
-BROADCAST_ROWS = 500_000
+BLOCK_ROWS, SKETCH_ROWS, BLOCK_GRAMS, COLUMNS = 256, 1024, 2_000_000, 8192
+#: Candidate rows (ten numbers each) up to this number are sent to every executor; beyond it they are joined by sort and merge.
+BROADCAST_ROWS = 200_000
 SEEN = 1_000_000
 
 _WORDS = bytes(32 if b in b"\t\n\v\f\r " else b for b in LOWER)
@@ -76,7 +81,7 @@ class Sizes:
 
     def __init__(self, num: int, den: int, largest: int = 1 << 40):
         self.num, self.den = num, den
-        self.least = [1]
+        self.least, self._parts = [1], {}
         while self.least[-1] < largest:
             self.least.append(self.least[-1] * den // num + 1)
 
@@ -89,12 +94,19 @@ class Sizes:
         return (self.den - self.num) * (n1 + n1 * self.den // self.num) // (self.den + self.num)
 
     def parts(self, c: int) -> tuple[int, int]:
-        """(number of parts, slack) for class c; no parts where only equal sets link."""
+        """(number of parts, slack) for class c; no parts where only equal sets link.
+
+        The slack is over the number of empty parts that the smallest sets of the class are likely to have (three deviations) where that can be, so few sets exceed it.
+        """
         h = self.differ(c)
         if not h:
             return 0, 0
-        slack = 1 + -(-h * 3 // 250)
-        return h + 1 + slack, slack
+        if c not in self._parts:
+            # small sets leave many parts empty whatever their number: there the slack falls short by as little as can be
+            short = lambda m: max(0.0, (e := m * math.exp(-self.least[c] / m)) + 3 * math.sqrt(e) - (m - h - 1))
+            m = min(range(h + 2, h + h // 4 + 12), key=lambda m: (round(short(m), 2), m))
+            self._parts[c] = (m, m - h - 1)
+        return self._parts[c]
 
 
 def signatures(s: np.ndarray, sizes: Sizes) -> np.ndarray:
@@ -116,6 +128,35 @@ def signatures(s: np.ndarray, sizes: Sizes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def sketch(s: np.ndarray, sizes: Sizes) -> np.ndarray:
+    """The size of a set and its parity sketch: bit j of the words that follow tells whether an odd number of grams hash to j.
+
+    The bits by which two sketches differ are at most the grams by which the sets differ, whatever the hash does.
+    """
+    bits = 1024
+    while bits * 3 < 2 * sizes.least[sizes.of(len(s)) + 1]:
+        bits *= 2
+    odd = np.bincount(((s * _BASE) >> np.uint64(24)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.concatenate((np.array([len(s)], np.uint64), np.packbits(odd.astype(np.uint8)).view(np.uint64)))
+
+
+def close(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> np.ndarray:
+    """As product(), of sketches: which pairs may link. Longer sketches are folded to the length of the shortest."""
+    rows = left if right is None else left + right
+    bits = min(len(r) - 1 for r in rows) * 64
+    x = np.zeros((len(rows), bits), np.float32)
+    for i, r in enumerate(rows):
+        x[i] = np.bitwise_xor.reduce(np.unpackbits(r[1:].view(np.uint8)).reshape(-1, bits), axis=0)
+    n = np.array([int(r[0]) for r in rows], np.int64)
+    a, b = (slice(None), slice(None)) if right is None else (slice(0, len(left)), slice(len(left), None))
+    ones = x.sum(axis=1)
+    differ = ones[a][:, None] + ones[b][None, :] - 2 * (x[a] @ x[b].T)
+    may = differ <= (den - num) * (n[a][:, None] + n[b][None, :]) // (den + num)
+    if right is None:
+        np.fill_diagonal(may, False)
+    return may
+
+
 def product(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> np.ndarray:
     """Which rows of left link with which of right (with each other where right is None): a matrix of booleans."""
     rows = left if right is None else left + right
@@ -171,10 +212,16 @@ def forest(linked: np.ndarray, square: bool) -> list[tuple[int, int]]:
     return out
 
 
-def _signed(h: int) -> int:
+def _node(s: np.ndarray) -> int:
+    """The identity of a set; 0 for the empty one."""
+    h = xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0
     return h - (1 << 64) if h >> 63 else h
 
 
+def _two(a: str, b: str, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=[a, b])
+
+
 def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row of docs: the size of its set, and the smallest id that links reach from it."""
     spark, sizes = docs.sparkSession, Sizes(num, den)
@@ -182,48 +229,61 @@ def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tx"), F.col(text_col).cast("binary").alias("text"))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [grams(t, n) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, sizes).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["id", "tx", "node", "n", "sketch"])
+
+    def offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            node, size, sigs = [], [], []
+            sigs, nodes, size = [], [], 0
             for t in b.column(2).to_pylist():
                 s = grams(t, n)
-                h = _signed(xxhash.xxh64_intdigest(s.tobytes())) if len(s) else 0
-                node.append(h)
-                size.append(len(s))
+                h = _node(s)
                 # a set that this task has met offers its ties once: copies add nothing to a tie
-                sigs.append(None if h in seen or not len(s) else signatures(s, sizes).view(np.int64))
+                if len(s) and h not in seen:
+                    sigs.append(signatures(s, sizes).view(np.int64))
+                    nodes.append(np.full(len(sigs[-1]), h, np.int64))
+                    size += len(sigs[-1])
                 if len(seen) > SEEN:
                     seen.clear()
                 seen.add(h)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "tx", "node", "n", "sigs"])
-
-    rows = written(source.mapInArrow(described, f"id {kind}, tx long, node long, n long, sigs array<long>"), "ngram-rows")
+                if size > 500_000:
+                    yield _two("sig", "node", np.concatenate(sigs), np.concatenate(nodes))
+                    sigs, nodes, size = [], [], 0
+            if size:
+                yield _two("sig", "node", np.concatenate(sigs), np.concatenate(nodes))
+
+    # the signatures are three times the size of all else; they are made anew rather than written
+    rows = written(source.mapInArrow(described, f"id {kind}, tx long, node long, n long, sketch array<long>"), "ngram-rows")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    offers = rows.where("sigs is not null").select(F.explode("sigs").alias("sig"), "node").repartition(parts, "sig").sortWithinPartitions("sig", "node")
+    offers = source.mapInArrow(offered, "sig long, node long").repartition(parts, "sig").sortWithinPartitions("sig", "node")
     ties = offers.mapInArrow(_ties, "u long, v long").distinct()
     groups = written(components(ties, "ngram-ties"), "ngram-groups")
 
     # one row stands for a class of equal sets
     classes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "tx")).alias("rep"), F.min("id").alias("least"), F.first("n").alias("n"))
-    member = groups.join(classes, "node").withColumn("class", _class_of(sizes, F.col("n")))
-    stats = member.groupBy("root", "class").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
-    stats = stats.withColumn("blocks", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long"))
-    # a class with its neighbours' numbers of blocks, brought by one grouping
-    near = stats.select("root", F.explode(F.array(*[F.struct((F.col("class") + d).alias("class"), F.lit(d).alias("from"), "blocks", "rows") for d in (-1, 0, 1)])).alias("s")).select("root", "s.*")
-    near = near.groupBy("root", "class").agg(*[F.coalesce(F.sum(F.when(F.col("from") == d, F.col("blocks"))), F.lit(0)).alias(name) for d, name in ((-1, "above"), (0, "own"), (1, "below"))], F.coalesce(F.sum(F.when(F.col("from") == 0, F.col("rows"))), F.lit(0)).alias("rows")).where("own > 0")
-    placed = member.join(near, ["root", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), "own"))
-    item = lambda a, i, b, j: F.struct(a.cast("long").alias("a"), i.cast("long").alias("i"), b.cast("long").alias("b"), j.cast("long").alias("j"))
-    c, k = F.col("class"), F.col("block")
-    up_to = lambda name: F.when(F.col(name) > 0, F.sequence(F.lit(0).cast("long"), F.col(name) - 1)).otherwise(F.array().cast("array<long>"))
-    items = F.concat(
-        F.when(F.col("rows") > 1, F.transform(up_to("own"), lambda j: item(c, F.least(k, j), c, F.greatest(k, j)))).otherwise(F.array()),
-        F.transform(up_to("above"), lambda j: item(c, k, c + 1, j)),
-        F.transform(up_to("below"), lambda j: item(c - 1, j, c, k)),
-    )
-    wanted = written(placed.select(F.col("rep.id").alias("rep_id"), F.col("rep.tx").alias("rep_tx"), "node", "root", "class", "block", items.alias("items")).where("size(items) > 0"), "ngram-wanted")
+    key = ("root", "a", "i", "b", "j")
+
+    def multiplied(work: DataFrame, of) -> DataFrame:
+        dealt = work.repartition(parts, *key).sortWithinPartitions(*key, "node")
+        return dealt.mapInArrow(lambda b: _products(b, of, num, den), "u long, v long").distinct()
+
+    def item_rows(kept: DataFrame, payload: str) -> DataFrame:
+        x = kept.select("root", F.explode("items").alias("x"), "node", "class", "block", payload)
+        return x.select("root", "x.a", "x.i", "x.b", "x.j", "node", ((F.col("class") == F.col("x.a")) & (F.col("block") == F.col("x.i"))).alias("first"), payload)
+
+    # sketches part the groups further: what they put asunder cannot link
+    sketches = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    near = _placed(groups.join(sketches, "node"), sizes, SKETCH_ROWS)
+    groups = written(components(multiplied(item_rows(near.withColumn("items", _items()), "sketch"), close), "ngram-close"), "ngram-groups")
+
+    slim = ["node", "root", "class", "block", "own", "above", "below", "rows"]
+    placed = _placed(groups.join(classes, "node"), sizes, BLOCK_ROWS)
+    wanted = written(placed.select(F.col("rep.id").alias("rep_id"), F.col("rep.tx").alias("rep_tx"), *slim), "ngram-wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = source.join(wanted, (F.col("tx") == F.col("rep_tx")) & F.col("id").eqNullSafe(F.col("rep_id"))).select("node", "root", "class", "block", "items", "text")
+    texts = source.join(wanted, (F.col("tx") == F.col("rep_tx")) & F.col("id").eqNullSafe(F.col("rep_id"))).select("node", "root", "class", "block", _items().alias("items"), "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,10 +291,7 @@ def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in range(5)), pa.array(found, pa.list_(pa.int64()))], names=["node", "root", "class", "block", "items", "grams"])
 
     kept = texts.mapInArrow(sets, "node long, root long, class long, block long, items array<struct<a: long, i: long, b: long, j: long>>, grams array<long>")
-    work = kept.select("root", F.explode("items").alias("x"), "node", "class", "block", "grams").select("root", "x.a", "x.i", "x.b", "x.j", "node", ((F.col("class") == F.col("x.a")) & (F.col("block") == F.col("x.i"))).alias("first"), "grams")
-    key = ("root", "a", "i", "b", "j")
-    dealt = work.repartition(parts, *key).sortWithinPartitions(*key, "node")
-    edges = dealt.mapInArrow(lambda b: _products(b, num, den), "u long, v long").distinct()
+    edges = multiplied(item_rows(kept, "grams"), product)
     linked = components(edges, "ngram-links").join(classes.select("node", "least"), "node")
     name = linked.groupBy("root").agg(F.min("least").alias("component"))
     of_class = classes.select("node", "least").join(linked.select("node", "root").join(name, "root").select("node", "component"), "node", "left").select("node", F.coalesce("component", "least").alias("component"))
@@ -242,6 +299,33 @@ def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     return whole.union(rows.where("n = 0").select("id", "n", "id"))
 
 
+def _placed(member: DataFrame, sizes: Sizes, block_rows: int) -> DataFrame:
+    """member (node, root, n, ...) with size class, block, and how many blocks its own class and the neighbouring ones have in its group.
+
+    Rows that meet nobody are left out.
+    """
+    member = member.withColumn("class", _class_of(sizes, F.col("n")))
+    stats = member.groupBy("root", "class").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
+    stats = stats.withColumn("blocks", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long"))
+    # a class with its neighbours' numbers of blocks, brought by one grouping
+    near = stats.select("root", F.explode(F.array(*[F.struct((F.col("class") + d).alias("class"), F.lit(d).alias("from"), "blocks", "rows") for d in (-1, 0, 1)])).alias("s")).select("root", "s.*")
+    near = near.groupBy("root", "class").agg(*[F.coalesce(F.sum(F.when(F.col("from") == d, F.col("blocks"))), F.lit(0)).alias(name) for d, name in ((-1, "above"), (0, "own"), (1, "below"))], F.coalesce(F.sum(F.when(F.col("from") == 0, F.col("rows"))), F.lit(0)).alias("rows")).where("own > 0")
+    placed = member.join(near, ["root", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), "own"))
+    return placed.where("rows > 1 or above > 0 or below > 0")
+
+
+def _items():
+    """The pairs of blocks that a row of _placed() goes to."""
+    item = lambda a, i, b, j: F.struct(a.cast("long").alias("a"), i.cast("long").alias("i"), b.cast("long").alias("b"), j.cast("long").alias("j"))
+    c, k = F.col("class"), F.col("block")
+    up_to = lambda name: F.when(F.col(name) > 0, F.sequence(F.lit(0).cast("long"), F.col(name) - 1)).otherwise(F.array().cast("array<long>"))
+    return F.concat(
+        F.when(F.col("rows") > 1, F.transform(up_to("own"), lambda j: item(c, F.least(k, j), c, F.greatest(k, j)))).otherwise(F.array()),
+        F.transform(up_to("above"), lambda j: item(c, k, c + 1, j)),
+        F.transform(up_to("below"), lambda j: item(c - 1, j, c, k)),
+    )
+
+
 def _class_of(sizes: Sizes, n):
     """The size class as an expression: the number of class bounds that n reaches."""
     bounds = F.array(*[F.lit(x).cast("long") for x in sizes.least])
@@ -261,10 +345,10 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other = head != v
         pair = np.unique(np.stack((v[other], head[other])), axis=1)
         sig, first = s[-1], head[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["u", "v"])
+        yield _two("u", "v", *pair)
 
 
-def _products(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _products(batches: Iterator[pa.RecordBatch], of, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Forests of the items in key order. An item's rows are bounded by two blocks; they may cross batches."""
     now, held, out = None, {}, []
 
@@ -274,9 +358,9 @@ def _products(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
         square = now[1:3] == now[3:5]
         names = [k for k, _ in left + right]
         if square and len(left) > 1:
-            found = forest(product([g for _, g in left], None, num, den), True)
+            found = forest(of([g for _, g in left], None, num, den), True)
         elif not square and left and right:
-            found = forest(product([g for _, g in left], [g for _, g in right], num, den), False)
+            found = forest(of([g for _, g in left], [g for _, g in right], num, den), False)
         else:
             return
         out.extend((names[i], names[j]) for i, j in found)
