@@ -3,7 +3,7 @@
 A document is its sequence of lines that are not blank, white space inside a line as one space. Units that are worth deleting are hashed:
 every MIN_LINES consecutive lines, every line of MIN_WORDS words, every two lines that reach MIN_WORDS words together only. Of the MIN_LINES-line units
 the minima of every WINDOW consecutive ones are fingerprints (the last of equal minima), so a repeated run of MIN_LINES + WINDOW - 1 lines shares at
-least one; units picked by their words are always fingerprints. Each occurrence of a fingerprint but the first, in order of (id, text hash,
+least one; units picked by their words (MIN_LINES lines that reach MIN_WORDS words together only are such, too) are always fingerprints. Each occurrence of a fingerprint but the first, in order of (id, text hash,
 position), is joined to the first; the match is extended line by line both ways, at most EXTEND lines each way; the lines of the extended match are
 deleted. Lines that only meet in shorter runs stay, so a common short line does not go.
 
@@ -59,6 +59,8 @@ def units(lines: list[list[str]], hashes: list[int]) -> list[tuple[int, int, int
     picked = set()
     for i in range(max(1, len(triples) - WINDOW + 1) if triples else 0):
         picked.add(min(range(i, min(i + WINDOW, len(triples))), key=lambda j: (triples[j], -j)))
+    # words that only MIN_LINES lines together reach are in no shorter unit, so such a unit is always one
+    picked.update(i for i in range(len(triples)) if sum(count[i : i + MIN_LINES]) >= MIN_WORDS > max(count[i] + count[i + 1], count[i + 1] + count[i + 2]))
     out += [(triples[i], i, MIN_LINES) for i in sorted(picked)]
     for i in range(n):
         if count[i] >= MIN_WORDS:

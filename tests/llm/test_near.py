@@ -174,6 +174,17 @@ def test_a_passage_of_fifty_words_goes(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(20, 20, 20), (24, 25, 24), (1, 48, 1), (30, 10, 30)])
+def test_three_lines_of_fifty_words_go(spark, sizes):
+    want, rows = {}, []
+    for k in range(12):
+        passage = "\n".join(" ".join(f"p{k}x{j}y{w}" for w in range(n)) for j, n in enumerate(sizes))
+        rows += [(2 * k, f"a{k}\n{passage}\nb{k}"), (2 * k + 1, f"c{k}\n{passage}\nd{k}")]
+        want |= {2 * k: rows[-2][1], 2 * k + 1: f"c{k}\nd{k}"}
+    got = {r["doc_id"]: r["clean_text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want
+
+
 # -- benchmark ----------------------------------------------------------------------------------------------------------------------
 
 ITEMS = [("1", "the quick brown fox jumps over the lazy dog and runs away again"), ("2", "short item"), ("3", ""), ("4", None), (None, "no id here at all"), ("5", "fox jumps over the lazy dog and runs away again today"), ("2", "short item")]
