@@ -5,7 +5,8 @@ is shared anew by weight until none is above (solved in closed form: sources sor
 
 Apportionment: the mix is cut into equal-token blocks, and blocks go to the sources with the highest quotients
 target / (2 k + 1). A source's seats lie between target / D - 1/2 and target / d + 1/2 for the divisors d, D that n sources
-allow, so only the quotients in that range (two or three per source) are ranked, not those of every block.
+allow, so only the quotients in that range (two or three per source) are ranked, not those of every block. A source whose target
+is under FINE blocks gets its target in blocks of its own, a FINE-th of the target, so that it takes that however large the others are.
 
 Selection: a source's words stand in one line, documents in order of a seeded hash, cut into the same blocks. A quota over the
 source's size takes whole passes first; the rest is the blocks whose number under a seeded permutation (block * prime + shift,
@@ -27,6 +28,7 @@ from .common import fresh, n_words, read
 #: Primes over the largest number of blocks, from which the seed picks the step of a source's permutation.
 PRIMES = (1000000007, 1000000009, 1000000021, 1000000033)
 BLOCKS = 65536
+FINE = 256
 CELLS_HEX = 3
 
 
@@ -65,8 +67,13 @@ def apportion(t: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     won = q.where("place <= left").groupBy("rank").agg(F.count("*").alias("won"))
     block = F.greatest(F.ceil(F.col("total") / F.col("blocks")), F.lit(1)).cast("long")
     # blocks whose tokens are rounded up would give more words than the targets; the seats are scaled back by the true block
-    out = t.join(won, "rank", "left").withColumn("seats", F.col("lo") + F.coalesce("won", F.lit(0)))
-    return out.withColumn("block", block).withColumn("quota", F.round(F.col("seats") * F.col("total") / F.col("blocks") / F.col("block")).cast("long"))
+    out = t.join(won, "rank", "left").withColumn("seats", F.col("lo") + F.coalesce("won", F.lit(0))).withColumn("block", block)
+    out = out.withColumn("quota", F.round(F.col("seats") * F.col("total") / F.col("blocks") / F.col("block")).cast("long"))
+    # a target of few blocks is lost in their rounding; such a source is settled in blocks of its own, FINE to its target
+    few = F.col("target") < F.col("block") * FINE
+    own = F.greatest(F.floor(F.col("target") / FINE), F.lit(1)).cast("long")
+    out = out.withColumn("quota", F.when(few, F.round(F.col("target") / own)).otherwise(F.col("quota")).cast("long"))
+    return out.withColumn("block", F.when(few, own).otherwise(F.col("block")))
 
 
 def mix(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), most: int = 3, seed: str = "mix-1", blocks: int = BLOCKS) -> DataFrame:

@@ -127,6 +127,25 @@ def test_targets_and_seats(spark, sizes):
     assert [r["seats"] for r in plan] == seats_by_hand(want, n)
 
 
+def test_small_sources_among_large_ones(spark):
+    # 130 million words; blocks of 1984
+    small = [(5000 + i, "w " * n, s) for i, (n, s) in enumerate([(100, "a"), (90, "a"), (450, "b"), (450, "b"), (1, "c"), *[(700, "d")] * 20])]
+    d = spark.createDataFrame(small, DOCS)
+    big = spark.range(0, 1300, 1, 8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 100_000).alias("text"), F.concat(F.lit("large"), F.col("id") % 2).alias("source"))
+    got = mixing.mix(d.unionByName(big)).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("source_size").alias("size")).collect()
+    assert sum(r["size"] for r in got) > 130_000_000
+    assert {r["source"]: r["target"] for r in got if len(r["source"]) == 1} == {"a": 570, "b": 2700, "c": 3, "d": 42000}
+    assert all(abs(r["taken"] - r["target"]) <= 0.01 * r["target"] for r in got), got
+
+
+@pytest.mark.parametrize("weights", [(5, 2, 1), (1, 400, 400)])
+def test_a_target_of_few_blocks(spark, weights):
+    # 300 rows of 1000 words; 1000 blocks of 300; at weight 1 the first source's target is under its size and under FINE blocks
+    d = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 1000).alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    got = mixing.mix(d, weights=weights, blocks=1000).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= max(2, 0.01 * r["target"]) for r in got), got
+
+
 def test_mix_takes_what_it_should(spark):
     rows = [(i, " ".join(["w"] * (1 + i * 7 % 50)), f"s{i % 4}" if i % 9 else None) for i in range(1500)] + [(None, "", "s1"), (2000, None, "s9")]
     d = spark.createDataFrame(rows, DOCS).withColumn("Taken", F.lit("clash")).withColumn("mix_hash", F.lit(1))
