@@ -1,6 +1,7 @@
 """License scans: a trained paragraph classifier with a calibrated unknown class, confirmed against templates.
 
-A paragraph (a line of text) is read in windows of SPAN words that overlap by half. A window's sparse word n-grams (one to three words, those that
+A paragraph (a line of text) is read in windows of SPAN words that overlap by half, and so are the joined lines between two blank ones, since
+notices are wrapped; what only the joined lines show counts at the line where the notice begins. A window's sparse word n-grams (one to three words, those that
 the templates hold, weighted to unit length) go through a multinomial logistic regression over the licence families and `unknown`. It is trained
 here from the templates: each is cut, thinned, joined with other text and given names and years; unknown windows are shuffled template
 words, legal talk that grants nothing, and words of no language. A temperature, fitted on windows held back, calibrates the probabilities. A window is
@@ -104,23 +105,61 @@ class Model:
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, str, float]]]:
         """Number of paragraphs, and (paragraph, family, probability) of those that declare a licence; the most probable window of each family."""
-        n, found = 0, []
-        for line in (text or "").split("\n"):
-            if not line or line.isspace():
+        n, found, block = 0, [], []
+        for line in [*(text or "").split("\n"), ""]:
+            if line and not line.isspace():
+                words = tokens(line)
+                best = {f: p for f, p, _ in self._windows(words)}
+                found += [(n, f, p) for f, p in sorted(best.items())]
+                block.append((n, words, best))
+                n += 1
+            elif block:
+                found += self._wrapped(block)
+                block = []
+        return n, sorted(found, key=lambda x: x[:2])
+
+    def _windows(self, words: list[str], every: bool = False) -> list[tuple[str, float, int]]:
+        """(family, probability, first word of the window): the most probable window of each family, or every one."""
+        if self.telling.isdisjoint(zip(words, words[1:])):
+            return []
+        starts = range(0, max(1, len(words) - SPAN // 2), SPAN // 2)
+        windows = [(i, words[i : i + SPAN]) for i in starts]
+        windows = [(i, w) for i, w in windows if not self.telling.isdisjoint(zip(w, w[1:]))]
+        if not windows:
+            return []
+        hits = []
+        for (i, w), p in zip(windows, self.classify([w for _, w in windows]), strict=True):
+            hits += [(self.families[k], float(p[k]), i) for k in np.flatnonzero(p[:-1] >= THRESHOLD) if self.confirmed(int(k), w) >= CONFIRM]
+        return hits if every else sorted(hits, key=lambda x: x[1])
+
+    def _wrapped(self, block: list[tuple[int, list[str], dict[str, float]]]) -> list[tuple[int, str, float]]:
+        """Hits of the joined lines of a block that no line of the window has by itself; a hit counts at the first line that holds a pair of its sentence."""
+        if len(block) < 2:
+            return []
+        line = [k for k, (_, words, _) in enumerate(block) for _ in words]
+        words = [w for _, x, _ in block for w in x]
+        have = {(k, f) for k, (_, _, best) in enumerate(block) for f in best}
+        out: dict[tuple[int, str], float] = {}
+        last: dict[str, tuple[int, int]] = {}  # window and paragraph of a family's last hit: windows that overlap read one notice
+        for f, p, i in self._windows(words, every=True):
+            if f in last and i - last[f][0] <= SPAN // 2:
+                last[f] = (i, last[f][1])
+                out[last[f][1], f] = max(p, out[last[f][1], f])
                 continue
-            words = tokens(line)
-            n += 1
-            if self.telling.isdisjoint(zip(words, words[1:])):
+            w = words[i : i + SPAN]
+            mine = pairs(w)
+            sentence = max((s for g, s in self.sentences if self.families[g] == f), key=lambda s: len(mine & s) / len(s))
+            at = [i + j for j, x in enumerate(zip(w, w[1:])) if x in sentence]
+            span = range(line[at[0]], line[at[-1] + 1] + 1)
+            if any((k, f) in have for k in span):
                 continue
-            windows = [words[i : i + SPAN] for i in range(0, max(1, len(words) - SPAN // 2), SPAN // 2)]
-            windows = [w for w in windows if not self.telling.isdisjoint(zip(w, w[1:]))]
-            best: dict[str, float] = {}
-            for w, p in zip(windows, self.classify(windows), strict=True):
-                for k in np.flatnonzero(p[:-1] >= THRESHOLD):
-                    if self.confirmed(int(k), w) >= CONFIRM:
-                        best[self.families[k]] = max(best.get(self.families[k], 0.0), float(p[k]))
-            found += [(n - 1, f, p) for f, p in sorted(best.items())]
-        return n, found
+            # the window may end inside the sentence, where families begin alike: read again from the sentence's first word
+            again = {g: x for g, x, at_word in self._windows(words[at[0] : at[0] + SPAN], every=True) if at_word == 0}
+            if f not in again:
+                continue
+            last[f] = (i, block[span[0]][0])
+            out[last[f][1], f] = max(p, again[f])
+        return [(k, f, p) for (k, f), p in out.items()]
 
 
 def _features(words: list[str], vocabulary: dict[str, int]) -> np.ndarray:

@@ -117,6 +117,28 @@ def test_a_licence_in_a_long_line():
     assert [f for _, f, _ in m.scan(f"{noise} Released under the MIT License. {noise}")[1]] == ["mit"]
 
 
+#: The headers as they stand in files.
+WRAPPED = {
+    "gpl-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "gpl-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+}
+
+
+@pytest.mark.parametrize("family", sorted(WRAPPED))
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_headers(family, mark):
+    m = licenses.train()
+    header = "\n".join(mark + x for x in WRAPPED[family].split("\n"))
+    for lead in (0, 1, 5, 9, 14):
+        text = "the ancient river\nran by her house\n" * lead
+        n, found = m.scan(f"{text}{header}\n{text}")
+        assert [(k, f) for k, f, _ in found] == [(2 * lead, family)] and n == 4 * lead + len(header.split("\n"))
+    assert [f for _, f, _ in m.scan(f"{header}\n\nplain text\n\n{header}")[1]] == [family] * 2
+
+
 def test_op9_against_the_sentences(spark):
     sf = "/root/testdata/sf0.01"
     # fixed values: licence sentences of the driver's documents
