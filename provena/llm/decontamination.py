@@ -8,7 +8,8 @@ in a wavelet matrix (rank in one step per bit of the alphabet), suffix positions
 symbol. All windows step backwards together; rows found walk to a sampled position; positions become word spans, which are merged.
 
 The benchmark is held in memory by each worker. Its size is measured first; beyond BENCHMARK_MB the items are dealt into that many
-parts, and the documents go through one pass per part, each adding its spans to those found before.
+parts, and the documents go through one pass per part, each adding its spans to those found before. Cutting waits for the spans of all parts
+and is repeated over all of them, so the parts change no result.
 
 Defined cases: a null or empty text has no words, no spans and no items; an item without words (or null) never occurs; an
 item of fewer words than a window is one window; repeated items are one item id; an item with a null id marks words but is not
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, Shared, read
+from .common import LOWER, Shared, read, written
 
 WINDOW = 10
 CHUNK, SAMPLE, BLOCK = 64, 8, 1 << 19
@@ -330,10 +331,40 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     Where a cut brings words together that form a window, they are cut too.
     """
-    k, schema = docs.columns.index(text_col), docs.schema
-    for held in _held(docs.sparkSession, benchmark, item_col, item_text_col, window, benchmark_mb):
-        docs = docs.mapInArrow(_cleaner(held, k), schema)
-    return docs
+    k, schema, given = docs.columns.index(text_col), docs.schema, docs.columns
+    parts = _held(docs.sparkSession, benchmark, item_col, item_text_col, window, benchmark_mb)
+    if len(parts) == 1:
+        return docs.mapInArrow(_cleaner(parts[0], k), schema)
+    # several parts: the spans of all on the same text, their union cut, and again on the documents that were cut
+    todo = docs.toDF(*(f"c{i}" for i in range(len(given))))
+    fields = todo.schema.fields
+    found = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("item_ids", T.ArrayType(T.StringType()))])
+    out = None
+    while True:
+        for held in parts:
+            todo = todo.mapInArrow(_scanner(held, k, len(given)), found)
+        done = written(todo.mapInArrow(_cutter(k, len(given)), T.StructType([*fields, T.StructField("cut", T.BooleanType())])), "decontaminated")
+        rest = done.where(~F.col("cut")).drop("cut")
+        out = rest if out is None else out.unionAll(rest)
+        todo = done.where("cut").drop("cut")
+        if todo.isEmpty():
+            return out.toDF(*given)
+
+
+def _cutter(k: int, n_given: int):
+    """Cuts the spans that _scanner has found; cut: whether there were any. A document of which no word is left goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts, spans = batch.column(k).cast(pa.binary()).to_pylist(), batch.column(n_given).to_pylist(), batch.column(n_given + 1).to_pylist()
+            spans = [[(y["start"], y["end"]) for y in x] for x in spans]
+            columns = list(batch.columns[:n_given])
+            texts = [cut(t, x) if x else t for t, x in zip(texts, spans, strict=True)]
+            columns[k] = pa.array([None if t is None else t.decode() for t in texts], pa.string()).cast(batch.column(k).type)
+            left = [not x or sum(b - a for a, b in x) < n for x, n in zip(spans, counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(x) for x in spans], pa.bool_())], names=[*batch.schema.names[:n_given], "cut"]).filter(pa.array(left, pa.bool_()))
+
+    return run
 
 
 def _cleaner(held, k: int):

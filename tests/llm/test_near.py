@@ -224,6 +224,16 @@ def test_decontamination(spark, mb):
     assert decontamination.find_contamination(d, b.limit(0)).where("size(spans) > 0").count() == 0
 
 
+def test_cutting_in_parts_is_cutting_at_once(spark):
+    texts = contaminated(5)
+    d = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, Spans int")
+    b = spark.createDataFrame(ITEMS, "item_id string, text string")
+    at_once, parts = (decontamination.decontaminate(d, b, benchmark_mb=mb) for mb in (64, 0.0001))
+    assert parts.columns == d.columns
+    assert sorted(map(tuple, parts.collect()), key=str) == sorted(map(tuple, at_once.collect()), key=str)
+    assert not any(r["spans"] for r in decontamination.find_contamination(parts, b).collect())
+
+
 def test_index_in_small_blocks(monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK", 40)
     texts = [t and t.encode() for t in contaminated(6)]
