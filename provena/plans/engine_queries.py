@@ -113,9 +113,9 @@ def region_accumulators(spark, sf):
 
 @query("sliding_crc_matches")
 def sliding_crc_matches(spark, sf):
-    """Windows of 8 samples whose CRC-32 is that of a window at a start divisible by 5."""
+    """Windows of 8 samples in the searched slice whose CRC-32 is that of any window of the user's stream."""
     s = event_samples(spark, sf)
-    t = checksum.sliding_crc(s.where("j <= 40"), 8, "user_id").where("start % 5 = 0").select("user_id", F.col("crc32").alias("target"))
+    t = checksum.sliding_crc(s, 8, "user_id").select("user_id", F.col("crc32").alias("target"))
     return checksum.find_offsets_crc(s, t, centre=16, half=16, width=8, key="user_id")
 
 

@@ -1,6 +1,9 @@
 """Every registered query of the engine against its SQL, on the smallest tables."""
 
+import zlib
+
 import pytest
+from pyspark.sql import functions as F
 
 from provena.plans import engine_queries, registry  # noqa: F401
 
@@ -21,3 +24,19 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["l_orderkey", "v1"]
+
+
+def test_sliding_crc_matches_takes_every_window(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    one = e.limit(1).drop("user_id").crossJoin(spark.range(60).withColumnRenamed("id", "event_no"))
+    one = one.withColumn("event_id", F.col("event_no").cast(e.schema["event_id"].dataType)).withColumn("user_id", F.lit(1).cast(e.schema["user_id"].dataType))
+    one.select(e.columns).write.parquet(f"{tmp_path}/events.parquet")
+    streams = {}
+    for r in engine_queries.event_samples(spark, str(tmp_path)).collect():
+        streams.setdefault(r["user_id"], {})[r["j"]] = r["s"]
+    want = set()
+    for u, s in streams.items():
+        crc = {j - 1: zlib.crc32(b"".join(s[j + k].to_bytes(4, "little") for k in range(8))) for j in s if all(j + k in s for k in range(8))}
+        want |= {(u, c, start - 16) for start, c in crc.items() if -16 <= start - 16 <= 16 and c}
+    got = engine_queries.sliding_crc_matches(spark, str(tmp_path)).select("user_id", "target", "offset").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) == 33
