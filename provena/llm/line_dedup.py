@@ -13,14 +13,20 @@ however long its document is, and one occurrence meets one other, the first: a f
 pairs as it has occurrences. First occurrences are found by a pre-aggregated minimum; the join is a sort-merge join whose hot keys
 adaptive execution splits.
 
+Passages that begin or end inside a line: every MIN_WORDS consecutive words (line breaks inside count) that stand earlier, in the same order, are
+deleted; in one document the earlier place itself stays. Equal passages share an equal winnowed part of PART words, so only passages around parts
+that occur twice are hashed and compared. A line of which words stay keeps these.
+
 Defined cases: null and empty texts have no lines and stay as they are; a null id stands before all others; rows that repeat id and text are one document
 and get the same result; a document whose lines all go keeps an empty text; blank lines stay but inside a deleted run.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,8 +36,10 @@ from pyspark.sql import types as T
 from .common import fresh, read, written
 
 MIN_LINES, MIN_WORDS, WINDOW, EXTEND = 3, 50, 2, 4
+PART = 25
+MEMO = 500_000
 
-LINES = "id {id}, tx long, hashes array<long>, units array<struct<fp: long, pos: int, len: int>>"
+LINES = "id {id}, tx long, hashes array<long>, units array<struct<fp: long, pos: int, len: int>>, parts array<struct<fp: long, pos: int>>"
 
 
 def _signed(h: int) -> int:
@@ -70,6 +78,67 @@ def units(lines: list[list[str]], hashes: list[int]) -> list[tuple[int, int, int
     return out
 
 
+class _Words(dict):
+    """Hashes of words."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        h = self[w] = xxhash.xxh64_intdigest(w.encode())
+        return h
+
+
+BREAK, BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+
+
+def runs_of_words(lines: list[list[str]], sizes: tuple[int, ...], memo: _Words) -> list[np.ndarray]:
+    """For each size, hashes of that many consecutive words by the first word. Where lines break inside a run counts, what stands before it does not."""
+    flat = [w for x in lines for w in x]
+    n = len(flat)
+    opens = np.zeros(n, np.uint64)
+    opens[np.cumsum([0, *(len(x) for x in lines)])[:-1]] = BREAK
+    v = np.fromiter(map(memo.__getitem__, flat), np.uint64, n)
+    power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, BASE, np.uint64))))
+    back = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64))))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate((v + opens) * power[:n])))
+    out = []
+    for k in sizes:
+        h = (sums[k:] - sums[: n + 1 - k]) * back[: n + 1 - k] - opens[: n + 1 - k] if n >= k else np.zeros(0, np.uint64)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(BASE)
+        out.append((h ^ (h >> np.uint64(29))).view(np.int64))
+    return out
+
+
+def parts(lines: list[list[str]], memo: _Words) -> list[tuple[int, int]]:
+    """(hash, first word) of the minima among the parts of every MIN_WORDS words (the last of equal ones)."""
+    if sum(map(len, lines)) < MIN_WORDS:
+        return []
+    (h,) = runs_of_words(lines, (PART,), memo)
+    view = np.lib.stride_tricks.sliding_window_view(h, MIN_WORDS - PART + 1)
+    at = np.unique(np.arange(len(view)) + MIN_WORDS - PART - view[:, ::-1].argmin(axis=1))
+    return list(zip(h[at].tolist(), at.tolist(), strict=True))
+
+
+def delete_words(text: str, ranges: list[tuple[int, int]], spans: list[tuple[int, int]]) -> tuple[str, int]:
+    """delete_lines, after the words in spans have gone too; lines of which words stay do not count as gone."""
+    gone = {i for a, b in spans for i in range(a, b)}
+    ranges, lines, k, at = list(ranges), [], -1, 0
+    for x in text.split("\n"):
+        words = [m.span() for m in re.finditer(r"\S+", x)] if x.split() else []
+        if words:
+            k += 1
+            stay = [j for j in range(len(words)) if at + j not in gone]
+            if not stay:
+                ranges.append((k, k + 1))
+            elif len(stay) < len(words):
+                # a word stays with the white space before it, the first of the line with the line's
+                x = x[: words[0][0]] + x[words[stay[0]][0] : words[stay[0]][1]] + "".join(x[words[j - 1][1] : words[j][1]] for j in stay[1:]) + x[words[-1][1] :]
+            at += len(words)
+        lines.append(x)
+    return delete_lines("\n".join(lines), ranges)
+
+
 def delete_lines(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int]:
     """(text without the solid lines in ranges, how many went)."""
     gone = {i for a, b in ranges for i in range(a, b)}
@@ -97,6 +166,36 @@ def _common(mine: Column, first: Column, sign: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(EXTEND)), zero, step, lambda acc: acc["n"])
 
 
+def _passages(source: DataFrame, lines: DataFrame, kind: str) -> DataFrame:
+    """(id, tx, lo, hi): words [lo, hi) of MIN_WORDS words that stand earlier."""
+    marks = lines.select("id", "tx", F.explode("parts").alias("p")).select("id", "tx", "p.fp", "p.pos")
+    twice = marks.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    around = marks.join(twice, "fp", "left_semi").groupBy("id", "tx").agg(F.collect_set("pos").alias("at"))
+    around = around.select(F.col("id").alias("i"), F.col("tx").alias("t"), "at")
+    texts = source.join(around, (F.col("tx") == F.col("t")) & F.col("id").eqNullSafe(F.col("i"))).select("id", "tx", "text", "at")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Words()
+        for b in batches:
+            for k, (text, at) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                (h,) = runs_of_words(solid_lines(text), (MIN_WORDS,), memo)
+                near = np.zeros(len(h) + 1, np.int32)
+                at = np.array(at)
+                np.add.at(near, np.maximum(at - (MIN_WORDS - PART), 0), 1)
+                np.add.at(near, np.minimum(at + 1, len(h)), -1)
+                pos = np.flatnonzero(np.cumsum(near[:-1]))
+                mine = pa.array(np.full(len(pos), k))
+                yield pa.RecordBatch.from_arrays([pa.array(h[pos]), b.column(0).take(mine), b.column(1).take(mine), pa.array(pos, pa.int32())], names=["fp", "id", "tx", "pos"])
+
+    passages = written(texts.mapInArrow(hashed, f"fp long, id {kind}, tx long, pos int"), "passages")
+    me = F.struct("id", "tx", "pos")
+    first = passages.groupBy("fp").agg(F.min(me).alias("a"), F.max(me).alias("z")).where("a != z").select("fp", "a")
+    met = passages.join(first, "fp").where(me != F.col("a"))
+    same = F.col("id").eqNullSafe(F.col("a.id")) & (F.col("tx") == F.col("a.tx"))
+    lo = F.when(same, F.greatest(F.col("pos"), F.col("a.pos") + MIN_WORDS)).otherwise(F.col("pos"))
+    return met.select("id", "tx", lo.alias("lo"), (F.col("pos") + MIN_WORDS).alias("hi"))
+
+
 ADDED = ("n_lines", "n_removed", "clean_text")
 
 
@@ -108,11 +207,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = pa.list_(pa.struct([("fp", pa.int64()), ("pos", pa.int32()), ("len", pa.int32())]))
+        part, memo = pa.list_(pa.struct([("fp", pa.int64()), ("pos", pa.int32())])), _Words()
         for b in batches:
             lines = [solid_lines(t) for t in b.column(2).to_pylist()]
             hashes = [line_hashes(x) for x in lines]
             found = [[{"fp": f, "pos": p, "len": n} for f, p, n in units(x, h)] for x, h in zip(lines, hashes, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(found, unit)], names=["id", "tx", "hashes", "units"])
+            inner = [[{"fp": f, "pos": p} for f, p in parts(x, memo)] for x in lines]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(found, unit), pa.array(inner, part)], names=["id", "tx", "hashes", "units", "parts"])
 
     lines = written(source.mapInArrow(hashed, LINES.format(id=kind)), "lines")
     pos, size = F.col("u.pos"), F.col("u.len")
@@ -124,7 +225,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = first.where(F.struct("a.id", "a.tx", "a.pos") != F.col("z")).select("fp", "len", "a")
     met = marks.join(first, ["fp", "len"]).where(me != F.struct("a.id", "a.tx", "a.pos"))
     ranges = met.select("id", "tx", (F.col("pos") - _common(F.col("before"), F.col("a.before"), -1)).alias("lo"), (F.col("pos") + F.col("len") + _common(F.col("after"), F.col("a.after"), 1)).alias("hi"))
-    spans = ranges.groupBy("id", "tx").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    every = ranges.withColumn("words", F.lit(False)).unionByName(_passages(source, lines, kind).withColumn("words", F.lit(True)))
+    spans = every.groupBy("id", "tx").agg(F.collect_set(F.struct("lo", "hi", "words")).alias("ranges"))
     i, t, r, tx = fresh(docs, "line_id", "line_tx", "line_ranges", "line_hash")
     spans = spans.select(F.col("id").alias(i), F.col("tx").alias(t), F.col("ranges").alias(r))
     joined = docs.withColumn(tx, F.xxhash64(text_col)).join(spans, (F.col(tx) == F.col(t)) & F.col(id_col).eqNullSafe(F.col(i)), "left")
@@ -134,7 +236,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             texts, ranges = x.column(k).to_pylist(), x.column(len(names)).to_pylist()
-            done = [(s, 0) if s is None or not g else delete_lines(s, [(y["lo"], y["hi"]) for y in g]) for s, g in zip(texts, ranges, strict=True)]
+            split = [[[(y["lo"], y["hi"]) for y in g or () if y["words"] == w] for w in (False, True)] for g in ranges]
+            done = [(s, 0) if s is None or not any(g) else delete_words(s, *g) for s, g in zip(texts, split, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*(x.column(j) for j in range(len(names))), pa.array([len(solid_lines(s)) for s in texts], pa.int64()), pa.array([n for _, n in done], pa.int64()), pa.array([s for s, _ in done], pa.string())],
                 names=[*names, *ADDED],
@@ -150,7 +253,7 @@ def op1_line_dedup(spark, sf_dir):
 
 
 def brute_force(docs: list[tuple[int | None, str | None]]) -> dict[tuple, tuple[str | None, int]]:
-    """(id, text) -> (clean text, lines gone), with all documents in one dictionary of fingerprints."""
+    """(id, text) -> (clean text, lines gone), with all documents in one dictionary of fingerprints and one of MIN_WORDS words."""
     rows = {}
     for i, t in docs:
         if t is not None:
@@ -165,6 +268,14 @@ def brute_force(docs: list[tuple[int | None, str | None]]) -> dict[tuple, tuple[
             mine = (*key[d], p, d)
             if (f, n) not in first or mine[:3] < first[f, n][:3]:
                 first[f, n] = mine
+    words = {d: [(j == 0, w) for line in x for j, w in enumerate(line)] for d, x in rows.items()}
+    at: dict[tuple, tuple] = {}
+    spans: dict[tuple, list[tuple[int, int]]] = {d: [] for d in rows}
+    for d in sorted(rows, key=lambda d: key[d]):
+        for p in range(len(words[d]) - MIN_WORDS + 1):
+            a, q = at.setdefault((words[d][p][1], *words[d][p + 1 : p + MIN_WORDS]), (d, p))
+            if (a, q) != (d, p):
+                spans[d].append((max(p, q + MIN_WORDS) if a == d else p, p + MIN_WORDS))
     out = {}
     for d in rows:
         h, gone = hashes[d], set()
@@ -179,5 +290,5 @@ def brute_force(docs: list[tuple[int | None, str | None]]) -> dict[tuple, tuple[
             while hi - p - n < EXTEND and hi < len(h) and hi - p + q < len(g) and h[hi] == g[hi - p + q]:
                 hi += 1
             gone.update(range(lo, hi))
-        out[d] = delete_lines(d[1], [(i, i + 1) for i in gone]) if gone else (d[1], 0)
+        out[d] = delete_words(d[1], [(i, i + 1) for i in gone], spans[d]) if gone or spans[d] else (d[1], 0)
     return out

@@ -185,6 +185,25 @@ def test_three_lines_of_fifty_words_go(spark, sizes):
     assert got == want
 
 
+def test_passages_inside_lines_go(spark):
+    rng = random.Random(9)
+    own = lambda tag, n: [f"{tag}{k}" for k in range(n)]
+    rows, want = [], {}
+    for k, n in enumerate((49, 50, 52, 59, 120)):
+        words = own(f"p{k}x", n)
+        passage = "".join(w + ("\n" if j % 30 == 20 else " ") for j, w in enumerate(words)).strip()
+        for copy in (0, 1):
+            lead, tail = (" ".join(own(f"{t}{k}c{copy}x", rng.randint(1, 40))) for t in "ab")
+            rows.append((2 * k + copy, f"{lead} {passage} {tail}\nend {k} {copy}"))
+            want[2 * k + copy] = rows[-1][1]
+            if copy and n >= 50:
+                want[2 * k + copy] = f"{lead}\n{tail}\nend {k} {copy}"
+    rows.append((100, " ".join(["again"] * 130)))
+    want[100] = " ".join(["again"] * 50)
+    got = {r["doc_id"]: r["clean_text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want
+
+
 # -- benchmark ----------------------------------------------------------------------------------------------------------------------
 
 ITEMS = [("1", "the quick brown fox jumps over the lazy dog and runs away again"), ("2", "short item"), ("3", ""), ("4", None), (None, "no id here at all"), ("5", "fox jumps over the lazy dog and runs away again today"), ("2", "short item")]
