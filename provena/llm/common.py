@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pickle
+import re
+import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -27,11 +29,11 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for written intermediates: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder for written intermediates: spark.checkpoint.dir. Where that is unset, a temporary folder in local mode, an error elsewhere."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="provena-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -67,6 +69,40 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+#: A key is hot if it holds more than this share of all rows (and HOT_ROWS rows); there are fewer than HOT of these, and each is dealt over SALTS.
+HOT, HOT_ROWS, SALTS = 512, 64, 64
+
+
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """rows joined to table (one row a key, `count` of which says how many of the `total` rows have that key).
+
+    Hot keys, fewer than HOT whatever the size, are known to every executor and dealt over SALTS tasks.
+    """
+    salt = "salt"
+    hot = F.col(count) > max(total // HOT, HOT_ROWS)
+    known = F.broadcast(table.where(hot).select(*keys, F.lit(True).alias(salt)))
+    dealt = rows.join(known, keys, "left").withColumn(salt, F.when(F.col(salt), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    copies = table.withColumn(salt, F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [*keys, salt]).drop(salt)
+
+
+#: Bits of the maps by which rows skip a join that they would not meet anything in: 4 MB at most, whatever the number of keys.
+BITS = 1 << 25
+
+
+def sifted(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that may meet a wanted key, rows that cannot). The more keys there are, the fewer rows are spared; none is lost."""
+    place = lambda k: F.pmod(k, F.lit(BITS))
+    bits = wanted.select(place(wanted_key).alias("k")).groupBy(F.bitmap_bucket_number("k").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("m"))
+    bucket, bitmap, found = fresh(rows, "sift_bucket", "sift_map", "sift_found")
+    bits = F.broadcast(bits.select(F.col("b").alias(bucket), F.col("m").alias(bitmap)))
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2), at % 8)) % 2
+    flagged = rows.join(bits, F.bitmap_bucket_number(place(key)) == F.col(bucket), "left").withColumn(found, F.coalesce(bit == 1, F.lit(False)))
+    return flagged.where(found).select(rows.columns), flagged.where(~F.col(found)).select(rows.columns)
+
+
 class Shared:
     """An object of this package sent to every executor once, its class included. The caller bounds its size."""
 

@@ -1,24 +1,25 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by winnowing over line hashes, and over hashes of words for passages that begin or end inside a line.
 
-A document is its sequence of lines that are not blank, white space inside a line as one space. Units that are worth deleting are hashed:
-every MIN_LINES consecutive lines, every line of MIN_WORDS words, every two lines that reach MIN_WORDS words together only. Of the MIN_LINES-line units
-the minima of every WINDOW consecutive ones are fingerprints (the last of equal minima), so a repeated run of MIN_LINES + WINDOW - 1 lines shares at
-least one; units picked by their words (MIN_LINES lines that reach MIN_WORDS words together only are such, too) are always fingerprints. Each occurrence of a fingerprint but the first, in order of (id, text hash,
-position), is joined to the first; the match is extended line by line both ways, at most EXTEND lines each way; the lines of the extended match are
-deleted. Lines that only meet in shorter runs stay, so a common short line does not go.
+A document is its sequence of lines that are not blank; a line is its sequence of words (runs without ASCII white space). A repeated run is MIN_LINES
+consecutive lines or more that stand, in the same order, at an earlier place; a repeated passage is MIN_WORDS consecutive words or more that do, wherever
+lines break. Places are ordered by (id, text hash, position). What lies in a repeated run or passage is deleted; inside one document the earlier place
+itself stays. So every line of a run of MIN_LINES lines goes, and no line that only repeats by itself.
 
-Fingerprints of a repeated run lie so close that their units cover it but for WINDOW - 1 lines at either end, which is what the extension
-is for; it needs no more of the other document than EXTEND lines around the place, and these travel with the fingerprint. So a line costs the same
-however long its document is, and one occurrence meets one other, the first: a fingerprint that a third of all documents share gives as many
-pairs as it has occurrences. First occurrences are found by a pre-aggregated minimum; the join is a sort-merge join whose hot keys
-adaptive execution splits.
+Fingerprints. Of the line hashes in every window of MIN_LINES lines the smallest (the last of equal ones) is selected, so all occurrences of a run select the
+same line of it. Of the hashes of every PART consecutive words the smallest in each window of MIN_WORDS words is selected likewise. A fingerprint
+carries the hash of its surroundings: the stretch that the windows make up in which it is the smallest.
 
-Passages that begin or end inside a line: every MIN_WORDS consecutive words (line breaks inside count) that stand earlier, in the same order, are
-deleted; in one document the earlier place itself stays. Equal passages share an equal winnowed part of PART words, so only passages around parts
-that occur twice are hashed and compared. A line of which words stay keeps these.
+Join. Fingerprints that occur once in the corpus go first. Of occurrences with equal surroundings, all but the first repeat that one over the whole stretch:
+one comparison, however many there are. Only where a fingerprint has several surroundings are their first occurrences extended both ways: every window around
+each is hashed from the text and held against the first window that has the same hash. The windows of neighbouring fingerprints overlap, so matches grow as long as
+texts agree. No pair of documents is made, and a fingerprint of a third of all documents costs what its occurrences cost.
+
+Texts that are equal byte for byte are one text with its smallest id: its copies repeat it from end to end, and take no part in the join.
+
+Hashes of 64 bits are always compared in twos (fingerprint and surroundings, fingerprint and window, two hashes of a text).
 
 Defined cases: null and empty texts have no lines and stay as they are; a null id stands before all others; rows that repeat id and text are one document
-and get the same result; a document whose lines all go keeps an empty text; blank lines stay but inside a deleted run.
+and get the same result; a document whose lines all go keeps an empty text; blank lines stay but inside a deleted run; a line of which words stay keeps these.
 """
 
 from __future__ import annotations
@@ -29,222 +30,261 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, read, written
+from .common import fresh, read, salted_join, sifted, written
 
-MIN_LINES, MIN_WORDS, WINDOW, EXTEND = 3, 50, 2, 4
-PART = 25
+MIN_LINES, MIN_WORDS, PART = 2, 50, 16
 MEMO = 500_000
+SEEN = 1_000_000
 
-LINES = "id {id}, tx long, hashes array<long>, units array<struct<fp: long, pos: int, len: int>>, parts array<struct<fp: long, pos: int>>"
-
-
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
-def solid_lines(text: str | None) -> list[list[str]]:
-    """Words of the lines that are not blank."""
-    return [w for w in (x.split() for x in (text or "").split("\n")) if w]
-
-
-def line_hashes(lines: list[list[str]]) -> list[int]:
-    return [_signed(xxhash.xxh64_intdigest(" ".join(w).encode())) for w in lines]
-
-
-def units(lines: list[list[str]], hashes: list[int]) -> list[tuple[int, int, int]]:
-    """(fingerprint, first line, lines) of a document's fingerprints."""
-    n, out = len(lines), []
-    count = [len(w) for w in lines]
-
-    def unit(i: int, k: int) -> int:
-        return _signed(xxhash.xxh64_intdigest(b"".join(h.to_bytes(8, "little", signed=True) for h in hashes[i : i + k]), seed=k))
-
-    triples = [unit(i, MIN_LINES) for i in range(n - MIN_LINES + 1)]
-    picked = set()
-    for i in range(max(1, len(triples) - WINDOW + 1) if triples else 0):
-        picked.add(min(range(i, min(i + WINDOW, len(triples))), key=lambda j: (triples[j], -j)))
-    # words that only MIN_LINES lines together reach are in no shorter unit, so such a unit is always one
-    picked.update(i for i in range(len(triples)) if sum(count[i : i + MIN_LINES]) >= MIN_WORDS > max(count[i] + count[i + 1], count[i + 1] + count[i + 2]))
-    out += [(triples[i], i, MIN_LINES) for i in sorted(picked)]
-    for i in range(n):
-        if count[i] >= MIN_WORDS:
-            out.append((unit(i, 1), i, 1))
-        elif i + 1 < n and count[i + 1] < MIN_WORDS <= count[i] + count[i + 1]:
-            out.append((unit(i, 2), i, 2))
-    return out
+MARK = "fp: long, around: long, lo: int, head: int, hi: int, line: boolean"
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), np.uint64(0xD6E8FEB86659FD93)
+_BACK = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Matches once in each line that is not blank.
+SOLID = r"[^\x20\x09-\x0D][^\n]*"
 
 
 class _Words(dict):
     """Hashes of words."""
 
-    def __missing__(self, w: str) -> int:
+    def __missing__(self, w: bytes) -> int:
         if len(self) >= MEMO:
             self.clear()
-        h = self[w] = xxhash.xxh64_intdigest(w.encode())
+        h = self[w] = xxhash.xxh64_intdigest(w)
         return h
 
 
-BREAK, BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-
-
-def runs_of_words(lines: list[list[str]], sizes: tuple[int, ...], memo: _Words) -> list[np.ndarray]:
-    """For each size, hashes of that many consecutive words by the first word. Where lines break inside a run counts, what stands before it does not."""
-    flat = [w for x in lines for w in x]
-    n = len(flat)
-    opens = np.zeros(n, np.uint64)
-    opens[np.cumsum([0, *(len(x) for x in lines)])[:-1]] = BREAK
-    v = np.fromiter(map(memo.__getitem__, flat), np.uint64, n)
-    power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, BASE, np.uint64))))
-    back = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64))))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate((v + opens) * power[:n])))
-    out = []
-    for k in sizes:
-        h = (sums[k:] - sums[: n + 1 - k]) * back[: n + 1 - k] - opens[: n + 1 - k] if n >= k else np.zeros(0, np.uint64)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(BASE)
-        out.append((h ^ (h >> np.uint64(29))).view(np.int64))
-    return out
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _C
+    h = (h ^ (h >> np.uint64(29))) * _A
+    return h ^ (h >> np.uint64(32))
 
 
-def parts(lines: list[list[str]], memo: _Words) -> list[tuple[int, int]]:
-    """(hash, first word) of the minima among the parts of every MIN_WORDS words (the last of equal ones)."""
-    if sum(map(len, lines)) < MIN_WORDS:
-        return []
-    (h,) = runs_of_words(lines, (PART,), memo)
-    view = np.lib.stride_tricks.sliding_window_view(h, MIN_WORDS - PART + 1)
-    at = np.unique(np.arange(len(view)) + MIN_WORDS - PART - view[:, ::-1].argmin(axis=1))
-    return list(zip(h[at].tolist(), at.tolist(), strict=True))
+class Hashed:
+    """The words of a text, with hashes of any stretch of them."""
 
+    def __init__(self, text: bytes | None, memo: _Words):
+        lines = [w for w in (x.split() for x in (text or b"").split(b"\n")) if w]
+        flat = [w for x in lines for w in x]
+        self.n, self.n_lines = len(flat), len(lines)
+        #: first word of each line, and the number of words
+        self.starts = np.cumsum([0, *(len(x) for x in lines)])
+        power, back = np.full(self.n + 1, _B), np.full(self.n + 1, _BACK)
+        power[0] = back[0] = 1
+        self.back = np.cumprod(back)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.fromiter(map(memo.__getitem__, flat), np.uint64, self.n) * np.cumprod(power)[:-1])))
 
-def delete_words(text: str, ranges: list[tuple[int, int]], spans: list[tuple[int, int]]) -> tuple[str, int]:
-    """delete_lines, after the words in spans have gone too; lines of which words stay do not count as gone."""
-    gone = {i for a, b in spans for i in range(a, b)}
-    ranges, lines, k, at = list(ranges), [], -1, 0
-    for x in text.split("\n"):
-        words = [m.span() for m in re.finditer(r"\S+", x)] if x.split() else []
-        if words:
-            k += 1
-            stay = [j for j in range(len(words)) if at + j not in gone]
-            if not stay:
-                ranges.append((k, k + 1))
-            elif len(stay) < len(words):
-                # a word stays with the white space before it, the first of the line with the line's
-                x = x[: words[0][0]] + x[words[stay[0]][0] : words[stay[0]][1]] + "".join(x[words[j - 1][1] : words[j][1]] for j in stay[1:]) + x[words[-1][1] :]
-            at += len(words)
-        lines.append(x)
-    return delete_lines("\n".join(lines), ranges)
-
-
-def delete_lines(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int]:
-    """(text without the solid lines in ranges, how many went)."""
-    gone = {i for a, b in ranges for i in range(a, b)}
-    kept, k, inside = [], -1, False
-    for x in text.split("\n"):
-        if x.split():
-            k += 1
-            inside = k in gone
-            if inside:
-                continue
-        elif inside and k + 1 in gone:
-            continue
-        kept.append(x)
-    return "\n".join(kept), len(gone)
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Hashes of the words [lo, hi)."""
+        return _mixed((self.sums[hi] - self.sums[lo]) * self.back[lo] + (hi - lo).astype(np.uint64) * _A)
 
+    def lines(self) -> np.ndarray:
+        return self.of(self.starts[:-1], self.starts[1:])
 
-def _common(mine: Column, first: Column, sign: int) -> Column:
-    """How many entries of two arrays are equal from the start (sign 1) or from the end (sign -1), EXTEND at most."""
-    zero = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
 
-    def step(acc: Column, k: Column) -> Column:
-        same = acc["on"] & F.coalesce(F.try_element_at(mine, k * sign) == F.try_element_at(first, k * sign), F.lit(False))
-        return F.struct((acc["n"] + same.cast("int")).alias("n"), same.alias("on"))
+def line_run(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the lines [first, last] by the lines' hashes: where lines break counts."""
+    out = np.zeros(len(first), np.uint64)
+    for k in range(int((last - first).max(initial=-1)) + 1):
+        inside = first + k <= last
+        out = np.where(inside, _mixed(out * _B + h[np.minimum(first + k, len(h) - 1)] + _A), out)
+    return out
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(EXTEND)), zero, step, lambda acc: acc["n"])
 
+def selected(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowing: (place of the smallest, the last of equal ones, first window, last window) of each run of windows with the same smallest."""
+    view = np.lib.stride_tricks.sliding_window_view(h, width)
+    at = np.arange(len(view)) + width - 1 - view[:, ::-1].argmin(axis=1)
+    new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return at[new], new, np.concatenate((new[1:], [len(at)])) - 1
+
+
+def marks(x: Hashed) -> tuple[np.ndarray, ...]:
+    """Columns of MARK: the fingerprints of a text, with the words [lo, hi) around them, the first window of which ends at head."""
+    found = []
+    if x.n_lines >= MIN_LINES:
+        h = x.lines()
+        at, first, last = selected(h, MIN_LINES)
+        around = line_run(h, first, last + MIN_LINES - 1) ^ (at - first).astype(np.uint64)
+        found.append((h[at] ^ _C, around, x.starts[first], x.starts[first + MIN_LINES], x.starts[last + MIN_LINES], np.ones(len(at), bool)))
+    if x.n >= MIN_WORDS:
+        i = np.arange(x.n - PART + 1)
+        h = x.of(i, i + PART)
+        at, first, last = selected(h, MIN_WORDS - PART + 1)
+        around = x.of(first, last + MIN_WORDS) ^ (at - first).astype(np.uint64)
+        found.append((h[at], around, first, first + MIN_WORDS, last + MIN_WORDS, np.zeros(len(at), bool)))
+    if not found:
+        return (*(np.zeros(0, np.uint64) for _ in range(5)), np.zeros(0, bool))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def windows(x: Hashed, lo: int, hi: int, line: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first word, end) of each window of MIN_LINES lines or MIN_WORDS words in the words [lo, hi)."""
+    if line:
+        first = np.arange(np.searchsorted(x.starts, lo), np.searchsorted(x.starts, hi) - MIN_LINES + 1)
+        return line_run(x.lines(), first, first + MIN_LINES - 1) ^ _A, x.starts[first], x.starts[first + MIN_LINES]
+    first = np.arange(lo, hi - MIN_WORDS + 1)
+    return x.of(first, first + MIN_WORDS), first, first + MIN_WORDS
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        elif a < b:
+            out.append((a, b))
+    return out
 
-def _passages(source: DataFrame, lines: DataFrame, kind: str) -> DataFrame:
-    """(id, tx, lo, hi): words [lo, hi) of MIN_WORDS words that stand earlier."""
-    marks = lines.select("id", "tx", F.explode("parts").alias("p")).select("id", "tx", "p.fp", "p.pos")
-    twice = marks.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    around = marks.join(twice, "fp", "left_semi").groupBy("id", "tx").agg(F.collect_set("pos").alias("at"))
-    around = around.select(F.col("id").alias("i"), F.col("tx").alias("t"), "at")
-    texts = source.join(around, (F.col("tx") == F.col("t")) & F.col("id").eqNullSafe(F.col("i"))).select("id", "tx", "text", "at")
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Words()
-        for b in batches:
-            for k, (text, at) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                (h,) = runs_of_words(solid_lines(text), (MIN_WORDS,), memo)
-                near = np.zeros(len(h) + 1, np.int32)
-                at = np.array(at)
-                np.add.at(near, np.maximum(at - (MIN_WORDS - PART), 0), 1)
-                np.add.at(near, np.minimum(at + 1, len(h)), -1)
-                pos = np.flatnonzero(np.cumsum(near[:-1]))
-                mine = pa.array(np.full(len(pos), k))
-                yield pa.RecordBatch.from_arrays([pa.array(h[pos]), b.column(0).take(mine), b.column(1).take(mine), pa.array(pos, pa.int32())], names=["fp", "id", "tx", "pos"])
-
-    passages = written(texts.mapInArrow(hashed, f"fp long, id {kind}, tx long, pos int"), "passages")
-    me = F.struct("id", "tx", "pos")
-    first = passages.groupBy("fp").agg(F.min(me).alias("a"), F.max(me).alias("z")).where("a != z").select("fp", "a")
-    met = passages.join(first, "fp").where(me != F.col("a"))
-    same = F.col("id").eqNullSafe(F.col("a.id")) & (F.col("tx") == F.col("a.tx"))
-    lo = F.when(same, F.greatest(F.col("pos"), F.col("a.pos") + MIN_WORDS)).otherwise(F.col("pos"))
-    return met.select("id", "tx", lo.alias("lo"), (F.col("pos") + MIN_WORDS).alias("hi"))
+def delete_words(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
+    """(text without the words in spans, lines of which no word is left). Such lines go, with the blank lines between two of them."""
+    gone = {i for a, b in merged(spans) for i in range(a, b)}
+    lines, at = [], 0
+    for x in text.split("\n"):
+        words = [m.span() for m in _WORD.finditer(x)]
+        stay = [j for j in range(len(words)) if at + j not in gone]
+        if words and stay and len(stay) < len(words):
+            # a word stays with the white space before it, the first of the line with the line's
+            x = x[: words[0][0]] + x[words[stay[0]][0] : words[stay[0]][1]] + "".join(x[words[j - 1][1] : words[j][1]] for j in stay[1:]) + x[words[-1][1] :]
+        lines.append((x, None if not words else bool(stay)))
+        at += len(words)
+    kept, blank, went, inside = [], [], 0, False
+    for x, stays in lines:
+        if stays is None:
+            blank.append(x)
+            continue
+        if stays or not inside:
+            kept += blank
+        blank = []
+        if stays:
+            kept.append(x)
+        went += not stays
+        inside = not stays
+    return "\n".join([*kept, *blank]), went
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, tx, ty, text) to (id, tx, ty, long, marks); of texts that this task has met before, no marks."""
+    kind = pa.struct([("fp", pa.int64()), ("around", pa.int64()), ("lo", pa.int32()), ("head", pa.int32()), ("hi", pa.int32()), ("line", pa.bool_())])
+    memo, seen = _Words(), set()
+    for b in batches:
+        found, big, count = [], [], []
+        for tx, text in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if tx in seen:
+                big.append(None)
+                count.append(None)
+                continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(tx)
+            x = Hashed(text, memo)
+            big.append(x.n_lines >= MIN_LINES or x.n >= MIN_WORDS)
+            found.append(marks(x))
+            count.append(len(found[-1][0]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0)] * 6
+        values = pa.StructArray.from_arrays([pa.array(c.view(np.int64) if k < 2 else c, f.type, safe=False) for k, (c, f) in enumerate(zip(columns, kind, strict=True))], fields=list(kind))
+        ends = np.cumsum([c or 0 for c in count])
+        offsets = pa.array([None if c is None else int(e - c) for c, e in zip(count, ends, strict=True)] + [int(ends[-1]) if count else 0], pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(big, pa.bool_()), pa.ListArray.from_arrays(offsets, values)], names=["id", "tx", "ty", "long", "marks"])
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, tx, ty, text, at: marks) to a row for each window around the marks."""
+    memo = _Words()
+    for b in batches:
+        for k, (text, at) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+            x = Hashed(text, memo)
+            found = [(np.uint64(m["fp"] % (1 << 64)), *windows(x, m["lo"], m["hi"], m["line"])) for m in at]
+            h, lo, hi = (np.concatenate([f[j] for f in found]) for j in (1, 2, 3))
+            fp = np.repeat(np.array([f[0] for f in found], np.uint64), [len(f[1]) for f in found])
+            mine = pa.array(np.full(len(h), k))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(fp.view(np.int64)), pa.array(h.view(np.int64)), *(b.column(j).take(mine) for j in range(3)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
+                names=["fp", "around", "id", "tx", "ty", "lo", "head"],
+            )
+
+
+def _repeats(places: DataFrame) -> DataFrame:
+    """(id, tx, ty, lo, hi) of every place but the first of each (fp, around); where a place overlaps the first, what the first window leaves of it."""
+    me = F.struct("id", "tx", "ty", "lo", "head")
+    first = places.groupBy("fp", "around").agg(F.min(me).alias("a"), F.count("*").alias("n")).where("n > 1")
+    met = salted_join(places, first, ["fp", "around"], "n", places.count()).where(me != F.col("a"))
+    same = F.col("id").eqNullSafe(F.col("a.id")) & (F.col("tx") == F.col("a.tx")) & (F.col("ty") == F.col("a.ty"))
+    return met.select("id", "tx", "ty", F.when(same, F.greatest("lo", "a.head")).otherwise(F.col("lo")).alias("lo"), "hi").where("lo < hi")
+
+
+def repeated_spans(source: DataFrame) -> DataFrame:
+    """(tx, ty, id, long, spans, n) of every text of source (id, tx, ty, text): its smallest id, whether copies of it go, its repeated words, its rows."""
+    kind = source.schema["id"].dataType.simpleString()
+    rows = source.mapInArrow(_describe, f"id {kind}, tx long, ty long, long boolean, marks array<struct<{MARK}>>")
+    texts = rows.groupBy("tx", "ty").agg(F.min(F.struct("id")).alias("i"), F.max("long").alias("long"), F.count("*").alias("n"), F.first("marks", ignorenulls=True).alias("marks"))
+    texts = written(texts.select("tx", "ty", F.col("i.id").alias("id"), "long", "n", "marks"), "line-texts")
+    every = texts.select("id", "tx", "ty", F.explode("marks").alias("m")).select("id", "tx", "ty", "m.*")
+    total = texts.agg(F.coalesce(F.sum(F.size("marks")), F.lit(0)).alias("n")).first()["n"]
+    twice = every.groupBy("fp").agg(F.count("*").alias("times")).where("times > 1")
+    places = written(salted_join(every, twice, ["fp"], "times", total).drop("times"), "line-places")
+
+    # places with equal surroundings repeat the first of them; where surroundings differ, the first ones are extended
+    kinds = places.groupBy("fp", "around").agg(F.min(F.struct("id", "tx", "ty", "lo", "hi", "line")).alias("a"))
+    several = kinds.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    heads = salted_join(kinds, several, ["fp"], "kinds", total).select("a.id", "a.tx", "a.ty", F.struct("fp", "a.lo", "a.hi", "a.line").alias("m"))
+    heads = written(heads.groupBy("id", "tx", "ty").agg(F.collect_list("m").alias("at")), "line-heads")
+    near, _ = sifted(source, F.col("tx"), heads, F.col("tx"))
+    named = heads.select(F.col("id").alias("i"), F.col("tx").alias("x"), F.col("ty").alias("y"), "at")
+    # rows that repeat id and text are one document: its windows stand twice, at the same place
+    near = near.join(named, (F.col("tx") == F.col("x")) & (F.col("ty") == F.col("y")) & F.col("id").eqNullSafe(F.col("i"))).select("id", "tx", "ty", "text", "at")
+    wide = written(near.mapInArrow(_extended, f"fp long, around long, id {kind}, tx long, ty long, lo int, head int"), "line-windows").withColumn("hi", F.col("head"))
+
+    spans = _repeats(places).unionByName(_repeats(wide)).groupBy("id", "tx", "ty").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = spans.select(F.col("id").alias("i"), F.col("tx").alias("x"), F.col("ty").alias("y"), "spans")
+    out = texts.drop("marks").join(spans, (F.col("tx") == F.col("x")) & (F.col("ty") == F.col("y")) & F.col("id").eqNullSafe(F.col("i")), "left").drop("i", "x", "y")
+    return written(out.where("spans is not null or n > 1 and long"), "line-spans")
 
 
 ADDED = ("n_lines", "n_removed", "clean_text")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with n_lines (not blank), n_removed and clean_text. Columns of these names are replaced."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tx"), F.col(text_col).alias("text")).where("text is not null")
+    """docs with n_lines (not blank), n_removed and clean_text. Columns of these names are replaced.
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = pa.list_(pa.struct([("fp", pa.int64()), ("pos", pa.int32()), ("len", pa.int32())]))
-        part, memo = pa.list_(pa.struct([("fp", pa.int64()), ("pos", pa.int32())])), _Words()
-        for b in batches:
-            lines = [solid_lines(t) for t in b.column(2).to_pylist()]
-            hashes = [line_hashes(x) for x in lines]
-            found = [[{"fp": f, "pos": p, "len": n} for f, p, n in units(x, h)] for x, h in zip(lines, hashes, strict=True)]
-            inner = [[{"fp": f, "pos": p} for f, p in parts(x, memo)] for x in lines]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(found, unit), pa.array(inner, part)], names=["id", "tx", "hashes", "units", "parts"])
-
-    lines = written(source.mapInArrow(hashed, LINES.format(id=kind)), "lines")
-    pos, size = F.col("u.pos"), F.col("u.len")
-    before = F.slice("hashes", F.greatest(pos - EXTEND, F.lit(0)) + 1, F.least(pos, F.lit(EXTEND)))
-    after = F.slice("hashes", pos + size + 1, F.lit(EXTEND))
-    marks = lines.select("id", "tx", "hashes", F.explode("units").alias("u")).select("id", "tx", "u.fp", "u.pos", "u.len", before.alias("before"), after.alias("after"))
-    me = F.struct("id", "tx", "pos")
-    first = marks.groupBy("fp", "len").agg(F.min(F.struct("id", "tx", "pos", "before", "after")).alias("a"), F.max(me).alias("z"))
-    first = first.where(F.struct("a.id", "a.tx", "a.pos") != F.col("z")).select("fp", "len", "a")
-    met = marks.join(first, ["fp", "len"]).where(me != F.struct("a.id", "a.tx", "a.pos"))
-    ranges = met.select("id", "tx", (F.col("pos") - _common(F.col("before"), F.col("a.before"), -1)).alias("lo"), (F.col("pos") + F.col("len") + _common(F.col("after"), F.col("a.after"), 1)).alias("hi"))
-    every = ranges.withColumn("words", F.lit(False)).unionByName(_passages(source, lines, kind).withColumn("words", F.lit(True)))
-    spans = every.groupBy("id", "tx").agg(F.collect_set(F.struct("lo", "hi", "words")).alias("ranges"))
-    i, t, r, tx = fresh(docs, "line_id", "line_tx", "line_ranges", "line_hash")
-    spans = spans.select(F.col("id").alias(i), F.col("tx").alias(t), F.col("ranges").alias(r))
-    joined = docs.withColumn(tx, F.xxhash64(text_col)).join(spans, (F.col(tx) == F.col(t)) & F.col(id_col).eqNullSafe(F.col(i)), "left")
+    Texts of which nothing goes take no part in the last join.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
     names = docs.columns
+    hashes = (F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col))
+    source = docs.select(F.col(id_col).alias("id"), hashes[0].alias("tx"), hashes[1].alias("ty"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
+    spans = repeated_spans(source)
+    n_lines = F.coalesce(F.regexp_count(text_col, F.lit(SOLID)), F.lit(0)).cast("long").alias(ADDED[0])
+    changed, same = sifted(docs, hashes[0], spans, F.col("tx"))
+    tx, ty, i, x, y, went, n, r, salt = fresh(docs, "line_tx", "line_ty", "line_id", "line_x", "line_y", "line_copy", "line_rows", "line_spans", "line_salt")
+    table = spans.select(F.col("tx").alias(tx), F.col("ty").alias(ty), F.col("id").alias(i), "long", F.col("n").alias(n), F.col("spans").alias(r))
+    # copies of texts that fill many rows are told by a list of bounded length, the others by a join
+    total = spans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    hot = F.broadcast(table.where(f"{n} > {max(total // 512, 64)} and long").select(F.col(tx).alias(x), F.col(ty).alias(y), F.col(i).alias(went)))
+    changed = changed.withColumn(tx, hashes[0]).withColumn(ty, hashes[1]).join(hot, (F.col(tx) == F.col(x)) & (F.col(ty) == F.col(y)), "left")
+    copy = F.col(x).isNotNull() & ~F.col(id_col).eqNullSafe(F.col(went))
+    whole = F.array(F.struct(F.lit(0).alias("lo"), F.lit(2**31 - 1).alias("hi")))
+    nothing = F.array().cast("array<struct<lo: int, hi: int>>")
+    told = changed.where(copy).select(*names, whole.alias(r))
+    table = table.withColumnsRenamed({tx: x, ty: y})
+    asked = changed.where(~copy).drop(x, y).join(table, (F.col(tx) == F.col(x)) & (F.col(ty) == F.col(y)), "left")
+    asked = asked.select(*names, F.when(F.col("long") & ~F.col(id_col).eqNullSafe(F.col(i)), whole).otherwise(F.coalesce(r, nothing)).alias(r))
     k = names.index(text_col)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            texts, ranges = x.column(k).to_pylist(), x.column(len(names)).to_pylist()
-            split = [[[(y["lo"], y["hi"]) for y in g or () if y["words"] == w] for w in (False, True)] for g in ranges]
-            done = [(s, 0) if s is None or not any(g) else delete_words(s, *g) for s, g in zip(texts, split, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*(x.column(j) for j in range(len(names))), pa.array([len(solid_lines(s)) for s in texts], pa.int64()), pa.array([n for _, n in done], pa.int64()), pa.array([s for s, _ in done], pa.string())],
-                names=[*names, *ADDED],
-            )
+        for b in batches:
+            texts, spans = b.column(k).to_pylist(), b.column(len(names) + 1).to_pylist()
+            done = [delete_words(s, [(y["lo"], min(y["hi"], len(s))) for y in g]) if s and g else (s, 0) for s, g in zip(texts, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([n for _, n in done], pa.int64()), pa.array([s for s, _ in done], pa.string())], names=[*b.schema.names[:-1], *ADDED[1:]])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("clean_text", T.StringType())])
-    return joined.select(*names, r).mapInArrow(cleaned, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(ADDED[0], T.LongType()), T.StructField(ADDED[1], T.LongType()), T.StructField(ADDED[2], T.StringType())])
+    cut = told.unionByName(asked).select(*names, n_lines, r).mapInArrow(cleaned, schema)
+    return cut.unionByName(same.select(*names, n_lines, F.lit(0).cast("long").alias(ADDED[1]), F.col(text_col).alias(ADDED[2])))
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -252,43 +292,31 @@ def op1_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", F.char_length("clean_text").cast("long").alias("n_chars"), F.sha2("clean_text", 256).alias("text_sha256"))
 
 
-def brute_force(docs: list[tuple[int | None, str | None]]) -> dict[tuple, tuple[str | None, int]]:
-    """(id, text) -> (clean text, lines gone), with all documents in one dictionary of fingerprints and one of MIN_WORDS words."""
-    rows = {}
-    for i, t in docs:
-        if t is not None:
-            x = solid_lines(t)
-            rows[i, t] = x
-    key = {(i, t): ((i is not None, i or 0), _signed(xxhash.xxh64_intdigest(t.encode(), seed=42))) for i, t in rows}
-    hashes = {d: line_hashes(x) for d, x in rows.items()}
-    found = {d: units(x, hashes[d]) for d, x in rows.items()}
-    first: dict[tuple, tuple] = {}
-    for d in rows:
-        for f, p, n in found[d]:
-            mine = (*key[d], p, d)
-            if (f, n) not in first or mine[:3] < first[f, n][:3]:
-                first[f, n] = mine
-    words = {d: [(j == 0, w) for line in x for j, w in enumerate(line)] for d, x in rows.items()}
-    at: dict[tuple, tuple] = {}
-    spans: dict[tuple, list[tuple[int, int]]] = {d: [] for d in rows}
-    for d in sorted(rows, key=lambda d: key[d]):
-        for p in range(len(words[d]) - MIN_WORDS + 1):
-            a, q = at.setdefault((words[d][p][1], *words[d][p + 1 : p + MIN_WORDS]), (d, p))
-            if (a, q) != (d, p):
-                spans[d].append((max(p, q + MIN_WORDS) if a == d else p, p + MIN_WORDS))
-    out = {}
-    for d in rows:
-        h, gone = hashes[d], set()
-        for f, p, n in found[d]:
-            _, _, q, a = first[f, n]
-            if (a, q) == (d, p):
-                continue
-            g = hashes[a]
-            lo, hi = p, p + n
-            while p - lo < EXTEND and lo > 0 and lo - 1 - p + q >= 0 and h[lo - 1] == g[lo - 1 - p + q]:
-                lo -= 1
-            while hi - p - n < EXTEND and hi < len(h) and hi - p + q < len(g) and h[hi] == g[hi - p + q]:
-                hi += 1
-            gone.update(range(lo, hi))
-        out[d] = delete_words(d[1], [(i, i + 1) for i in gone], spans[d]) if gone or spans[d] else (d[1], 0)
-    return out
+OP1_SQL = r"""
+with l as (
+  select doc_id, ord, lines[ord] as line, regexp_extract_all(lines[ord], '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') as pieces, regexp_extract_all(lines[ord], '[^\x20\x09-\x0D]+') as words
+  from (select doc_id, lines, unnest(generate_series(1, len(lines))) as ord from (select doc_id, string_split(text, chr(10)) as lines from documents where text is not null))),
+s as (select *, coalesce(sum(len(words)) over (partition by doc_id order by ord rows between unbounded preceding and 1 preceding), 0) as at,
+  lead(words) over (partition by doc_id order by ord) as following from l where len(words) > 0),
+flat as (select doc_id, flatten(list(words order by ord)) as words from s group by doc_id),
+win as (
+  select 'l' || array_to_string(words, ' ') || chr(10) || array_to_string(following, ' ') as what, doc_id, at as lo, at + len(words) + len(following) as hi from s where following is not null
+  union all
+  select 'w' || array_to_string(words[i + 1:i + 50], ' '), doc_id, i, i + 50 from (select doc_id, words, unnest(range(0, len(words) - 49)) as i from flat where len(words) >= 50)),
+met as (select doc_id, lo, hi, first_value(doc_id) over w as f_doc, first_value(lo) over w as f_lo, first_value(hi) over w as f_hi
+  from win window w as (partition by what order by doc_id nulls first, lo rows between unbounded preceding and current row)),
+gone as (select distinct doc_id, unnest(range(cast(case when doc_id is not distinct from f_doc then greatest(lo, f_hi) else lo end as bigint), cast(hi as bigint))) as i
+  from met where doc_id is distinct from f_doc or lo <> f_lo),
+p as (select s.doc_id, s.ord, j, pieces[j] as piece, gone.i is null as stays from (select *, unnest(generate_series(1, len(pieces))) as j from s) s
+  left join gone on s.doc_id is not distinct from gone.doc_id and s.at + j - 1 = gone.i),
+kept as (select doc_id, ord, count(*) filter (stays) as n_stay, string_agg(piece, '' order by j) filter (stays) as rest from p group by doc_id, ord),
+o as (select l.doc_id, l.ord, len(l.words) > 0 as solid, coalesce(n_stay, 0) as n_stay,
+    case when len(l.words) in (0, n_stay) then line else regexp_extract(line, '^[\x20\x09-\x0D]*') || regexp_replace(rest, '^[\x20\x09-\x0D]+', '') || regexp_extract(line, '[\x20\x09-\x0D]*$') end as line
+  from l left join kept on l.doc_id is not distinct from kept.doc_id and l.ord = kept.ord),
+b as (select *, last_value(case when solid then n_stay end ignore nulls) over (partition by doc_id order by ord rows between unbounded preceding and 1 preceding) as before,
+  first_value(case when solid then n_stay end ignore nulls) over (partition by doc_id order by ord rows between 1 following and unbounded following) as after from o),
+c as (select doc_id, count(*) filter (solid) as n_lines, count(*) filter (solid and n_stay = 0) as n_removed,
+  coalesce(string_agg(line, chr(10) order by ord) filter (case when solid then n_stay > 0 else not coalesce(before = 0 and after = 0, false) end), '') as t from b group by doc_id)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, length(t) as n_chars, sha256(t) as text_sha256
+from documents d left join c on d.doc_id is not distinct from c.doc_id
+"""

@@ -4,7 +4,7 @@ from .decontamination import op6_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .html_extract import op3_html_extraction
 from .licenses import op9_license_scans
-from .line_dedup import op1_line_dedup
+from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import OP8_SQL, op8_mixing
 from .ngram_join import OP2_SQL, op2_ngram_join
 from .quality import op10_quality
@@ -24,6 +24,7 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 ORACLES = {
+    "op1_line_dedup": OP1_SQL,
     "op2_ngram_join": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op8_mixing": OP8_SQL,

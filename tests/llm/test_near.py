@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from provena.llm import decontamination, graph, line_dedup, ngram_join, registered
+from provena.llm import decontamination, graph, ngram_join, registered
 
 DOCS = "doc_id long, text string"
 
@@ -140,70 +140,6 @@ def test_graph(spark, edges):
     assert got == root
 
 
-# -- lines --------------------------------------------------------------------------------------------------------------------------
-
-def test_line_dedup(spark):
-    rng = random.Random(4)
-    pool = [" ".join(rng.choices("abcdefgh", k=rng.choice((1, 3, 6, 30, 60)))) for _ in range(25)]
-    rows = [(i if i % 11 else None, "\n".join(x + " " * (i % 2) if k % 5 else f"\n{x}" for k, x in enumerate(rng.choices(pool, k=rng.randint(0, 14))))) for i in range(120)]
-    rows += [(500, None), (501, ""), (502, "\n\n"), rows[7], (503, "z\n" * 3_000), (504, rows[9][1])]
-    got = {}
-    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_lines string")
-    out = line_dedup.dedup_lines(d).collect()
-    assert len(out) == len(rows)
-    for r in out:
-        got[r["doc_id"], r["text"]] = (r["clean_text"], r["n_removed"])
-    want = line_dedup.brute_force(rows)
-    assert {k: v for k, v in got.items() if k[1] is not None} == want
-    assert got[500, None] == (None, 0) and got[501, ""] == ("", 0)
-    assert sum(n for _, n in want.values()) > 100
-
-
-def test_a_long_run_goes_once(spark):
-    run = "\n".join(f"line number {k} of the run" for k in range(6))
-    rows = [(1, f"own one\n{run}\nend one"), (2, f"own two\n{run}\nend two"), (3, "own one\nend two\nother")]
-    got = {r["doc_id"]: r["clean_text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == {1: rows[0][1], 2: "own two\nend two", 3: rows[2][1]}
-
-
-def test_a_passage_of_fifty_words_goes(spark):
-    passage = " ".join(f"w{k}" for k in range(55))
-    rows = [(2, f"b\n{passage}"), (1, f"a\n{passage}\nc"), (3, passage.replace("w7 ", "w7\n"))]
-    got = {r["doc_id"]: r["clean_text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == {1: rows[1][1], 2: "b", 3: rows[2][1]}
-    assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
-
-
-@pytest.mark.parametrize("sizes", [(20, 20, 20), (24, 25, 24), (1, 48, 1), (30, 10, 30)])
-def test_three_lines_of_fifty_words_go(spark, sizes):
-    want, rows = {}, []
-    for k in range(12):
-        passage = "\n".join(" ".join(f"p{k}x{j}y{w}" for w in range(n)) for j, n in enumerate(sizes))
-        rows += [(2 * k, f"a{k}\n{passage}\nb{k}"), (2 * k + 1, f"c{k}\n{passage}\nd{k}")]
-        want |= {2 * k: rows[-2][1], 2 * k + 1: f"c{k}\nd{k}"}
-    got = {r["doc_id"]: r["clean_text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == want
-
-
-def test_passages_inside_lines_go(spark):
-    rng = random.Random(9)
-    own = lambda tag, n: [f"{tag}{k}" for k in range(n)]
-    rows, want = [], {}
-    for k, n in enumerate((49, 50, 52, 59, 120)):
-        words = own(f"p{k}x", n)
-        passage = "".join(w + ("\n" if j % 30 == 20 else " ") for j, w in enumerate(words)).strip()
-        for copy in (0, 1):
-            lead, tail = (" ".join(own(f"{t}{k}c{copy}x", rng.randint(1, 40))) for t in "ab")
-            rows.append((2 * k + copy, f"{lead} {passage} {tail}\nend {k} {copy}"))
-            want[2 * k + copy] = rows[-1][1]
-            if copy and n >= 50:
-                want[2 * k + copy] = f"{lead}\n{tail}\nend {k} {copy}"
-    rows.append((100, " ".join(["again"] * 130)))
-    want[100] = " ".join(["again"] * 50)
-    got = {r["doc_id"]: r["clean_text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == want
-
-
 # -- benchmark ----------------------------------------------------------------------------------------------------------------------
 
 ITEMS = [("1", "the quick brown fox jumps over the lazy dog and runs away again"), ("2", "short item"), ("3", ""), ("4", None), (None, "no id here at all"), ("5", "fox jumps over the lazy dog and runs away again today"), ("2", "short item")]
