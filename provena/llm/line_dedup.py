@@ -29,58 +29,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, read, salted_join, sifted, written
+from .hashing import BASE, FACTOR, STEP, Stretches, mix, word_hashes
 
 MIN_LINES, MIN_WORDS, PART = 2, 50, 16
-MEMO = 500_000
 SEEN = 1_000_000
+#: Bytes of texts that are hashed at once.
+CHUNK = 1 << 20
 
 MARK = "fp: long, around: long, lo: int, head: int, hi: int, line: boolean"
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), np.uint64(0xD6E8FEB86659FD93)
-_BACK = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Matches once in each line that is not blank.
 SOLID = r"[^\x20\x09-\x0D][^\n]*"
 
 
-class _Words(dict):
-    """Hashes of words."""
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[w] = xxhash.xxh64_intdigest(w)
-        return h
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _C
-    h = (h ^ (h >> np.uint64(29))) * _A
-    return h ^ (h >> np.uint64(32))
-
-
 class Hashed:
-    """The words of a text, with hashes of any stretch of them."""
-
-    def __init__(self, text: bytes | None, memo: _Words):
-        lines = [w for w in (x.split() for x in (text or b"").split(b"\n")) if w]
-        flat = [w for x in lines for w in x]
-        self.n, self.n_lines = len(flat), len(lines)
-        #: first word of each line, and the number of words
-        self.starts = np.cumsum([0, *(len(x) for x in lines)])
-        power, back = np.full(self.n + 1, _B), np.full(self.n + 1, _BACK)
-        power[0] = back[0] = 1
-        self.back = np.cumprod(back)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.fromiter(map(memo.__getitem__, flat), np.uint64, self.n) * np.cumprod(power)[:-1])))
-
-    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Hashes of the words [lo, hi)."""
-        return _mixed((self.sums[hi] - self.sums[lo]) * self.back[lo] + (hi - lo).astype(np.uint64) * _A)
+    """The words of texts, one after the other, with hashes of any stretch of them."""
+
+    def __init__(self, texts: list[bytes | None]):
+        texts = [x or b"" for x in texts]
+        t = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        h, first, _ = word_hashes(t, (t == 32) | (t - np.uint8(9) <= 4))
+        line = np.searchsorted(np.flatnonzero(t == 10), first)
+        #: first word of each text, and the number of words; the text of each word
+        self.texts = np.searchsorted(first, np.cumsum([0, *(len(x) + 1 for x in texts)]))
+        self.text = np.repeat(np.arange(len(texts)), np.diff(self.texts))
+        #: first word of each line that is not blank, and the number of words; the text of each line
+        self.starts = np.concatenate((np.flatnonzero(np.diff(line, prepend=-1)), [len(h)]))
+        self.line_text = self.text[self.starts[:-1]]
+        self.of = Stretches(h).of
 
     def lines(self) -> np.ndarray:
         return self.of(self.starts[:-1], self.starts[1:])
@@ -91,42 +72,53 @@ def line_run(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     out = np.zeros(len(first), np.uint64)
     for k in range(int((last - first).max(initial=-1)) + 1):
         inside = first + k <= last
-        out = np.where(inside, _mixed(out * _B + h[np.minimum(first + k, len(h) - 1)] + _A), out)
+        out = np.where(inside, mix(out * STEP + h[np.minimum(first + k, len(h) - 1)] + BASE), out)
     return out
 
 
-def selected(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Winnowing: (place of the smallest, the last of equal ones, first window, last window) of each run of windows with the same smallest."""
+def selected(h: np.ndarray, width: int, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowing: (place of the smallest, the last of equal ones, first window, last window) of each run of windows with the same smallest.
+
+    Only windows that are whole (lie in one text) count.
+    """
+    window = np.flatnonzero(whole)
+    if not len(window):
+        return window, window, window
     view = np.lib.stride_tricks.sliding_window_view(h, width)
-    at = np.arange(len(view)) + width - 1 - view[:, ::-1].argmin(axis=1)
-    new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at[new], new, np.concatenate((new[1:], [len(at)])) - 1
+    at = (np.arange(len(view)) + width - 1 - view[:, ::-1].argmin(axis=1))[window]
+    new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(window, prepend=-2) != 1))
+    return at[new], window[new], window[np.concatenate((new[1:], [len(at)])) - 1]
+
+
+def _inside(of: np.ndarray, width: int) -> np.ndarray:
+    """Whether the first and the last of every `width` belong to the same text."""
+    return of[: max(0, len(of) - width + 1)] == of[width - 1 :]
 
 
 def marks(x: Hashed) -> tuple[np.ndarray, ...]:
-    """Columns of MARK: the fingerprints of a text, with the words [lo, hi) around them, the first window of which ends at head."""
-    found = []
-    if x.n_lines >= MIN_LINES:
-        h = x.lines()
-        at, first, last = selected(h, MIN_LINES)
-        around = line_run(h, first, last + MIN_LINES - 1) ^ (at - first).astype(np.uint64)
-        found.append((h[at] ^ _C, around, x.starts[first], x.starts[first + MIN_LINES], x.starts[last + MIN_LINES], np.ones(len(at), bool)))
-    if x.n >= MIN_WORDS:
-        i = np.arange(x.n - PART + 1)
-        h = x.of(i, i + PART)
-        at, first, last = selected(h, MIN_WORDS - PART + 1)
-        around = x.of(first, last + MIN_WORDS) ^ (at - first).astype(np.uint64)
-        found.append((h[at], around, first, first + MIN_WORDS, last + MIN_WORDS, np.zeros(len(at), bool)))
-    if not found:
-        return (*(np.zeros(0, np.uint64) for _ in range(5)), np.zeros(0, bool))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+    """(text, *columns of MARK): the fingerprints of texts, with the words [lo, hi) around them, the first window of which ends at head."""
+    h = x.lines()
+    at, first, last = selected(h, MIN_LINES, _inside(x.line_text, MIN_LINES))
+    around = line_run(h, first, last + MIN_LINES - 1) ^ (at - first).astype(np.uint64)
+    lines = (h[at] ^ FACTOR, around, x.starts[first], x.starts[first + MIN_LINES], x.starts[last + MIN_LINES], np.ones(len(at), bool))
+    i = np.arange(max(0, len(x.text) - PART + 1))
+    h = x.of(i, i + PART)
+    at, first, last = selected(h, MIN_WORDS - PART + 1, _inside(x.text, MIN_WORDS))
+    around = x.of(first, last + MIN_WORDS) ^ (at - first).astype(np.uint64)
+    words = (h[at], around, first, first + MIN_WORDS, last + MIN_WORDS, np.zeros(len(at), bool))
+    found = [np.concatenate(c) for c in zip(lines, words, strict=True)]
+    of = x.text[found[2]]
+    order = np.argsort(of, kind="stable")
+    begin = x.texts[of]
+    found[2:5] = (c - begin for c in found[2:5])
+    return (of[order], *(c[order] for c in found))
 
 
 def windows(x: Hashed, lo: int, hi: int, line: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first word, end) of each window of MIN_LINES lines or MIN_WORDS words in the words [lo, hi)."""
+    """(hash, first word, end) of each window of MIN_LINES lines or MIN_WORDS words in the words [lo, hi) of a single text."""
     if line:
         first = np.arange(np.searchsorted(x.starts, lo), np.searchsorted(x.starts, hi) - MIN_LINES + 1)
-        return line_run(x.lines(), first, first + MIN_LINES - 1) ^ _A, x.starts[first], x.starts[first + MIN_LINES]
+        return line_run(x.lines(), first, first + MIN_LINES - 1) ^ BASE, x.starts[first], x.starts[first + MIN_LINES]
     first = np.arange(lo, hi - MIN_WORDS + 1)
     return x.of(first, first + MIN_WORDS), first, first + MIN_WORDS
 
@@ -169,36 +161,43 @@ def delete_words(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, tx, ty, text) to (id, tx, ty, long, marks); of texts that this task has met before, no marks."""
+    """(id, tx, ty, text) to (id, tx, ty, long, marks); of texts that this task has met before, neither."""
     kind = pa.struct([("fp", pa.int64()), ("around", pa.int64()), ("lo", pa.int32()), ("head", pa.int32()), ("hi", pa.int32()), ("line", pa.bool_())])
-    memo, seen = _Words(), set()
+    seen: set[int] = set()
     for b in batches:
-        found, big, count = [], [], []
-        for tx, text in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
-            if tx in seen:
-                big.append(None)
-                count.append(None)
-                continue
-            if len(seen) >= SEEN:
-                seen.clear()
-            seen.add(tx)
-            x = Hashed(text, memo)
-            big.append(x.n_lines >= MIN_LINES or x.n >= MIN_WORDS)
-            found.append(marks(x))
-            count.append(len(found[-1][0]))
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0)] * 6
-        values = pa.StructArray.from_arrays([pa.array(c.view(np.int64) if k < 2 else c, f.type, safe=False) for k, (c, f) in enumerate(zip(columns, kind, strict=True))], fields=list(kind))
-        ends = np.cumsum([c or 0 for c in count])
-        offsets = pa.array([None if c is None else int(e - c) for c, e in zip(count, ends, strict=True)] + [int(ends[-1]) if count else 0], pa.int32())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(big, pa.bool_()), pa.ListArray.from_arrays(offsets, values)], names=["id", "tx", "ty", "long", "marks"])
+        keys, texts, new = b.column(1).to_pylist(), b.column(3).to_pylist(), []
+        for k, tx in enumerate(keys):
+            if tx not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(tx)
+                new.append(k)
+        big, count, found, held = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), [], 0
+        for k, size in zip(new, (len(texts[k]) for k in new), strict=True):
+            if not held:
+                some = []
+            some.append(k)
+            held += size + 1
+            if held >= CHUNK or k == new[-1]:
+                x = Hashed([texts[j] for j in some])
+                of, *columns = marks(x)
+                found.append(columns)
+                count[some] = np.bincount(of, minlength=len(some))
+                big[some] = (np.diff(x.texts) >= MIN_WORDS) | (np.bincount(x.line_text, minlength=len(some)) >= MIN_LINES)
+                held = 0
+        old = np.ones(len(keys), bool)
+        old[new] = False
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.uint64)] * 6
+        values = pa.StructArray.from_arrays([pa.array(c.view(np.int64) if k < 2 else c).cast(f.type) for k, (c, f) in enumerate(zip(columns, kind, strict=True))], fields=list(kind))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32), mask=np.concatenate((old, [False])))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(big, mask=old), pa.ListArray.from_arrays(offsets, values)], names=["id", "tx", "ty", "long", "marks"])
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, tx, ty, text, at: marks) to a row for each window around the marks."""
-    memo = _Words()
     for b in batches:
         for k, (text, at) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
-            x = Hashed(text, memo)
+            x = Hashed([text])
             found = [(np.uint64(m["fp"] % (1 << 64)), *windows(x, m["lo"], m["hi"], m["line"])) for m in at]
             h, lo, hi = (np.concatenate([f[j] for f in found]) for j in (1, 2, 3))
             fp = np.repeat(np.array([f[0] for f in found], np.uint64), [len(f[1]) for f in found])
@@ -296,11 +295,11 @@ OP1_SQL = r"""
 with l as (
   select doc_id, ord, lines[ord] as line, regexp_extract_all(lines[ord], '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') as pieces, regexp_extract_all(lines[ord], '[^\x20\x09-\x0D]+') as words
   from (select doc_id, lines, unnest(generate_series(1, len(lines))) as ord from (select doc_id, string_split(text, chr(10)) as lines from documents where text is not null))),
-s as (select *, coalesce(sum(len(words)) over (partition by doc_id order by ord rows between unbounded preceding and 1 preceding), 0) as at,
+s as (select *, coalesce(sum(len(words)) over (partition by doc_id order by ord rows between unbounded preceding and 1 preceding), 0) as off,
   lead(words) over (partition by doc_id order by ord) as following from l where len(words) > 0),
 flat as (select doc_id, flatten(list(words order by ord)) as words from s group by doc_id),
 win as (
-  select 'l' || array_to_string(words, ' ') || chr(10) || array_to_string(following, ' ') as what, doc_id, at as lo, at + len(words) + len(following) as hi from s where following is not null
+  select 'l' || array_to_string(words, ' ') || chr(10) || array_to_string(following, ' ') as what, doc_id, off as lo, off + len(words) + len(following) as hi from s where following is not null
   union all
   select 'w' || array_to_string(words[i + 1:i + 50], ' '), doc_id, i, i + 50 from (select doc_id, words, unnest(range(0, len(words) - 49)) as i from flat where len(words) >= 50)),
 met as (select doc_id, lo, hi, first_value(doc_id) over w as f_doc, first_value(lo) over w as f_lo, first_value(hi) over w as f_hi
@@ -308,7 +307,7 @@ met as (select doc_id, lo, hi, first_value(doc_id) over w as f_doc, first_value(
 gone as (select distinct doc_id, unnest(range(cast(case when doc_id is not distinct from f_doc then greatest(lo, f_hi) else lo end as bigint), cast(hi as bigint))) as i
   from met where doc_id is distinct from f_doc or lo <> f_lo),
 p as (select s.doc_id, s.ord, j, pieces[j] as piece, gone.i is null as stays from (select *, unnest(generate_series(1, len(pieces))) as j from s) s
-  left join gone on s.doc_id is not distinct from gone.doc_id and s.at + j - 1 = gone.i),
+  left join gone on s.doc_id is not distinct from gone.doc_id and s.off + j - 1 = gone.i),
 kept as (select doc_id, ord, count(*) filter (stays) as n_stay, string_agg(piece, '' order by j) filter (stays) as rest from p group by doc_id, ord),
 o as (select l.doc_id, l.ord, len(l.words) > 0 as solid, coalesce(n_stay, 0) as n_stay,
     case when len(l.words) in (0, n_stay) then line else regexp_extract(line, '^[\x20\x09-\x0D]*') || regexp_replace(rest, '^[\x20\x09-\x0D]+', '') || regexp_extract(line, '[\x20\x09-\x0D]*$') end as line

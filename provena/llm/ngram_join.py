@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, fresh, read, written
 from .graph import components
+from .hashing import BASE, FACTOR, mix, word_hashes
 
 BLOCK_ROWS, SKETCH_ROWS, BLOCK_GRAMS, COLUMNS = 256, 1024, 2_000_000, 8192
 #: Candidate rows (ten numbers each) up to this number are sent to every executor; beyond it they are joined by sort and merge.
@@ -45,33 +46,18 @@ BROADCAST_ROWS = 200_000
 SEEN = 1_000_000
 
 _WORDS = bytes(32 if b in b"\t\n\v\f\r " else b for b in LOWER)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_MIX = np.uint64(0xD6E8FEB86659FD93)
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    h = (h ^ (h >> np.uint64(29))) * _BASE
-    return h ^ (h >> np.uint64(32))
 
 
 def grams(text: bytes | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of word n-grams. Words: runs of bytes that are not ASCII white space, A-Z lower-cased."""
-    t = np.frombuffer(b" " + (text or b"").translate(_WORDS) + b" ", np.uint8)
-    edge = np.diff((t != 32).astype(np.int8))
-    first, last = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
-    if not len(first):
+    t = np.frombuffer((text or b"").translate(_WORDS) + b" ", np.uint8)
+    w, _, _ = word_hashes(t, t == 32)
+    if not len(w):
         return np.zeros(0, np.uint64)
-    powers, backs = np.full(len(t) + 1, _BASE), np.full(len(t) + 1, _BACK)
-    powers[0] = backs[0] = 1
-    powers, backs = np.cumprod(powers), np.cumprod(backs)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((t.astype(np.uint64) + np.uint64(1)) * powers[:-1])))
-    w = mix((sums[last] - sums[first]) * backs[first])
     k = min(n, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for i in range(k):
-        h = (h + w[i : len(w) - k + 1 + i]) * _MIX
+        h = (h + w[i : len(w) - k + 1 + i]) * FACTOR
         h ^= h >> np.uint64(31)
     return np.unique(mix(h))
 
@@ -112,7 +98,7 @@ class Sizes:
 def signatures(s: np.ndarray, sizes: Sizes) -> np.ndarray:
     """What a set offers as ties: one number for each part that counts, for its class and the one below."""
     out, c = [], sizes.of(len(s))
-    mixed = mix(s + _BASE)
+    mixed = mix(s + BASE)
     for k in (c, c - 1):
         if k < 0 or not (m := sizes.parts(k))[0]:
             continue
@@ -123,7 +109,7 @@ def signatures(s: np.ndarray, sizes: Sizes) -> np.ndarray:
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed[order])))[np.concatenate(([0], ends))]
         total = total[1:] - total[:-1]
         empty = np.diff(np.concatenate(([0], ends))) == 0
-        sig = mix(total + (np.arange(m, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(k + 1)) * _MIX)
+        sig = mix(total + (np.arange(m, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(k + 1)) * FACTOR)
         out.append(sig if empty.sum() > slack else sig[~empty])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -136,7 +122,7 @@ def sketch(s: np.ndarray, sizes: Sizes) -> np.ndarray:
     bits = 1024
     while bits * 3 < 2 * sizes.least[sizes.of(len(s)) + 1]:
         bits *= 2
-    odd = np.bincount(((s * _BASE) >> np.uint64(24)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    odd = np.bincount(((s * BASE) >> np.uint64(24)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.concatenate((np.array([len(s)], np.uint64), np.packbits(odd.astype(np.uint8)).view(np.uint64)))
 
 

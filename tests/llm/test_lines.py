@@ -90,7 +90,7 @@ def test_line_dedup(spark, monkeypatch, seed, salted):
 @given(st.integers(0, 2**32), st.integers(2, 40), st.integers(1, 5))
 def test_windows_select_their_minimum(seed, width, kinds):
     h = np.random.default_rng(seed).integers(0, 10**kinds, 150).astype(np.uint64)
-    at, first, last = line_dedup.selected(h, width)
+    at, first, last = line_dedup.selected(h, width, np.ones(len(h) - width + 1, bool))
     assert first[0] == 0 and last[-1] == len(h) - width and (first[1:] == last[:-1] + 1).all()
     for p, a, b in zip(at.tolist(), first.tolist(), last.tolist(), strict=True):
         for s in range(a, b + 1):
