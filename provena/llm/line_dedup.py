@@ -7,16 +7,17 @@ itself stays. So every line of a run of MIN_LINES lines goes, and no line that o
 
 Fingerprints. Of the line hashes in every window of MIN_LINES lines the smallest (the last of equal ones) is selected, so all occurrences of a run select the
 same line of it. Of the hashes of every PART consecutive words the smallest in each window of MIN_WORDS words is selected likewise. A fingerprint
-carries the hash of its surroundings: the stretch that the windows make up in which it is the smallest.
+goes with the hash of its surroundings: for lines the window, for words the stretch that the windows make up in which it is the smallest.
 
-Join. Fingerprints that occur once in the corpus go first. Of occurrences with equal surroundings, all but the first repeat that one over the whole stretch:
-one comparison, however many there are. Only where a fingerprint has several surroundings are their first occurrences extended both ways: every window around
-each is hashed from the text and held against the first window that has the same hash. The windows of neighbouring fingerprints overlap, so matches grow as long as
-texts agree. No pair of documents is made, and a fingerprint of a third of all documents costs what its occurrences cost.
+Join. Of places with equal fingerprint and surroundings, all but the first repeat that one over the whole stretch: one comparison, however many there
+are. Only where a part of words has several surroundings are their first places extended both ways: every window around each is hashed from the text and
+held against the first that has the same hash. The windows of neighbouring fingerprints overlap, so matches grow as long as texts agree.
 
-Texts that are equal byte for byte are one text with its smallest id: its copies repeat it from end to end, and take no part in the join.
+No pair of documents is made. Each batch of a task settles its own repeats and sends on only the first place of each key, so a key of a third
+of all documents crosses the network once a batch. Fingerprints that a SAMPLE-th of the texts shows to be frequent are dealt over SALTS tasks; that decides
+where rows are compared, not what is found. The sort of each task spills; its pass over the sorted rows holds one row.
 
-Hashes of 64 bits are always compared in twos (fingerprint and surroundings, fingerprint and window, two hashes of a text).
+Hashes of 64 bits are always compared in twos (fingerprint and surroundings, fingerprint and window, id and text hash).
 
 Defined cases: null and empty texts have no lines and stay as they are; a null id stands before all others; rows that repeat id and text are one document
 and get the same result; a document whose lines all go keeps an empty text; blank lines stay but inside a deleted run; a line of which words stay keeps these.
@@ -29,19 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, read, salted_join, sifted, written
+from .common import fresh, read, sifted, written
 from .hashing import BASE, FACTOR, STEP, Stretches, mix, word_hashes
 
 MIN_LINES, MIN_WORDS, PART = 2, 50, 16
-SEEN = 1_000_000
 #: Bytes of texts that are hashed at once.
 CHUNK = 1 << 20
+SAMPLE, HOT, HOT_ROWS, SALTS = 16, 512, 64, 64
 
-MARK = "fp: long, around: long, lo: int, head: int, hi: int, line: boolean"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Matches once in each line that is not blank.
 SOLID = r"[^\x20\x09-\x0D][^\n]*"
@@ -95,32 +96,38 @@ def _inside(of: np.ndarray, width: int) -> np.ndarray:
     return of[: max(0, len(of) - width + 1)] == of[width - 1 :]
 
 
+def packed(lo: np.ndarray, hi: np.ndarray, fixed) -> np.ndarray:
+    """A place in one number, which orders places of a text: first word, number of words, whether it is one window (or else every MIN_WORDS words are)."""
+    return (lo << 32) | ((hi - lo) << 1) | fixed
+
+
+def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end, whether it is one window)."""
+    lo = at >> 32
+    return lo, lo + ((at & 0xFFFFFFFF) >> 1), (at & 1).astype(bool)
+
+
 def marks(x: Hashed) -> tuple[np.ndarray, ...]:
-    """(text, *columns of MARK): the fingerprints of texts, with the words [lo, hi) around them, the first window of which ends at head."""
+    """(text, fingerprint, hash of the surroundings, place) of the fingerprints of texts."""
     h = x.lines()
     at, first, last = selected(h, MIN_LINES, _inside(x.line_text, MIN_LINES))
-    around = line_run(h, first, last + MIN_LINES - 1) ^ (at - first).astype(np.uint64)
-    lines = (h[at] ^ FACTOR, around, x.starts[first], x.starts[first + MIN_LINES], x.starts[last + MIN_LINES], np.ones(len(at), bool))
+    times = last - first + 1
+    which = np.repeat(first - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(int(times.sum()))
+    lines = (x.line_text[which], h[np.repeat(at, times)] ^ FACTOR, line_run(h, which, which + MIN_LINES - 1), packed(x.starts[which], x.starts[which + MIN_LINES], 1))
     i = np.arange(max(0, len(x.text) - PART + 1))
     h = x.of(i, i + PART)
     at, first, last = selected(h, MIN_WORDS - PART + 1, _inside(x.text, MIN_WORDS))
-    around = x.of(first, last + MIN_WORDS) ^ (at - first).astype(np.uint64)
-    words = (h[at], around, first, first + MIN_WORDS, last + MIN_WORDS, np.zeros(len(at), bool))
-    found = [np.concatenate(c) for c in zip(lines, words, strict=True)]
-    of = x.text[found[2]]
-    order = np.argsort(of, kind="stable")
-    begin = x.texts[of]
-    found[2:5] = (c - begin for c in found[2:5])
-    return (of[order], *(c[order] for c in found))
+    words = (x.text[first], h[at], x.of(first, last + MIN_WORDS) ^ (at - first).astype(np.uint64), packed(first, last + MIN_WORDS, 0))
+    of, fp, around, at = (np.concatenate(c) for c in zip(lines, words, strict=True))
+    return of, fp, around, at - (x.texts[of] << 32)
 
 
-def windows(x: Hashed, lo: int, hi: int, line: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first word, end) of each window of MIN_LINES lines or MIN_WORDS words in the words [lo, hi) of a single text."""
-    if line:
-        first = np.arange(np.searchsorted(x.starts, lo), np.searchsorted(x.starts, hi) - MIN_LINES + 1)
-        return line_run(x.lines(), first, first + MIN_LINES - 1) ^ BASE, x.starts[first], x.starts[first + MIN_LINES]
-    first = np.arange(lo, hi - MIN_WORDS + 1)
-    return x.of(first, first + MIN_WORDS), first, first + MIN_WORDS
+def windows(x: Hashed, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index in at, hash, place) of each window of MIN_WORDS words in places of a single text."""
+    lo, hi, _ = unpacked(at)
+    times = hi - lo - MIN_WORDS + 1
+    first = np.repeat(lo - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(int(times.sum()))
+    return np.repeat(np.arange(len(at)), times), x.of(first, first + MIN_WORDS), packed(first, first + MIN_WORDS, 1)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -160,89 +167,134 @@ def delete_words(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
     return "\n".join([*kept, *blank]), went
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, tx, ty, text) to (id, tx, ty, long, marks); of texts that this task has met before, neither."""
-    kind = pa.struct([("fp", pa.int64()), ("around", pa.int64()), ("lo", pa.int32()), ("head", pa.int32()), ("hi", pa.int32()), ("line", pa.bool_())])
-    seen: set[int] = set()
+PLACE = "fp long, around long, at long, done boolean, id {kind}, tx long"
+
+
+def _later(new_key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, what they repeat) for sorted places: all but the first of each key; of a place that overlaps the first, what the first's first window leaves."""
+    first = np.maximum.accumulate(np.where(new_key, np.arange(len(at)), 0))
+    same = doc == doc[first]
+    rows = np.flatnonzero(~same | (at != at[first]))
+    lo, hi, fixed = unpacked(at)
+    head = np.where(fixed, hi, lo + MIN_WORDS)[first]
+    lo = np.where(same, np.maximum(lo, head), lo)[rows]
+    keep = lo < hi[rows]
+    return rows[keep], packed(lo[keep], hi[rows][keep], 0)
+
+
+def _combined(b: pa.RecordBatch, doc: np.ndarray, fp: np.ndarray, around: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """PLACE rows of places in the rows `doc` of b (id, tx, ...): the first of each key, and what the others repeat (done)."""
+    order = pa.compute.sort_indices(b.select([0, 1]), sort_keys=[(b.schema.names[0], "ascending"), (b.schema.names[1], "ascending")], null_placement="at_start").to_numpy()
+    # rows that repeat id and text are one document
+    code = b.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)[order]
+    tx = b.column(1).to_numpy()[order]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(np.concatenate(([0], (code[1:] != code[:-1]) | (tx[1:] != tx[:-1])))) if len(order) else 0
+    at_row, doc = doc, number[doc]
+    order = np.lexsort((at, doc, around, fp))
+    doc, fp, around, at, at_row = (c[order] for c in (doc, fp, around, at, at_row))
+    new = np.concatenate(([True], (fp[1:] != fp[:-1]) | (around[1:] != around[:-1]))) if len(fp) else np.zeros(0, bool)
+    rows, spans = _later(new, doc, at)
+    first = np.flatnonzero(new)
+    of = pa.array(at_row[np.concatenate((first, rows))])
+    column = lambda c, none: pa.array(np.concatenate((c[first].view(np.int64), np.full(len(rows), none))))
+    return pa.RecordBatch.from_arrays(
+        [column(fp, 0), column(around, 0), pa.array(np.concatenate((at[first], spans))), pa.array(np.arange(len(first) + len(rows)) >= len(first)), b.column(0).take(of), b.column(1).take(of)],
+        names=["fp", "around", "at", "done", "id", "tx"],
+    )
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, tx, text) to PLACE rows."""
     for b in batches:
-        keys, texts, new = b.column(1).to_pylist(), b.column(3).to_pylist(), []
-        for k, tx in enumerate(keys):
-            if tx not in seen:
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(tx)
-                new.append(k)
-        big, count, found, held = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), [], 0
-        for k, size in zip(new, (len(texts[k]) for k in new), strict=True):
-            if not held:
-                some = []
-            some.append(k)
-            held += size + 1
-            if held >= CHUNK or k == new[-1]:
-                x = Hashed([texts[j] for j in some])
-                of, *columns = marks(x)
-                found.append(columns)
-                count[some] = np.bincount(of, minlength=len(some))
-                big[some] = (np.diff(x.texts) >= MIN_WORDS) | (np.bincount(x.line_text, minlength=len(some)) >= MIN_LINES)
-                held = 0
-        old = np.ones(len(keys), bool)
-        old[new] = False
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.uint64)] * 6
-        values = pa.StructArray.from_arrays([pa.array(c.view(np.int64) if k < 2 else c).cast(f.type) for k, (c, f) in enumerate(zip(columns, kind, strict=True))], fields=list(kind))
-        offsets = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32), mask=np.concatenate((old, [False])))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(big, mask=old), pa.ListArray.from_arrays(offsets, values)], names=["id", "tx", "ty", "long", "marks"])
+        texts, found, some, held = b.column(2).to_pylist(), [], 0, 0
+        for k, text in enumerate(texts):
+            held += len(text) + 1
+            if held >= CHUNK or k == len(texts) - 1:
+                of, *columns = marks(Hashed(texts[some : k + 1]))
+                found.append((of + some, *columns))
+                some, held = k + 1, 0
+        if found:
+            yield _combined(b, *(np.concatenate(c) for c in zip(*found, strict=True)))
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, tx, ty, text, at: marks) to a row for each window around the marks."""
+    """(id, tx, text, fps, ats) to PLACE rows for the windows around these places."""
+    for b in batches:
+        found = []
+        for k, (text, fp, at) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+            which, h, place = windows(Hashed([text]), np.array(at))
+            found.append((np.full(len(h), k), np.array(fp).view(np.uint64)[which], h, place))
+        if found:
+            yield _combined(b, *(np.concatenate(c) for c in zip(*found, strict=True)))
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted PLACE rows, with `hot`, to (fp, at, id, tx): what is repeated (no fp), and the first places of fingerprints that have several surroundings.
+
+    What is held from batch to batch: the first place of the last key, and whether it has been returned.
+    """
+    held, told = None, False
     for b in batches:
-        for k, (text, at) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
-            x = Hashed([text])
-            found = [(np.uint64(m["fp"] % (1 << 64)), *windows(x, m["lo"], m["hi"], m["line"])) for m in at]
-            h, lo, hi = (np.concatenate([f[j] for f in found]) for j in (1, 2, 3))
-            fp = np.repeat(np.array([f[0] for f in found], np.uint64), [len(f[1]) for f in found])
-            mine = pa.array(np.full(len(h), k))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(fp.view(np.int64)), pa.array(h.view(np.int64)), *(b.column(j).take(mine) for j in range(3)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
-                names=["fp", "around", "id", "tx", "ty", "lo", "head"],
-            )
-
-
-def _repeats(places: DataFrame) -> DataFrame:
-    """(id, tx, ty, lo, hi) of every place but the first of each (fp, around); where a place overlaps the first, what the first window leaves of it."""
-    me = F.struct("id", "tx", "ty", "lo", "head")
-    first = places.groupBy("fp", "around").agg(F.min(me).alias("a"), F.count("*").alias("n")).where("n > 1")
-    met = salted_join(places, first, ["fp", "around"], "n", places.count()).where(me != F.col("a"))
-    same = F.col("id").eqNullSafe(F.col("a.id")) & (F.col("tx") == F.col("a.tx")) & (F.col("ty") == F.col("a.ty"))
-    return met.select("id", "tx", "ty", F.when(same, F.greatest("lo", "a.head")).otherwise(F.col("lo")).alias("lo"), "hi").where("lo < hi")
+        done = b.column(3).to_numpy(zero_copy_only=False)
+        out = lambda rows, fp, at, source: pa.RecordBatch.from_arrays([fp, pa.array(at), source.column(4).take(pa.array(rows)), source.column(5).take(pa.array(rows))], names=["fp", "at", "id", "tx"])
+        rows = np.flatnonzero(done)
+        if len(rows):
+            yield out(rows, pa.nulls(len(rows), pa.int64()), b.column(2).to_numpy()[rows], b)
+        b = b.filter(pa.array(~done))
+        if not b.num_rows:
+            continue
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        fp, around, at, tx = (b.column(k).to_numpy() for k in (0, 1, 2, 5))
+        hot = b.column(6).to_numpy(zero_copy_only=False)
+        code = b.column(4).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new_fp = np.concatenate(([True], fp[1:] != fp[:-1]))
+        new_key = new_fp | np.concatenate(([True], around[1:] != around[:-1]))
+        doc = np.cumsum(new_key | np.concatenate(([True], (code[1:] != code[:-1]) | (tx[1:] != tx[:-1]))))
+        rows, spans = _later(new_key, doc, at)
+        yield out(rows, pa.nulls(len(rows), pa.int64()), spans, b)
+        group = np.cumsum(new_fp) - 1
+        several = (np.bincount(group[new_key])[group] > 1) | hot
+        heads = new_key & several & ((at & 1) == 0)
+        if told:
+            heads[0] = False
+        rows = np.flatnonzero(heads)
+        yield out(rows, b.column(0).take(pa.array(rows)), at[rows], b)
+        last = int(np.flatnonzero(new_key)[-1])
+        told = bool(heads[last]) or (last == 0 and told)
+        held = b.slice(last, 1)
+
+
+def _settle(places: DataFrame, keys: list[str], kind: str, label: str, hot: DataFrame | None = None) -> DataFrame:
+    if hot is None:
+        places = places.withColumn("hot", F.lit(False))
+    else:
+        places = places.join(F.broadcast(hot), "fp", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.when(F.col("hot"), F.pmod("around", F.lit(SALTS))).otherwise(0)
+    dealt = places.select("fp", "around", "at", "done", "id", "tx", "hot").repartition(n, F.when(F.col("done"), F.xxhash64("id", "tx")).otherwise(F.xxhash64(*keys, salt)))
+    ordered = dealt.sortWithinPartitions("done", "fp", "around", F.col("id").asc_nulls_first(), "tx", "at")
+    return written(ordered.mapInArrow(_settled, f"fp long, at long, id {kind}, tx long"), label)
 
 
 def repeated_spans(source: DataFrame) -> DataFrame:
-    """(tx, ty, id, long, spans, n) of every text of source (id, tx, ty, text): its smallest id, whether copies of it go, its repeated words, its rows."""
+    """(id, tx, spans) of the rows of source (id, tx, text) that repeat something: packed places, words from the start of the text."""
     kind = source.schema["id"].dataType.simpleString()
-    rows = source.mapInArrow(_describe, f"id {kind}, tx long, ty long, long boolean, marks array<struct<{MARK}>>")
-    texts = rows.groupBy("tx", "ty").agg(F.min(F.struct("id")).alias("i"), F.max("long").alias("long"), F.count("*").alias("n"), F.first("marks", ignorenulls=True).alias("marks"))
-    texts = written(texts.select("tx", "ty", F.col("i.id").alias("id"), "long", "n", "marks"), "line-texts")
-    every = texts.select("id", "tx", "ty", F.explode("marks").alias("m")).select("id", "tx", "ty", "m.*")
-    total = texts.agg(F.coalesce(F.sum(F.size("marks")), F.lit(0)).alias("n")).first()["n"]
-    twice = every.groupBy("fp").agg(F.count("*").alias("times")).where("times > 1")
-    places = written(salted_join(every, twice, ["fp"], "times", total).drop("times"), "line-places")
-
-    # places with equal surroundings repeat the first of them; where surroundings differ, the first ones are extended
-    kinds = places.groupBy("fp", "around").agg(F.min(F.struct("id", "tx", "ty", "lo", "hi", "line")).alias("a"))
-    several = kinds.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    heads = salted_join(kinds, several, ["fp"], "kinds", total).select("a.id", "a.tx", "a.ty", F.struct("fp", "a.lo", "a.hi", "a.line").alias("m"))
-    heads = written(heads.groupBy("id", "tx", "ty").agg(F.collect_list("m").alias("at")), "line-heads")
-    near, _ = sifted(source, F.col("tx"), heads, F.col("tx"))
-    named = heads.select(F.col("id").alias("i"), F.col("tx").alias("x"), F.col("ty").alias("y"), "at")
-    # rows that repeat id and text are one document: its windows stand twice, at the same place
-    near = near.join(named, (F.col("tx") == F.col("x")) & (F.col("ty") == F.col("y")) & F.col("id").eqNullSafe(F.col("i"))).select("id", "tx", "ty", "text", "at")
-    wide = written(near.mapInArrow(_extended, f"fp long, around long, id {kind}, tx long, ty long, lo int, head int"), "line-windows").withColumn("hi", F.col("head"))
-
-    spans = _repeats(places).unionByName(_repeats(wide)).groupBy("id", "tx", "ty").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    spans = spans.select(F.col("id").alias("i"), F.col("tx").alias("x"), F.col("ty").alias("y"), "spans")
-    out = texts.drop("marks").join(spans, (F.col("tx") == F.col("x")) & (F.col("ty") == F.col("y")) & F.col("id").eqNullSafe(F.col("i")), "left").drop("i", "x", "y")
-    return written(out.where("spans is not null or n > 1 and long"), "line-spans")
+    schema = PLACE.format(kind=kind)
+    some = source.where(F.pmod("tx", F.lit(SAMPLE)) == 0).mapInArrow(_described, schema).where("not done").groupBy("fp").agg(F.count("*").alias("n"))
+    some = written(some.where(f"n > {HOT_ROWS}"), "line-frequent")
+    # fewer than HOT: frequent ones in order of how frequent
+    hot = some.orderBy(F.desc("n"), "fp").limit(HOT).select("fp", F.lit(True).alias("hot"))
+    found = _settle(source.mapInArrow(_described, schema), ["fp"], kind, "line-places", hot)
+
+    heads = found.where("fp is not null").groupBy("id", "tx").agg(F.collect_list(F.struct("fp", "at")).alias("h"))
+    heads = written(heads.select(F.col("id").alias("i"), F.col("tx").alias("x"), "h.fp", "h.at"), "line-heads")
+    near, _ = sifted(source, F.col("tx"), heads, F.col("x"))
+    near = near.join(heads, (F.col("tx") == F.col("x")) & F.col("id").eqNullSafe(F.col("i"))).select("id", "tx", "text", "fp", "at")
+    wide = _settle(near.mapInArrow(_extended, schema), ["fp", "around"], kind, "line-windows")
+    spans = found.where("fp is null").select("id", "tx", "at").unionByName(wide.select("id", "tx", "at"))
+    return written(spans.groupBy("id", "tx").agg(F.collect_set("at").alias("spans")), "line-spans")
 
 
 ADDED = ("n_lines", "n_removed", "clean_text")
@@ -254,36 +306,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts of which nothing goes take no part in the last join.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
-    names = docs.columns
-    hashes = (F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col))
-    source = docs.select(F.col(id_col).alias("id"), hashes[0].alias("tx"), hashes[1].alias("ty"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
+    names, tx = docs.columns, F.xxhash64(text_col)
+    source = docs.select(F.col(id_col).alias("id"), tx.alias("tx"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
     spans = repeated_spans(source)
     n_lines = F.coalesce(F.regexp_count(text_col, F.lit(SOLID)), F.lit(0)).cast("long").alias(ADDED[0])
-    changed, same = sifted(docs, hashes[0], spans, F.col("tx"))
-    tx, ty, i, x, y, went, n, r, salt = fresh(docs, "line_tx", "line_ty", "line_id", "line_x", "line_y", "line_copy", "line_rows", "line_spans", "line_salt")
-    table = spans.select(F.col("tx").alias(tx), F.col("ty").alias(ty), F.col("id").alias(i), "long", F.col("n").alias(n), F.col("spans").alias(r))
-    # copies of texts that fill many rows are told by a list of bounded length, the others by a join
-    total = spans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    hot = F.broadcast(table.where(f"{n} > {max(total // 512, 64)} and long").select(F.col(tx).alias(x), F.col(ty).alias(y), F.col(i).alias(went)))
-    changed = changed.withColumn(tx, hashes[0]).withColumn(ty, hashes[1]).join(hot, (F.col(tx) == F.col(x)) & (F.col(ty) == F.col(y)), "left")
-    copy = F.col(x).isNotNull() & ~F.col(id_col).eqNullSafe(F.col(went))
-    whole = F.array(F.struct(F.lit(0).alias("lo"), F.lit(2**31 - 1).alias("hi")))
-    nothing = F.array().cast("array<struct<lo: int, hi: int>>")
-    told = changed.where(copy).select(*names, whole.alias(r))
-    table = table.withColumnsRenamed({tx: x, ty: y})
-    asked = changed.where(~copy).drop(x, y).join(table, (F.col(tx) == F.col(x)) & (F.col(ty) == F.col(y)), "left")
-    asked = asked.select(*names, F.when(F.col("long") & ~F.col(id_col).eqNullSafe(F.col(i)), whole).otherwise(F.coalesce(r, nothing)).alias(r))
+    changed, same = sifted(docs, tx, spans, F.col("tx"))
+    i, x, r = fresh(docs, "line_id", "line_tx", "line_spans")
+    spans = spans.select(F.col("id").alias(i), F.col("tx").alias(x), F.col("spans").alias(r))
+    joined = changed.join(spans, (tx == F.col(x)) & F.col(id_col).eqNullSafe(F.col(i)), "left").select(*names, n_lines, r)
     k = names.index(text_col)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, spans = b.column(k).to_pylist(), b.column(len(names) + 1).to_pylist()
-            done = [delete_words(s, [(y["lo"], min(y["hi"], len(s))) for y in g]) if s and g else (s, 0) for s, g in zip(texts, spans, strict=True)]
+            done = []
+            for text, at in zip(b.column(k).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True):
+                lo, hi, _ = unpacked(np.array(at or [], np.int64))
+                done.append(delete_words(text, list(zip(lo.tolist(), hi.tolist(), strict=True))) if at else (text, 0))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([n for _, n in done], pa.int64()), pa.array([s for s, _ in done], pa.string())], names=[*b.schema.names[:-1], *ADDED[1:]])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(ADDED[0], T.LongType()), T.StructField(ADDED[1], T.LongType()), T.StructField(ADDED[2], T.StringType())])
-    cut = told.unionByName(asked).select(*names, n_lines, r).mapInArrow(cleaned, schema)
-    return cut.unionByName(same.select(*names, n_lines, F.lit(0).cast("long").alias(ADDED[1]), F.col(text_col).alias(ADDED[2])))
+    return joined.mapInArrow(cleaned, schema).unionByName(same.select(*names, n_lines, F.lit(0).cast("long").alias(ADDED[1]), F.col(text_col).alias(ADDED[2])))
 
 
 def op1_line_dedup(spark, sf_dir):
