@@ -7,7 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from provena.llm import exact_dedup, mixing, registered, sharding
+from provena.llm import common, exact_dedup, mixing, registered, sharding
 
 DOCS = "doc_id long, text string, source string"
 ODD = [(3, "a  b", "s"), (1, "a\tb", "s"), (2, "a b ", None), (None, "a b", "s"), (7, None, "t"), (5, "", "t"), (5, "", "t"), (None, "only null", None), (None, "only null", None), (9, "x" * 200_000, "s"), (8, "c", "")]
@@ -39,11 +39,33 @@ def test_exact_dedup_keeps_columns(spark):
     assert exact_dedup.exact_dedup_report(d.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("fan_in", "runs"), [(2, 8), (3, 9), (8, 1)])
-def test_runs_merge_to_one_row_per_digest(spark, fan_in, runs):
+@pytest.mark.parametrize("runs", [1, 2, 8, 9])
+def test_runs_merge_to_one_row_per_digest(spark, runs):
     d = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 7).cast("string").alias("text")).repartition(6)
-    got = exact_dedup.merge_runs(exact_dedup.digests(d), fan_in, runs).collect()
+    merged = exact_dedup.merge_runs(exact_dedup.digests(d), runs)
+    got = merged.collect()
     assert sorted(r["keep_id"] for r in got) == list(range(7)) and sum(r["group_size"] for r in got) == 400
+    plan = merged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    rounds = max(1, (runs - 1).bit_length())
+    # a sort before every merge, an exchange in every round, and no aggregation in their place
+    assert plan.count("MapInArrow") == plan.count("Sort [") == rounds + 1 and "Aggregate" not in plan
+
+
+def test_runs_are_sorted_and_apart(spark):
+    """After the last round each partition is one run in order, and holds the digests that its number names."""
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 1000).cast("string").alias("text")).repartition(5)
+    rows = exact_dedup.merge_runs(exact_dedup.digests(d), 8).select("sha", F.spark_partition_id().alias("p")).collect()
+    for p in range(8):
+        mine = [bytes(r["sha"]) for r in rows if r["p"] == p]
+        assert mine == sorted(mine) and all(int.from_bytes(x[:4], "big") % 8 == p for x in mine)
+    assert len(rows) == 1000
+
+
+def test_hot_groups_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    d = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup_report(d).collect()}
+    assert got == {i: (0, 167) if i % 3 == 0 else (i, 1) for i in range(500)}
 
 
 def draw(key, what):
