@@ -70,7 +70,7 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
 
 
 #: A key is hot if it holds more than this share of all rows (and HOT_ROWS rows); there are fewer than HOT of these, and each is dealt over SALTS.
-HOT, HOT_ROWS, SALTS = 512, 64, 64
+HOT, HOT_ROWS, SALTS = 512, 512, 64
 
 
 def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
@@ -78,6 +78,8 @@ def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str,
 
     Hot keys, fewer than HOT whatever the size, are known to every executor and dealt over SALTS tasks.
     """
+    if total <= HOT_ROWS:  # no key can be hot
+        return rows.join(table, keys)
     salt = "salt"
     hot = F.col(count) > max(total // HOT, HOT_ROWS)
     known = F.broadcast(table.where(hot).select(*keys, F.lit(True).alias(salt)))

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, salted_join, written
 
 
-def _stars(e: DataFrame, large: bool) -> DataFrame:
+def _stars(e: DataFrame, large: bool, total: int) -> DataFrame:
     """e: (u, v), v < u, distinct. Large: every larger neighbour of a node is tied to the least one around; small: every smaller one."""
     if large:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
+        out = salted_join(both.where("v > u"), least, ["u"], "degree", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        tied = e.join(least, "u")
+        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        tied = salted_join(e, least, ["u"], "degree", total)
         out = tied.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.where("u != v").distinct()
 
@@ -24,19 +24,19 @@ def _stars(e: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, label: str = "components", rounds: int = 40) -> DataFrame:
     """(node, root) of every node of edges (u, v: long): root is the least node that it reaches.
 
-    A node that a third of all edges touch is one row of minima joined to its edges, a join that adaptive execution splits. The
-    rounds grow with the logarithm of the longest chain; each is written, so that none is computed anew.
+    The edges of a node that many edges touch are dealt over tasks. The rounds grow with the logarithm of the longest chain; each is written, so
+    that none is computed anew.
     """
     e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), label)
-    before = None
+    before, total = None, e.count()
     for _ in range(rounds):
-        after = written(_stars(_stars(e, True), False), label)
+        after = written(_stars(_stars(e, True, total), False, total), label)
         drop_written(e)
         e = after
         sign = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (sign["n"], sign["x"]) == before:
             break
-        before = (sign["n"], sign["x"])
+        before, total = (sign["n"], sign["x"]), sign["n"]
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -35,8 +35,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, fresh, read, written
+from .common import LOWER, fresh, read, salted_join, sifted, written
 from .graph import components
 from .hashing import BASE, FACTOR, mix, word_hashes
 
@@ -44,6 +45,9 @@ BLOCK_ROWS, SKETCH_ROWS, BLOCK_GRAMS, COLUMNS = 256, 1024, 2_000_000, 8192
 #: Candidate rows (ten numbers each) up to this number are sent to every executor; beyond it they are joined by sort and merge.
 BROADCAST_ROWS = 200_000
 SEEN = 1_000_000
+DEALS = 8
+#: Columns that make up to this many pairs are accumulated pair by pair, others as slices of a matrix.
+SPARSE, PAIRS = 64, 4_000_000
 
 _WORDS = bytes(32 if b in b"\t\n\v\f\r " else b for b in LOWER)
 
@@ -96,21 +100,29 @@ class Sizes:
 
 
 def signatures(s: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """What a set offers as ties: one number for each part that counts, for its class and the one below."""
+    """What a set offers as ties: one number for each part that is not empty, for its class and the one below.
+
+    A set that a deal leaves with too many empty parts offers those of the next deal, too. Linked sets have more than `slack` equal parts in every deal; in the
+    first deal that suffices for one of them, which both offer, one of these is not empty. Only a set that DEALS deals fail offers its empty parts.
+    """
     out, c = [], sizes.of(len(s))
     mixed = mix(s + BASE)
     for k in (c, c - 1):
         if k < 0 or not (m := sizes.parts(k))[0]:
             continue
         m, slack = m
-        part = ((s >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        ends = np.cumsum(np.bincount(part, minlength=m))
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed[order])))[np.concatenate(([0], ends))]
-        total = total[1:] - total[:-1]
-        empty = np.diff(np.concatenate(([0], ends))) == 0
-        sig = mix(total + (np.arange(m, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(k + 1)) * FACTOR)
-        out.append(sig if empty.sum() > slack else sig[~empty])
+        for deal in range(DEALS):
+            part = ((s if not deal else mix(s + np.uint64(deal))) >> np.uint64(20)) % np.uint64(m)
+            order = np.argsort(part.astype(np.uint16 if m < 1 << 16 else np.int64), kind="stable")
+            ends = np.cumsum(np.bincount(part.astype(np.int64), minlength=m))
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed[order])))[np.concatenate(([0], ends))]
+            total = total[1:] - total[:-1]
+            empty = np.diff(np.concatenate(([0], ends))) == 0
+            sig = mix(total + (np.arange(m, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64((deal << 16) + k + 1)) * FACTOR)
+            enough = empty.sum() <= slack
+            out.append(sig if not enough and deal == DEALS - 1 else sig[~empty])
+            if enough:
+                break
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -160,24 +172,45 @@ def product(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, de
     a, b = (n, n) if right is None else (n[:cut], n[cut:])
     # the least overlap that links a pair
     need = -(-num * (a[:, None] + b[None, :]) // (den + num))
-    overlap = np.zeros((len(a), len(b)), np.float32)
+    top = int(column[-1]) + 1 if len(column) else 0
+    mine = np.ones(len(of), bool) if right is None else of < cut
+    yours = mine if right is None else ~mine
+    here, there = np.bincount(column[mine], minlength=top), np.bincount(column[yours], minlength=top)
+    sparse = here * there <= SPARSE
+    overlap = _sparse(of[mine & sparse[column]], column[mine & sparse[column]], of[yours & sparse[column]], column[yours & sparse[column]], (len(a), len(b)), 0 if right is None else cut)
+    dense = ~sparse[column]
+    of, column = of[dense], (np.cumsum(~sparse) - 1)[column[dense]]
     left_over = np.bincount(of, minlength=len(rows))
     top = int(column[-1]) + 1 if len(column) else 0
     for at in range(0, top, COLUMNS):
+        ra, rb = (left_over, left_over) if right is None else (left_over[:cut], left_over[cut:])
+        if not (overlap + np.minimum(ra[:, None], rb[None, :]) >= need).any():
+            break
         lo, hi = np.searchsorted(column, (at, at + COLUMNS))
         x = np.zeros((len(rows), min(COLUMNS, top - at)), np.float32)
         x[of[lo:hi], column[lo:hi] - at] = 1
         overlap += x @ x.T if right is None else x[:cut] @ x[cut:].T
         left_over = left_over - np.bincount(of[lo:hi], minlength=len(rows))
-        ra, rb = (left_over, left_over) if right is None else (left_over[:cut], left_over[cut:])
-        if not (overlap + np.minimum(ra[:, None], rb[None, :]) >= need).any():
-            break
     linked = overlap >= need
     if right is None:
         np.fill_diagonal(linked, False)
     return linked
 
 
+def _sparse(of: np.ndarray, column: np.ndarray, of2: np.ndarray, column2: np.ndarray, shape: tuple[int, int], cut: int) -> np.ndarray:
+    """Overlap counts from two lists of entries in order of their columns: each entry meets those of the other list in its column."""
+    lo, hi = np.searchsorted(column2, column, "left"), np.searchsorted(column2, column, "right")
+    ends = np.cumsum(hi - lo)
+    out, at = np.zeros(shape[0] * shape[1], np.float32), 0
+    while at < len(of):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        times = (hi - lo)[at:to]
+        other = np.repeat(lo[at:to] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(int(times.sum()))
+        out += np.bincount(np.repeat(of[at:to], times) * shape[1] + of2[other] - cut, minlength=len(out))
+        at = to
+    return out.reshape(shape)
+
+
 def forest(linked: np.ndarray, square: bool) -> list[tuple[int, int]]:
     """Edges of a spanning forest; columns of a matrix that is not square are numbered after its rows."""
     if not square:
@@ -213,103 +246,141 @@ def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     spark, sizes = docs.sparkSession, Sizes(num, den)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tx"), F.col(text_col).cast("binary").alias("text"))
-
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [grams(t, n) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, sizes).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["id", "tx", "node", "n", "sketch"])
-
-    def offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            sigs, nodes, size = [], [], 0
-            for t in b.column(2).to_pylist():
-                s = grams(t, n)
-                h = _node(s)
-                # a set that this task has met offers its ties once: copies add nothing to a tie
-                if len(s) and h not in seen:
-                    sigs.append(signatures(s, sizes).view(np.int64))
-                    nodes.append(np.full(len(sigs[-1]), h, np.int64))
-                    size += len(sigs[-1])
-                if len(seen) > SEEN:
-                    seen.clear()
-                seen.add(h)
-                if size > 500_000:
-                    yield _two("sig", "node", np.concatenate(sigs), np.concatenate(nodes))
-                    sigs, nodes, size = [], [], 0
-            if size:
-                yield _two("sig", "node", np.concatenate(sigs), np.concatenate(nodes))
-
-    # the signatures are three times the size of all else; they are made anew rather than written
-    rows = written(source.mapInArrow(described, f"id {kind}, tx long, node long, n long, sketch array<long>"), "ngram-rows")
+    described = source.mapInArrow(lambda b: _described(b, n, sizes), f"id {kind}, tx long, node long, n long, sketch array<long>, sigs array<long>, ties array<long>")
+    rows = written(described, "ngram-rows")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    offers = source.mapInArrow(offered, "sig long, node long").repartition(parts, "sig").sortWithinPartitions("sig", "node")
-    ties = offers.mapInArrow(_ties, "u long, v long").distinct()
-    groups = written(components(ties, "ngram-ties"), "ngram-groups")
+    offers = rows.select(F.explode("sigs").alias("sig"), "node").repartition(parts, "sig").sortWithinPartitions("sig", "node")
+    ties = written(offers.mapInArrow(_ties, "u long, v long").union(rows.select("node", F.explode("ties"))).distinct(), "ngram-ties")
 
     # one row stands for a class of equal sets
-    classes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "tx")).alias("rep"), F.min("id").alias("least"), F.first("n").alias("n"))
-    key = ("root", "a", "i", "b", "j")
+    classes = written(rows.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "tx")).alias("rep"), F.min("id").alias("least"), F.first("n").alias("n"), F.count("*").alias("rows")), "ngram-classes")
+
+    def sets_of(wanted: DataFrame, columns: list[str]) -> DataFrame:
+        """wanted (node, *columns) with the sets of its nodes."""
+        wanted = written(wanted.join(classes.select("node", F.col("rep.id").alias("rep_id"), F.col("rep.tx").alias("rep_tx")), "node"), "ngram-wanted")
+        schema = T.StructType([*wanted.select("node", *columns).schema.fields, T.StructField("grams", T.ArrayType(T.LongType()))])
+        if wanted.count() <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+            texts = source
+        else:
+            texts, _ = sifted(source, F.col("tx"), wanted, F.col("rep_tx"))
+        texts = texts.join(wanted, (F.col("tx") == F.col("rep_tx")) & F.col("id").eqNullSafe(F.col("rep_id"))).select("node", *columns, "text")
+        k = len(columns) + 1
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array([grams(t, n).view(np.int64) for t in b.column(k).to_pylist()], pa.list_(pa.int64()))], names=schema.names)
+
+        return texts.mapInArrow(sets, schema)
 
     def multiplied(work: DataFrame, of) -> DataFrame:
-        dealt = work.repartition(parts, *key).sortWithinPartitions(*key, "node")
+        dealt = work.repartition(parts, "item").sortWithinPartitions("item", "node")
         return dealt.mapInArrow(lambda b: _products(b, of, num, den), "u long, v long").distinct()
 
-    def item_rows(kept: DataFrame, payload: str) -> DataFrame:
-        x = kept.select("root", F.explode("items").alias("x"), "node", "class", "block", payload)
-        return x.select("root", "x.a", "x.i", "x.b", "x.j", "node", ((F.col("class") == F.col("x.a")) & (F.col("block") == F.col("x.i"))).alias("first"), payload)
-
-    # sketches part the groups further: what they put asunder cannot link
+    # contraction: each set meets the first set that it is tied to, in stars of BLOCK_ROWS
+    to = ties.groupBy("u").agg(F.min("v").alias("v")).withColumnRenamed("u", "node")
+    stars = to.groupBy("v").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("chunks"))
+    ray = lambda node, chunk, first: F.struct(F.concat_ws(":", node, chunk).alias("item"), F.lit(False).alias("square"), F.lit(first).alias("first"))
+    heads = stars.select(F.col("v").alias("node"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: ray(F.col("v"), c, True)).alias("items"))
+    # how a ray's chunk is drawn needs its star's size; a star that many rays go to is dealt over tasks
+    rays = salted_join(to, stars.withColumn("rays", F.col("chunks") * BLOCK_ROWS), ["v"], "rays", ties.count()).select("node", F.array(ray(F.col("v"), F.pmod(F.xxhash64("node"), F.col("chunks")), False)).alias("items"))
+    roles = heads.union(rays).groupBy("node").agg(F.flatten(F.collect_list("items")).alias("items"))
+    links = written(multiplied(_items(sets_of(roles, ["items"]), "grams"), product), "ngram-links")
+    joined = written(components(links, "ngram-links"), "ngram-joined")
+
+    # groups inside which links can lie, and in them the rows that are not all joined yet
+    groups = components(ties, "ngram-ties")
+    member = written(groups.join(joined.withColumnRenamed("root", "lane"), "node", "left").select("node", "root", F.coalesce("lane", "node").alias("lane")), "ngram-groups")
     sketches = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    near = _placed(groups.join(sketches, "node"), sizes, SKETCH_ROWS)
-    groups = written(components(multiplied(item_rows(near.withColumn("items", _items()), "sketch"), close), "ngram-close"), "ngram-groups")
-
-    slim = ["node", "root", "class", "block", "own", "above", "below", "rows"]
-    placed = _placed(groups.join(classes, "node"), sizes, BLOCK_ROWS)
-    wanted = written(placed.select(F.col("rep.id").alias("rep_id"), F.col("rep.tx").alias("rep_tx"), *slim), "ngram-wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = source.join(wanted, (F.col("tx") == F.col("rep_tx")) & F.col("id").eqNullSafe(F.col("rep_id"))).select("node", "root", "class", "block", _items().alias("items"), "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [grams(t, n).view(np.int64) for t in b.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in range(5)), pa.array(found, pa.list_(pa.int64()))], names=["node", "root", "class", "block", "items", "grams"])
-
-    kept = texts.mapInArrow(sets, "node long, root long, class long, block long, items array<struct<a: long, i: long, b: long, j: long>>, grams array<long>")
-    edges = multiplied(item_rows(kept, "grams"), product)
-    linked = components(edges, "ngram-links").join(classes.select("node", "least"), "node")
-    name = linked.groupBy("root").agg(F.min("least").alias("component"))
-    of_class = classes.select("node", "least").join(linked.select("node", "root").join(name, "root").select("node", "component"), "node", "left").select("node", F.coalesce("component", "least").alias("component"))
-    whole = rows.where("n > 0").select("id", "node", "n").join(of_class, "node").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    return whole.union(rows.where("n = 0").select("id", "n", "id"))
+    near = _placed(_open(member).join(sketches, "node"), sizes, SKETCH_ROWS)
+    groups = components(multiplied(_items(near, "sketch"), close), "ngram-close")
+    member = written(groups.join(member.select("node", "lane"), "node").select("node", "root", "lane"), "ngram-groups")
+    placed = _placed(_open(member).join(classes.select("node", "n"), "node"), sizes, BLOCK_ROWS)
+    more = multiplied(_items(sets_of(placed.select("node", "items"), ["items"]), "grams"), product)
+
+    linked = components(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "ngram-links").join(classes.select("node", "least"), "node")
+    name = linked.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("nodes"))
+    named = salted_join(linked.select("node", "root"), name, ["root"], "nodes", linked.count()).select("node", "component")
+    of_class = written(classes.select("node", "least", "rows").join(named, "node", "left").select("node", "rows", F.coalesce("component", "least").alias("component")), "ngram-components")
+    whole = salted_join(rows.where("n > 0").select("id", "node", "n"), of_class, ["node"], "rows", rows.count())
+    return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).union(rows.where("n = 0").select("id", "n", "id"))
+
+
+def _described(batches: Iterator[pa.RecordBatch], n: int, sizes: Sizes) -> Iterator[pa.RecordBatch]:
+    """(id, tx, text) to (id, tx, node, n, sketch, sigs, ties).
+
+    A set that this task has met offers no ties, and of sets of a batch that share a signature the first offers it and the others are tied to that one: a
+    signature of a third of all sets leaves a task once a batch.
+    """
+    seen: set[int] = set()
+    lists = pa.list_(pa.int64())
+    for b in batches:
+        sets = [grams(t, n) for t in b.column(2).to_pylist()]
+        nodes = [_node(s) for s in sets]
+        new, sigs = [], []
+        for k, (s, h) in enumerate(zip(sets, nodes, strict=True)):
+            if len(s) and h not in seen:
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.add(h)
+                new.append(k)
+                sigs.append(signatures(s, sizes))
+        offered, tied = [None] * len(sets), [None] * len(sets)
+        if new:
+            flat, owner = np.concatenate(sigs), np.repeat(np.array(new), [len(x) for x in sigs])
+            order = np.argsort(flat, kind="stable")
+            first = np.concatenate(([True], flat[order][1:] != flat[order][:-1]))[: len(order)]
+            head = owner[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else owner
+            mine = np.sort(order[first])
+            for k, x in zip(new, np.split(flat[mine].view(np.int64), np.searchsorted(owner[mine], new[1:])), strict=True):
+                offered[k] = x
+            pairs = np.unique(np.stack((owner[order], head))[:, ~first], axis=1)
+            for k, j in pairs.T.tolist():
+                if k != j:
+                    tied[k] = [*(tied[k] or ()), nodes[j]]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, sizes).view(np.int64) if len(s) else None for s in sets], lists), pa.array(offered, lists), pa.array(tied, lists)],
+            names=["id", "tx", "node", "n", "sketch", "sigs", "ties"],
+        )
+
+
+def _open(member: DataFrame) -> DataFrame:
+    """member (node, root, lane) of the groups (root) that are not of one lane. A lane is what links have joined."""
+    lanes = member.groupBy("root").agg(F.min("lane").alias("a"), F.max("lane").alias("z"), F.count("*").alias("in_group"))
+    return salted_join(member, lanes.where("a != z").select("root", "in_group"), ["root"], "in_group", member.count()).drop("in_group")
 
 
 def _placed(member: DataFrame, sizes: Sizes, block_rows: int) -> DataFrame:
-    """member (node, root, n, ...) with size class, block, and how many blocks its own class and the neighbouring ones have in its group.
+    """member (node, root, lane, n, ...) with items: the pairs of blocks that each row goes to.
 
-    Rows that meet nobody are left out.
+    A group's rows are dealt into bins by size class. A lane of more than half a block has a bin of its own, as its rows need not meet each other; the other
+    lanes share one. Bins of one class or of neighbouring ones meet. Rows that meet nobody are left out.
     """
-    member = member.withColumn("class", _class_of(sizes, F.col("n")))
-    stats = member.groupBy("root", "class").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
-    stats = stats.withColumn("blocks", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long"))
-    # a class with its neighbours' numbers of blocks, brought by one grouping
-    near = stats.select("root", F.explode(F.array(*[F.struct((F.col("class") + d).alias("class"), F.lit(d).alias("from"), "blocks", "rows") for d in (-1, 0, 1)])).alias("s")).select("root", "s.*")
-    near = near.groupBy("root", "class").agg(*[F.coalesce(F.sum(F.when(F.col("from") == d, F.col("blocks"))), F.lit(0)).alias(name) for d, name in ((-1, "above"), (0, "own"), (1, "below"))], F.coalesce(F.sum(F.when(F.col("from") == 0, F.col("rows"))), F.lit(0)).alias("rows")).where("own > 0")
-    placed = member.join(near, ["root", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), "own"))
-    return placed.where("rows > 1 or above > 0 or below > 0")
-
-
-def _items():
-    """The pairs of blocks that a row of _placed() goes to."""
-    item = lambda a, i, b, j: F.struct(a.cast("long").alias("a"), i.cast("long").alias("i"), b.cast("long").alias("b"), j.cast("long").alias("j"))
-    c, k = F.col("class"), F.col("block")
-    up_to = lambda name: F.when(F.col(name) > 0, F.sequence(F.lit(0).cast("long"), F.col(name) - 1)).otherwise(F.array().cast("array<long>"))
-    return F.concat(
-        F.when(F.col("rows") > 1, F.transform(up_to("own"), lambda j: item(c, F.least(k, j), c, F.greatest(k, j)))).otherwise(F.array()),
-        F.transform(up_to("above"), lambda j: item(c, k, c + 1, j)),
-        F.transform(up_to("below"), lambda j: item(c - 1, j, c, k)),
-    )
+    member = written(member.withColumn("class", _class_of(sizes, F.col("n"))), "ngram-members")
+    total = member.count()
+    lanes = member.groupBy("root", "class", "lane").agg(F.count("*").alias("in_lane")).where(f"in_lane > {block_rows // 2}")
+    binned = salted_join(member, lanes.withColumn("bin", F.col("lane")).unionByName(member.groupBy("root", "class", "lane").agg(F.count("*").alias("in_lane")).where(f"in_lane <= {block_rows // 2}").withColumn("bin", F.lit(None).cast("long"))), ["root", "class", "lane"], "in_lane", total)
+    bins = binned.groupBy("root", "class", "bin").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
+    bins = written(bins.withColumn("blocks", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long")), "ngram-bins")
+    other = bins.select(F.col("root").alias("r"), F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("near"), F.struct(F.col("class").alias("c"), F.col("bin").alias("l")).alias("o"), F.col("blocks").alias("b"), F.col("rows").alias("k"))
+    itself = (F.col("o.c") == F.col("class")) & F.col("o.l").eqNullSafe(F.col("bin"))
+    meets = F.when(itself, F.col("bin").isNull() & (F.col("k") > 1)).otherwise(F.col("bin").isNull() | F.col("o.l").isNull() | (F.col("bin") != F.col("o.l")))
+    met = bins.join(other, (F.col("root") == F.col("r")) & (F.col("class") == F.col("near"))).where(meets)
+    met = met.groupBy("root", "class", "bin").agg(F.first("rows").alias("in_bin"), F.first("blocks").alias("own"), F.collect_list(F.struct("o", "b")).alias("others"))
+    met = met.withColumn("lone", F.col("bin").isNull()).withColumn("bin", F.coalesce("bin", F.lit(0)))
+    out = salted_join(binned.drop("in_lane").withColumn("lone", F.col("bin").isNull()).withColumn("bin", F.coalesce("bin", F.lit(0))), met, ["root", "class", "lone", "bin"], "in_bin", total)
+    name = lambda c, lane, block: F.concat_ws("/", c.cast("string"), F.coalesce(lane.cast("string"), F.lit("-")), block.cast("string"))
+    me = name(F.col("class"), F.when(~F.col("lone"), F.col("bin")), F.pmod(F.xxhash64("node"), F.col("own")))
+
+    def item(you):
+        return F.struct(F.concat_ws(":", F.col("root"), F.least(me, you), F.greatest(me, you)).alias("item"), (me == you).alias("square"), (me <= you).alias("first"))
+
+    items = F.flatten(F.transform("others", lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["b"] - 1), lambda j: item(name(x["o"]["c"], x["o"]["l"], j)))))
+    return out.withColumn("items", items).drop("others", "own", "in_bin", "class", "bin", "lone", "lane")
+
+
+def _items(kept: DataFrame, payload: str) -> DataFrame:
+    return kept.select(F.explode("items").alias("x"), "node", payload).select("x.item", "x.square", "x.first", "node", payload)
 
 
 def _class_of(sizes: Sizes, n):
@@ -335,17 +406,16 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _products(batches: Iterator[pa.RecordBatch], of, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Forests of the items in key order. An item's rows are bounded by two blocks; they may cross batches."""
+    """Forests of the items, from rows (item, square, first, node, ...) in order. An item's rows are bounded by two blocks; they may cross batches."""
     now, held, out = None, {}, []
 
     def finish() -> None:
         left = [(k, g) for k, (f, g) in held.items() if f]
         right = [(k, g) for k, (f, g) in held.items() if not f]
-        square = now[1:3] == now[3:5]
         names = [k for k, _ in left + right]
-        if square and len(left) > 1:
+        if now[1] and len(left) > 1:
             found = forest(of([g for _, g in left], None, num, den), True)
-        elif not square and left and right:
+        elif not now[1] and left and right:
             found = forest(of([g for _, g in left], [g for _, g in right], num, den), False)
         else:
             return
@@ -357,9 +427,9 @@ def _products(batches: Iterator[pa.RecordBatch], of, num: int, den: int) -> Iter
         return e
 
     for b in batches:
-        keys = list(zip(*(b.column(x).to_pylist() for x in range(5)), strict=True))
-        nodes, firsts = b.column(5).to_pylist(), b.column(6).to_pylist()
-        flat, ends = b.column(7).values.to_numpy(zero_copy_only=False).view(np.uint64), b.column(7).offsets.to_numpy()
+        keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        firsts, nodes = b.column(2).to_pylist(), b.column(3).to_pylist()
+        flat, ends = b.column(4).values.to_numpy(zero_copy_only=False).view(np.uint64), b.column(4).offsets.to_numpy()
         for x, key in enumerate(keys):
             if key != now:
                 if now is not None:
