@@ -5,33 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, salted_join, written
+from .common import HOT, HOT_ROWS, drop_written, written
 
+#: Edges to a file of a round's result.
+FILE_EDGES = 20_000
 
-def _stars(e: DataFrame, large: bool, total: int) -> DataFrame:
-    """e: (u, v), v < u, distinct. Large: every larger neighbour of a node is tied to the least one around; small: every smaller one."""
+
+def _star(rows: DataFrame, large: bool, total: int, label: str) -> DataFrame:
+    """rows: (u, v). Large: u's neighbours v, the larger of which are tied to the least one around; small: smaller ones, all tied to the least, as u is.
+
+    Nodes of many edges, fewer than HOT whatever the size, are told their least neighbour by a broadcast, the others by a join.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = rows.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m"))
+    hot = F.col("n") > max(total // HOT, HOT_ROWS)
+    told = rows
+    if total > HOT_ROWS:
+        known = rows.join(F.broadcast(least.where(hot).select("u", "m")), "u", "left")
+        told = known.where("m is null").select("u", "v")
+    told = told.join(least.where(~hot).select("u", "m"), "u")
+    if total > HOT_ROWS:
+        told = told.union(known.where("m is not null").select("u", "v", "m"))
     if large:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
-        out = salted_join(both.where("v > u"), least, ["u"], "degree", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = told.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     else:
-        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
-        tied = salted_join(e, least, ["u"], "degree", total)
-        out = tied.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u != v").distinct()
+        out = told.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
+    # small tables in few files, so that a round costs what its edges cost
+    return written(out.where("u != v").coalesce(max(1, min(parts, total // FILE_EDGES + 1))), label)
 
 
 def components(edges: DataFrame, label: str = "components", rounds: int = 40) -> DataFrame:
     """(node, root) of every node of edges (u, v: long): root is the least node that it reaches.
 
-    The edges of a node that many edges touch are dealt over tasks. The rounds grow with the logarithm of the longest chain; each is written, so
-    that none is computed anew.
+    The rounds grow with the logarithm of the longest chain; each is written, so that none is computed anew.
     """
     e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), label)
     before, total = None, e.count()
     for _ in range(rounds):
-        after = written(_stars(_stars(e, True, total), False, total), label)
+        middle = _star(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), True, 2 * total, label)
+        after = _star(middle, False, total, label)
         drop_written(e)
+        drop_written(middle)
         e = after
         sign = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (sign["n"], sign["x"]) == before:
@@ -39,4 +53,4 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 40) ->
         before, total = (sign["n"], sign["x"]), sign["n"]
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -43,7 +43,7 @@ from .hashing import BASE, FACTOR, mix, word_hashes
 
 BLOCK_ROWS, SKETCH_ROWS, BLOCK_GRAMS, COLUMNS = 256, 1024, 2_000_000, 8192
 #: Candidate rows (ten numbers each) up to this number are sent to every executor; beyond it they are joined by sort and merge.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 20_000
 SEEN = 1_000_000
 DEALS = 8
 #: Columns that make up to this many pairs are accumulated pair by pair, others as slices of a matrix.
@@ -358,8 +358,8 @@ def _placed(member: DataFrame, sizes: Sizes, block_rows: int) -> DataFrame:
     """
     member = written(member.withColumn("class", _class_of(sizes, F.col("n"))), "ngram-members")
     total = member.count()
-    lanes = member.groupBy("root", "class", "lane").agg(F.count("*").alias("in_lane")).where(f"in_lane > {block_rows // 2}")
-    binned = salted_join(member, lanes.withColumn("bin", F.col("lane")).unionByName(member.groupBy("root", "class", "lane").agg(F.count("*").alias("in_lane")).where(f"in_lane <= {block_rows // 2}").withColumn("bin", F.lit(None).cast("long"))), ["root", "class", "lane"], "in_lane", total)
+    lanes = member.groupBy("root", "class", "lane").agg(F.count("*").alias("in_lane")).withColumn("bin", F.when(F.col("in_lane") > block_rows // 2, F.col("lane")))
+    binned = salted_join(member, lanes, ["root", "class", "lane"], "in_lane", total)
     bins = binned.groupBy("root", "class", "bin").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
     bins = written(bins.withColumn("blocks", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long")), "ngram-bins")
     other = bins.select(F.col("root").alias("r"), F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("near"), F.struct(F.col("class").alias("c"), F.col("bin").alias("l")).alias("o"), F.col("blocks").alias("b"), F.col("rows").alias("k"))
