@@ -2,7 +2,7 @@
 
 A shard is a slice of an Arrow batch of documents. Its words become symbols of the benchmark's vocabulary; a word that no
 benchmark item holds can lie in no occurrence, so it separates. Stretches between separators that are shorter than the shortest
-window are left out, longer ones are cut into chunks of at most CHUNK symbols that overlap by a window less one, so that each
+window are left out, longer ones are cut into chunks of at most CHUNK symbols (twice the window, where that is more) that overlap by a window less one, so that each
 occurrence lies whole in a chunk. Over the chunks stands an FM-index: suffix array by prefix doubling, Burrows-Wheeler transform
 in a wavelet matrix (rank in one step per bit of the alphabet), suffix positions sampled at chunk starts and every SAMPLE-th
 symbol. All windows step backwards together; rows found walk to a sampled position; positions become word spans, which are merged.
@@ -71,12 +71,12 @@ class Patterns:
         self.shortest = min(by_length, default=0)
 
 
-def suffix_array(s: np.ndarray, end: np.ndarray) -> np.ndarray:
+def suffix_array(s: np.ndarray, end: np.ndarray, longest: int) -> np.ndarray:
     """Suffixes of s in order. A suffix ends at its chunk's end (end[i], the position of its separator); equal ones stand by position."""
     n, h = len(s), 1
     at = np.arange(n)
     rank = s.astype(np.int64)
-    while h < CHUNK:
+    while h < longest:
         nxt = np.zeros(n, np.int64)
         inside = at + h < end
         nxt[inside] = rank[at[inside] + h] + 1
@@ -97,7 +97,7 @@ class FMIndex:
         s = np.zeros(n, np.int32)
         starts = ends - lengths
         s[np.setdiff1d(np.arange(n), ends, assume_unique=True)] = np.concatenate(chunks)
-        sa = suffix_array(s, np.repeat(ends, lengths + 1))
+        sa = suffix_array(s, np.repeat(ends, lengths + 1), int(lengths.max()) + 1)
         bwt = s[sa - 1]
         self.n, self.bits = n, max(1, int(s.max()).bit_length())
         self.before = np.concatenate(([0], np.cumsum(np.bincount(s, minlength=(1 << self.bits) + 1))))
@@ -164,13 +164,13 @@ def occurrences(ids: np.ndarray, patterns: Patterns) -> Iterator[tuple[np.ndarra
     edge = np.flatnonzero(np.diff(np.concatenate(([0], (ids > 0).astype(np.int8), [0]))))
     first, last = edge[0::2], edge[1::2]
     long = last - first >= patterns.shortest
-    step = CHUNK - patterns.window + 1
+    chunk = max(CHUNK, 2 * patterns.window)
     starts, ends = [], []
     for a, b in zip(first[long].tolist(), last[long].tolist(), strict=True):
-        while b - a > CHUNK:
+        while b - a > chunk:
             starts.append(a)
-            ends.append(a + CHUNK)
-            a += step
+            ends.append(a + chunk)
+            a += chunk - patterns.window + 1
         starts.append(a)
         ends.append(b)
     size, k0 = 0, 0

@@ -161,3 +161,13 @@ def whole_copies(taken: Column, size: Column, key: Column, seed: str = "mix-1")
     share = taken / F.when(size > 0, size)
     draw = F.conv(F.substring(_hash(key, f"{seed}:copies"), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     return F.coalesce(F.floor(share) + F.when(draw < share - F.floor(share), 1).otherwise(0), F.lit(1)).cast("int")
+
+
+def mix_whole(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Whole documents in the mix, as often as their taken words say (whole_copies): the columns of docs, whatever their names."""
+    names = docs.columns
+    plain = dict(zip(names, (f"c{i}" for i in range(len(names))), strict=True))
+    mixed = mix(docs.toDF(*plain.values()), plain[key_col], plain[text_col], plain[source_col])
+    times = whole_copies(F.col("taken"), F.col("size"), F.col(plain[key_col]))
+    copies = F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))
+    return mixed.withColumn("taken", copies).select(*plain.values()).toDF(*names)

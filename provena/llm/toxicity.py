@@ -4,8 +4,9 @@ Folding: lower case; look-alikes of other alphabets and full-width forms become
 become them (signs only inside a word); invisible characters go; what is left of punctuation becomes a space. Words and
 phrases are matched with a space on either side, all in one automaton pass over the whole text.
 
-The lexicon is learned from labelled rows: words whose document frequency among toxic rows exceeds that among others, weighted by the
-log of the ratio. Exception phrases are learned too: a lexicon word with its neighbour before or after, where the pair occurs in several clean
+The lexicon is learned from labelled rows: words whose frequency among toxic rows exceeds that among others, weighted by the log of the ratio. What counts
+among toxic rows is in how many different surroundings (word before, word after) a word stands, since the prose of a few copied rows always stands in the
+same ones; and the excess must be one that chance does not give among all words (log-likelihood ratio SURE). Exception phrases are learned too: a lexicon word with its neighbour before or after, where the pair occurs in several clean
 rows and in no toxic one; a match takes the word's weight back. Both can be given instead. A logistic regression over the sum of weights,
 the sum over the length, the number of different entries, the largest weight and the length gives the score; it is fitted on rows
 that the lexicon has not seen. The sample is at most MAX_TRAIN labelled rows.
@@ -24,16 +25,16 @@ import re
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared, read
+from .common import Shared, fresh, read
 from .learning import fold_of, logistic, training_sample
 
 MAX_TRAIN = 24_000
-MAX_ENTRIES = 4_000
-MIN_ROWS, MIN_WEIGHT = 3, 1.8
+MIN_ROWS, MIN_WEIGHT, SURE = 3, 1.8, 24.0
 REJECT = 0.7
 
 #: Letters of other alphabets that look like Latin ones.
@@ -125,6 +126,16 @@ def _document_frequencies(rows: DataFrame, keys_of) -> DataFrame:
     return rows.select("text", "y").mapInArrow(lambda b: _counted(b, keys_of), "key string, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, around): each word with a hash of the words before and after it."""
+    for b in batches:
+        found = set()
+        for text in b.column(0).to_pylist():
+            w = ["", *folded(text.decode()).split(), ""]
+            found.update((x, xxhash.xxh64_intdigest(f"{before} {after}") >> 1) for before, x, after in zip(w, w[1:], w[2:]))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([h for _, h in found], pa.int64())], names=["key", "around"])
+
+
 def fit(sample: DataFrame, given: Lexicon | None = None) -> Lexicon:
     """The lexicon and its calibration from rows (id, text, y) of training_sample()."""
     part = F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(3))
@@ -133,11 +144,13 @@ def fit(sample: DataFrame, given: Lexicon | None = None) -> Lexicon:
     if lexicon is None:
         n = {r["y"]: r["n"] for r in first.groupBy(F.when(F.col("y") > 0, 1).otherwise(0).alias("y")).agg(F.count("*").alias("n")).collect()}
         p, q = n.get(1, 0), n.get(0, 0)
-        weight = F.log((F.col("pos") + 0.5) / (p + 1.0)) - F.log((F.col("neg") + 0.5) / (q + 1.0))
-        found = _document_frequencies(first, lambda t: set(folded(t).split())).where(F.col("pos") >= max(MIN_ROWS, p // 1000)).withColumn("w", weight).where(F.col("w") >= MIN_WEIGHT)
-        # rare words of a few copied rows rank last: by weight times the root of the rows it stands on
-        top = found.orderBy((F.col("w") * F.sqrt("pos")).desc(), "key").limit(MAX_ENTRIES).collect()
-        lexicon = Lexicon({r["key"]: float(r["w"]) for r in top})
+        frequencies = _document_frequencies(first, lambda t: set(folded(t).split())).where(F.col("pos") >= MIN_ROWS)
+        around = first.where("y > 0").select("text").mapInArrow(_surroundings, "key string, around long").distinct().groupBy("key").agg(F.count("*").alias("kinds"))
+        pos, neg, weight = F.least("pos", "kinds"), F.col("neg"), F.log((F.col("pos") + 0.5) / (p + 1.0)) - F.log((F.col("neg") + 0.5) / (q + 1.0))
+        share = lambda x, n: F.when(x > 0, x * F.log(x * (p + q) / ((F.col("pos") + neg) * n))).otherwise(0.0)
+        counted = frequencies.join(around, "key").withColumn("pos", pos)
+        found = counted.where(F.col("pos") >= MIN_ROWS).withColumn("w", weight).where((F.col("w") >= MIN_WEIGHT) & (2 * (share(F.col("pos"), p) + share(neg, q)) >= SURE))
+        lexicon = Lexicon({r["key"]: float(r["w"]) for r in found.orderBy("key").collect()})  # words of at most MAX_TRAIN rows
         words = dict(lexicon.weights)
 
         def pairs(t: str) -> set[str]:
@@ -145,7 +158,7 @@ def fit(sample: DataFrame, given: Lexicon | None = None) -> Lexicon:
             return {p for i, x in enumerate(w) if x in words for p in ([f"{w[i - 1]} {x}"] if i else []) + ([f"{x} {w[i + 1]}"] if i + 1 < len(w) else [])}
 
         if words:
-            clean = _document_frequencies(first, pairs).where(f"pos = 0 and neg >= {MIN_ROWS}").orderBy(F.col("neg").desc(), "key").limit(MAX_ENTRIES).collect()
+            clean = _document_frequencies(first, pairs).where(f"pos = 0 and neg >= {MIN_ROWS}").orderBy("key").collect()
             for r in clean:
                 a, b = r["key"].split(" ")
                 lexicon.weights[r["key"]] = -max(words.get(a, 0.0), words.get(b, 0.0))
@@ -166,11 +179,11 @@ def fit(sample: DataFrame, given: Lexicon | None = None) -> Lexicon:
 ADDED = ("toxicity", "toxic_matches")
 
 
-def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", added: tuple[str, str] = ADDED) -> DataFrame:
     """docs with toxicity (0 to 1) and toxic_matches (different entries found). Columns of these names are replaced."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
     k = docs.columns.index(text_col)
-    held = Shared(docs.sparkSession, lexicon)  # at most 2 * MAX_ENTRIES entries
+    held = Shared(docs.sparkSession, lexicon)  # words and pairs of at most MAX_TRAIN rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = held.value
@@ -179,9 +192,9 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFram
             found = [matches(a, t) for t in b.column(k).to_pylist()]
             x = np.array([f for f, _ in found], float).reshape(-1, 5)
             s = 1 / (1 + np.exp(-np.clip(x @ c[:-1] + c[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array([n for _, n in found], pa.int32())], names=[*b.schema.names, *ADDED])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array([n for _, n in found], pa.int32())], names=[*b.schema.names, *added])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("toxic_matches", T.IntegerType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(added[0], T.DoubleType()), T.StructField(added[1], T.IntegerType())]))
 
 
 def learned(spark, sf_dir) -> Lexicon:
@@ -192,7 +205,8 @@ def learned(spark, sf_dir) -> Lexicon:
 
 def reject_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = REJECT, text_col: str = "text") -> DataFrame:
     """The rows of docs that score under threshold, with the columns they came with."""
-    return score(docs, lexicon, text_col).where(F.col("toxicity") < threshold).select(docs.columns)
+    names = fresh(docs, *ADDED)
+    return score(docs, lexicon, text_col, tuple(names)).where(F.col(names[0]) < threshold).select(docs.columns)
 
 
 def op4_toxicity(spark, sf_dir):

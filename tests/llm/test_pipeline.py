@@ -69,3 +69,37 @@ def test_mix_and_shards(stages):
 
 def test_run_goes_through(spark, sf, stages):
     assert ids(corpus_pipeline.run(spark, sf)) == ids(stages[4])
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, toxicity string, Toxic_Matches int, size string, target int, taken string, c0 int, spans string, ngram_id string"
+
+
+def awkward(spark):
+    long = " ".join(f"v{k}" for k in range(60_000))
+    texts = [None, "", " \n\t", "one", long, "the same text stands here twice or more", "the same text stands here twice or more", "you worthless idiot, stupid moron, pathetic scum", "a b c d e f g"]
+    rows = [(i if i else None, t, None if i % 3 else "en", None if i % 4 == 0 else f"s{i % 2}", None if t is None else len(t), "mine", i, "mine", i, None, 7, "mine", None) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[3], rows[6]], CLASHING)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_awkward_rows(spark, sf, k):
+    """Nulls, empty and long texts, repeated rows, columns that clash with the operators' own, and no rows at all."""
+    docs = awkward(spark)
+    name, stage = corpus_pipeline.STAGES[k]
+    for d in (docs, docs.limit(0)):
+        out = stage(spark, d, sf)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        got = out.collect()
+        assert all(r["toxicity"] == "mine" and r["c0"] == 7 and r["ngram_id"] is None for r in got)
+        if name != "sharding":
+            assert out.dtypes == docs.dtypes and all(r["size"] == "mine" and r["spans"] == "mine" for r in got)
+    given = docs.collect()
+    got = stage(spark, docs, sf).collect()
+    if name == "toxicity":
+        assert {r["text"] for r in given} - {r["text"] for r in got} <= {given[7]["text"]}
+    elif name == "ngram_jaccard_join":
+        assert len(got) == len(given) - 2 and {r["text"] for r in got} == {r["text"] for r in given}
+    elif name in ("benchmark_decontamination", "sharding"):
+        assert sorted(str(r["text"]) for r in got) == sorted(str(r["text"]) for r in given)
+    else:
+        assert {r["text"] for r in got} <= {r["text"] for r in given}
