@@ -2,27 +2,27 @@
 
 A document's row is its set of hashed word n-grams. Rows that are equal are one class from the start (an exact copy meets nobody twice).
 
-Which blocks to multiply. Two sets of n1 and n2 grams with Jaccard similarity num / den or more differ in at most
+Which rows can link. Two sets of n1 and n2 grams with Jaccard similarity num / den or more differ in at most
 H = (den - num) (n1 + n2) / (den + num) grams. Sizes fall into classes so that linked sets lie in one class or two neighbouring ones. For each
-class the grams are dealt by hash into H + 1 + slack parts; of two linked sets some part is equal and not empty, or else both have more than
-`slack` empty parts, and such rare sets offer their empty parts too. Classes with an equal part are tied together; the components of
-these ties are the groups inside which all links lie. Texts that only share a passage have no equal part, so groups stay as small as the families
-of near copies are.
+class the grams are dealt by hash into H + 1 + slack parts; of two linked sets some part is equal and not empty (a set that a deal leaves with too many
+empty parts takes part in the next deal, too). Sets with an equal part are tied; a batch settles its own ties, so a frequent part leaves a task once a batch. Texts
+that only share a passage seldom have an equal part, so the groups of tied sets stay about as small as the families of near copies are.
 
-Common passages can still tie strangers where parts are small. So each set also has a parity sketch, whose differing bits never outnumber the differing
-grams: inside the tied groups, blocks of sketches (a hundredth of the sets) are multiplied first, pairs over the size-derived bound on differences are
-discarded, and what the rest connects are the groups.
+Contraction. Each set is first multiplied with the first and the last of the sets that it is tied to, in stars of BLOCK_ROWS rows. What links is joined, so a family
+of near copies is sent twice and is one lane from then on. Groups that are a single lane are finished.
 
-The product. A group's rows are dealt by hash into blocks of about BLOCK_ROWS rows per size class. For each pair of blocks whose size classes can link
-(the size bound), one task multiplies the blocks over column slices, accumulating overlap counts, and stops as soon as no pair can reach
-its size-derived bound with the columns left. It returns a spanning forest of the pairs that link, so a block of b rows gives fewer than b
-edges, never all its pairs. Every link between different sets is in the forest's closure, so components come out whole.
+The products. In the other groups all pairs of lanes are multiplied: rows are dealt by hash into blocks, a lane of over half a block into blocks of its own, which need not
+meet each other. First parity sketches, whose differing bits never outnumber the differing grams (a hundredth of the bytes, SKETCH_ROWS to a block): pairs
+over the size-derived bound on differences are discarded, and what the rest connects are the groups of the second product, of the sets themselves (BLOCK_ROWS to
+a block). One task multiplies two blocks, accumulating overlap counts: columns that few rows share pair by pair, others over column slices, and
+stops as soon as no pair can reach its size-derived bound with the columns left. It returns a spanning forest of the pairs that link, so a block
+of b rows gives fewer than b edges, never all its pairs. Every link between different sets is in the closure, so components come out whole.
 
-Cost: in a family of f different near copies the products cost f^2 / BLOCK_ROWS^2 block pairs, spread over tasks; each row is sent f / BLOCK_ROWS times.
+Cost: a group of f rows that stay in lanes of their own (strangers, or near copies that differ too much from the sets they met) costs f^2 / SKETCH_ROWS^2 pairs of sketch
+blocks, spread over tasks.
 
-Defined cases: null, empty and blank texts have an empty set and link with nothing; fewer words than n make one gram of the whole; a
-null id is no identifier: a component of null ids only has a null id; rows that repeat an id and text get the same result. Grams and set identities
-are 64-bit hashes.
+Defined cases: a null or empty text has no grams and links with nothing; a text of fewer words than n is one gram; rows with a null id
+take part, and a component's name is its smallest id that is not null; repeated rows get the same result.
 """
 
 from __future__ import annotations
@@ -277,13 +277,13 @@ def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
         dealt = work.repartition(parts, "item").sortWithinPartitions("item", "node")
         return dealt.mapInArrow(lambda b: _products(b, of, num, den), "u long, v long").distinct()
 
-    # contraction: each set meets the first set that it is tied to, in stars of BLOCK_ROWS
-    to = ties.groupBy("u").agg(F.min("v").alias("v")).withColumnRenamed("u", "node")
+    # contraction: each set meets the first and the last of the sets that it is tied to, in stars of BLOCK_ROWS
+    to = ties.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("z")).select(F.col("u").alias("node"), F.explode(F.array_distinct(F.array("a", "z"))).alias("v"))
     stars = to.groupBy("v").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("chunks"))
     ray = lambda node, chunk, first: F.struct(F.concat_ws(":", node, chunk).alias("item"), F.lit(False).alias("square"), F.lit(first).alias("first"))
     heads = stars.select(F.col("v").alias("node"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: ray(F.col("v"), c, True)).alias("items"))
     # how a ray's chunk is drawn needs its star's size; a star that many rays go to is dealt over tasks
-    rays = salted_join(to, stars.withColumn("rays", F.col("chunks") * BLOCK_ROWS), ["v"], "rays", ties.count()).select("node", F.array(ray(F.col("v"), F.pmod(F.xxhash64("node"), F.col("chunks")), False)).alias("items"))
+    rays = salted_join(to, stars.withColumn("rays", F.col("chunks") * BLOCK_ROWS), ["v"], "rays", 2 * ties.count()).select("node", F.array(ray(F.col("v"), F.pmod(F.xxhash64("node"), F.col("chunks")), False)).alias("items"))
     roles = heads.union(rays).groupBy("node").agg(F.flatten(F.collect_list("items")).alias("items"))
     links = written(multiplied(_items(sets_of(roles, ["items"]), "grams"), product), "ngram-links")
     joined = written(components(links, "ngram-links"), "ngram-joined")
