@@ -3,6 +3,10 @@
 Each stage takes what its predecessor kept; its result is written as Parquet in the shared folder and read again. All but the last
 return the columns of documents. Where a text changes, n_chars follows.
 
+Every stage keeps the columns that it is given, whatever their names. Null and empty texts are not toxic, have no copies, nothing to cut and no words to mix:
+they stay, once. Documents with a null id stay in the n-gram stage; rows that repeat an id and a text are one document there, which stays or goes as one.
+An empty table gives an empty table.
+
 Mixing takes whole documents here: a document is in the mix as often as its share of taken words says, rounded by a seeded draw, 0 to 3
 times; a document that comes more than once keeps its doc_id.
 """
@@ -36,9 +40,7 @@ def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes their words."""
-    mixed = mixing.mix(docs)
-    times = mixing.whole_copies(F.col("taken"), F.col("size"), F.col("doc_id"))
-    return mixed.withColumn("taken", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(docs.columns)
+    return mixing.mix_whole(docs)
 
 
 def _sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
