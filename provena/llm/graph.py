@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,25 @@ from .common import HOT, HOT_ROWS, drop_written, written
 FILE_EDGES = 20_000
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges to those that tie each node of a batch to the least node that it reaches inside the batch."""
+    for b in batches:
+        nodes, at = np.unique(np.concatenate([b.column(k).to_numpy() for k in (0, 1)]), return_inverse=True)
+        u, v = at[: len(at) // 2], at[len(at) // 2 :]
+        root = np.arange(len(nodes))
+        while len(u):
+            before = root.copy()
+            least = np.minimum(root[u], root[v])
+            for x in (u, v):
+                np.minimum.at(root, root[x], least)
+                np.minimum.at(root, x, least)
+            root = root[root]
+            if (before == root).all():
+                break
+        tied = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(nodes[root[tied]])], names=["u", "v"])
+
+
 def _star(rows: DataFrame, large: bool, total: int, label: str) -> DataFrame:
     """rows: (u, v). Large: u's neighbours v, the larger of which are tied to the least one around; small: smaller ones, all tied to the least, as u is.
 
@@ -19,13 +42,11 @@ def _star(rows: DataFrame, large: bool, total: int, label: str) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     least = rows.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m"))
     hot = F.col("n") > max(total // HOT, HOT_ROWS)
-    told = rows
     if total > HOT_ROWS:
-        known = rows.join(F.broadcast(least.where(hot).select("u", "m")), "u", "left")
-        told = known.where("m is null").select("u", "v")
-    told = told.join(least.where(~hot).select("u", "m"), "u")
-    if total > HOT_ROWS:
-        told = told.union(known.where("m is not null").select("u", "v", "m"))
+        known = F.broadcast(least.where(hot).select("u", "m"))
+        told = rows.join(known.select("u"), "u", "left_anti").join(least.where(~hot).select("u", "m"), "u").union(rows.join(known, "u"))
+    else:
+        told = rows.join(least.select("u", "m"), "u")
     if large:
         out = told.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     else:
@@ -37,9 +58,13 @@ def _star(rows: DataFrame, large: bool, total: int, label: str) -> DataFrame:
 def components(edges: DataFrame, label: str = "components", rounds: int = 40) -> DataFrame:
     """(node, root) of every node of edges (u, v: long): root is the least node that it reaches.
 
-    The rounds grow with the logarithm of the longest chain; each is written, so that none is computed anew.
+    Each batch is first reduced to stars of its own. The rounds grow with the logarithm of the longest chain of what is left; each is written, so that none
+    is computed anew.
     """
-    e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), label)
+    given = written(edges.select("u", "v").where("u != v"), label)
+    files = max(1, min(int(given.sparkSession.conf.get("spark.sql.shuffle.partitions")), given.count() // FILE_EDGES + 1))
+    e = written(given.coalesce(files).mapInArrow(_forest, "u long, v long"), label)
+    drop_written(given)
     before, total = None, e.count()
     for _ in range(rounds):
         middle = _star(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), True, 2 * total, label)
