@@ -20,17 +20,19 @@ def _in_order(*fields: str) -> Column:
 
 
 def artist_credits(credits: DataFrame, owner: str = "owner_id") -> DataFrame:
-    """(owner, artist, sort_artist): credited names, else names, each with its join phrase; sort names joined by "; "."""
-    shown = F.concat(F.coalesce(F.nullif("credited_name", F.lit("")), "name"), text_or_empty(F.col("joinphrase")))
-    rows = credits.withColumn("shown", shown).groupBy(owner).agg(_in_order("shown", "sort_name").alias("c"))
-    return rows.select(owner, F.array_join(F.transform("c", lambda x: x["shown"]), "").alias("artist"), F.array_join(F.transform("c", lambda x: x["sort_name"]), "; ").alias("sort_artist"))
+    """(owner, artist, sort_artist): credited names, else names, each with its join phrase; sort names joined by "; ", the last with its join phrase."""
+    phrase = text_or_empty(F.col("joinphrase"))
+    shown = F.concat(F.coalesce(F.nullif("credited_name", F.lit("")), "name"), phrase)
+    rows = credits.withColumn("shown", shown).withColumn("phrase", phrase).groupBy(owner).agg(_in_order("shown", "sort_name", "phrase").alias("c"))
+    sort = F.concat(F.array_join(F.transform("c", lambda x: x["sort_name"]), "; "), F.element_at("c", -1)["phrase"])
+    return rows.select(owner, F.array_join(F.transform("c", lambda x: x["shown"]), "").alias("artist"), sort.alias("sort_artist"))
 
 
 def album_artists(credits: DataFrame, various: str, owner: str = "owner_id") -> DataFrame:
     """(owner, album_artist, sort_album_artist, compilation). `various` alone gives no artist and compilation "1".
 
     Real names count, credited ones do not. Between names stands the join phrase where it is ", " or "; "; else " & " before the last name
-    and ", " before others. The last name keeps its own phrase.
+    and ", " before others. The last name keeps its own phrase. Sort names are joined by "; "; the last one's phrase follows it, as "; " where it is ", ".
     """
     rows = credits.withColumn("phrase", text_or_empty(F.col("joinphrase"))).groupBy(owner).agg(_in_order("artist_id", "name", "sort_name", "phrase").alias("c"))
     n = F.size("c")
@@ -40,7 +42,9 @@ def album_artists(credits: DataFrame, various: str, owner: str = "owner_id") ->
         return F.concat(x["name"], F.when(i == n - 1, x["phrase"]).otherwise(between))
 
     alone = (n == 1) & (F.col("c")[0]["artist_id"] == various)
-    shown, sort = F.array_join(F.transform("c", piece), ""), F.array_join(F.transform("c", lambda x: x["sort_name"]), "; ")
+    phrase = F.element_at("c", -1)["phrase"]
+    shown = F.array_join(F.transform("c", piece), "")
+    sort = F.concat(F.array_join(F.transform("c", lambda x: x["sort_name"]), "; "), F.when(phrase == ", ", "; ").otherwise(phrase))
     return rows.select(owner, F.when(~alone, shown).alias("album_artist"), F.when(~alone, sort).alias("sort_album_artist"), F.when(alone, "1").alias("compilation"))
 
 

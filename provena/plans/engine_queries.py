@@ -124,7 +124,16 @@ def region_crcs(spark, sf):
     return checksum.region_crcs(event_samples(spark, sf), ["user_id"])
 
 
-@query("crc32_rows")
+#: The table of CRC-32 and its use on a list of octets, in SQL.
+CRC_TABLE = "select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t"
+CRC = "cast(xor(list_reduce(list_prepend(4294967295, octets), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) as bigint)"
+
+
+@query("crc32_rows", f"""
+with h as (select doc_id, hex(encode(coalesce(text, ''))) as h, text is null as none from documents),
+o as (select doc_id, none, list_transform(range(0, len(h) // 2), lambda i: 16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1) as octets from h)
+select doc_id, case when not none then {CRC} end as crc32 from o, ({CRC_TABLE})
+""")
 def crc32_rows(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.crc32("text").alias("crc32"))
 
@@ -515,9 +524,13 @@ def field_diff(spark, sf):
     return tags.field_diff(a, b, ["k"], ("title", "album"))
 
 
-@query("artist_credit_join", """
-select r_name as owner_id, string_agg(n_name || case when n_nationkey % 2 = 0 then ' & ' else ', ' end, '' order by n_nationkey) as artist,
-  string_agg(n_name, '; ' order by n_nationkey) as sort_artist from nation join region on n_regionkey = r_regionkey group by 1
+CREDITS = """select r_name, n_name, case when n_nationkey % 2 = 0 then ' & ' else ', ' end as p, row_number() over w as i, count(*) over (partition by r_name) as c
+  from nation join region on n_regionkey = r_regionkey window w as (partition by r_name order by n_nationkey)"""
+
+
+@query("artist_credit_join", f"""
+with n as ({CREDITS})
+select r_name as owner_id, string_agg(n_name || p, '' order by i) as artist, string_agg(n_name || case when i < c then '; ' else p end, '' order by i) as sort_artist from n group by 1
 """)
 def artist_credit_join(spark, sf):
     return tags.artist_credits(_credits(spark, sf))
@@ -529,11 +542,10 @@ def _credits(spark, sf) -> DataFrame:
     return n.select(F.col("r_name").alias("owner_id"), F.col("n_nationkey").alias("ordinal"), F.col("n_nationkey").cast("string").alias("artist_id"), F.col("n_name").alias("name"), F.col("n_name").alias("sort_name"), F.lit("").alias("credited_name"), phrase.alias("joinphrase"))
 
 
-@query("album_artist_join", """
-with n as (select r_name, n_name, case when n_nationkey % 2 = 0 then ' & ' else ', ' end as p, row_number() over w as i, count(*) over (partition by r_name) as c
-  from nation join region on n_regionkey = r_regionkey window w as (partition by r_name order by n_nationkey))
+@query("album_artist_join", f"""
+with n as ({CREDITS})
 select r_name as owner_id, string_agg(n_name || case when i = c or p = ', ' then p when i = c - 1 then ' & ' else ', ' end, '' order by i) as album_artist,
-  string_agg(n_name, '; ' order by i) as sort_album_artist, cast(null as varchar) as compilation from n group by 1
+  string_agg(n_name || case when i < c or p = ', ' then '; ' else p end, '' order by i) as sort_album_artist, cast(null as varchar) as compilation from n group by 1
 """)
 def album_artist_join(spark, sf):
     return tags.album_artists(_credits(spark, sf), various="various")
@@ -697,3 +709,128 @@ select l_orderkey as path, 0 as entry, l_orderkey as id1, 2::bigint as id2, 3::b
 """)
 def binary_decode_native(spark, sf):
     return binary.rip_rows_native(_rip_responses(spark, sf))
+
+
+# -- operators that only programs used so far ------------------------------------------------------------------------------------
+
+
+@query("eac_paths", """
+with o as (select o_orderkey, upper(sha1(cast(o_orderkey as varchar))) as h, 1 + o_orderkey % 20 as n from orders)
+select o_orderkey, concat('/crc/', h[1], '/', h[2], '/', h[3], '/', h[4], '/', h, '-', n, '.bin') as eac_path from o
+""")
+def eac_paths(spark, sf):
+    key = F.base64(F.unhex(F.sha1(F.col("o_orderkey").cast("string"))))
+    d = table(spark, sf, "orders").select("o_orderkey", F.translate(key, "+/=", "._-").alias("disc_id"), (1 + F.col("o_orderkey") % 20).alias("n_tracks"))
+    return discs.eac_paths(d).select("o_orderkey", "eac_path")
+
+
+#: Fixed values of the second database's format, lists of ten tracks at most here.
+_EAC_SQL = f"""
+with l as (select *, count(*) over (partition by l_orderkey) as n from ({LINES}))
+select l_orderkey as path, cast(pos as int) as track, kind, 0 as k, cast(case kind when 'whole' then l_partkey else l_suppkey end as bigint) as crc,
+  cast(l_quantity as bigint) as confidence, l_orderkey as date from l, (values ('whole'), ('part')) v(kind)
+"""
+
+
+@query("eac_decode", _EAC_SQL)
+def eac_decode(spark, sf):
+    """Lines written as files of the second database, one per order, a checksum for each track, and decoded."""
+    word = exprs.le32
+    entry = lambda c: F.concat(word(F.lit(1)), word(c), word(F.col("l_quantity").cast("long")), word(F.col("l_orderkey")))
+    rows = lines(spark, sf).select(F.col("l_orderkey").alias("path"), "pos", entry(F.col("l_partkey")).alias("w"), entry(F.col("l_suppkey")).alias("p"))
+    r = rows.groupBy("path").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "w", "p"))).alias("x"))
+    # track 0 is empty in both sections
+    section = lambda magic, f: F.concat(word(F.lit(magic)), word(F.lit(0)), F.array_join(F.transform("x", lambda y: y[f]), ""))
+    whole, part, *end = binary.EAC_MAGICS
+    text = F.concat(word(F.col("n")), word(F.col("path")), section(whole, "w"), section(part, "p"), *(word(F.lit(m)) for m in end))
+    out = binary.decode_eac(r.select("path", F.unhex(text).alias("content")))
+    names = [c for c in out.columns if c != "path"]
+    return out.toDF("path", *["track", "kind", "k", "crc", "confidence", "date"][: len(names)])
+
+
+@query("stream_ends", f"""
+with s as ({SAMPLES}), n as (select user_id, count(*) as n from s group by 1)
+select user_id, j, s from s join n using (user_id) where j <= 5 or j > n - 5
+""")
+def stream_ends(spark, sf):
+    s = event_samples(spark, sf)
+    return checksum.ends(s, s.groupBy("user_id").agg(F.count("*").alias("n")), ["user_id"], keep=5).select("user_id", "j", "s")
+
+
+@query("known_recordings", "select l_orderkey, l_linenumber, l_partkey from lineitem where l_partkey in (select p_partkey from part where p_size > 25)")
+def known_recordings(spark, sf):
+    known = table(spark, sf, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"))
+    return cover.known_only(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), known, "l_partkey")
+
+
+@query("valid_matches", f"""
+select l_orderkey, pos, coalesce(l_linenumber between 1 and 5 and l_suppkey % 3 >= 1 and l_linenumber >= 1 and l_tax * 15 between 0 and 1, false) as valid from ({LINES})
+""")
+def valid_matches(spark, sf):
+    m = lines(spark, sf).select("l_orderkey", "pos", F.col("l_linenumber").alias("stream_index"), (F.col("l_suppkey") % 3).alias("medium_pos"), (F.col("l_linenumber") - 1).alias("track_pos"), (F.col("l_tax") * 15).alias("score"))
+    good, bad = cover.validated(m, 5)
+    return good.select("l_orderkey", "pos", F.lit(True).alias("valid")).unionByName(bad.select("l_orderkey", "pos", F.lit(False).alias("valid")))
+
+
+@query("nonzero_votes", """
+with v as (select l_partkey as stream_index, l_suppkey as disc_id, l_linenumber as track_pos, case when l_quantity > 40 then 1 else 0 end as c from lineitem),
+t as (select stream_index, disc_id, track_pos, max(c) as best from v group by all)
+select stream_index, disc_id, track_pos, best = 0 as bad_rip from t
+""")
+def nonzero_votes(spark, sf):
+    v = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("stream_index"), F.col("l_suppkey").alias("disc_id"), F.col("l_linenumber").alias("track_pos"), F.when(F.col("l_quantity") > 40, 1).otherwise(0).alias("conf_v1"), F.lit(0).alias("conf_v2"))
+    keys = ["stream_index", "disc_id", "track_pos"]
+    got, none = votes.with_votes(v, keys)
+    return got.select(*keys).distinct().withColumn("bad_rip", F.lit(False)).unionByName(none.select(*keys).withColumn("bad_rip", F.lit(True)))
+
+
+@query("stream_permutation", f"select l_orderkey, 8 - pos as stream_index, l_partkey from ({LINES}) where pos <= 7")
+def stream_permutation(spark, sf):
+    order = spark.range(1, 8).select(F.col("id").cast("int").alias("old"), (8 - F.col("id")).alias("new"))
+    return merge.permute(lines(spark, sf).select("l_orderkey", F.col("pos").alias("stream_index"), "l_partkey"), order)
+
+
+@query("group_order", """
+with g as (select o_custkey as release_group_id, min(o_totalprice) as distance from orders group by 1)
+select release_group_id, distance, row_number() over (order by distance, release_group_id) as place from g
+""")
+def group_order(spark, sf):
+    """The places are counted on one row per customer, the order's own result."""
+    r = table(spark, sf, "orders").select(F.col("o_custkey").alias("release_group_id"), F.col("o_totalprice").alias("distance"))
+    return merge.sort_groups(r).withColumn("place", F.row_number().over(Window.orderBy("distance", "release_group_id")).cast("long"))
+
+
+@query("nested_tracks", f"select l_orderkey, count(*) as n_tracks, string_agg(pos || ':' || l_partkey, ',' order by pos) as tracks from ({LINES}) group by 1")
+def nested_tracks(spark, sf):
+    t = merge.tracks_in_order(lines(spark, sf).select("l_orderkey", F.col("pos").alias("track_pos"), "l_partkey"), ["l_orderkey"])
+    return t.select("l_orderkey", F.size("items").cast("long").alias("n_tracks"), F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["track_pos"].cast("string"), x["l_partkey"].cast("string"))), ",").alias("tracks"))
+
+
+@query("covering_cache", """
+with s as (select o_orderstatus as entity, o_custkey as id, o_orderpriority as resource, o_orderkey % 4 = 0 as media, o_orderkey as answer from orders where o_orderkey % 3 = 0)
+select o.o_orderkey, min(answer) as answer from orders o join s on entity = o_orderstatus and id = o_custkey and resource = o_orderpriority
+where media or o.o_orderkey % 2 = 0 group by 1
+""")
+def covering_cache(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("entity"), F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("resource"))
+    names = lambda more, *rest: F.when(more, F.array(F.lit("artists"), F.lit("media"), *map(F.lit, rest))).otherwise(F.array(F.lit("artists"), *map(F.lit, rest)))
+    stored = o.where("o_orderkey % 3 = 0").withColumn("params", names(F.col("o_orderkey") % 4 == 0)).withColumnRenamed("o_orderkey", "answer")
+    return limiter.covering_cache(o.withColumn("params", names(F.col("o_orderkey") % 2 == 1, "limit")), stored).select("o_orderkey", "answer")
+
+
+_VOTED = "select l_partkey, l_suppkey, max(cast(l_quantity as int) + l_suppkey % 5) as votes from lineitem where l_quantity > 25 group by all"
+
+
+@query("configuration_choice", f"""
+with v as ({_VOTED}), c as (select l_orderkey, pos % 3 as configuration, coalesce(votes, 0) as g, votes is null as missing from ({LINES}) l left join v using (l_partkey, l_suppkey)),
+s as (select l_orderkey, configuration, cast(sum(g) as bigint) as score, cast(min(g) as bigint) as confidence_min, cast(count_if(missing) as bigint) as unmatched from c group by all)
+select * from s qualify row_number() over (partition by l_orderkey order by confidence_min desc, unmatched, configuration) = 1
+""")
+def configuration_choice(spark, sf):
+    """Each order's lines in three configurations; that of the best votes is chosen, and its lines are kept."""
+    l = lines(spark, sf)
+    chosen = l.select("l_orderkey", (F.col("pos") % 3).cast("long").alias("configuration"), F.col("l_partkey").alias("disc_id"), F.col("l_suppkey").alias("track_pos"), F.col("l_linenumber").alias("stream_index"))
+    v = l.where("l_quantity > 25").select(F.col("l_partkey").alias("disc_id"), F.col("l_suppkey").alias("track_pos"), F.col("l_quantity").cast("int").alias("conf_v1"), (F.col("l_suppkey") % 5).cast("int").alias("conf_v2"))
+    best = assign.best_configuration(assign.configuration_score(chosen, v, ["l_orderkey", "configuration"]), ["l_orderkey"])
+    kept = assign.apply_choice(chosen, best, ["l_orderkey", "configuration"]).select("l_orderkey", "configuration").distinct()
+    return best.join(kept, ["l_orderkey", "configuration"]).select("l_orderkey", "configuration", F.col("score").cast("long").alias("score"), F.col("confidence_min").cast("long").alias("confidence_min"), F.col("unmatched").cast("long").alias("unmatched"))

@@ -124,14 +124,24 @@ def _decoded(rows: DataFrame, column: str, decode, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            others = [i for i in range(b.num_columns) if i != k]
+            others = b.select([i for i in range(b.num_columns) if i != k])
+            of, found = [], []
+
+            def flush() -> pa.RecordBatch:
+                cells = [pa.array(c, types[t.split()[1]]) for c, t in zip(zip(*found), schema.split(", "))]
+                out = pa.RecordBatch.from_arrays([*(c.take(pa.array(of, pa.int32())) for c in others.columns), *cells], names=[*keep, *names])
+                of.clear()
+                found.clear()
+                return out
+
             for at, data in enumerate(b.column(k).to_pylist()):
-                found = list(decode(plain(data))) if data else []
-                for x in range(0, len(found), 50_000):  # a long file does not become one batch
-                    part = found[x : x + 50_000]
-                    repeated = [b.column(i).take(pa.array([at] * len(part), pa.int32())) for i in others]
-                    cells = [pa.array(c, types[t.split()[1]]) for c, t in zip(zip(*part), schema.split(", "))]
-                    yield pa.RecordBatch.from_arrays([*repeated, *cells], names=[*keep, *names])
+                for x in decode(plain(data)) if data else ():
+                    of.append(at)
+                    found.append(x)
+                    if len(of) == 50_000:  # many short responses are one batch, a long one is several
+                        yield flush()
+            if of:
+                yield flush()
 
     return rows.mapInArrow(run, f"{given}, {schema}" if given else schema)
 
@@ -156,10 +166,12 @@ def read_files(spark, path: str, kind: str, pattern: str = "*") -> DataFrame:
 
 
 def rip_rows_native(responses: DataFrame, column: str = "content", key: str = "path") -> DataFrame:
-    """decode_rip for responses of one entry, in built-in expressions only: a response of more entries needs the reader's state."""
+    """decode_rip for responses of one entry, in built-in expressions only. Any other response (several entries, compressed, cut off) fails the query."""
     word = lambda at: F.conv(F.concat(*(F.hex(F.substring(column, at + k, 1)) for k in (3, 2, 1, 0))), 16, 10).cast("long")
     octet = lambda at: F.conv(F.hex(F.substring(column, at, 1)), 16, 10).cast("int")
-    rows = responses.withColumn("_n", octet(F.lit(1))).where(F.octet_length(column) == 13 + 9 * F.col("_n")).where("_n > 0")
+    rows = responses.withColumn("_n", octet(F.lit(1)))
+    one = F.octet_length(column) == 13 + 9 * F.col("_n")
+    rows = rows.where(F.octet_length(column) > 0).where(F.when(one, F.col("_n") > 0).otherwise(F.raise_error(F.lit("not a response of one entry")).cast("boolean")))
     rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     at = 14 + 9 * (F.col("_k") - 1)
     return rows.select(key, F.lit(0).alias("entry"), word(F.lit(2)).alias("id1"), word(F.lit(6)).alias("id2"), word(F.lit(10)).alias("cddb"), F.col("_k").alias("track_pos"), octet(at).alias("confidence"), word(at + 1).alias("crc"), word(at + 5).alias("offset_crc"))
