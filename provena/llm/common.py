@@ -6,7 +6,10 @@ import pickle
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +59,18 @@ def drop_written(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def slices(column: pa.Array, n_bytes: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of the slices of a binary column that hold about n_bytes each."""
+    at, n, size = 0, 0, 0
+    for length in pa.compute.binary_length(column).to_pylist():
+        n, size = n + 1, size + (length or 0)
+        if size >= n_bytes:
+            yield at, n
+            at, n, size = at + n, 0, 0
+    if n:
+        yield at, n
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that df does not have, whatever the case."""
     have = {c.lower() for c in df.columns}

@@ -25,12 +25,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, Shared, read, written
+from .common import LOWER, Shared, read, slices, written
 
 WINDOW = 10
 CHUNK, SAMPLE, BLOCK = 64, 8, 1 << 19
@@ -265,24 +264,12 @@ def _held(spark, benchmark: DataFrame, item_col: str, item_text_col: str, window
     return [Shared(spark, Patterns([(r["id"], bytes(r["text"])) for r in mine(part).collect()], window)) for part in range(parts)]
 
 
-def _shards(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """(first row, rows) of the slices of a column that hold about SHARD_BYTES each."""
-    at, n, size = 0, 0, 0
-    for length in pa.compute.binary_length(column).to_pylist():
-        n, size = n + 1, size + (length or 0)
-        if size >= SHARD_BYTES:
-            yield at, n
-            at, n, size = at + n, 0, 0
-    if n:
-        yield at, n
-
-
 def _scanner(held, k: int, n_given: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = held.value
         for batch in batches:
             column = batch.column(k).cast(pa.binary())
-            for at, n in _shards(column):
+            for at, n in slices(column, SHARD_BYTES):
                 part = batch.slice(at, n)
                 found = scan(column.slice(at, n).to_pylist(), patterns)
                 spans = [s for _, s, _ in found]
@@ -372,7 +359,7 @@ def _cleaner(held, k: int):
         patterns = held.value
         for batch in batches:
             column = batch.column(k).cast(pa.binary())
-            for at, n in _shards(column):
+            for at, n in slices(column, SHARD_BYTES):
                 texts = clean(column.slice(at, n).to_pylist(), patterns)
                 part = batch.slice(at, n)
                 columns = list(part.columns)

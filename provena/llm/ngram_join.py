@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, fresh, read, salted_join, sifted, written
+from .common import LOWER, fresh, read, salted_join, sifted, slices, written
 from .graph import components
 from .hashing import BASE, FACTOR, mix, word_hashes
 
@@ -45,6 +45,8 @@ BLOCK_ROWS, SKETCH_ROWS, BLOCK_GRAMS, COLUMNS = 256, 1024, 2_000_000, 8192
 #: Candidate rows (ten numbers each) up to this number are sent to every executor; beyond it they are joined by sort and merge.
 BROADCAST_ROWS = 20_000
 SEEN = 1_000_000
+#: Texts of about this size are described at once.
+BATCH_BYTES = 8 << 20
 DEALS = 8
 #: Columns that make up to this many pairs are accumulated pair by pair, others as slices of a matrix.
 SPARSE, PAIRS = 64, 4_000_000
@@ -314,7 +316,7 @@ def _described(batches: Iterator[pa.RecordBatch], n: int, sizes: Sizes) -> Itera
     """
     seen: set[int] = set()
     lists = pa.list_(pa.int64())
-    for b in batches:
+    for b in (b.slice(at, k) for b in batches for at, k in slices(b.column(2), BATCH_BYTES)):
         sets = [grams(t, n) for t in b.column(2).to_pylist()]
         nodes = [_node(s) for s in sets]
         new, sigs = [], []

@@ -64,8 +64,7 @@ def families(seed, n_families=12, largest=40, vocabulary=300):
 ODD = [(None, "a b c d e"), (4, "a b c d e"), (9, None), (10, ""), (11, " \t\n"), (12, "one"), (13, "ONE"), (13, "ONE"), (14, "x y"), (15, "é " * 9), (16, "word " * 50_000), (None, "lonely null"), (None, "lonely null")]
 
 
-@pytest.mark.parametrize(("n", "num"), [(4, 85), (5, 80)])
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize(("n", "num", "seed"), [(4, 85, 1), (5, 80, 2)])
 def test_components(spark, monkeypatch, n, num, seed):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 7)
     rows = families(seed) + (ODD if seed == 1 else [])
