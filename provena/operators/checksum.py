@@ -7,15 +7,22 @@ after, l > N - SKIP_TAIL. One equi-join brings each sample to its own track and
 
 from __future__ import annotations
 
+import functools
+import sys
 import zlib
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from provena.functions.exprs import le32, u32, v1_term, v2_term
-from provena.schema import SAMPLES_PER_SECTOR, SKIP_HEAD, SKIP_TAIL
+from provena.functions.exprs import duration_seconds, duration_sectors, le32, u32, v1_term, v2_term
+from provena.schema import CRC_EDGE, CRC_POLYNOMIAL, SAMPLES_PER_SECTOR, SKIP_HEAD, SKIP_TAIL
+
+# crc_combine goes to executors with its code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def weighted_checksums(samples: DataFrame, keys: list[str], position: str = "j", sample: str = "s") -> DataFrame:
@@ -84,9 +91,60 @@ def samples_hex(j: str = "j", sample: str = "s") -> Column:
     return F.array_join(F.transform(pairs, lambda x: x["h"]), "")
 
 
-def region_crcs(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """CRC-32 of the octets of each group: of the samples at a track's ends, a few thousand, or of a short file."""
-    return samples.groupBy(*keys).agg(F.crc32(F.unhex(samples_hex())).alias("crc32"))
+def _times(a: int, b: int) -> int:
+    """Product of two remainders modulo the polynomial of CRC-32; the highest bit stands for 1."""
+    out = 0
+    for k in range(31, -1, -1):
+        if a >> k & 1:
+            out ^= b
+        b = b >> 1 ^ (CRC_POLYNOMIAL if b & 1 else 0)
+    return out
+
+
+def crc_combine(first: int, second: int, n: int) -> int:
+    """CRC-32 of two runs of octets, one after the other, from their own ones; n: octets of the second."""
+    power, square = 1 << 31, 1 << 23  # 1 and x to the 8th
+    while n:
+        if n & 1:
+            power = _times(power, square)
+        square, n = _times(square, square), n >> 1
+    return _times(power, first) ^ second
+
+
+def _crcs_of_parts(crcs: pd.Series, octets: pd.Series) -> pd.Series:
+    return pd.Series([functools.reduce(lambda c, x: crc_combine(c, int(x[0]), int(x[1])), zip(a, n), 0) for a, n in zip(crcs, octets)], dtype="int64")
+
+
+def crc_of_parts(parts: Column) -> Column:
+    """CRC-32 of parts in order, from an array of structs that hold crc and n (octets)."""
+    combine = F.pandas_udf(_crcs_of_parts, T.LongType())
+    return combine(F.transform(parts, lambda x: x["crc"]), F.transform(parts, lambda x: x["n"]))
+
+
+def region_crcs(samples: DataFrame, keys: list[str], block: int = 65536) -> DataFrame:
+    """(keys, crc32, octets) of the octets of each group. Blocks of samples are hashed apart, so no task holds a stream; their CRCs are combined."""
+    part = F.call_function("div", F.col("j"), F.lit(block))
+    blocks = samples.groupBy(*keys, part.alias("_b")).agg(F.crc32(F.unhex(samples_hex())).alias("crc"), (F.count("*") * 4).alias("n"))
+    whole = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "crc", "n"))).alias("_p"), F.sum("n").alias("octets"))
+    return whole.select(*keys, crc_of_parts(F.col("_p")).alias("crc32"), "octets")
+
+
+def track_crcs(samples: DataFrame, lengths: DataFrame, keys: list[str], edge: int = CRC_EDGE, block: int = 65536) -> DataFrame:
+    """(keys, head, body, tail, whole): CRC-32 of the first and last `edge` samples of a track, of those between, and of all, combined from the three.
+
+    A sample that is near both ends belongs to the head. A region without samples is null. lengths: keys and n.
+    """
+    region = F.when(F.col("j") <= edge, 0).when(F.col("j") + edge > F.col("n"), 2).otherwise(1)
+    parts = region_crcs(samples.join(lengths, keys).withColumn("_region", region), [*keys, "_region"], block)
+    named = [F.max(F.when(F.col("_region") == k, F.col("crc32"))).alias(name) for k, name in enumerate(("head", "body", "tail"))]
+    out = parts.groupBy(*keys).agg(*named, F.sort_array(F.collect_list(F.struct("_region", F.col("crc32").alias("crc"), F.col("octets").alias("n")))).alias("_p"))
+    return out.select(*keys, "head", "body", "tail", crc_of_parts(F.col("_p")).alias("whole"))
+
+
+def stream_summary(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, seconds, sectors, v1, v2, crc32) of whole streams: what the checksum tool prints of a file."""
+    sums = weighted_checksums(samples, keys).join(samples.groupBy(*keys).agg(F.count("*").alias("_n")), keys).join(region_crcs(samples, keys), keys)
+    return sums.select(*keys, duration_seconds(F.col("_n")).alias("seconds"), duration_sectors(F.col("_n")).alias("sectors"), "v1", "v2", "crc32")
 
 
 def sliding_crc(samples: DataFrame, width: int = SAMPLES_PER_SECTOR, key: str = "stream_index") -> DataFrame:

@@ -9,15 +9,21 @@ from pyspark.sql.window import Window
 from provena.schema import PAGE_SIZE
 
 
-def rate_slots(arrivals: DataFrame, interval: Column, service: str = "service", arrival: str = "arrival", order: list[str] | None = None) -> DataFrame:
-    """arrivals with slot: slot_i = max(arrival_i, slot_(i-1) + interval), per service.
+def rate_slots(arrivals: DataFrame, interval: Column, service: str = "service", arrival: str = "arrival", order: list[str] | None = None, calls: int = 4096) -> DataFrame:
+    """arrivals with slot: slot_i = max(arrival_i, slot_(i-1) + interval), per service. `order` has to follow the arrival.
 
-    In closed form slot_i = i * I + running maximum of (arrival_k - k * I), so a window does it without state.
+    In closed form slot_i = i * I + running maximum of (arrival_k - k * I). A service is cut into slices of the time of `calls` intervals; the
+    number of calls and the maximum before a slice come from one row per slice, so no task holds a service.
     """
-    w = Window.partitionBy(service).orderBy(*(order or [arrival]))
-    n = F.row_number().over(w) - 1
-    rows = arrivals.withColumn("_i", n).withColumn("_a", F.col(arrival) - F.col("_i") * interval)
-    return rows.withColumn("slot", F.max("_a").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_i") * interval).drop("_i", "_a")
+    slice_ = F.floor(F.col(arrival) / (interval * calls))
+    within = Window.partitionBy(service, "_s").orderBy(*(order or [arrival]))
+    rows = arrivals.withColumn("_s", slice_).withColumn("_i", F.row_number().over(within) - 1).withColumn("_a", F.col(arrival) - F.col("_i") * interval)
+    before = Window.partitionBy("_v").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    slices = rows.groupBy(F.col(service).alias("_v"), F.col("_s").alias("_t")).agg(F.count("*").alias("_n"), F.max("_a").alias("_m"))
+    slices = slices.withColumn("_b", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_p", F.max(F.col("_m") - F.col("_b") * interval).over(before))
+    rows = rows.withColumn("_r", F.max("_a").over(within.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_i") * interval)
+    rows = rows.join(slices.select("_v", "_t", "_b", "_p"), F.col(service).eqNullSafe(F.col("_v")) & F.col("_s").eqNullSafe(F.col("_t")))
+    return rows.withColumn("slot", F.greatest("_r", F.col("_p") + (F.col("_b") + F.col("_i")) * interval)).select(*arrivals.columns, "slot")
 
 
 def cached(requests: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provena.functions import exprs
-from provena.operators import assign, checksum, cover, discs, limiter, merge, tags, votes
+from provena.operators import assign, checksum, cover, discs, limiter, merge, report, tags, votes
 from provena.plans.registry import query, table
-from provena.sources import binary, lookup_xml
+from provena.sources import binary, container_tags, lookup_xml
 
 #: A total order of an order's lines: line numbers repeat in the driver's table.
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -84,12 +84,12 @@ WINDOWS = f"""select user_id, j - 8 as start, cast((sum((j * s) % {U32}) over w
 
 @query("offset_finder", f"""
 with s as ({SAMPLES}), w as (select user_id, start, (value + {U32}) % {U32} as value from ({WINDOWS}) where n = 8),
-t as (select distinct user_id, value as target from w where start % 5 = 0 and value <> 0)
+t as (select distinct user_id, value as target from w where value <> 0)
 select w.user_id, target, cast(start - 10 as bigint) as "offset" from w join t on w.user_id = t.user_id and w.value = t.target where start between 2 and 18
 """)
 def offset_finder(spark, sf):
     s = event_samples(spark, sf)
-    t = checksum.window_checksums(s, 8, "user_id").where("start % 5 = 0").select("user_id", F.col("value").alias("target"))
+    t = checksum.window_checksums(s, 8, "user_id").select("user_id", F.col("value").alias("target"))
     return checksum.find_offsets(s, t, centre=10, half=8, width=8, key="user_id")
 
 
@@ -111,7 +111,19 @@ def region_accumulators(spark, sf):
     return checksum.region_sums(s, s.groupBy("l_orderkey").agg(F.count("*").alias("n")), ["l_orderkey"], head=2, tail=2)
 
 
-@query("sliding_crc_matches")
+#: The table of CRC-32 and its use on a list of octets, in SQL.
+CRC_TABLE = "select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t"
+CRC = "cast(xor(list_reduce(list_prepend(4294967295, octets), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) as bigint)"
+#: A sample as its four octets, in SQL.
+OCTETS = "[s & 255, (s >> 8) & 255, (s >> 16) & 255, s >> 24]"
+
+
+@query("sliding_crc_matches", f"""
+with s as ({SAMPLES}), l as (select user_id, j - 1 as start, flatten(list({OCTETS}) over (partition by user_id order by j rows between current row and 7 following)) as octets from s),
+c as (select user_id, start, {CRC} as crc32 from l, ({CRC_TABLE}) where len(octets) = 32),
+t as (select distinct user_id, crc32 as target from c where crc32 <> 0)
+select c.user_id, target, cast(start - 16 as bigint) as "offset" from c join t on c.user_id = t.user_id and crc32 = target where start between 0 and 32
+""")
 def sliding_crc_matches(spark, sf):
     """Windows of 8 samples in the searched slice whose CRC-32 is that of any window of the user's stream."""
     s = event_samples(spark, sf)
@@ -119,14 +131,32 @@ def sliding_crc_matches(spark, sf):
     return checksum.find_offsets_crc(s, t, centre=16, half=16, width=8, key="user_id")
 
 
-@query("region_crcs")
+@query("region_crcs", f"""
+with s as ({SAMPLES}), o as (select user_id, flatten(list({OCTETS} order by j)) as octets from s group by 1)
+select user_id, {CRC} as crc32, cast(len(octets) as bigint) as octets from o, ({CRC_TABLE})
+""")
 def region_crcs(spark, sf):
-    return checksum.region_crcs(event_samples(spark, sf), ["user_id"])
+    return checksum.region_crcs(event_samples(spark, sf), ["user_id"], block=16)
 
 
-#: The table of CRC-32 and its use on a list of octets, in SQL.
-CRC_TABLE = "select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t"
-CRC = "cast(xor(list_reduce(list_prepend(4294967295, octets), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) as bigint)"
+@query("track_crcs", f"""
+with s as ({SAMPLES}), n as (select user_id, count(*) as n from s group by 1),
+r as (select user_id, j, s, case when j <= 6 then 0 when j + 6 > n then 2 else 1 end as region from s join n using (user_id)),
+o as (select user_id, region, flatten(list({OCTETS} order by j)) as octets from r group by all union all select user_id, 3, flatten(list({OCTETS} order by j)) from r group by all),
+c as (select user_id, region, {CRC} as crc from o, ({CRC_TABLE}))
+select user_id, max(case region when 0 then crc end) as head, max(case region when 1 then crc end) as body, max(case region when 2 then crc end) as tail, max(case region when 3 then crc end) as whole from c group by 1
+""")
+def track_crcs(spark, sf):
+    s = event_samples(spark, sf)
+    return checksum.track_crcs(s, s.groupBy("user_id").agg(F.count("*").alias("n")), ["user_id"], edge=6, block=16)
+
+
+@query("stream_summary", f"""
+with s as ({SAMPLES}), o as (select user_id, count(*) as n, sum((j * s) % {U32}) % {U32} as v1, sum((j * s) // {U32} + (j * s) % {U32}) % {U32} as v2, flatten(list({OCTETS} order by j)) as octets from s group by 1)
+select user_id, cast(n // 44100 as bigint) as seconds, cast(case when n % 588 = 0 then n // 588 else -1 end as bigint) as sectors, cast(v1 as bigint) as v1, cast(v2 as bigint) as v2, {CRC} as crc32 from o, ({CRC_TABLE})
+""")
+def stream_summary(spark, sf):
+    return checksum.stream_summary(event_samples(spark, sf), ["user_id"])
 
 
 @query("crc32_rows", f"""
@@ -577,7 +607,17 @@ def distinct_in_order(spark, sf):
     return merge.distinct_in_order(table(spark, sf, "conversations"), ["conv_id"], "role", "turn")
 
 
-@query("composer_greedy")
+@query("composer_greedy", """
+with recursive n as (select n_regionkey as r, n_nationkey as k, n_name as name from nation),
+f as (select r, string_agg(name, ', ' order by name desc) as reference, count(*) as n from n group by 1),
+g as (select r, cast([] as bigint[]) as used, '' as shown, '' as sort, 0 as i from f
+  union all select r, used, shown, sort, i from (
+    select *, row_number() over (partition by r order by levenshtein(left(reference, len(shown)), shown), k) as place from (
+      select g.r, n.k, f.reference, list_append(g.used, n.k) as used, g.shown || case when g.i > 0 then ', ' else '' end || n.name as shown,
+        g.sort || case when g.i > 0 then '; ' else '' end || n.name as sort, g.i + 1 as i
+      from g join n on n.r = g.r and not list_contains(g.used, n.k) join f on f.r = g.r)) where place = 1)
+select g.r as recording_id, shown as composer, case when sort = shown then '' else sort end as sort_composer from g join f on f.r = g.r and g.i = f.n
+""")
 def composer_greedy(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("recording_id"), F.lit("w").alias("work_id"), F.lit("composer").alias("role"), F.col("n_nationkey").cast("string").alias("artist_id"), F.col("n_name").alias("name"), F.col("n_name").alias("sort_name"), F.lit(False).alias("additional"), F.lit(False).alias("instrumental"), F.col("n_nationkey").alias("ordinal"))
     reference = n.groupBy("recording_id").agg(F.array_join(F.sort_array(F.collect_list("name"), asc=False), ", ").alias("composer"))
@@ -624,7 +664,14 @@ def disc_choices(spark, sf):
     return assign.disc_choices(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("release_id"), (F.col("l_suppkey") % 2).alias("medium_pos"), F.concat(F.lit("d"), (F.col("l_suppkey") % 5).cast("string")).alias("disc_id")))
 
 
-@query("best_assignment")
+@query("best_assignment", """
+with recursive c as (select distinct l_orderkey as release_id, l_linenumber as t, cast(l_suppkey % 8 as int) as s, l_partkey % 2 as residual from lineitem),
+k as (select release_id, t, list(s) filter (residual = 0) as options, row_number() over (partition by release_id order by t) as i, count(*) over (partition by release_id) as n from c group by release_id, t),
+a as (select k.release_id, i, n, [s] as chosen, [t] as places from k, lateral (select unnest(options) as s) where i = 1
+  union all select a.release_id, k.i, k.n, list_append(a.chosen, s), list_append(a.places, t) from a join k on k.release_id = a.release_id and k.i = a.i + 1, lateral (select unnest(k.options) as s) where not list_contains(a.chosen, s)),
+b as (select release_id, min(chosen) as chosen, any_value(places) as places from a where i = n group by 1)
+select release_id, 1 as medium_pos, cast(unnest(places) as int) as track_pos, unnest(chosen) as stream_index from b
+""")
 def best_assignment(spark, sf):
     l = table(spark, sf, "lineitem")
     return assign.best_assignment(l.select(F.col("l_orderkey").alias("release_id"), F.lit(1).alias("medium_pos"), F.col("l_linenumber").alias("track_pos"), (F.col("l_suppkey") % 8).cast("int").alias("stream_index"), (F.col("l_partkey") % 2).alias("residual")))
@@ -834,3 +881,56 @@ def configuration_choice(spark, sf):
     best = assign.best_configuration(assign.configuration_score(chosen, v, ["l_orderkey", "configuration"]), ["l_orderkey"])
     kept = assign.apply_choice(chosen, best, ["l_orderkey", "configuration"]).select("l_orderkey", "configuration").distinct()
     return best.join(kept, ["l_orderkey", "configuration"]).select("l_orderkey", "configuration", F.col("score").cast("long").alias("score"), F.col("confidence_min").cast("long").alias("confidence_min"), F.col("unmatched").cast("long").alias("unmatched"))
+
+
+# -- reports and tags of files ---------------------------------------------------------------------------------------------------
+
+
+@query("mismatch_report", f"""
+with l as ({LINES}), t as (select distinct l_suppkey as release_group_id, l_orderkey as release_id, l_linenumber as medium_pos, case when l_partkey % 4 > 0 then l_partkey end as disc_id, cast(pos as int) as track_pos,
+    cast(l_quantity as int) as stream_index, l_returnflag as fingerprint_id from l union select distinct l_suppkey, l_orderkey, l_linenumber, case when l_partkey % 4 > 0 then l_partkey end, cast(pos as int), cast(l_quantity as int) + cast(l_suppkey % 3 as int), l_linestatus from l),
+v as (select l_partkey as disc_id, cast(pos as int) as track_pos, l_suppkey % 5 as "offset", max(cast(case when l_tax > 0.04 then l_quantity else 0 end as bigint)) as conf_v1, max(cast(l_suppkey % 2 as bigint)) as conf_v2, max(l_suppkey % 6) as total from l group by all),
+p as (select release_group_id, release_id, medium_pos, disc_id, track_pos, count(distinct stream_index) as streams, count(distinct fingerprint_id) as prints from t group by all),
+o as (select p.*, "offset", conf_v1, conf_v2, total from p join v on p.disc_id = v.disc_id and p.track_pos = v.track_pos where total > 0),
+d as (select l_orderkey as release_id, l_linenumber as medium_pos, cast(pos as int) as track_pos, cast(l_quantity as int) as stream_index, l_returnflag as a, l_linestatus as b from l where l_discount > 0.05)
+select distinct release_group_id, release_id, medium_pos, disc_id, null::int as track_pos, 'no_disc' as kind, null::bigint as "offset", null::bigint as conf_v1, null::bigint as conf_v2, null::bigint as conf_total, null::int as conf_max, null::int as stream_index,
+  null as field, null as file_value, null as database_value from p where disc_id is null
+union all select release_group_id, release_id, medium_pos, disc_id, track_pos, 'votes', "offset", conf_v1, conf_v2, total, 6, null, null, null, null from o where conf_v1 + conf_v2 > 0
+union all select release_group_id, release_id, medium_pos, disc_id, track_pos, 'bad_rip', null, null, null, null, null, null, null, null, null from o group by all having max(conf_v1 + conf_v2) = 0
+union all select release_group_id, release_id, medium_pos, disc_id, track_pos, 'several_streams', null, null, null, null, null, null, null, null, null from p where disc_id is not null and streams > 1
+union all select release_group_id, release_id, medium_pos, disc_id, track_pos, 'several_fingerprints', null, null, null, null, null, null, null, null, null from p where disc_id is null and prints > 1
+union all select release_group_id, t.release_id, t.medium_pos, disc_id, t.track_pos, 'field', null, null, null, null, null, t.stream_index, 'title', a, b from (select distinct release_group_id, release_id, medium_pos, disc_id, track_pos, stream_index from t) t
+  join d on d.release_id = t.release_id and d.medium_pos = t.medium_pos and d.track_pos = t.track_pos and d.stream_index = t.stream_index
+""")
+def mismatch_report(spark, sf):
+    """Lines as tracks, a quarter of them on media without a disc, with votes and one differing tag."""
+    l = lines(spark, sf).withColumn("pos", F.col("pos").cast("int")).withColumn("q", F.col("l_quantity").cast("int"))
+    place = [F.col("l_suppkey").alias("release_group_id"), F.col("l_orderkey").alias("release_id"), F.col("l_linenumber").alias("medium_pos"), F.when(F.col("l_partkey") % 4 > 0, F.col("l_partkey")).alias("disc_id"), F.col("pos").alias("track_pos")]
+    one = l.select(*place, F.col("q").alias("stream_index"), F.col("l_returnflag").alias("fingerprint_id"))
+    other = l.select(*place, (F.col("q") + (F.col("l_suppkey") % 3).cast("int")).alias("stream_index"), F.col("l_linestatus").alias("fingerprint_id"))
+    v = l.groupBy(F.col("l_partkey").alias("disc_id"), F.col("pos").alias("track_pos"), (F.col("l_suppkey") % 5).alias("offset")).agg(F.max(F.when(F.col("l_tax") > 0.04, F.col("l_quantity")).otherwise(0).cast("long")).alias("conf_v1"), F.max((F.col("l_suppkey") % 2).cast("long")).alias("conf_v2"), F.max(F.col("l_suppkey") % 6).alias("total"), F.lit(6).alias("max"))
+    d = l.where("l_discount > 0.05").select(F.col("l_orderkey").alias("release_id"), F.col("l_linenumber").alias("medium_pos"), F.col("pos").alias("track_pos"), F.col("q").alias("stream_index"), F.lit("title").alias("field"), F.col("l_returnflag").alias("file_value"), F.col("l_linestatus").alias("database_value"))
+    return report.mismatch_report(one.unionByName(other), v, d)
+
+
+@query("configuration_lines", f"""
+with c as (select l_orderkey as release_id, l_linenumber % 2 as medium_pos, l_linenumber as track_pos, case when l_suppkey % 3 > 0 then l_suppkey end as s, l_partkey % 9 - 4 as residual from lineitem)
+select release_id, medium_pos, track_pos, coalesce(string_agg(s || ' [' || residual || ']', ' ' order by abs(residual), s, residual) filter (s is not null), 'UNASSIGNED') as line from c group by 1, 2, 3
+""")
+def configuration_lines(spark, sf):
+    l = table(spark, sf, "lineitem")
+    return report.configuration_lines(l.select(F.col("l_orderkey").alias("release_id"), (F.col("l_linenumber") % 2).alias("medium_pos"), F.col("l_linenumber").alias("track_pos"), F.when(F.col("l_suppkey") % 3 > 0, F.col("l_suppkey")).alias("stream_index"), (F.col("l_partkey") % 9 - 4).alias("residual")))
+
+
+@query("tag_scan", """
+select o_orderkey, o_orderstatus || '=é' as title, o_orderpriority as sort_artist, cast(o_custkey as varchar) as track, ['mood'] as unknown from orders
+""")
+def tag_scan(spark, sf):
+    """Orders written as FLAC files with comments, and their tags read back into records."""
+    tag = lambda name, c: F.concat(F.lit(f"{name}="), F.coalesce(c.cast("string"), F.lit("")))
+    sized = lambda c: F.concat(exprs.le32(F.octet_length(c)), F.hex(c))
+    cells = [tag("TITLE", F.concat("o_orderstatus", F.lit("=é"))), tag("ArtistSort", F.col("o_orderpriority")), tag("tracknumber", F.col("o_custkey")), tag("mood", F.col("o_orderstatus"))]
+    body = F.concat(sized(F.lit("vendor")), exprs.le32(F.lit(len(cells))), *map(sized, cells))
+    head = F.concat(F.lit("84"), F.lpad(F.hex(F.call_function("div", F.length("body"), F.lit(2)).cast("int")), 6, "0"))
+    files = table(spark, sf, "orders").withColumn("body", body).select("o_orderkey", F.unhex(F.concat(F.hex(F.lit("fLaC")), head, "body")).alias("content"))
+    return tags.tag_record(container_tags.decode_tags(files), "o_orderkey").select("o_orderkey", "title", "sort_artist", "track", "unknown")

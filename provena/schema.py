@@ -22,6 +22,7 @@ ARRIVALS = "service STRING, arrival DOUBLE, ordinal INT"
 #: Fixed values of the audio format and of the services.
 SAMPLES_PER_SECTOR, SECTORS_PER_SECOND, LEAD_IN = 588, 75, 150
 SKIP_HEAD, SKIP_TAIL = 2940, 2940
+CRC_EDGE, CRC_POLYNOMIAL = 5881, 0xEDB88320
 MISSING_METADATA = 10_000
 INTERVALS = {"rip_database": 1 / 2, "fingerprint": 1 / 3, "catalogue": 1.0}
 PAGE_SIZE, RETRIES, RETRY_PAUSE_S = 25, 5, 5

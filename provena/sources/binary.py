@@ -1,4 +1,4 @@
-"""Binary responses and audio: decoders, and data sources that read files of them.
+"""Binary responses and audio: decoders, and a reader of files of them.
 
 Decoders yield one tuple per row and raise ValueError on truncated or malformed octets. As expressions they work on a BINARY column
 (decode_rip, decode_eac, decode_wav), whole Arrow batches at a time.

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from provena.operators import assign, checksum, cover, discs, limiter, merge, tags, votes
+from provena.operators import assign, checksum, cover, discs, limiter, merge, report, tags, votes
 from provena.schema import MATCHES, WORK_RELATIONS
 
 M = 1 << 32
@@ -258,7 +258,7 @@ def test_configurations(spark):
 def test_slots_equal_the_recurrence(spark, arrivals):
     arrivals = sorted(arrivals)
     d = spark.createDataFrame([("s", a, i) for i, a in enumerate(arrivals)], "service string, arrival long, ordinal int")
-    got = [r["slot"] for r in limiter.rate_slots(d, F.lit(3), order=["arrival", "ordinal"]).orderBy("ordinal").collect()]
+    got = [r["slot"] for r in limiter.rate_slots(d, F.lit(3), order=["arrival", "ordinal"], calls=2).orderBy("ordinal").collect()]
     want = []
     for a in arrivals:
         want.append(max(a, want[-1] + 3) if want else a)
@@ -290,3 +290,61 @@ def test_request_and_answer(spark):
 def test_valid_configuration(spark, bad):
     d = spark.createDataFrame([(1, 5), (1, 5 if bad else 6)], "c int, stream_index int")
     assert cover.valid_configurations(d, ["c"]).first()["valid"] is not bad
+
+
+@quick
+@given(st.binary(max_size=40), st.binary(max_size=40))
+def test_crc_of_two_parts(a, b):
+    assert checksum.crc_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+@pytest.mark.parametrize("n", [1, 5, 9, 40])
+def test_track_crcs(spark, n):
+    x = [k * 2654435761 % 2**32 for k in range(n)]
+    octets = lambda part: zlib.crc32(b"".join(v.to_bytes(4, "little") for v in part)) if part else None
+    s = spark.createDataFrame([(1, k + 1, v) for k, v in enumerate(x)], "stream_index int, j long, s long")
+    got = checksum.track_crcs(s, spark.createDataFrame([(1, n)], "stream_index int, n long"), ["stream_index"], edge=5, block=4).first()
+    assert got.asDict() == {"stream_index": 1, "head": octets(x[:5]), "body": octets(x[5:-5]), "tail": octets(x[max(5, n - 5):]), "whole": octets(x)}
+
+
+def test_slots_of_a_service_over_many_slices(spark):
+    arrivals = [(s, a * 0.75 if a % 50 else 1.0, a) for s in ("x", None) for a in range(200)]
+    d = spark.createDataFrame(sorted(arrivals, key=lambda r: (str(r[0]), r[1], r[2])), "service string, arrival double, ordinal int")
+    got = {}
+    for r in limiter.rate_slots(d, F.lit(0.5), order=["arrival", "ordinal"], calls=4).orderBy("service", "arrival", "ordinal").collect():
+        got.setdefault(r["service"], []).append((r["arrival"], r["slot"]))
+    for rows_ in got.values():
+        last = None
+        for arrival, slot in rows_:
+            last = arrival if last is None else max(arrival, last + 0.5)
+            assert abs(slot - last) < 1e-9
+    assert sum(map(len, got.values())) == len(arrivals)
+
+
+def test_report(spark):
+    t = spark.createDataFrame([("g", "r", 1, "d", 1, 0, "f"), ("g", "r", 1, "d", 1, 1, "f"), ("g", "r", 1, "d", 2, 2, "f"), ("g", "r", 2, None, 1, 3, "f"), ("g", "r", 2, None, 1, 3, "h")], "release_group_id string, release_id string, medium_pos int, disc_id string, track_pos int, stream_index int, fingerprint_id string")
+    v = spark.createDataFrame([("d", 1, 0, 0, 0, 5, 5), ("d", 2, 0, 0, 0, 5, 5), ("d", 2, 6, 1, 2, 5, 5), ("e", 1, 0, 1, 1, 2, 2)], "disc_id string, track_pos int, offset long, conf_v1 long, conf_v2 long, total long, max int")
+    d = spark.createDataFrame([("r", 2, 1, 3, "title", "a", "b"), ("r", 9, 1, 3, "title", "a", "b")], "release_id string, medium_pos int, track_pos int, stream_index int, field string, file_value string, database_value string")
+    got = sorted((r["kind"], r["medium_pos"], r["track_pos"] or 0, r["offset"], r["field"]) for r in report.mismatch_report(t, v, d).collect())
+    assert got == [("bad_rip", 1, 1, None, None), ("field", 2, 1, None, "title"), ("no_disc", 2, 0, None, None), ("several_fingerprints", 2, 1, None, None), ("several_streams", 1, 1, None, None), ("votes", 1, 2, 6, None)]
+
+
+def test_from_samples_to_the_report(spark):
+    """The steps of the main pipeline in order: checksums at offsets, votes, prune, tags, differences, report."""
+    s = spark.createDataFrame([("d", t, j, t * 1000003 * j % 2**32) for t in (1, 2) for j in range(1, 31)], "disc string, track_pos int, j long, s long")
+    sums = checksum.checksums_at_offsets(s, [-1, 0, 1], head=3, tail=3).withColumnRenamed("disc", "disc_id")
+    crc = sums.where("offset = 1 and track_pos = 1").first()["v2"]
+    answers = spark.createDataFrame([("d", 1, crc, 7), ("d", 1, crc + 1, 2), ("d", 2, 5, 3)], "disc_id string, track_pos int, crc long, confidence int")
+    voted = votes.vote_aggregate(sums, answers)
+    placed = spark.createDataFrame([("g", "r", 1, "d", 1, 0, "f"), ("g", "r", 1, "d", 2, 1, "h")], "release_group_id string, release_id string, medium_pos int, disc_id string, track_pos int, stream_index int, fingerprint_id string")
+    place = ["release_id", "medium_pos", "track_pos", "stream_index"]
+    kept = placed.select(*place)
+    files, catalogue = kept.withColumn("title", F.lit("Song")), kept.withColumn("title", F.when(F.col("track_pos") == 1, "Song").otherwise("Other"))
+    diffs = tags.field_diff(files, catalogue, place, ("title",))
+    got = sorted((r["kind"], r["track_pos"], r["offset"], r["conf_v2"], r["conf_total"], r["database_value"]) for r in report.mismatch_report(placed, voted, diffs).collect())
+    assert got == [("bad_rip", 2, None, None, None, None), ("field", 2, None, None, None, "Other"), ("votes", 1, 1, 7, 9, None)]
+
+
+def test_configuration_lines(spark):
+    c = spark.createDataFrame([("r", 1, 1, 4, -2), ("r", 1, 1, 2, 0), ("r", 1, 2, None, None)], "release_id string, medium_pos int, track_pos int, stream_index int, residual int")
+    assert sorted(map(tuple, report.configuration_lines(c).collect())) == [("r", 1, 1, "2 [0] 4 [-2]"), ("r", 1, 2, "UNASSIGNED")]

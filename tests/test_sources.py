@@ -79,3 +79,19 @@ def test_descriptions(spark):
     </recording></recordings></result></results></fingerprint></fingerprints></response>"""
     r = lookup_xml.descriptions(spark.createDataFrame([("k", body)], "lookup string, body string"), ["lookup"]).first()
     assert (r["artist"], r["title"], r["release_title"], r["date"], r["track"]) == ("A & B", "T", "L", "1999-02", "4")
+
+
+def test_container_tags(spark):
+    from provena.sources import container_tags
+
+    u = lambda x, n=4, order="little": x.to_bytes(n, order)
+    cells = ["TITLE=A=b".encode(), "AlbumArtist=É".encode(), b"bare"]
+    body = u(1) + b"v" + u(len(cells)) + b"".join(u(len(c)) + c for c in cells)
+    flac = b"fLaC" + u(0, 1) + u(3, 3, "big") + b"xyz" + u(0x84, 1) + u(len(body), 3, "big") + body
+    info = b"INFO" + b"INAM" + u(3) + b"So\0" + b"\0" + b"XYZW" + u(2) + b"q\0"
+    riff = b"RIFF" + u(0) + b"WAVE" + b"LIST" + u(len(info)) + info
+    d = spark.createDataFrame([("f", bytearray(flac)), ("w", bytearray(riff)), ("o", bytearray(b"OggS")), ("n", None), ("e", bytearray())], "path string, content binary")
+    got = sorted(map(tuple, container_tags.decode_tags(d).collect()))
+    assert got == [("f", "album_artist", "É"), ("f", "bare", ""), ("f", "title", "A=b"), ("w", "XYZW", "q"), ("w", "title", "So")]
+    with pytest.raises(ValueError):
+        list(container_tags.tag_rows(flac[:-2]))
