@@ -376,6 +376,20 @@ def op6_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+OP6_SQL = r"""
+with d as (select row_number() over () as row, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
+b as (select cast(item_id as varchar) as item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as v from benchmark where text is not null),
+v as (select item_id, v, least(10, len(v)) as n from b where len(v) > 0),
+g as (select distinct item_id, n, array_to_string(v[i:i + n - 1], ' ') as gram from (select *, unnest(generate_series(1, len(v) - n + 1)) as i from v)),
+s as (select row, n, i, array_to_string(w[i:i + n - 1], ' ') as gram from (select row, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from d, (select distinct n from g) where len(w) >= n)),
+h as (select distinct row, s.n, i, item_id from s join g on s.n = g.n and s.gram = g.gram),
+hit as (select row, count(distinct p) as n_hit from (select row, unnest(generate_series(i, i + n - 1)) as p from h) group by 1),
+items as (select row, list_sort(list(distinct item_id)) as ids from h where item_id is not null group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, cast(coalesce(len(ids), 0) as bigint) as n_items, sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, n_hit is not null as contaminated
+from d left join hit using (row) left join items using (row)
+"""
+
+
 def brute_force(texts: list[bytes | None], items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
     """(n_words, n_hit, n_items, items_sha256, contaminated) of each text, by looking at every place."""
     rows = []

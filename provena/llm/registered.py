@@ -1,6 +1,6 @@
 """The queries of this package and their SQL, for __spark_entry__.py."""
 
-from .decontamination import op6_decontamination
+from .decontamination import OP6_SQL, op6_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .html_extract import op3_html_extraction
 from .licenses import op9_license_scans
@@ -8,7 +8,7 @@ from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import OP8_SQL, op8_mixing
 from .ngram_join import OP2_SQL, op2_ngram_join
 from .quality import op10_quality
-from .sharding import op7_sharding
+from .sharding import OP7_SQL, op7_sharding
 from .toxicity import op4_toxicity
 
 QUERIES = {
@@ -27,5 +27,7 @@ ORACLES = {
     "op1_line_dedup": OP1_SQL,
     "op2_ngram_join": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op6_decontamination": OP6_SQL,
+    "op7_sharding": OP7_SQL,
     "op8_mixing": OP8_SQL,
 }

@@ -68,3 +68,15 @@ def op7_sharding(spark, sf_dir, shards: int = 8):
     rows = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     out = shard_records(rows, [1.0] * shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", rendezvous(F.col("doc_id"), [1.0] * (shards + 1)).alias("grown_shard"))
+
+
+OP7_SQL = """
+with t as (select n, list_reduce(list_prepend(n, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from (select unnest(range(256)) as n)),
+crc as (select list(c order by n) as t from t),
+r as (select doc_id, coalesce('k' || cast(doc_id as varchar), 'null') as key, cast(strlen(coalesce(text, '')) + 1 as bigint) as size, hex(encode(coalesce(text, ''))) as h from documents),
+o as (select *, list_transform(range(0, len(h) // 2), lambda i: 16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1) as octets from r),
+c as (select doc_id, key, size, cast(xor(list_reduce(list_prepend(4294967295, octets), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) as bigint) as text_crc32,
+  list_transform(range(9), lambda i: -ln((cast(('0x' || substr(md5(key || ':s1:' || i), 1, 13))::bigint as double) + 0.5::double) / 4503599627370496::double)) as cost, ('0x' || substr(md5(key || ':cell'), 1, 13))::bigint % 1024 as cell from o, crc),
+s as (select *, cast(list_position(cost[1:8], list_min(cost[1:8])) - 1 as int) as shard, cast(list_position(cost, list_min(cost)) - 1 as int) as grown_shard from c)
+select doc_id, size, text_crc32, 'key' as law, shard, cast(row_number() over (partition by shard order by cell, doc_id nulls last, size, text_crc32) - 1 as bigint) as slot, grown_shard from s
+"""

@@ -13,7 +13,7 @@ DOCS = "doc_id long, text string, source string"
 ODD = [(3, "a  b", "s"), (1, "a\tb", "s"), (2, "a b ", None), (None, "a b", "s"), (7, None, "t"), (5, "", "t"), (5, "", "t"), (None, "only null", None), (None, "only null", None), (9, "x" * 200_000, "s"), (8, "c", "")]
 
 
-@pytest.mark.parametrize("name", ["op5_exact_dedup", "op8_mixing"])
+@pytest.mark.parametrize("name", ["op6_decontamination", "op7_sharding", "op5_exact_dedup", "op8_mixing"])
 def test_same_as_sql(name, spark, sf, same_rows):
     same_rows(registered.QUERIES[name](spark, sf), registered.ORACLES[name])
 
