@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+# assign_exact goes to executors with its code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def ranked_candidates(candidates: DataFrame, track: list[str], stream: str = "stream_index") -> DataFrame:
     """Candidates of each track by absolute residual, ties in order of the stream."""
@@ -56,18 +63,17 @@ def best_assignment(candidates: DataFrame, release: str = "release_id") -> DataF
 
     candidates: release, medium_pos, track_pos, stream_index, residual. A release is one group: its tracks are few.
     """
-    kind = candidates.schema[release].dataType.simpleString()
-
-    def assign(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["medium_pos", "track_pos", "stream_index"])
-        tracks = list(dict.fromkeys(zip(p["medium_pos"].tolist(), p["track_pos"].tolist())))
-        fit = p[p["residual"] == 0]
-        options = {t: g["stream_index"].drop_duplicates().tolist() for t, g in fit.groupby(["medium_pos", "track_pos"])}
-        found = assign_exact(tracks, options) if len(options) == len(tracks) else None
-        rows = [(p[release].iloc[0], *t, s) for t, s in (found or {}).items()]
-        return pd.DataFrame(rows, columns=[release, "medium_pos", "track_pos", "stream_index"])
-
-    return candidates.groupBy(release).applyInPandas(assign, f"{release} {kind}, medium_pos int, track_pos int, stream_index int")
+    per = candidates.groupBy(release, "medium_pos", "track_pos").agg(F.sort_array(F.collect_set(F.when(F.col("residual") == 0, F.col("stream_index")))).alias("options"))
+    rows = per.groupBy(release).agg(F.sort_array(F.collect_list(F.struct("medium_pos", "track_pos", "options"))).alias("tracks"))
+    fillable = rows.where(F.forall("tracks", lambda t: F.size(t["options"]) > 0))
+
+    def assign(options: pd.Series) -> pd.Series:
+        found = (assign_exact(list(range(len(x))), {k: list(y) for k, y in enumerate(x)}) for x in options)
+        return pd.Series([None if f is None else [f[k] for k in range(len(f))] for f in found])
+
+    chosen = F.pandas_udf(assign, T.ArrayType(T.IntegerType()))(F.transform("tracks", lambda t: t["options"].cast("array<int>")))
+    pairs = fillable.withColumn("chosen", chosen).where("chosen is not null").select(release, F.explode(F.arrays_zip("tracks", "chosen")).alias("x"))
+    return pairs.select(release, *(F.col(f"x.tracks.{c}").cast("int").alias(c) for c in ("medium_pos", "track_pos")), F.col("x.chosen").alias("stream_index"))
 
 
 def configuration_score(chosen: DataFrame, voted: DataFrame, configuration: list[str]) -> DataFrame:
