@@ -2,6 +2,7 @@
 
 from .decontamination import OP6_SQL, op6_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .filter_audit import OP11_SQL, op11_filter_audit
 from .html_extract import op3_html_extraction
 from .licenses import op9_license_scans
 from .line_dedup import OP1_SQL, op1_line_dedup
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_license_scans": op9_license_scans,
     "op10_quality": op10_quality,
+    "op11_filter_audit": op11_filter_audit,
 }
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
@@ -30,4 +32,5 @@ ORACLES = {
     "op6_decontamination": OP6_SQL,
     "op7_sharding": OP7_SQL,
     "op8_mixing": OP8_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
