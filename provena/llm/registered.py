@@ -10,6 +10,7 @@ from .mixing import OP8_SQL, op8_mixing
 from .ngram_join import OP2_SQL, op2_ngram_join
 from .quality import op10_quality
 from .sharding import OP7_SQL, op7_sharding
+from .topk_search import OP13_SQL, op13_topk_search
 from .toxicity import op4_toxicity
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_license_scans": op9_license_scans,
     "op10_quality": op10_quality,
     "op11_filter_audit": op11_filter_audit,
+    "op13_topk_search": op13_topk_search,
 }
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
@@ -33,4 +35,5 @@ ORACLES = {
     "op7_sharding": OP7_SQL,
     "op8_mixing": OP8_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op13_topk_search": OP13_SQL,
 }
