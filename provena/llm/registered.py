@@ -1,5 +1,6 @@
 """The queries of this package and their SQL, for __spark_entry__.py."""
 
+from .collocations import OP12_SQL, op12_collocations
 from .decontamination import OP6_SQL, op6_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .filter_audit import OP11_SQL, op11_filter_audit
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_license_scans": op9_license_scans,
     "op10_quality": op10_quality,
     "op11_filter_audit": op11_filter_audit,
+    "op12_collocations": op12_collocations,
     "op13_topk_search": op13_topk_search,
 }
 ORACLES = {
@@ -35,5 +37,6 @@ ORACLES = {
     "op7_sharding": OP7_SQL,
     "op8_mixing": OP8_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op12_collocations": OP12_SQL,
     "op13_topk_search": OP13_SQL,
 }
