@@ -4,10 +4,13 @@ Folding: lower case; look-alikes of other alphabets and full-width forms become
 become them (signs only inside a word); invisible characters go; what is left of punctuation becomes a space. Words and
 phrases are matched with a space on either side, all in one automaton pass over the whole text.
 
-The lexicon is learned from labelled rows: words whose frequency among toxic rows exceeds that among others, weighted by the log of the ratio. What counts
-among toxic rows is in how many different surroundings (word before, word after) a word stands, since the prose of a few copied rows always stands in the
-same ones; and the excess must be one that chance does not give among all words (log-likelihood ratio SURE). Exception phrases are learned too: a lexicon word with its neighbour before or after, where the pair occurs in several clean
-rows and in no toxic one; a match takes the word's weight back. Both can be given instead. A logistic regression over the sum of weights,
+An entry is a whole word or a phrase, or a beginning of words, written with a star (`stem*`), which matches with a boundary on its left only: where endings vary, whole
+words are rare. Of the entries that match at a place the longest counts.
+
+The lexicon is learned from labelled rows: words, and beginnings of BEGINNINGS letters, that occur more often in toxic rows than in others, weighted by the log of
+the ratio. Occurrences count, at most REPEATS a row, since toxic rows hold many such words where a clean one holds one by chance; the excess must be one that
+chance does not give among all words (log-likelihood ratio SURE). Exception phrases are learned too: a word that an entry matches with its neighbour before or after, where the
+pair occurs in several clean rows and in no toxic one; a match takes the word's weight back. Both can be given instead. A logistic regression over the sum of weights,
 the sum over the length, the number of different entries, the largest weight and the length gives the score; it is fitted on rows
 that the lexicon has not seen. The sample is at most MAX_TRAIN labelled rows.
 
@@ -25,7 +28,6 @@ import re
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +37,8 @@ from .learning import fold_of, logistic, training_sample
 
 MAX_TRAIN = 24_000
 MIN_ROWS, MIN_WEIGHT, SURE = 3, 1.8, 24.0
+#: Letters of the beginnings of words that may become entries; occurrences of an entry in a row that count.
+BEGINNINGS, REPEATS = (5, 6, 7, 8), 3
 REJECT = 0.7
 
 #: Letters of other alphabets that look like Latin ones.
@@ -74,7 +78,7 @@ def folded(text: str) -> str:
 
 @dataclass
 class Lexicon:
-    """Folded words and phrases with weights; exceptions have negative ones. coefficients: of the five features, then the constant."""
+    """Folded words, phrases and beginnings of words with weights; exceptions have negative ones. coefficients: of the five features, then the constant."""
 
     weights: dict[str, float]
     coefficients: list[float] = field(default_factory=lambda: [0.0] * 6)
@@ -82,7 +86,7 @@ class Lexicon:
     def automaton(self):
         a = ahocorasick.Automaton()
         for k, w in self.weights.items():
-            a.add_word(f" {k} ", (k, w))
+            a.add_word(f" {k[:-1]}" if k.endswith("*") else f" {k} ", (k, w))
         if len(a):
             a.make_automaton()
         return a
@@ -92,19 +96,43 @@ def matches(a, text: str | None) -> tuple[list[float], int]:
     """Features of a text, and how many entries it matched."""
     t = " ".join(folded(text or "").split())
     n = t.count(" ") + 1 if t else 0
-    total, top, kinds = 0.0, 0.0, set()
+    total, found = 0.0, {}  # found: by the place where it begins, the longest entry
     if len(a) and t:
-        for _, (k, w) in a.iter(f" {t} "):
-            total += w
-            if w > 0:
-                top = max(top, w)
-                kinds.add(k)
-    total = max(total, 0.0)
-    return [np.log1p(total), np.log1p(1000 * total / (n + 20)), np.log1p(len(kinds)) if total else 0.0, top if total else 0.0, np.log1p(n)], len(kinds) if total else 0
+        for end, (k, w) in a.iter(f" {t} "):
+            if w < 0:
+                total += w
+                continue
+            size = len(k) if k.endswith("*") else len(k) + 2
+            at = end - size + 1
+            if at not in found or found[at][0] < size:
+                found[at] = size, k, w
+    total = max(total + sum(w for _, _, w in found.values()), 0.0)
+    if not total:
+        return [0.0, 0.0, 0.0, 0.0, np.log1p(n)], 0
+    kinds, top = len({k for _, k, _ in found.values()}), max(w for _, _, w in found.values())
+    return [np.log1p(total), np.log1p(1000 * total / (n + 20)), np.log1p(kinds), top, np.log1p(n)], kinds
+
+
+def entry_of(word: str, weights: dict[str, float]) -> str | None:
+    """The longest entry that matches a folded word."""
+    if word in weights:
+        return word
+    return next((k for k in (f"{word[:m]}*" for m in sorted(BEGINNINGS, reverse=True) if len(word) >= m) if k in weights), None)
+
+
+def occurrences(text: str) -> Counter:
+    """How often each folded word and each beginning of words occurs, up to REPEATS."""
+    words = Counter(folded(text).split())
+    out = Counter(words)
+    for w, n in words.items():
+        for m in BEGINNINGS:
+            if len(w) >= m:
+                out[f"{w[:m]}*"] += n
+    return Counter({k: min(n, REPEATS) for k, n in out.items()})
 
 
 def _counted(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[pa.RecordBatch]:
-    """Rows (key, pos, neg): in how many toxic and other rows of this partition each key of keys_of(text) occurs."""
+    """Rows (key, pos, neg): how often each key of keys_of(text) occurs in toxic and other rows of this partition."""
     counts = (Counter(), Counter())
 
     def flush():
@@ -122,20 +150,10 @@ def _counted(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[pa.RecordBa
     yield flush()
 
 
-def _document_frequencies(rows: DataFrame, keys_of) -> DataFrame:
+def _frequencies(rows: DataFrame, keys_of) -> DataFrame:
     return rows.select("text", "y").mapInArrow(lambda b: _counted(b, keys_of), "key string, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, around): each word with a hash of the words before and after it."""
-    for b in batches:
-        found = set()
-        for text in b.column(0).to_pylist():
-            w = ["", *folded(text.decode()).split(), ""]
-            found.update((x, xxhash.xxh64_intdigest(f"{before} {after}") >> 1) for before, x, after in zip(w, w[1:], w[2:]))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([h for _, h in found], pa.int64())], names=["key", "around"])
-
-
 def fit(sample: DataFrame, given: Lexicon | None = None) -> Lexicon:
     """The lexicon and its calibration from rows (id, text, y) of training_sample()."""
     part = F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(3))
@@ -144,24 +162,22 @@ def fit(sample: DataFrame, given: Lexicon | None = None) -> Lexicon:
     if lexicon is None:
         n = {r["y"]: r["n"] for r in first.groupBy(F.when(F.col("y") > 0, 1).otherwise(0).alias("y")).agg(F.count("*").alias("n")).collect()}
         p, q = n.get(1, 0), n.get(0, 0)
-        frequencies = _document_frequencies(first, lambda t: set(folded(t).split())).where(F.col("pos") >= MIN_ROWS)
-        around = first.where("y > 0").select("text").mapInArrow(_surroundings, "key string, around long").distinct().groupBy("key").agg(F.count("*").alias("kinds"))
-        pos, neg, weight = F.least("pos", "kinds"), F.col("neg"), F.log((F.col("pos") + 0.5) / (p + 1.0)) - F.log((F.col("neg") + 0.5) / (q + 1.0))
-        share = lambda x, n: F.when(x > 0, x * F.log(x * (p + q) / ((F.col("pos") + neg) * n))).otherwise(0.0)
-        counted = frequencies.join(around, "key").withColumn("pos", pos)
-        found = counted.where(F.col("pos") >= MIN_ROWS).withColumn("w", weight).where((F.col("w") >= MIN_WEIGHT) & (2 * (share(F.col("pos"), p) + share(neg, q)) >= SURE))
+        pos, neg = F.col("pos"), F.col("neg")
+        weight = F.log((pos + 0.5) / (p + 1.0)) - F.log((neg + 0.5) / (q + 1.0))
+        share = lambda x, n: F.when(x > 0, x * F.log(x * (p + q) / ((pos + neg) * n))).otherwise(0.0)
+        counted = _frequencies(first, occurrences).where(pos >= MIN_ROWS)
+        found = counted.withColumn("w", weight).where((F.col("w") >= MIN_WEIGHT) & (2 * (share(pos, p) + share(neg, q)) >= SURE))
         lexicon = Lexicon({r["key"]: float(r["w"]) for r in found.orderBy("key").collect()})  # words of at most MAX_TRAIN rows
         words = dict(lexicon.weights)
 
         def pairs(t: str) -> set[str]:
             w = folded(t).split()
-            return {p for i, x in enumerate(w) if x in words for p in ([f"{w[i - 1]} {x}"] if i else []) + ([f"{x} {w[i + 1]}"] if i + 1 < len(w) else [])}
+            return {p for i, x in enumerate(w) if entry_of(x, words) for p in ([f"{w[i - 1]} {x}"] if i else []) + ([f"{x} {w[i + 1]}"] if i + 1 < len(w) else [])}
 
         if words:
-            clean = _document_frequencies(first, pairs).where(f"pos = 0 and neg >= {MIN_ROWS}").orderBy("key").collect()
+            clean = _frequencies(first, pairs).where(f"pos = 0 and neg >= {MIN_ROWS}").orderBy("key").collect()
             for r in clean:
-                a, b = r["key"].split(" ")
-                lexicon.weights[r["key"]] = -max(words.get(a, 0.0), words.get(b, 0.0))
+                lexicon.weights[r["key"]] = -max(words.get(entry_of(x, words), 0.0) for x in r["key"].split(" "))
     held = lexicon.weights
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

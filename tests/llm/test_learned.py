@@ -67,11 +67,45 @@ def test_nothing_to_learn_from(spark):
         assert all(0 <= r["quality_score"] <= 1 for r in quality.score(d, quality.fit(s)).collect())
 
 
+def test_beginnings_of_words():
+    """A beginning matches whatever the ending; the longest entry at a place counts, and exceptions take their word's weight back."""
+    lexicon = toxicity.Lexicon({"idio*": 1.0, "idiot": 3.0, "idioma*": 0.5, "blöd*": 2.0, "the idioms": -1.0})
+    a = lexicon.automaton()
+    total = lambda t: round(float(np.expm1(toxicity.matches(a, t)[0][0])), 6)
+    assert [total(t) for t in ("idiots", "idiot", "idiomatic", "1D10M", "an video", "blöder blödes", "the idioms", "my idioms")] == [1.0, 3.0, 0.5, 1.0, 0.0, 4.0, 0.0, 1.0]
+    assert toxicity.matches(a, "idiots idioma idiotic")[1] == 2
+    assert toxicity.entry_of("idiotic", {"idiot*": 1.0}) == "idiot*" and toxicity.entry_of("idio", {"idiot*": 1.0}) is None
+
+
+def test_occurrences_are_counted_up_to_a_bound():
+    got = toxicity.occurrences("Running runner runs running RUNNING running.")
+    assert got["running"] == got["runni*"] == 3 and got["runne*"] == got["runs"] == 1 and "runs*" not in got
+
+
+def test_endings_that_training_rows_do_not_hold(spark):
+    """Held-out rows hold toxic words with endings of their own."""
+    draw = random.Random(8)
+    rows, labels = [], []
+    for i in range(900):
+        w = draw.choices([f"word{k}" for k in range(200)], k=40)
+        if i % 5 == 0:
+            for _ in range(4):
+                w.insert(draw.randint(0, 40), f"schuft{draw.randint(0, 10**6)}x")
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 5 == 0)))
+    d, l = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    keep = toxicity.fold_of("doc_id", 3) != 1
+    got = toxicity.score(d.where(~keep), toxicity.fit(learning.training_sample(d, l, "toxic", keep, 10_000))).collect()
+    assert len(got) > 200 and all((r["toxicity"] >= 0.7) == (r["doc_id"] % 5 == 0) for r in got)
+
+
 def test_op4_on_held_out_rows(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     got = registered.QUERIES["op4_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
-    assert len(got) > 50 and np.mean([(r["predicted"] == 1) == (r["toxic"] == 1) for r in got]) > 0.9
-    assert not any(r["predicted"] == 1 and r["toxic"] == 0 for r in got)
+    said, true, scores = np.array([r["predicted"] == 1 for r in got]), np.array([r["toxic"] == 1 for r in got]), np.array([r["score"] for r in got])
+    assert len(got) > 1000 and (said & true).sum() >= 0.9 * true.sum() and (said & true).sum() >= 0.95 * said.sum()
+    above = [(s > scores[~true]).mean() + (s == scores[~true]).mean() / 2 for s in scores[true]]
+    assert np.mean(above) >= 0.97
 
 
 # -- quality ------------------------------------------------------------------------------------------------------------------------
