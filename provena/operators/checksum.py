@@ -101,14 +101,19 @@ def _times(a: int, b: int) -> int:
     return out
 
 
-def crc_combine(first: int, second: int, n: int) -> int:
-    """CRC-32 of two runs of octets, one after the other, from their own ones; n: octets of the second."""
+def _power(n: int) -> int:
+    """x to the 8 * n-th: what n octets of zeros multiply a remainder by."""
     power, square = 1 << 31, 1 << 23  # 1 and x to the 8th
     while n:
         if n & 1:
             power = _times(power, square)
         square, n = _times(square, square), n >> 1
-    return _times(power, first) ^ second
+    return power
+
+
+def crc_combine(first: int, second: int, n: int) -> int:
+    """CRC-32 of two runs of octets, one after the other, from their own ones; n: octets of the second."""
+    return _times(_power(n), first) ^ second
 
 
 def _crcs_of_parts(crcs: pd.Series, octets: pd.Series) -> pd.Series:
@@ -147,17 +152,40 @@ def stream_summary(samples: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, duration_seconds(F.col("_n")).alias("seconds"), duration_sectors(F.col("_n")).alias("sectors"), "v1", "v2", "crc32")
 
 
-def sliding_crc(samples: DataFrame, width: int = SAMPLES_PER_SECTOR, key: str = "stream_index") -> DataFrame:
-    """(key, start, crc32) of every window of `width` samples. There is no built-in moving CRC; give it the search slice, not whole streams."""
-    kind = samples.schema[key].dataType.simpleString()
+def _advanced(remainder: Column, octets: int) -> Column:
+    """The remainder after so many octets of zeros: multiplication by one fixed power, as a table of 256 for each of its four octets."""
+    power = _power(octets)
+    tables = [F.split(F.lit(",".join(str(_times(power, b << shift)) for b in range(256))), ",").cast("array<bigint>") for shift in (0, 8, 16, 24)]
+    found = [F.get(t, F.shiftright(remainder, shift).bitwiseAND(F.lit(255)).cast("int")) for t, shift in zip(tables, (0, 8, 16, 24))]
+    return found[0].bitwiseXOR(found[1]).bitwiseXOR(found[2]).bitwiseXOR(found[3])
 
-    def moving(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("j")
-        data, j = p["s"].to_numpy("<u4").tobytes(), p["j"].to_numpy()
-        rows = [(p[key].iloc[0], int(j[i]) - 1, zlib.crc32(data[4 * i : 4 * (i + width)])) for i in range(len(p) - width + 1) if j[i + width - 1] - j[i] == width - 1]
-        return pd.DataFrame(rows, columns=[key, "start", "crc32"])
 
-    return samples.groupBy(key).applyInPandas(moving, f"{key} {kind}, start long, crc32 long")
+def sliding_crc(samples: DataFrame, width: int = SAMPLES_PER_SECTOR, key: str = "stream_index", block: int = 65536) -> DataFrame:
+    """(key, start, crc32) of every full window of `width` contiguous samples.
+
+    The remainder of two runs is that of the first, advanced by the octets of the second, xor that of the second. So windows of 2, 4, 8, ... samples come from
+    two half as long, and `width` is put together from these: some 2 log2(width) steps, each with one fixed advance. Streams are cut into blocks of positions that also get the
+    first width - 1 samples of the next, so a stream of any length is spread over tasks. Windows with a missing or null sample are left out.
+    """
+    block = max(block, 4 * width)
+    own = lambda j: F.call_function("div", j - 1 - F.pmod(j - 1, F.lit(block)), F.lit(block))
+    j = F.col("j").cast("long")
+    blocks = F.when(F.pmod(j - 1, F.lit(block)) < width - 1, F.array(own(j) - 1, own(j))).otherwise(F.array(own(j)))
+    rows = samples.select(key, j.alias("j"), F.explode(blocks).alias("_b"), _advanced(F.col("s").cast("long"), 4).alias("_power"))
+    w = Window.partitionBy(key, "_b").orderBy("j")
+    m, done = 1, 0
+    while True:
+        if width & m:
+            rows = rows.withColumn("_crc", _advanced(F.col("_crc"), 4 * m).bitwiseXOR(F.lead("_power", done).over(w)) if done else F.col("_power"))
+            done += m
+        if 2 * m > width:
+            break
+        rows = rows.withColumn("_power", _advanced(F.col("_power"), 4 * m).bitwiseXOR(F.lead("_power", m).over(w)))
+        m *= 2
+    # registers that begin and end inverted differ from plain remainders by what as many zeros give
+    inverted = zlib.crc32(bytes(4 * width))
+    rows = rows.withColumn("_last", F.lead("j", width - 1).over(w)).where((F.col("_last") - F.col("j") == width - 1) & (own(F.col("j")) == F.col("_b")) & F.col("_crc").isNotNull())
+    return rows.select(key, (F.col("j") - 1).alias("start"), F.col("_crc").bitwiseXOR(F.lit(inverted).cast("long")).alias("crc32"))
 
 
 def find_offsets_crc(samples: DataFrame, targets: DataFrame, centre: int, half: int = 2940, width: int = SAMPLES_PER_SECTOR, key: str = "stream_index") -> DataFrame:
