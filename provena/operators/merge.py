@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from provena.operators.numbering import numbered
+
 KEYS = ["release_group_id", "release_id", "medium_pos", "track_pos", "recording_id", "fingerprint_id", "stream_index"]
 
 
@@ -77,9 +79,16 @@ def sort_groups(releases: DataFrame, group: str = "release_group_id") -> DataFra
     return releases.groupBy(group).agg(F.min("distance").alias("distance")).orderBy("distance", group)
 
 
-def permute(rows: DataFrame, permutation: DataFrame, index: str = "stream_index") -> DataFrame:
-    """Give every row the index that the permutation (old, new) has for its own."""
-    return rows.join(permutation, F.col(index) == F.col("old")).withColumn(index, F.col("new")).drop("old", "new")
+def numbered_groups(releases: DataFrame, group: str = "release_group_id") -> DataFrame:
+    """(group, distance, place): groups by the distance of their best release, numbered over all of them."""
+    best = releases.groupBy(group).agg(F.min("distance").alias("distance"))
+    return numbered(best, ["distance", group], "place")
+
+
+def permute(rows: DataFrame, permutation: DataFrame, index: str = "stream_index", keys: list[str] | None = None) -> DataFrame:
+    """Give every row the index that the permutation (old, new) has for its own; with keys, that of its own key's permutation (keys, old, new)."""
+    found = permutation.select(*[F.col(k) for k in keys or []], F.col("old").alias(index), "new")
+    return rows.join(found, [*(keys or []), index]).withColumn(index, F.col("new")).drop("new").select(rows.columns)
 
 
 def tracks_in_order(rows: DataFrame, keys: list[str], position: str = "track_pos") -> DataFrame:

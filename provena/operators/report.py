@@ -5,34 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provena.operators.numbering import numbered
+
 PLACE = ["release_group_id", "release_id", "medium_pos", "disc_id", "track_pos"]
-_CELLS = {"offset": "long", "conf_v1": "long", "conf_v2": "long", "conf_total": "long", "conf_max": "int", "stream_index": "int", "field": "string", "file_value": "string", "database_value": "string"}
+_CELLS = {"offset": "long", "conf_v1": "long", "conf_v2": "long", "conf_total": "long", "conf_max": "int", "conf_eac": "long", "eac_total": "long", "eac_max": "long", "stream_index": "int", "field": "string", "file_value": "string", "database_value": "string"}
 
 
 def _rows(found: DataFrame, kind: str, **cells: Column) -> DataFrame:
     return found.select(*PLACE, F.lit(kind).alias("kind"), *(cells.get(c, F.lit(None)).cast(t).alias(c) for c, t in _CELLS.items()))
 
 
-def mismatch_report(tracks: DataFrame, voted: DataFrame, diffs: DataFrame) -> DataFrame:
+def both_databases(voted: DataFrame, voted_eac: DataFrame) -> DataFrame:
+    """(disc_id, track_pos, offset, conf_v1, conf_v2, total, max, conf_eac, eac_total, eac_max): votes of both databases per track and offset.
+
+    What a database does not know is 0. Totals and maxima are a track's, so an offset that only one database has been asked for carries those of both.
+    """
+    key = ["disc_id", "track_pos"]
+    eac = voted_eac.select(*key, "offset", "conf_eac", F.col("total").alias("eac_total"), F.col("max").cast("long").alias("eac_max"))
+    rows = voted.select(*key, "offset", "conf_v1", "conf_v2").join(eac.select(*key, "offset", "conf_eac"), [*key, "offset"], "full")
+    rows = rows.join(voted.groupBy(*key).agg(F.max("total").alias("total"), F.max("max").alias("max")), key, "left")
+    rows = rows.join(eac.groupBy(*key).agg(F.max("eac_total").alias("eac_total"), F.max("eac_max").alias("eac_max")), key, "left")
+    return rows.fillna(0, ["conf_v1", "conf_v2", "conf_eac", "total", "max", "eac_total", "eac_max"])
+
+
+def mismatch_report(tracks: DataFrame, voted: DataFrame, diffs: DataFrame, voted_eac: DataFrame | None = None) -> DataFrame:
     """One row per finding, with its place and kind.
 
-    no_disc: a medium that no disc fits (track_pos null). votes: an offset of a disc's track that got votes. bad_rip: a track that the databases know
-    and no offset of which got any. several_streams: a track of a disc with more than one stream. several_fingerprints: a track of a medium without
+    no_disc: a medium that no disc fits (track_pos null). votes: an offset of a disc's track that got votes of either database. bad_rip: a track that one of
+    them knows and no offset of which got any. several_streams: a track of a disc with more than one stream. several_fingerprints: a track of a medium without
     discs with more than one fingerprint. field: a tag that differs from the catalogue.
 
-    tracks: PLACE (disc_id null where the medium has none), stream_index, fingerprint_id. voted: as vote_aggregate returns. diffs: release_id,
-    medium_pos, track_pos, stream_index, field, file_value, database_value.
+    tracks: PLACE (disc_id null where the medium has none), stream_index, fingerprint_id. voted: as vote_aggregate returns; voted_eac: as
+    eac_vote_aggregate returns. diffs: release_id, medium_pos, track_pos, stream_index, field, file_value, database_value.
     """
     alone = F.col("disc_id").isNull()
     places = tracks.groupBy(*PLACE).agg(F.count_distinct("stream_index").alias("_streams"), F.count_distinct("fingerprint_id").alias("_prints"))
     no_disc = places.where(alone).select(*PLACE[:-1], F.lit(None).cast(places.schema["track_pos"].dataType).alias("track_pos")).distinct()
-    known = voted.where("total > 0").withColumn("_any", F.col("conf_v1") + F.col("conf_v2"))
+    none = F.lit(0).cast("long")
+    all_votes = both_databases(voted, voted_eac) if voted_eac is not None else voted.withColumns({c: none for c in ("conf_eac", "eac_total", "eac_max")})
+    known = all_votes.where("total > 0 or eac_total > 0").withColumn("_any", F.col("conf_v1") + F.col("conf_v2") + F.col("conf_eac"))
     on_disc = places.where(~alone).select(*PLACE).join(known, ["disc_id", "track_pos"])
     bad = on_disc.groupBy(*PLACE).agg(F.max("_any").alias("_best")).where("_best = 0")
     at = tracks.select(*PLACE, "stream_index").distinct().join(diffs, ["release_id", "medium_pos", "track_pos", "stream_index"])
     found = [
         _rows(no_disc, "no_disc"),
-        _rows(on_disc.where("_any > 0"), "votes", offset=F.col("offset"), conf_v1=F.col("conf_v1"), conf_v2=F.col("conf_v2"), conf_total=F.col("total"), conf_max=F.col("max")),
+        _rows(on_disc.where("_any > 0"), "votes", offset=F.col("offset"), conf_v1=F.col("conf_v1"), conf_v2=F.col("conf_v2"), conf_total=F.col("total"), conf_max=F.col("max"), **{c: F.col(c) for c in ("conf_eac", "eac_total", "eac_max")}),
         _rows(bad, "bad_rip"),
         _rows(places.where(~alone & (F.col("_streams") > 1)), "several_streams"),
         _rows(places.where(alone & (F.col("_prints") > 1)), "several_fingerprints"),
@@ -44,6 +61,42 @@ def mismatch_report(tracks: DataFrame, voted: DataFrame, diffs: DataFrame) -> Da
     return out
 
 
+#: Findings in the order in which they stand below their heading.
+_KINDS = ["no_disc", "votes", "bad_rip", "several_streams", "several_fingerprints", "field"]
+_ORDER = [*PLACE, "_kind", "offset", "stream_index", "field", "text"]
+
+
+def report_lines(tracks: DataFrame, found: DataFrame) -> DataFrame:
+    """(line, depth, text) with PLACE: the report in print, numbered from 1 in order of its places.
+
+    Headings of release groups, releases, media, discs and tracks stand above what was found there. tracks and found: as mismatch_report takes and
+    returns them. No task sees the whole report.
+    """
+    levels = ["release group ", "release ", "medium ", "disc ", "track "]
+    heads = []
+    for k, (c, word) in enumerate(zip(PLACE, levels, strict=True)):
+        cells = [F.col(p).alias(p) if i <= k else F.lit(None).cast(tracks.schema[p].dataType).alias(p) for i, p in enumerate(PLACE)]
+        shown = F.col("disc_id").isNotNull() if c == "disc_id" else F.lit(True)
+        heads.append(F.struct(*cells, F.lit(k).alias("depth"), F.concat(F.lit(word), F.col(c).cast("string")).alias("text"), shown.alias("shown")))
+    rows = tracks.select(*PLACE).distinct().select(F.explode(F.array(*heads)).alias("h")).select("h.*").where("shown").drop("shown").distinct()
+    rows = rows.withColumns({"_kind": F.lit(-1), "offset": F.lit(None).cast("long"), "stream_index": F.lit(None).cast("int"), "field": F.lit(None).cast("string")})
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    said = {
+        "no_disc": F.lit("no disc fits"),
+        "votes": F.concat(F.lit("offset "), cell("offset"), F.lit(": "), cell("conf_v1"), F.lit("+"), cell("conf_v2"), F.lit(" of "), cell("conf_total"), F.lit(" (max "), cell("conf_max"), F.lit("), "), cell("conf_eac"), F.lit(" of "), cell("eac_total"), F.lit(" (max "), cell("eac_max"), F.lit(")")),
+        "bad_rip": F.lit("bad rip"),
+        "several_streams": F.lit("more than one stream"),
+        "several_fingerprints": F.lit("more than one fingerprint"),
+        "field": F.concat(F.lit("stream "), cell("stream_index"), F.lit(": "), cell("field"), F.lit(" is "), cell("file_value"), F.lit(", not "), cell("database_value")),
+    }
+    text, kind = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for k, name in reversed(list(enumerate(_KINDS))):
+        text, kind = F.when(F.col("kind") == name, said[name]).otherwise(text), F.when(F.col("kind") == name, k).otherwise(kind)
+    below = F.when(F.col("kind") == "no_disc", 3).otherwise(5)
+    rows = rows.unionByName(found.select(*PLACE, below.alias("depth"), text.alias("text"), kind.alias("_kind"), "offset", "stream_index", "field"))
+    return numbered(rows, _ORDER).select("line", *PLACE, "depth", "text")
+
+
 def configuration_lines(candidates: DataFrame, release: str = "release_id") -> DataFrame:
     """(release, medium_pos, track_pos, line): every candidate stream of a track with its residual, least residual first, or UNASSIGNED.
 

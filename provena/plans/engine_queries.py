@@ -831,10 +831,12 @@ def nonzero_votes(spark, sf):
     return got.select(*keys).distinct().withColumn("bad_rip", F.lit(False)).unionByName(none.select(*keys).withColumn("bad_rip", F.lit(True)))
 
 
-@query("stream_permutation", f"select l_orderkey, 8 - pos as stream_index, l_partkey from ({LINES}) where pos <= 7")
+@query("stream_permutation", f"select l_orderkey, n + 1 - pos as stream_index, l_partkey from (select *, max(pos) over (partition by l_orderkey) as n from ({LINES}))")
 def stream_permutation(spark, sf):
-    order = spark.range(1, 8).select(F.col("id").cast("int").alias("old"), (8 - F.col("id")).alias("new"))
-    return merge.permute(lines(spark, sf).select("l_orderkey", F.col("pos").alias("stream_index"), "l_partkey"), order)
+    """Each order's lines backwards: one permutation an order, as long as the order."""
+    l = lines(spark, sf).select("l_orderkey", F.col("pos").cast("int").alias("stream_index"), "l_partkey")
+    order = l.groupBy("l_orderkey").agg(F.max("stream_index").alias("n")).select("l_orderkey", F.posexplode(F.sequence(F.col("n"), F.lit(1), F.lit(-1))).alias("old", "new"))
+    return merge.permute(l, order.withColumn("old", F.col("old") + 1), keys=["l_orderkey"]).select("l_orderkey", F.col("stream_index").cast("long").alias("stream_index"), "l_partkey")
 
 
 @query("group_order", """
@@ -842,9 +844,8 @@ with g as (select o_custkey as release_group_id, min(o_totalprice) as distance f
 select release_group_id, distance, row_number() over (order by distance, release_group_id) as place from g
 """)
 def group_order(spark, sf):
-    """The places are counted on one row per customer, the order's own result."""
     r = table(spark, sf, "orders").select(F.col("o_custkey").alias("release_group_id"), F.col("o_totalprice").alias("distance"))
-    return merge.sort_groups(r).withColumn("place", F.row_number().over(Window.orderBy("distance", "release_group_id")).cast("long"))
+    return merge.numbered_groups(r)
 
 
 @query("nested_tracks", f"select l_orderkey, count(*) as n_tracks, string_agg(pos || ':' || l_partkey, ',' order by pos) as tracks from ({LINES}) group by 1")
@@ -886,31 +887,64 @@ def configuration_choice(spark, sf):
 # -- reports and tags of files ---------------------------------------------------------------------------------------------------
 
 
-@query("mismatch_report", f"""
-with l as ({LINES}), t as (select distinct l_suppkey as release_group_id, l_orderkey as release_id, l_linenumber as medium_pos, case when l_partkey % 4 > 0 then l_partkey end as disc_id, cast(pos as int) as track_pos,
+_REPORT = f"""
+l as ({LINES}), t as (select distinct l_suppkey as release_group_id, l_orderkey as release_id, l_linenumber as medium_pos, case when l_partkey % 4 > 0 then l_partkey end as disc_id, cast(pos as int) as track_pos,
     cast(l_quantity as int) as stream_index, l_returnflag as fingerprint_id from l union select distinct l_suppkey, l_orderkey, l_linenumber, case when l_partkey % 4 > 0 then l_partkey end, cast(pos as int), cast(l_quantity as int) + cast(l_suppkey % 3 as int), l_linestatus from l),
-v as (select l_partkey as disc_id, cast(pos as int) as track_pos, l_suppkey % 5 as "offset", max(cast(case when l_tax > 0.04 then l_quantity else 0 end as bigint)) as conf_v1, max(cast(l_suppkey % 2 as bigint)) as conf_v2, max(l_suppkey % 6) as total from l group by all),
+v as (select l_partkey as disc_id, cast(pos as int) as track_pos, l_suppkey % 5 as "offset", max(cast(case when l_tax > 0.04 then l_quantity else 0 end as bigint)) as conf_v1, max(cast(l_suppkey % 2 as bigint)) as conf_v2, max(l_suppkey % 6) as total, 6 as max
+  from l where l_partkey % 3 > 0 group by all),
+e as (select l_partkey as disc_id, cast(pos as int) as track_pos, l_suppkey % 7 as "offset", max(case when l_discount > 0.07 then l_linenumber else 0 end)::bigint as conf_eac, max(l_suppkey % 4)::bigint as eac_total, max(l_suppkey % 3)::bigint as eac_max from l where l_partkey % 5 > 1 group by all),
+w as (select disc_id, track_pos, "offset", coalesce(conf_v1, 0) as conf_v1, coalesce(conf_v2, 0) as conf_v2, coalesce(conf_eac, 0) as conf_eac from v full join e using (disc_id, track_pos, "offset")),
+ts as (select disc_id, track_pos, max(total) as total, max(max) as max from v group by all), te as (select disc_id, track_pos, max(eac_total) as eac_total, max(eac_max) as eac_max from e group by all),
+known as (select w.*, coalesce(total, 0) as conf_total, coalesce(max, 0) as conf_max, coalesce(eac_total, 0) as eac_total, coalesce(eac_max, 0) as eac_max from w left join ts using (disc_id, track_pos) left join te using (disc_id, track_pos)),
 p as (select release_group_id, release_id, medium_pos, disc_id, track_pos, count(distinct stream_index) as streams, count(distinct fingerprint_id) as prints from t group by all),
-o as (select p.*, "offset", conf_v1, conf_v2, total from p join v on p.disc_id = v.disc_id and p.track_pos = v.track_pos where total > 0),
-d as (select l_orderkey as release_id, l_linenumber as medium_pos, cast(pos as int) as track_pos, cast(l_quantity as int) as stream_index, l_returnflag as a, l_linestatus as b from l where l_discount > 0.05)
-select distinct release_group_id, release_id, medium_pos, disc_id, null::int as track_pos, 'no_disc' as kind, null::bigint as "offset", null::bigint as conf_v1, null::bigint as conf_v2, null::bigint as conf_total, null::int as conf_max, null::int as stream_index,
-  null as field, null as file_value, null as database_value from p where disc_id is null
-union all select release_group_id, release_id, medium_pos, disc_id, track_pos, 'votes', "offset", conf_v1, conf_v2, total, 6, null, null, null, null from o where conf_v1 + conf_v2 > 0
-union all select release_group_id, release_id, medium_pos, disc_id, track_pos, 'bad_rip', null, null, null, null, null, null, null, null, null from o group by all having max(conf_v1 + conf_v2) = 0
-union all select release_group_id, release_id, medium_pos, disc_id, track_pos, 'several_streams', null, null, null, null, null, null, null, null, null from p where disc_id is not null and streams > 1
-union all select release_group_id, release_id, medium_pos, disc_id, track_pos, 'several_fingerprints', null, null, null, null, null, null, null, null, null from p where disc_id is null and prints > 1
-union all select release_group_id, t.release_id, t.medium_pos, disc_id, t.track_pos, 'field', null, null, null, null, null, t.stream_index, 'title', a, b from (select distinct release_group_id, release_id, medium_pos, disc_id, track_pos, stream_index from t) t
-  join d on d.release_id = t.release_id and d.medium_pos = t.medium_pos and d.track_pos = t.track_pos and d.stream_index = t.stream_index
-""")
-def mismatch_report(spark, sf):
-    """Lines as tracks, a quarter of them on media without a disc, with votes and one differing tag."""
+o as (select release_group_id, release_id, medium_pos, known.* from p join known on p.disc_id = known.disc_id and p.track_pos = known.track_pos where conf_total > 0 or eac_total > 0),
+d as (select l_orderkey as release_id, l_linenumber as medium_pos, cast(pos as int) as track_pos, cast(l_quantity as int) as stream_index, l_returnflag as a, l_linestatus as b from l where l_discount > 0.05),
+found as (select distinct release_group_id, release_id, medium_pos, disc_id, null::int as track_pos, 'no_disc' as kind, null::bigint as "offset", null::bigint as conf_v1, null::bigint as conf_v2, null::bigint as conf_total, null::int as conf_max,
+  null::bigint as conf_eac, null::bigint as eac_total, null::bigint as eac_max, null::int as stream_index, null::varchar as field, null::varchar as file_value, null::varchar as database_value from p where disc_id is null
+union all select release_group_id, release_id, medium_pos, disc_id, track_pos, 'votes', "offset", conf_v1, conf_v2, conf_total, conf_max, conf_eac, eac_total, eac_max, null, null, null, null from o where conf_v1 + conf_v2 + conf_eac > 0
+union all select release_group_id, release_id, medium_pos, disc_id, track_pos, 'bad_rip', null, null, null, null, null, null, null, null, null, null, null, null from o group by all having max(conf_v1 + conf_v2 + conf_eac) = 0
+union all select release_group_id, release_id, medium_pos, disc_id, track_pos, 'several_streams', null, null, null, null, null, null, null, null, null, null, null, null from p where disc_id is not null and streams > 1
+union all select release_group_id, release_id, medium_pos, disc_id, track_pos, 'several_fingerprints', null, null, null, null, null, null, null, null, null, null, null, null from p where disc_id is null and prints > 1
+union all select release_group_id, t.release_id, t.medium_pos, disc_id, t.track_pos, 'field', null, null, null, null, null, null, null, null, t.stream_index, 'title', a, b
+  from (select distinct release_group_id, release_id, medium_pos, disc_id, track_pos, stream_index from t) t
+  join d on d.release_id = t.release_id and d.medium_pos = t.medium_pos and d.track_pos = t.track_pos and d.stream_index = t.stream_index)"""
+
+
+def _report(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Lines as tracks, a quarter of them on media without a disc, with votes of two databases that know different tracks, and one differing tag."""
     l = lines(spark, sf).withColumn("pos", F.col("pos").cast("int")).withColumn("q", F.col("l_quantity").cast("int"))
     place = [F.col("l_suppkey").alias("release_group_id"), F.col("l_orderkey").alias("release_id"), F.col("l_linenumber").alias("medium_pos"), F.when(F.col("l_partkey") % 4 > 0, F.col("l_partkey")).alias("disc_id"), F.col("pos").alias("track_pos")]
     one = l.select(*place, F.col("q").alias("stream_index"), F.col("l_returnflag").alias("fingerprint_id"))
     other = l.select(*place, (F.col("q") + (F.col("l_suppkey") % 3).cast("int")).alias("stream_index"), F.col("l_linestatus").alias("fingerprint_id"))
-    v = l.groupBy(F.col("l_partkey").alias("disc_id"), F.col("pos").alias("track_pos"), (F.col("l_suppkey") % 5).alias("offset")).agg(F.max(F.when(F.col("l_tax") > 0.04, F.col("l_quantity")).otherwise(0).cast("long")).alias("conf_v1"), F.max((F.col("l_suppkey") % 2).cast("long")).alias("conf_v2"), F.max(F.col("l_suppkey") % 6).alias("total"), F.lit(6).alias("max"))
+    track = [F.col("l_partkey").alias("disc_id"), F.col("pos").alias("track_pos")]
+    v = l.where("l_partkey % 3 > 0").groupBy(*track, (F.col("l_suppkey") % 5).alias("offset")).agg(F.max(F.when(F.col("l_tax") > 0.04, F.col("l_quantity")).otherwise(0).cast("long")).alias("conf_v1"), F.max((F.col("l_suppkey") % 2).cast("long")).alias("conf_v2"), F.max(F.col("l_suppkey") % 6).alias("total"), F.lit(6).alias("max"))
+    eac = l.where("l_partkey % 5 > 1").groupBy(*track, (F.col("l_suppkey") % 7).alias("offset")).agg(F.max(F.when(F.col("l_discount") > 0.07, F.col("l_linenumber")).otherwise(0).cast("long")).alias("conf_eac"), F.max(F.col("l_suppkey") % 4).alias("total"), F.max(F.col("l_suppkey") % 3).alias("max"))
     d = l.where("l_discount > 0.05").select(F.col("l_orderkey").alias("release_id"), F.col("l_linenumber").alias("medium_pos"), F.col("pos").alias("track_pos"), F.col("q").alias("stream_index"), F.lit("title").alias("field"), F.col("l_returnflag").alias("file_value"), F.col("l_linestatus").alias("database_value"))
-    return report.mismatch_report(one.unionByName(other), v, d)
+    tracks = one.unionByName(other)
+    return tracks, report.mismatch_report(tracks, v, d, eac)
+
+
+@query("mismatch_report", f"with {_REPORT} select * from found")
+def mismatch_report(spark, sf):
+    return _report(spark, sf)[1]
+
+
+@query("report_lines", f"""
+with {_REPORT},
+h as (select distinct release_group_id as g, release_id as r, medium_pos as m, disc_id as d, track_pos as t from t),
+heads as (select distinct g, null::bigint as r, null::int as m, null::bigint as d, null::int as t, 0 as depth, 'release group ' || g as text from h union all select distinct g, r, null, null, null, 1, 'release ' || r from h
+  union all select distinct g, r, m, null, null, 2, 'medium ' || m from h union all select distinct g, r, m, d, null, 3, 'disc ' || d from h where d is not null union all select distinct g, r, m, d, t, 4, 'track ' || t from h),
+a as (select *, -1 as k, null::bigint as o, null::int as i, null::varchar as f from heads
+  union all select release_group_id, release_id, medium_pos, disc_id, track_pos, case kind when 'no_disc' then 3 else 5 end,
+    case kind when 'no_disc' then 'no disc fits' when 'bad_rip' then 'bad rip' when 'several_streams' then 'more than one stream' when 'several_fingerprints' then 'more than one fingerprint'
+      when 'votes' then 'offset ' || "offset" || ': ' || conf_v1 || '+' || conf_v2 || ' of ' || conf_total || ' (max ' || conf_max || '), ' || conf_eac || ' of ' || eac_total || ' (max ' || eac_max || ')'
+      else 'stream ' || stream_index || ': ' || field || ' is ' || file_value || ', not ' || database_value end,
+    list_position(['no_disc', 'votes', 'bad_rip', 'several_streams', 'several_fingerprints', 'field'], kind) - 1, "offset", stream_index, field from found)
+select row_number() over (order by g nulls first, r nulls first, m nulls first, d nulls first, t nulls first, k, o nulls first, i nulls first, f nulls first, text) as line,
+  g as release_group_id, r as release_id, m as medium_pos, d as disc_id, t as track_pos, depth, text from a
+""")
+def report_lines(spark, sf):
+    return report.report_lines(*_report(spark, sf))
 
 
 @query("configuration_lines", f"""

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from provena.operators import assign, checksum, cover, discs, limiter, merge, report, tags, votes
+from provena.operators import assign, checksum, cover, discs, limiter, merge, numbering, report, tags, votes
 from provena.schema import MATCHES, WORK_RELATIONS
 
 M = 1 << 32
@@ -329,6 +329,76 @@ def test_report(spark):
     assert got == [("bad_rip", 1, 1, None, None), ("field", 2, 1, None, "title"), ("no_disc", 2, 0, None, None), ("several_fingerprints", 2, 1, None, None), ("several_streams", 1, 1, None, None), ("votes", 1, 2, 6, None)]
 
 
+def test_report_with_the_second_database(spark):
+    """Track 1 has votes of the second database only, track 2 is known to it only and has none, track 3 is known to nobody."""
+    places = "release_group_id string, release_id string, medium_pos int, disc_id string, track_pos int, stream_index int, fingerprint_id string"
+    t = spark.createDataFrame([("g", "r", 1, "d", k, k, "f") for k in (1, 2, 3, 4)], places)
+    v = spark.createDataFrame([("d", 4, 0, 0, 0, 9, 5)], "disc_id string, track_pos int, offset long, conf_v1 long, conf_v2 long, total long, max int")
+    eac = spark.createDataFrame([("d", 1, 0, 0, 7, 4), ("d", 1, 3, 4, 7, 4), ("d", 2, 0, 0, 2, 2), ("d", 3, 0, 0, 0, 0), ("d", 4, 2, 1, 1, 1)], "disc_id string, track_pos int, offset long, conf_eac long, total long, max long")
+    d = spark.createDataFrame([], "release_id string, medium_pos int, track_pos int, stream_index int, field string, file_value string, database_value string")
+    found = report.mismatch_report(t, v, d, eac)
+    got = sorted((r["kind"], r["track_pos"], r["offset"], r["conf_v1"], r["conf_total"], r["conf_eac"], r["eac_total"], r["eac_max"]) for r in found.collect())
+    assert got == [("bad_rip", 2, None, None, None, None, None, None), ("votes", 1, 3, 0, 0, 4, 7, 4), ("votes", 4, 2, 0, 9, 1, 1, 1)]
+    lines = [tuple(r) for r in report.report_lines(t, found).orderBy("line").select("line", "depth", "text").collect()]
+    assert lines == [
+        (1, 0, "release group g"), (2, 1, "release r"), (3, 2, "medium 1"), (4, 3, "disc d"),
+        (5, 4, "track 1"), (6, 5, "offset 3: 0+0 of 0 (max 0), 4 of 7 (max 4)"), (7, 4, "track 2"), (8, 5, "bad rip"), (9, 4, "track 3"), (10, 4, "track 4"), (11, 5, "offset 2: 0+0 of 9 (max 5), 1 of 1 (max 1)"),
+    ]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_numbers_without_a_single_task(spark, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        d = spark.range(500).select((F.col("id") * 37 % 101).alias("a"), F.col("id").cast("string").alias("b"), F.lit("x").alias("line"), F.lit(1).alias("_place"))
+        out = numbering.numbered(d, ["a", F.col("b").desc()])
+        got = sorted((r["line"], r["a"], r["b"]) for r in out.collect())
+        want = sorted(((i * 37 % 101, str(i)) for i in range(500)), key=lambda x: (x[0], [-ord(c) for c in x[1]] + [0]))
+        assert [g[0] for g in got] == list(range(1, 501)) and [g[1:] for g in got] == want
+        assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+        assert numbering.numbered(d.limit(0), ["a"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("width,block", [(1, 4), (2, 1), (3, 1), (7, 40), (588, 100)])
+def test_moving_crc_over_blocks(spark, width, block):
+    """Every full window, in streams with a gap and a null sample, whatever the blocks."""
+    draw = random.Random(width)
+    streams = {0: {j: draw.getrandbits(32) for j in range(1, 3000 if width > 100 else 200)}, 1: {j: draw.getrandbits(32) for j in range(-5, 60) if j != 30}, 2: {5: 0xFFFFFFFF}}
+    rows_ = [(k, j, s) for k, x in streams.items() for j, s in x.items()] + [(1, 60, None)]
+    draw.shuffle(rows_)
+    out = checksum.sliding_crc(spark.createDataFrame(rows_, "stream_index int, j long, s long"), width, block=block)
+    want = {}
+    for k, x in streams.items():
+        for j in x:
+            if all(j + i in x for i in range(width)):
+                want[k, j - 1] = zlib.crc32(b"".join(x[j + i].to_bytes(4, "little") for i in range(width)))
+    got = out.collect()
+    assert {(r["stream_index"], r["start"]): r["crc32"] for r in got} == want and len(got) == len(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_a_long_stream_is_spread_over_tasks(spark):
+    s = spark.range(1, 200_001).select(F.lit(0).alias("stream_index"), F.col("id").alias("j"), (F.col("id") * 2654435761 % 2**32).alias("s"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows_ = checksum.sliding_crc(s, 588, block=4096).select("start", "crc32", F.spark_partition_id().alias("p"))
+        got = rows_.groupBy("p").count().collect()
+        assert len(got) == 4 and sum(r["count"] for r in got) == 200_000 - 587
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_permutation_by_key(spark):
+    a = spark.createDataFrame([("x", 1, "a"), ("x", 2, "b"), ("y", 1, "c")], "g string, k int, v string")
+    p = spark.createDataFrame([("x", 1, 2), ("x", 2, 1), ("y", 1, 1)], "g string, old int, new int")
+    assert rows(merge.permute(a, p, "k", ["g"]), "g", "k", "v") == [("x", 1, "b"), ("x", 2, "a"), ("y", 1, "c")]
+
+
 def test_from_samples_to_the_report(spark):
     """The steps of the main pipeline in order: checksums at offsets, votes, prune, tags, differences, report."""
     s = spark.createDataFrame([("d", t, j, t * 1000003 * j % 2**32) for t in (1, 2) for j in range(1, 31)], "disc string, track_pos int, j long, s long")
