@@ -1,11 +1,11 @@
 """Phrase collocation mining: vertical positional lists, extended by merge joins, scored by their weakest cut.
 
 Texts of one language are joined, cut between pieces into blocks and turned into inverted lists: for each word the sorted positions at which it stands, where a
-separator takes a position of its own. Lists are written once; a phrase's frequency is the length of its lists, summed over the blocks. Level by level,
-the occurrence positions of frequent phrases are merge-joined with the postings of the frequent words that stand right behind them (and with the phrase's own level one
+separator takes a position of its own. A phrase's frequency is the length of its lists, summed over the blocks. Level by level,
+the occurrence positions of frequent phrases are merge-joined with the postings of the frequent words that stand right behind them (and with the phrases' own lists one
 position on, as a longer phrase is frequent only if both its ends are), which gives the lists of the phrases that are one word longer. Nothing that
-is frequent can be missed, since a phrase is never more frequent than its parts. Positions never leave their block; only a count for each phrase and block
-is shuffled, summed up in each task before.
+is frequent can be missed, since a phrase is never more frequent than its parts. Positions never leave their block: each level reads the texts anew and builds
+the lists up to its own, which costs less than to write and move them. Only a count for each phrase and block is shuffled, summed up in each task before.
 
 Which phrases are frequent reaches the tasks as one bit map of BITS bits, whatever their number: with very many of them fewer lists are spared, and none is
 lost, as frequencies are exact and compared at the end. Cuts are joined to the frequencies of their parts with parts of many cuts dealt over
@@ -29,13 +29,11 @@ from pyspark.sql.window import Window
 
 from .common import Shared, read, salted_join, slices, written
 
-#: Bytes of text of a block; bits of the map of frequent phrases (8 MB).
-BLOCK, BITS = 8 << 20, 1 << 26
+#: Bytes of text of a block; bits of the map of frequent phrases (8 MB a level); rows of a batch of counts.
+BLOCK, BITS, ROWS = 8 << 20, 1 << 26, 50_000
 MARK = b"\xff"  # stands in no UTF-8 text
 _SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 _TABLE = bytes(MARK[0] if b in _SEPARATORS else b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Of a block: its words with the number and the steps of their positions, and the same of its phrases. At level one only the first three are there.
-LISTS = "lang string, words array<string>, word_n array<int>, word_at array<int>, phrases array<string>, n array<int>, at array<int>"
 
 
 def _stretches(text: bytes) -> Iterator[bytes]:
@@ -47,119 +45,82 @@ def _stretches(text: bytes) -> Iterator[bytes]:
         at = end + 1 if end >= 0 else len(text)
 
 
-def _row(lang: str, words, word_n, word_at, phrases=None, n=None, at=None) -> pa.RecordBatch:
-    """Positions are written as steps, which are small and compress well; a running sum gives them back."""
-    steps = lambda x: None if x is None else np.diff(x, prepend=0).astype(np.int32)
-    one = lambda x, kind: pa.array([x], pa.list_(kind))
-    ints = lambda x: one(x, pa.int32())
-    columns = [pa.array([lang]), one(words, pa.string()), ints(word_n), ints(steps(word_at)), one(phrases, pa.string()), ints(n), ints(steps(at))]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "words", "word_n", "word_at", "phrases", "n", "at"])
-
-
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The inverted lists of the words of (lang, text), one row a block."""
-    for b in batches:
-        for first, n in slices(b.column("text"), BLOCK):
-            part = b.slice(first, n)
-            langs = part.column("lang").to_pylist()
-            texts = part.column("text").to_pylist()
-            for lang in dict.fromkeys(langs):
-                joined = MARK.join(t for k, t in zip(langs, texts, strict=True) if k == lang and t).translate(_TABLE)
-                for stretch in _stretches(joined):
-                    tokens = stretch.replace(MARK, b" \xff ").split()  # only spaces and tabs are left of white space
-                    coded = pa.array(tokens, pa.binary()).dictionary_encode()
-                    code, words = coded.indices.to_numpy(), coded.dictionary
-                    at = np.argsort(code, kind="stable")
-                    counts = np.bincount(code, minlength=len(words))
-                    mark = pc.index(words, pa.scalar(MARK, pa.binary())).as_py()
-                    if mark >= 0:
-                        before = int(counts[:mark].sum())
-                        at = np.delete(at, slice(before, before + counts[mark]))
-                        counts = np.delete(counts, mark)
-                        words = pa.concat_arrays([words[:mark], words[mark + 1 :]])
-                    if len(words):
-                        yield _row(lang, words.cast(pa.string()), counts, at)
-
-
-class Frequent:
-    """A bit map of phrases; tells of all that are in it, and of few others, that they are."""
-
-    def __init__(self, buckets: dict[int, bytes]):
-        self.bits = np.zeros(BITS // 8, np.uint8)
-        for k, m in buckets.items():
-            self.bits[k * len(m) : (k + 1) * len(m)] = np.frombuffer(m, np.uint8)
-
-    def of(self, lang: str, phrases: pa.Array) -> np.ndarray:
-        seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-        at = np.fromiter((xxhash.xxh64_intdigest(p, seed) % BITS for p in phrases.cast(pa.binary()).to_pylist()), np.int64, len(phrases))
-        return (self.bits[at >> 3] >> (at & 7) & 1).astype(bool)
-
-
 class Lists:
-    """Positions of a block's phrases: (phrase number, position) in order of position."""
+    """The inverted lists of a block: its phrases, and (phrase number, position) in order of position."""
 
-    def __init__(self, phrases: pa.Array, n: np.ndarray, at: np.ndarray):
-        self.phrases = phrases
-        order = np.argsort(at, kind="stable")
-        self.number, self.at = np.repeat(np.arange(len(n)), n)[order], at[order]
+    def __init__(self, phrases: pa.Array, number: np.ndarray, at: np.ndarray):
+        self.phrases, self.number, self.at = phrases, number, at
 
     def only(self, keep: np.ndarray) -> Lists:
-        out = object.__new__(Lists)
-        out.phrases = self.phrases.filter(pa.array(keep))
         held = keep[self.number]
-        out.number, out.at = (np.cumsum(keep) - 1)[self.number[held]], self.at[held]
-        return out
+        return Lists(self.phrases.filter(pa.array(keep)), (np.cumsum(keep) - 1)[self.number[held]], self.at[held])
+
+    def lengths(self) -> np.ndarray:
+        return np.bincount(self.number, minlength=len(self.phrases))
+
 
-    def grouped(self) -> tuple[np.ndarray, np.ndarray]:
-        """(length of each phrase's list, positions list by list)."""
-        return np.bincount(self.number, minlength=len(self.phrases)), self.at[np.argsort(self.number, kind="stable")]
+def _word_lists(text: bytes) -> Lists:
+    tokens = text.replace(MARK, b" \xff ").split()  # only spaces and tabs are left of white space
+    coded = pa.array(tokens, pa.binary()).dictionary_encode()
+    code, words = coded.indices.to_numpy(), coded.dictionary
+    return Lists(words, code, np.arange(len(code))).only(pc.not_equal(words, pa.scalar(MARK, pa.binary())).to_numpy(zero_copy_only=False))
 
 
 def _meet(positions: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merge join of two sorted lists of positions: where in each the common ones stand."""
+    if not len(other):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     i = np.searchsorted(other, positions)
     i[i == len(other)] = 0
-    hit = np.flatnonzero(other[i] == positions) if len(other) else np.zeros(0, np.int64)
+    hit = np.flatnonzero(other[i] == positions)
     return hit, i[hit]
 
 
-def _extended(batches: Iterator[pa.RecordBatch], level: int, frequent: Frequent, last: bool) -> Iterator[pa.RecordBatch]:
-    """Lists of the phrases of level + 1 words from rows with those of level words. In the last level, their lengths only."""
+def _extended(left: Lists, words: Lists, level: int) -> Lists:
+    """Lists of the phrases of level + 1 words, from frequent ones of level words and frequent words."""
+    follows, _ = _meet(left.at + 1, left.at)  # the other end is frequent too
+    where, word = _meet(left.at[follows] + level, words.at)
+    where = follows[where]
+    pair = left.number[where] * np.int64(len(words.phrases)) + words.number[word]
+    different, number = np.unique(pair, return_inverse=True)
+    if not len(different):
+        return Lists(left.phrases[:0], number, left.at[:0])
+    phrases = pc.binary_join_element_wise(left.phrases.take(pa.array(different // len(words.phrases))), words.phrases.take(pa.array(different % len(words.phrases))), b" ")
+    return Lists(phrases, number, left.at[where])
 
-    def lists(row, phrases: str, n: str, at: str) -> Lists:
-        return Lists(row.column(phrases)[0].values, row.column(n)[0].values.to_numpy(), np.cumsum(row.column(at)[0].values.to_numpy()))
 
+class Frequent:
+    """A bit map of phrases; tells of all that are in it, and of few others, that they are."""
+
+    def __init__(self, buckets: dict[int, bytes]):
+        self.bits = np.zeros(BITS // 8, np.uint8)
+        for k, m in buckets.items():
+            self.bits[k * len(m) : (k + 1) * len(m)] = np.frombuffer(m, np.uint8)
+
+    def of(self, lang: str, phrases: pa.Array) -> np.ndarray:
+        seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+        at = np.fromiter((xxhash.xxh64_intdigest(p, seed) % BITS for p in phrases.to_pylist()), np.int64, len(phrases))
+        return (self.bits[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], frequent: list[Frequent]) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, n) of each block of (lang, text): how often its phrases of len(frequent) + 1 words occur; frequent: by level."""
     for b in batches:
-        for k in range(b.num_rows):
-            row = b.slice(k, 1)
-            lang = row.column("lang")[0].as_py()
-            words = lists(row, "words", "word_n", "word_at")
-            if level == 1:
-                words = words.only(frequent.of(lang, words.phrases))
-                left = words
-            else:
-                left = lists(row, "phrases", "n", "at")
-                left = left.only(frequent.of(lang, left.phrases))
-            follows, _ = _meet(left.at + 1, left.at)  # its other end is frequent too
-            where, word = _meet(left.at[follows] + level, words.at)
-            where = follows[where]
-            if not len(where):
-                continue
-            pair = left.number[where] * np.int64(len(words.phrases)) + words.number[word]
-            different, number = np.unique(pair, return_inverse=True)
-            phrases = pc.binary_join_element_wise(left.phrases.take(pa.array(different // len(words.phrases))), words.phrases.take(pa.array(different % len(words.phrases))), " ")
-            n = np.bincount(number, minlength=len(different))
-            if last:
-                yield _row(lang, None, None, None, phrases, n)
-            else:
-                word_n, word_at = words.grouped()
-                yield _row(lang, words.phrases, word_n, word_at, phrases, n, left.at[where][np.argsort(number, kind="stable")])
-
-
-def _frequencies(lists: DataFrame, phrases: str, n: str, least: int) -> DataFrame:
-    """(lang, phrase, f) of the phrases whose lists are least long or longer."""
-    one = lists.select("lang", F.explode(F.arrays_zip(F.col(phrases).alias("phrase"), F.col(n).alias("n"))).alias("e")).select("lang", "e.phrase", "e.n")
-    return one.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        for first, n in slices(b.column("text"), BLOCK):
+            part = b.slice(first, n)
+            langs, texts = part.column("lang").to_pylist(), part.column("text").to_pylist()
+            for lang in dict.fromkeys(langs):
+                joined = MARK.join(t for k, t in zip(langs, texts, strict=True) if k == lang and t).translate(_TABLE)
+                for stretch in _stretches(joined):
+                    words = lists = _word_lists(stretch)
+                    for level, known in enumerate(frequent, 1):
+                        lists = lists.only(known.of(lang, lists.phrases))
+                        words = lists if level == 1 else words
+                        lists = _extended(lists, words, level)
+                    phrases, n = lists.phrases.cast(pa.string()), pa.array(lists.lengths(), pa.int64())
+                    for lo in range(0, len(n), ROWS):
+                        size = min(ROWS, len(n) - lo)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(size, np.int32))), phrases.slice(lo, size), n.slice(lo, size)], names=["lang", "phrase", "n"])
 
 
 def _bit_map(phrases: DataFrame) -> Frequent:
@@ -173,13 +134,18 @@ def phrase_frequencies(docs: DataFrame, max_words: int, least: int, lang_col: st
     """((lang, phrase, words, f) of all phrases of up to max_words words that occur least times or more, (lang, n) with the number of all words)."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
-    lists = written(rows.mapInArrow(_listed, LISTS), "postings-1")
-    n = lists.select("lang", F.aggregate("word_n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    found = [written(_frequencies(lists, "words", "word_n", least), "phrases-1")]
-    for level in range(1, max_words):
-        held, last = Shared(spark, _bit_map(found[-1])), level == max_words - 1
-        lists = written(lists.mapInArrow(lambda b, held=held, level=level, last=last: _extended(b, level, held.value, last), LISTS), f"postings-{level + 1}")
-        found.append(written(_frequencies(lists, "phrases", "n", least), f"phrases-{level + 1}"))
+    sent: list[Shared] = []
+
+    def frequencies() -> DataFrame:
+        count = lambda b, sent=tuple(sent): _counted(b, [s.value for s in sent])
+        return rows.mapInArrow(count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+
+    words = written(frequencies(), "phrases-1")  # the rare ones too, as they count in n
+    n = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    found = [words.where(F.col("f") >= least)]
+    for level in range(2, max_words + 1):
+        sent.append(Shared(spark, _bit_map(found[-1])))
+        found.append(written(frequencies().where(F.col("f") >= least), f"phrases-{level}"))
     out = found[0].withColumn("words", F.lit(1))
     for k, f in enumerate(found[1:]):
         out = out.unionByName(f.withColumn("words", F.lit(k + 2)))
