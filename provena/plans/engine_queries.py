@@ -718,22 +718,55 @@ def request_body(spark, sf):
     return limiter.request_body(l)
 
 
+def _element(name: str, *inner) -> Column:
+    return F.concat(F.lit(f"<{name}>"), *(x.cast("string") if isinstance(x, Column) else F.lit(x) for x in inner), F.lit(f"</{name}>"))
+
+
+def _responses(rows: DataFrame, of: str, results: Column) -> DataFrame:
+    """(lookup, body): one response per value of `of`, with a fingerprint for each row."""
+    one = _element("fingerprint", _element("index", F.col("l_linenumber")), _element("results", results))
+    r = rows.groupBy(F.col(of).alias("lookup")).agg(F.array_join(F.collect_list(one), "").alias("f"))
+    return r.select("lookup", _element("response", _element("status", "ok"), _element("fingerprints", F.col("f"))).alias("body"))
+
+
 @query("xml_flatten", """
 select l_orderkey as lookup, l_linenumber as index, 'f' || l_partkey as fingerprint_id, 'r' || l_suppkey as recording_id, 'g' || l_suppkey % 7 as release_group_id, 'l' || l_partkey % 9 as release_id,
   1 as medium_pos, l_linenumber as track_pos, max(cast(l_discount as float)) as score from lineitem group by all
 """)
 def xml_flatten(spark, sf):
     """Lines written as lookup responses, one per order, and read back."""
-    el = lambda name, *inner: F.concat(F.lit(f"<{name}>"), *(x.cast("string") if isinstance(x, Column) else F.lit(x) for x in inner), F.lit(f"</{name}>"))
     named = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    medium = el("medium", el("position", "1"), el("tracks", el("track", el("position", F.col("l_linenumber")))))
-    release = el("release", el("id", named("l", F.col("l_partkey") % 9)), el("mediums", medium))
-    group = el("releasegroup", el("id", named("g", F.col("l_suppkey") % 7)), el("releases", release))
-    recording = el("recording", el("id", named("r", F.col("l_suppkey"))), el("releasegroups", group))
-    result = el("result", el("id", named("f", F.col("l_partkey"))), el("score", F.col("l_discount")), el("recordings", recording))
-    one = el("fingerprint", el("index", F.col("l_linenumber")), el("results", result))
-    r = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("lookup")).agg(F.array_join(F.collect_list(one), "").alias("f"))
-    return lookup_xml.matches(r.select("lookup", el("response", el("status", "ok"), el("fingerprints", F.col("f"))).alias("body")), ["lookup"])
+    medium = _element("medium", _element("position", "1"), _element("tracks", _element("track", _element("position", F.col("l_linenumber")))))
+    release = _element("release", _element("id", named("l", F.col("l_partkey") % 9)), _element("mediums", medium))
+    group = _element("releasegroup", _element("id", named("g", F.col("l_suppkey") % 7)), _element("releases", release))
+    recording = _element("recording", _element("id", named("r", F.col("l_suppkey"))), _element("releasegroups", group))
+    result = _element("result", _element("id", named("f", F.col("l_partkey"))), _element("score", F.col("l_discount")), _element("recordings", recording))
+    return lookup_xml.matches(_responses(table(spark, sf, "lineitem"), "l_orderkey", result), ["lookup"])
+
+
+@query("lookup_descriptions", f"""
+with l as ({LINES}), t as (select *, pos as p, unnest(case when l_suppkey % 3 = 0 then [0] else [0, 1] end) as k from l where l_partkey % 10 > 0)
+select l_orderkey as lookup, l_linenumber as index, 'f' || l_partkey as fingerprint_id, cast(l_discount as float) as score, 'r' || l_suppkey as recording_id, case when k = 0 then l_returnflag || ' & <' || p || '>' end as title,
+  case when l_suppkey % 2 = 0 then l_linestatus || ' feat. ' || l_returnflag else l_linestatus || ' feat. ' end as artist, 'l' || l_partkey % 9 as release_id, null::varchar as release_title, null::varchar as date,
+  (k + p)::varchar as track, case when l_suppkey % 5 > 0 then 'Disc ' || l_linenumber end as album, l_linenumber || '/?' as disc, (k + p)::varchar || '/' || case when l_partkey % 4 > 0 then (l_partkey % 40)::varchar else '?' end as place
+from t
+""")
+def lookup_descriptions(spark, sf):
+    """Lines written as descriptive lookup responses, with elements in changing order, names with markup, and parts missing here and there; read back."""
+    named = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    some = lambda when, x: F.when(when, x).otherwise("")
+    l = lines(spark, sf)
+    artist = lambda name, *more: _element("artist", _element("id", "ignored"), *more, _element("name", F.col(name)))
+    artists = _element("artists", artist("l_linestatus", _element("joinphrase", " feat. ")), some(F.col("l_suppkey") % 2 == 0, artist("l_returnflag")))
+    title = _element("title", F.concat("l_returnflag", F.lit(" &amp; &lt;"), F.col("pos").cast("string"), F.lit("&gt;")))
+    one = _element("track", title, _element("id", "ignored"), _element("position", F.col("pos")), artists)
+    other = _element("track", artists, _element("position", F.col("pos") + 1))
+    tracks = _element("tracks", one, some(F.col("l_suppkey") % 3 != 0, other))
+    medium = _element("medium", some(F.col("l_partkey") % 4 > 0, _element("track_count", F.col("l_partkey") % 40)), tracks, _element("format", "CD"), _element("position", F.col("l_linenumber")), some(F.col("l_suppkey") % 5 > 0, _element("title", named("Disc ", F.col("l_linenumber")))))
+    release = _element("release", _element("mediums", medium), _element("id", named("l", F.col("l_partkey") % 9)))
+    recordings = some(F.col("l_partkey") % 10 > 0, _element("recordings", _element("recording", _element("releases", release), _element("id", named("r", F.col("l_suppkey"))))))
+    result = _element("result", recordings, _element("score", F.col("l_discount")), _element("id", named("f", F.col("l_partkey"))))
+    return lookup_xml.descriptions(_responses(l, "l_orderkey", result), ["lookup"])
 
 
 @query("binary_decode", f"""

@@ -120,7 +120,7 @@ def _decoded(rows: DataFrame, column: str, decode, schema: str) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
     k = rows.columns.index(column)
     given = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "float": pa.float32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,44 +1,176 @@
-"""Lookup responses in XML: the id form and the descriptive form, flattened to rows.
+"""Lookup responses in XML: the id form and the descriptive form, flattened to rows in one pass.
 
-from_xml in FAILFAST mode rejects values of the wrong type but ignores elements it does not know, so unknown_elements() looks for those.
+A pushdown automaton reads each body once: a form says which elements may stand within which, how texts become values, and which elements carry columns. An element of
+an unknown name or in a wrong place, an element that repeats where there can be one, text between elements, a number that is none, a status other than ok, a
+document type and malformed XML raise. Elements may come in any order. The rows of a response hold its columns from the innermost element outwards; an element without inner ones
+that carries columns has one row.
 """
 
 from __future__ import annotations
 
+import re
+import sys
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from xml.parsers import expat
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_RELEASES = "releases: STRUCT<release: ARRAY<STRUCT<id: STRING, {more}mediums: STRUCT<medium: ARRAY<STRUCT<position: INT, {medium}tracks: STRUCT<track: ARRAY<STRUCT<position: INT{track}>>>>>>>>>"
-_ARTISTS = "artists: STRUCT<artist: ARRAY<STRUCT<id: STRING, name: STRING, joinphrase: STRING>>>"
-_FORM = "status STRING, fingerprints STRUCT<fingerprint: ARRAY<STRUCT<index: INT, results: STRUCT<result: ARRAY<STRUCT<id: STRING, score: FLOAT, recordings: STRUCT<recording: ARRAY<STRUCT<{recording}>>>>>>>>>"
+from provena.sources.binary import _decoded
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_WHOLE, _REAL = re.compile(r"\s*[+-]?[0-9]+"), re.compile(r"\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?")
 
-#: The id form: groups hang under recordings, releases under groups.
-IDS = _FORM.format(recording="id: STRING, releasegroups: STRUCT<releasegroup: ARRAY<STRUCT<id: STRING, " + _RELEASES.format(more="", medium="", track="") + ">>>")
-#: The descriptive form: releases under recordings, with titles and artists.
-DESCRIPTIVE = _FORM.format(recording=f"id: STRING, title: STRING, {_ARTISTS}, " + _RELEASES.format(more="title: STRING, date: STRUCT<year: INT, month: INT, day: INT>, track_count: INT, ", medium="", track=f", title: STRING, {_ARTISTS}"))
 
-KNOWN = {"ids": frozenset("response status fingerprints fingerprint index results result id score recordings recording releasegroups releasegroup releases release mediums medium position tracks track".split())}
-KNOWN["descriptive"] = KNOWN["ids"] | frozenset("title artists artist name joinphrase date year month day track_count format medium_count country".split())
+def _whole(text: str) -> int:
+    if not _WHOLE.fullmatch(text):
+        raise ValueError(f"odd value {text!r}")
+    return int(text)
 
 
-STATUS = r"<status(?:\s[^>]*)?>([^<]*)</status\s*>"
+def _real(text: str) -> float:
+    if not _REAL.fullmatch(text):
+        raise ValueError(f"odd value {text!r}")
+    return float(text)
 
 
-def parsed(responses: DataFrame, form: str = "ids", column: str = "body") -> DataFrame:
-    """responses with x, the parsed struct. A status other than ok or an element of an unknown name fails the query, as does a value of the wrong type."""
-    schema = {"ids": IDS, "descriptive": DESCRIPTIVE}[form]
-    body = F.col(column)
-    # the checks read the text, so that the filter does not parse it a second time
-    status = F.regexp_extract(body, STATUS, 1)
-    odd = unknown_elements(body, form)
-    checked = F.assert_true(status == "ok", "the lookup's status is not ok").isNull() & F.assert_true(F.size(odd) == 0, F.concat(F.lit("unknown elements: "), F.array_join(odd, ","))).isNull()
-    return responses.where(checked).withColumn("x", F.from_xml(body, schema, {"mode": "FAILFAST", "ignoreSurroundingSpaces": "false"}))
+@dataclass(frozen=True)
+class Form:
+    """columns: the schema. children: by element, the names of those within it. values: how the text of an element is read, as it is where it is not named.
 
+    skipped: (element, child) that are passed over whole. cells: by element, which child's value goes to which column. folds: elements whose value is made
+    of their children's. many: folded elements that may repeat, whose values are a list.
+    """
 
-def unknown_elements(body, form: str):
-    """Names of elements that the form does not have."""
-    names = F.array_distinct(F.regexp_extract_all(body, F.lit("<([A-Za-z_][A-Za-z0-9_.-]*)"), 1))
-    return F.array_except(names, F.array(*map(F.lit, sorted(KNOWN[form]))))
+    columns: str
+    children: dict[str, str]
+    cells: dict[str, dict[str, int]]
+    values: dict[str, Callable] = field(default_factory=lambda: {"index": _whole, "position": _whole, "score": _real})
+    skipped: frozenset[tuple[str, str]] = frozenset()
+    folds: dict[str, Callable[[dict], object]] = field(default_factory=dict)
+    many: frozenset[str] = frozenset()
+
+
+# The elements of the service's two forms.
+IDS = Form(
+    columns="index int, fingerprint_id string, score float, recording_id string, release_group_id string, release_id string, medium_pos int, track_pos int",
+    children={
+        "response": "status fingerprints", "fingerprints": "fingerprint", "fingerprint": "index results", "results": "result", "result": "id score recordings",
+        "recordings": "recording", "recording": "id releasegroups", "releasegroups": "releasegroup", "releasegroup": "id releases", "releases": "release",
+        "release": "id mediums", "mediums": "medium", "medium": "position tracks", "tracks": "track", "track": "position",
+    },
+    cells={"fingerprint": {"index": 0}, "result": {"id": 1, "score": 2}, "recording": {"id": 3}, "releasegroup": {"id": 4}, "release": {"id": 5}, "medium": {"position": 6}, "track": {"position": 7}},
+)
+DESCRIPTIVE = Form(
+    columns="index int, fingerprint_id string, score float, recording_id string, recording_title string, recording_artist string, release_id string, release_title string, date string, medium_pos int, album string, track_count int, track_pos int, track_title string, track_artist string",
+    children={
+        "response": "status fingerprints", "fingerprints": "fingerprint", "fingerprint": "index results", "results": "result", "result": "id score recordings",
+        "recordings": "recording", "recording": "id title artists releases", "releases": "release", "release": "id title date mediums country track_count medium_count",
+        "mediums": "medium", "medium": "format position title track_count tracks", "tracks": "track", "track": "artists id position title",
+        "artists": "artist", "artist": "id joinphrase name", "date": "year month day",
+    },
+    cells={
+        "fingerprint": {"index": 0}, "result": {"id": 1, "score": 2}, "recording": {"id": 3, "title": 4, "artists": 5}, "release": {"id": 6, "title": 7, "date": 8},
+        "medium": {"position": 9, "title": 10, "track_count": 11}, "track": {"position": 12, "title": 13, "artists": 14},
+    },
+    values={"index": _whole, "position": _whole, "score": _real, "track_count": _whole, "year": _whole, "month": _whole, "day": _whole},
+    skipped=frozenset({("artist", "id"), ("track", "id"), ("medium", "format"), ("release", "country"), ("release", "track_count"), ("release", "medium_count")}),
+    folds={
+        "artist": lambda v: v.get("name", "") + v.get("joinphrase", ""),
+        "artists": lambda v: "".join(v.get("artist", [])),
+        "date": lambda v: "-".join(f"{v[k]:0{n}d}" for k, n in (("year", 4), ("month", 2), ("day", 2)) if k in v),
+    },
+    many=frozenset({"artist"}),
+)
+FORMS = {"ids": IDS, "descriptive": DESCRIPTIVE}
+#: Elements that give a row of their own where none within them does. In the descriptive form a result without recordings has nothing to describe.
+_ROWS = {"ids": frozenset(IDS.cells), "descriptive": frozenset({"recording", "release", "medium", "track"})}
+
+
+class _Open:
+    """An element that has begun: the values of its children, and the rows within it."""
+
+    __slots__ = ("name", "values", "rows")
+
+    def __init__(self, name: str):
+        self.name, self.values, self.rows = name, {}, []
+
+
+def rows_of(body: bytes, kind: str) -> Iterator[tuple]:
+    """The rows of a response. ValueError or expat's error where it is not of the form."""
+    form, own = FORMS[kind], _ROWS[kind]
+    width = form.columns.count(",") + 1
+    allowed = {k: frozenset(v.split()) for k, v in form.children.items()}
+    stack, text, passed = [_Open("")], [], 0
+
+    def begin(name: str, _: dict) -> None:
+        nonlocal passed
+        if passed:
+            passed += 1
+            return
+        above = stack[-1].name
+        if name not in allowed.get(above, ("response",) if not above else ()):
+            raise ValueError(f"unknown element {name} within {above or 'the document'}")
+        if (above, name) in form.skipped:
+            passed = 1
+            return
+        text.clear()
+        stack.append(_Open(name))
+
+    def end(name: str) -> None:
+        nonlocal passed
+        if passed:
+            passed -= 1
+            return
+        at, above = stack.pop(), stack[-1]
+        if name not in allowed:
+            words = "".join(text)
+            text.clear()
+            if name in above.values:
+                raise ValueError(f"unknown second {name} within {above.name}")
+            read = form.values.get(name)
+            above.values[name] = read(words) if read else words
+            return
+        if name in form.folds:
+            value = form.folds[name](at.values)
+            if name in form.many:
+                above.values.setdefault(name, []).append(value)
+            else:
+                above.values[name] = value
+            return
+        rows = at.rows or ([[None] * width] if name in own else [])
+        for child, column in form.cells.get(name, {}).items():
+            value = at.values.get(child)
+            for r in rows:
+                r[column] = value
+        above.rows.extend(rows)
+        if name == "response" and at.values.get("status") != "ok":
+            raise ValueError(f"the lookup's status is {at.values.get('status')!r}")
+
+    def said(words: str) -> None:
+        if not passed:
+            if stack[-1].name not in allowed:
+                text.append(words)
+            elif words.strip():
+                raise ValueError(f"unknown text within {stack[-1].name}")
+
+    def no_type(*_) -> None:
+        raise ValueError("unknown document type")
+
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.StartDoctypeDeclHandler = begin, end, said, no_type
+    parser.Parse(body, True)
+    return map(tuple, stack[0].rows)
+
+
+def flattened(responses: DataFrame, kind: str, column: str = "body") -> DataFrame:
+    """responses with their text replaced by its rows. A null or empty response fails the query."""
+    body = F.when(F.octet_length(column) > 0, F.col(column)).otherwise(F.raise_error(F.lit("unknown status: no response")).cast("string"))
+    return _decoded(responses.withColumn(column, body.cast("binary")), column, lambda data: rows_of(data, kind), FORMS[kind].columns)
 
 
 def matches(responses: DataFrame, key: list[str], column: str = "body") -> DataFrame:
@@ -46,27 +178,24 @@ def matches(responses: DataFrame, key: list[str], column: str = "body") -> DataF
 
     One row per result and stream; where a result repeats for a stream the highest score stays. Results without recordings have nulls.
     """
-    r = parsed(responses, "ids", column)
-    r = r.select(*key, F.explode("x.fingerprints.fingerprint").alias("f")).select(*key, "f.index", F.explode_outer("f.results.result").alias("r"))
-    r = r.select(*key, "index", F.col("r.id").alias("fingerprint_id"), F.col("r.score").alias("score"), F.explode_outer("r.recordings.recording").alias("c"))
-    r = r.select(*key, "index", "fingerprint_id", "score", F.col("c.id").alias("recording_id"), F.explode_outer("c.releasegroups.releasegroup").alias("g"))
-    r = r.select(*key, "index", "fingerprint_id", "score", "recording_id", F.col("g.id").alias("release_group_id"), F.explode_outer("g.releases.release").alias("l"))
-    r = r.select(*key, "index", "fingerprint_id", "score", "recording_id", "release_group_id", F.col("l.id").alias("release_id"), F.explode_outer("l.mediums.medium").alias("m"))
-    r = r.select(*key, "index", "fingerprint_id", "score", "recording_id", "release_group_id", "release_id", F.col("m.position").alias("medium_pos"), F.explode_outer("m.tracks.track").alias("t"))
-    place = [*key, "index", "fingerprint_id", "recording_id", "release_group_id", "release_id", "medium_pos", F.col("t.position").alias("track_pos")]
-    return r.select(*place, "score").groupBy(*place[:-1], "track_pos").agg(F.max("score").alias("score"))
+    place = [*key, "index", "fingerprint_id", "recording_id", "release_group_id", "release_id", "medium_pos", "track_pos"]
+    return flattened(responses.select(*key, column), "ids", column).groupBy(*place).agg(F.max("score").alias("score"))
 
 
 def descriptions(responses: DataFrame, key: list[str], column: str = "body") -> DataFrame:
-    """(key, index, fingerprint_id, score, recording_id, title, artist, release_id, release_title, date, track) of descriptive responses."""
-    r = parsed(responses, "descriptive", column)
-    r = r.select(*key, F.explode("x.fingerprints.fingerprint").alias("f")).select(*key, "f.index", F.explode("f.results.result").alias("r"))
-    r = r.select(*key, "index", F.col("r.id").alias("fingerprint_id"), F.col("r.score").alias("score"), F.explode("r.recordings.recording").alias("c"))
-    artist = F.array_join(F.transform("c.artists.artist", lambda a: F.concat(a["name"], F.coalesce(a["joinphrase"], F.lit("")))), "")
-    r = r.select(*key, "index", "fingerprint_id", "score", F.col("c.id").alias("recording_id"), F.col("c.title").alias("title"), artist.alias("artist"), F.explode_outer("c.releases.release").alias("l"))
-    date = F.concat_ws("-", F.lpad(F.col("l.date.year").cast("string"), 4, "0"), F.lpad(F.col("l.date.month").cast("string"), 2, "0"), F.lpad(F.col("l.date.day").cast("string"), 2, "0"))
-    medium = F.col("l.mediums.medium")[0]
-    return r.select(*key, "index", "fingerprint_id", "score", "recording_id", "title", "artist", F.col("l.id").alias("release_id"), F.col("l.title").alias("release_title"), date.alias("date"), medium["tracks"]["track"][0]["position"].cast("string").alias("track"))
+    """A row per track of descriptive responses: (key, index, fingerprint_id, score, recording_id, title, artist, release_id, release_title, date, track, album, disc, place).
+
+    title and artist: the track's own, else the recording's. album: the medium's title. track: its position; place and disc: positions with what is known of
+    the number there are, as in 4/9 and 1/?.
+    """
+    r = flattened(responses.select(*key, column), "descriptive", column)
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
+    on_medium = F.col("medium_pos").isNotNull() | F.col("track_pos").isNotNull() | F.col("track_count").isNotNull()
+    return r.select(
+        *key, "index", "fingerprint_id", "score", "recording_id", F.coalesce("track_title", "recording_title").alias("title"), F.coalesce("track_artist", "recording_artist").alias("artist"),
+        "release_id", "release_title", "date", F.col("track_pos").cast("string").alias("track"), "album", F.concat(F.col("medium_pos").cast("string"), F.lit("/?")).alias("disc"),
+        F.when(on_medium, F.concat(known("track_pos"), F.lit("/"), known("track_count"))).alias("place"),
+    )
 
 
 def strict(column, kind: str):

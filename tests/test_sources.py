@@ -81,6 +81,42 @@ def test_descriptions(spark):
     assert (r["artist"], r["title"], r["release_title"], r["date"], r["track"]) == ("A & B", "T", "L", "1999-02", "4")
 
 
+@pytest.mark.parametrize("body", [
+    "<response><status>ok</status><status>ok</status></response>", "<response><fingerprints/></response>", "<answer/>", "", None, "<response><status>ok</status>", "<response><status>ok</status>text</response>",
+    "<response><status>ok</status><results/></response>", "<response><status>ok</status><fingerprints><fingerprint><index>1x</index></fingerprint></fingerprints></response>",
+    "<response><status>ok</status><fingerprints><fingerprint><index></index></fingerprint></fingerprints></response>", "<response><status>ok</status><fingerprints><fingerprint><index>1_0</index></fingerprint></fingerprints></response>",
+    "<!DOCTYPE response [<!ENTITY a 'ok'>]><response><status>&a;</status></response>", "<response><status>ok</status><fingerprints><fingerprint><results><result><score>nan</score></result></results></fingerprint></fingerprints></response>",
+])
+def test_misplaced_and_malformed_elements_fail(spark, body):
+    with pytest.raises(Exception, match="unknown|odd|status|no element found|mismatched|unclosed"):
+        lookup_xml.matches(spark.createDataFrame([("k", body)], "lookup string, body string"), ["lookup"]).collect()
+
+
+def test_any_order_of_elements():
+    parts = ["<status>ok</status>", "<fingerprints><fingerprint><results><result><recordings><recording/><recording><id>r</id></recording></recordings><id>f</id></result><result><score> 1e-1</score></result></results><index> 7</index></fingerprint><fingerprint/></fingerprints>"]
+    for body in ("".join(parts), "".join(reversed(parts))):
+        got = list(lookup_xml.rows_of(f"<?xml version='1.0'?>\n<response>{body}</response>".encode(), "ids"))
+        none = (None,) * 4
+        assert got == [(7, "f", None, None, *none), (7, "f", None, "r", *none), (7, None, 0.1, None, *none), (None, None, None, None, *none)]
+
+
+def test_one_parse_in_the_plan(spark):
+    d = spark.createDataFrame([("k", IDS)], "lookup string, body string")
+    for df in (lookup_xml.matches(d, ["lookup"]), lookup_xml.descriptions(d, ["lookup"])):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("MapInArrow") == 1 and "from_xml" not in plan
+
+
+def test_descriptions_without_parts(spark):
+    one = lambda inner: f"<response><status>ok</status><fingerprints><fingerprint><index>0</index><results><result><id>f</id>{inner}</result></results></fingerprint></fingerprints></response>"
+    bodies = [one(""), one("<recordings><recording><id>r</id></recording></recordings>"), one("<recordings><recording><releases><release><mediums><medium><title>A</title></medium></mediums></release></releases></recording></recordings>")]
+    d = spark.createDataFrame(list(enumerate(bodies)), "lookup int, body string")
+    got = sorted((r["lookup"], r["recording_id"], r["album"], r["disc"], r["place"], r["artist"]) for r in lookup_xml.descriptions(d, ["lookup"]).collect())
+    assert got == [(1, "r", None, None, None, None), (2, None, "A", None, None, None)]
+    with pytest.raises(Exception, match="unknown element genre"):
+        lookup_xml.descriptions(spark.createDataFrame([(1, one("<recordings><recording><genre/></recording></recordings>"))], "lookup int, body string"), ["lookup"]).collect()
+
+
 def test_container_tags(spark):
     from provena.sources import container_tags
 
