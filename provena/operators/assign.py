@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from provena.shared import written
+
 # assign_exact goes to executors with its code.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -88,6 +90,19 @@ def best_configuration(scored: DataFrame, within: list[str]) -> DataFrame:
     return scored.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+def best_matches(matched: DataFrame, within: list[str], configuration: str = "configuration") -> DataFrame:
+    """(within, configuration, n_streams, confidence_min, unmatched): the configurations that no other one of the same release beats.
+
+    matched: within, configuration, stream_index, confidence, one row per stream. One configuration beats another with as many streams by its higher least
+    confidence, then by fewer streams without any. Configurations of different numbers of streams cannot be compared, so this is no total order: one best row for
+    each number of streams stays, and all that are equal to it.
+    """
+    scored = matched.groupBy(*within, configuration).agg(F.count("*").alias("n_streams"), F.min("confidence").alias("confidence_min"), F.count_if(~(F.col("confidence") > 0)).alias("unmatched"))
+    merit = F.struct(F.col("confidence_min").alias("c"), (-F.col("unmatched")).alias("u"))
+    best = scored.groupBy(*within, "n_streams").agg(F.max(merit).alias("_best"))
+    return scored.join(best, [*within, "n_streams"]).where(merit == F.col("_best")).select(*within, configuration, "n_streams", "confidence_min", "unmatched")
+
+
 def apply_choice(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
     """Keep only what the choice holds."""
     return rows.join(chosen.select(*keys).distinct(), keys, "left_semi")
@@ -114,6 +129,53 @@ def toc_distance(tracks: DataFrame, streams: DataFrame, disc: list[str], positio
     return rows.groupBy(*disc, "candidate").agg(F.sum(F.abs(F.col("sectors") - F.col("length"))).alias("distance"))
 
 
+def nearest_toc_bounded(tracks: DataFrame, streams: DataFrame, disc: list[str], position: str = "track_pos", reach: int | None = None) -> DataFrame:
+    """(disc, candidate, distance, compared): nearest_toc(toc_distance(...)) without all pairs; compared: how many candidates the disc met.
+
+    The difference of two total lengths is never above the distance of the lists. So discs meet the candidates whose totals are within reach, by buckets as
+    wide as the reach; a disc whose best distance is within reach is done, since whatever it did not meet is farther away. The others go on with four times the reach, or more where the distances found say so.
+    Totals are taken over the positions that a disc and a candidate share, for each pair of sets of positions that there is. reach: of the first round; by default a few
+    times the mean gap between candidates.
+    """
+    join_key = ["_have", "_common"]
+    lists = lambda rows, by, length: rows.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(position), F.col(length).cast("long").alias("n"))))).alias("_at"))
+    known = lists(tracks, disc, "sectors").withColumn("_have", F.map_keys("_at"))
+    # a candidate meets each set of positions that discs have, where they share one; the sets are few
+    places = known.select("_have").distinct().select("_have", F.explode("_have").alias(position))
+    offered = streams.join(places, position).groupBy("candidate", "_have").agg(F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.col("length").cast("long").alias("n")))).alias("_at"))
+    values = lambda at: F.transform(at, lambda x: x["n"])
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    offered = offered.select("candidate", "_have", F.transform("_at", lambda x: x["p"]).alias("_common"), values(F.col("_at")).alias("_lengths"))
+    offered = written(offered.withColumn("_total", total(F.col("_lengths"))), "toc-candidates")
+    shapes = offered.select(*join_key).distinct()
+    open_ = known.join(shapes, "_have").select(*disc, *join_key, F.transform("_common", lambda p: F.col("_at")[p]).alias("_sectors")).withColumn("_sum", total(F.col("_sectors")))
+    open_ = written(open_, "toc-discs")
+    span = offered.agg(F.max("_total").alias("hi"), F.min("_total").alias("lo"), F.count("*").alias("n")).first()
+    farthest = open_.agg(F.max(F.abs("_sum")).alias("m")).first()["m"] or 0
+    reach = reach or 4 * ((span["hi"] or 0) - (span["lo"] or 0)) // max(span["n"], 1) + 1
+    done: list[DataFrame] = []
+    while True:
+        whole = reach > farthest + max(abs(span["hi"] or 0), abs(span["lo"] or 0))
+        bucket = lambda c, reach=reach: F.floor(F.col(c) / F.lit(reach)).cast("long")
+        near = open_.withColumn("_b", F.explode(F.array(*(bucket("_sum") + d for d in (-1, 0, 1)))))
+        met = near.join(offered.withColumn("_b", bucket("_total")), [*join_key, "_b"])
+        met = met.withColumn("distance", F.aggregate(F.zip_with("_sectors", "_lengths", lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda a, x: a + x))
+        best = met.groupBy(*disc).agg(F.min(F.struct("distance", "candidate")).alias("b"), F.count("*").alias("compared"))
+        best = written(best.select(*disc, F.col("b.candidate").alias("candidate"), F.col("b.distance").alias("distance"), "compared"), "toc-best")
+        settled = best if whole else best.where(F.col("distance") <= reach)
+        done.append(settled)
+        open_ = open_.join(settled.select(*disc), disc, "left_anti")
+        if whole or open_.isEmpty():
+            break
+        # within the distance that a disc has found already it is done at the latest
+        found = best.where(F.col("distance") > reach).agg(F.percentile_approx("distance", 0.9).alias("d")).first()["d"]
+        open_, reach = written(open_, "toc-open"), max(4 * reach, found or 0)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
 def nearest_toc(distances: DataFrame, disc: list[str]) -> DataFrame:
     """The candidate at the least distance, the first of equal ones."""
     best = distances.groupBy(*disc).agg(F.min(F.struct("distance", "candidate")).alias("b"))

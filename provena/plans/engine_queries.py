@@ -645,7 +645,32 @@ def toc_manhattan(spark, sf):
     t = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("disc"), F.col("l_linenumber").alias("track_pos")).agg(F.sum(F.col("l_quantity").cast("long")).alias("sectors"))
     p = table(spark, sf, "part").select(F.col("p_size").alias("candidate")).distinct()
     s = p.select("candidate", F.explode(F.array(*map(F.lit, range(1, 8)))).alias("track_pos")).withColumn("length", F.col("candidate") * F.col("track_pos") * 20)
-    return assign.nearest_toc(assign.toc_distance(t, s, ["disc"]), ["disc"])
+    return assign.nearest_toc_bounded(t, s, ["disc"]).select("disc", "candidate", "distance")
+
+
+@query("toc_nearest_customers", """
+with o as (select o_custkey, row_number() over (partition by o_custkey order by o_orderkey) as p, cast(floor(o_totalprice / 100) as bigint) as sectors from orders),
+d as (select o_custkey as disc, p, sectors from o where p <= 3 and o_custkey % 2 = 0), c as (select o_custkey as candidate, p, sectors as length from o where p <= 3 and o_custkey % 2 = 1),
+x as (select disc, candidate, sum(abs(sectors - length)) as distance from d join c using (p) group by all)
+select disc, min_by(candidate, (distance, candidate)) as candidate, cast(min(distance) as bigint) as distance from x group by 1
+""")
+def toc_nearest_customers(spark, sf):
+    """The first three orders of each customer as a table of contents; for every second customer the nearest of the others."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, sf, "orders").select("o_custkey", F.row_number().over(w).alias("track_pos"), F.floor(F.col("o_totalprice") / 100).cast("long").alias("sectors")).where("track_pos <= 3")
+    discs_ = o.where("o_custkey % 2 = 0").withColumnRenamed("o_custkey", "disc")
+    return assign.nearest_toc_bounded(discs_, o.where("o_custkey % 2 = 1").select(F.col("o_custkey").alias("candidate"), "track_pos", F.col("sectors").alias("length")), ["disc"]).select("disc", "candidate", "distance")
+
+
+@query("best_matches", f"""
+with m as (select l_orderkey, l_suppkey % 4 as configuration, case when l_tax < 0.02 then 0 else cast(l_quantity as bigint) % 7 end as c from lineitem),
+s as (select l_orderkey, configuration, count(*) as n_streams, min(c) as confidence_min, count_if(c <= 0) as unmatched from m group by all)
+select * from s where not exists (select 1 from s b where b.l_orderkey = s.l_orderkey and b.n_streams = s.n_streams and (b.confidence_min > s.confidence_min or b.confidence_min = s.confidence_min and b.unmatched < s.unmatched))
+""")
+def best_matches(spark, sf):
+    """Each order's lines in four configurations of different sizes, and those that no other beats."""
+    m = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 4).alias("configuration"), F.col("l_linenumber").alias("stream_index"), F.when(F.col("l_tax") < 0.02, 0).otherwise(F.col("l_quantity").cast("long") % 7).alias("confidence"))
+    return assign.best_matches(m, ["l_orderkey"])
 
 
 @query("configuration_residual", "select l_orderkey, cast(sum(abs(l_partkey % 9 - 4)) as bigint) as residual from lineitem group by 1")

@@ -399,6 +399,39 @@ def test_permutation_by_key(spark):
     assert rows(merge.permute(a, p, "k", ["g"]), "g", "k", "v") == [("x", 1, "b"), ("x", 2, "a"), ("y", 1, "c")]
 
 
+@pytest.mark.parametrize("reach", [None, 1, 10**9])
+def test_nearest_toc_with_a_bound(spark, reach):
+    """Equal totals, ties, lists of different positions, discs that share a position with nobody; and far from all pairs meet."""
+    draw = random.Random(4)
+    tocs = {f"d{i}": {p: draw.randint(100, 400) for p in range(1, draw.choice([3, 3, 4]) + 1)} for i in range(25)} | {"odd": {9: 5}, "gap": {2: 150, 4: 50}}
+    files = {i: {p: draw.randint(100, 400) * (1 + i % 40) for p in range(1, draw.choice([3, 5]) + 1)} for i in range(300)} | {900: {2: 150}, 901: {2: 150}, 902: {1: 200, 2: 100, 3: 300}, 903: {1: 300, 2: 200, 3: 100}}
+    t = spark.createDataFrame([(d, p, n) for d, x in tocs.items() for p, n in x.items()], "disc string, track_pos int, sectors long")
+    s = spark.createDataFrame([(c, p, n) for c, x in files.items() for p, n in x.items()], "candidate int, track_pos int, length long")
+    want = {}
+    for d, x in tocs.items():
+        near = [(sum(abs(x[p] - y[p]) for p in x if p in y), c) for c, y in files.items() if set(x) & set(y)]
+        if near:
+            want[d] = min(near)
+    got = assign.nearest_toc_bounded(t, s, ["disc"], reach=reach).collect()
+    assert {r["disc"]: (r["distance"], r["candidate"]) for r in got} == want and len(got) == len(want)
+    if reach is None:
+        assert sum(r["compared"] for r in got) < 0.35 * len(tocs) * len(files)
+    assert rows(assign.nearest_toc(assign.toc_distance(t, s, ["disc"]), ["disc"]), "disc", "distance", "candidate") == sorted(((d, *w) for d, w in want.items()), key=str)
+    assert assign.nearest_toc_bounded(t, s.limit(0), ["disc"]).count() == 0
+
+
+def test_matches_that_cannot_be_compared(spark):
+    draw = random.Random(2)
+    m = {(r, c): [draw.randint(0, 3) for _ in range(draw.randint(1, 4))] for r in "ab" for c in range(12)}
+    d = spark.createDataFrame([(r, c, k, x) for (r, c), v in m.items() for k, x in enumerate(v)], "release_id string, configuration int, stream_index int, confidence int")
+
+    def beats(a, b):
+        return len(a) == len(b) and (min(a), -a.count(0)) > (min(b), -b.count(0))
+
+    want = sorted(k for k, v in m.items() if not any(beats(w, v) for j, w in m.items() if j[0] == k[0]))
+    assert sorted((r["release_id"], r["configuration"]) for r in assign.best_matches(d, ["release_id"]).collect()) == want
+
+
 def test_from_samples_to_the_report(spark):
     """The steps of the main pipeline in order: checksums at offsets, votes, prune, tags, differences, report."""
     s = spark.createDataFrame([("d", t, j, t * 1000003 * j % 2**32) for t in (1, 2) for j in range(1, 31)], "disc string, track_pos int, j long, s long")
