@@ -5,6 +5,8 @@ Every query runs over whole tables. Where SQL can say the same, the SQL stands b
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +14,8 @@ from pyspark.sql.window import Window
 from provena.functions import exprs
 from provena.operators import assign, checksum, cover, discs, limiter, merge, report, tags, votes
 from provena.plans.registry import query, table
-from provena.sources import binary, container_tags, lookup_xml
+from provena.shared import shared_dir
+from provena.sources import binary, container_tags, lookup_xml, response_files
 
 #: A total order of an order's lines: line numbers repeat in the driver's table.
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -849,8 +852,42 @@ def eac_decode(spark, sf):
     whole, part, *end = binary.EAC_MAGICS
     text = F.concat(word(F.col("n")), word(F.col("path")), section(whole, "w"), section(part, "p"), *(word(F.lit(m)) for m in end))
     out = binary.decode_eac(r.select("path", F.unhex(text).alias("content")))
-    names = [c for c in out.columns if c != "path"]
-    return out.toDF("path", *["track", "kind", "k", "crc", "confidence", "date"][: len(names)])
+    return out.select("path", F.col("track_pos").alias("track"), "kind", F.col("ordinal").alias("k"), F.col("crc32").alias("crc"), F.col("count").alias("confidence"), "date")
+
+
+def _files_read(spark, rows: DataFrame, format_: str) -> DataFrame:
+    """rows written as files and read by two scans, whose filters choose the files; path is the file's name again."""
+    response_files.register(spark)
+    folder = f"{shared_dir(spark)}/{format_}-{uuid.uuid4().hex}"
+    rows.write.format(format_).mode("append").save(folder)
+    some = lambda part: response_files.pushing(spark, format_, folder).where(F.col("path").contains(part))
+    return some("/even-").unionByName(some("/odd-")).withColumn("path", F.substring_index("path", "/", -1))
+
+
+@query("rip_files", f"""
+select case when l_orderkey % 2 = 0 then 'even-' else 'odd-' end || l_orderkey % 40 || '.bin' as path, cast(dense_rank() over (partition by l_orderkey % 40 order by l_orderkey) - 1 as int) as entry, l_orderkey as id1, l_orderkey % 7 as id2,
+  5 as cddb, cast(pos as int) as track_pos, cast(l_quantity as int) as confidence, l_partkey as crc, l_suppkey as offset_crc from ({LINES})
+""")
+def rip_files(spark, sf):
+    """Lines written as forty files of the rip database, an entry per order, and read back by the data source."""
+    name = F.concat(F.when(F.col("l_orderkey") % 2 == 0, "even-").otherwise("odd-"), (F.col("l_orderkey") % 40).cast("string"), F.lit(".bin"))
+    rows = lines(spark, sf).select(name.alias("path"), F.lit(0).alias("entry"), F.col("l_orderkey").alias("id1"), (F.col("l_orderkey") % 7).alias("id2"), F.lit(5).cast("long").alias("cddb"), F.col("pos").cast("int").alias("track_pos"), F.col("l_quantity").cast("int").alias("confidence"), F.col("l_partkey").alias("crc"), F.col("l_suppkey").alias("offset_crc"))
+    return _files_read(spark, rows.repartition("path").sortWithinPartitions("path", "id1", "track_pos"), "rip_responses").withColumn("cddb", F.col("cddb").cast("int"))
+
+
+@query("eac_files", f"""
+with l as ({LINES}), t as (select case when l_suppkey % 2 = 0 then 'even-' else 'odd-' end || l_suppkey || '.bin' as path, l_linenumber as track_pos, kind, l_suppkey as s, l_orderkey, pos, case kind when 'whole' then l_partkey else l_orderkey end as crc32, cast(l_quantity as bigint) as count,
+  l_orderkey as date from l, (values ('whole'), ('part')) v(kind))
+select path, track_pos, kind, cast(row_number() over (partition by s, track_pos, kind order by l_orderkey, pos) - 1 as int) as ordinal, crc32, count, date from t
+""")
+def eac_files(spark, sf):
+    """Lines written as files of the second database, one per supplier, and read back by the data source."""
+    name = F.concat(F.when(F.col("l_suppkey") % 2 == 0, "even-").otherwise("odd-"), F.col("l_suppkey").cast("string"), F.lit(".bin"))
+    one = lines(spark, sf).withColumn("kind", F.explode(F.array(F.lit("whole"), F.lit("part"))))
+    place = F.row_number().over(Window.partitionBy("l_suppkey", "l_linenumber", "kind").orderBy("l_orderkey", "pos")) - 1
+    crc = F.when(F.col("kind") == "whole", F.col("l_partkey")).otherwise(F.col("l_orderkey"))
+    rows = one.select(name.alias("path"), F.col("l_linenumber").alias("track_pos"), "kind", place.cast("int").alias("ordinal"), crc.alias("crc32"), F.col("l_quantity").cast("long").alias("count"), F.col("l_orderkey").alias("date"))
+    return _files_read(spark, rows.repartition("path").sortWithinPartitions("path"), "eac_responses")
 
 
 @query("stream_ends", f"""

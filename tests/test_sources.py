@@ -2,6 +2,7 @@ import gzip
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from provena.sources import binary, lookup_xml
 
@@ -37,6 +38,53 @@ def test_files(spark, tmp_path):
     assert sorted((r["track_pos"], r["crc"]) for r in native.collect()) == [(k + 1, c[1]) for k, c in enumerate(ENTRY[3])]
 
 
+def test_data_source_reads_ranges_and_pushes_filters(spark, tmp_path, monkeypatch):
+    from provena.sources import response_files
+
+    monkeypatch.setattr(response_files, "RANGE", 50)
+    many = [(k, 2, 3, [(1, k, 0)] * (k % 3)) for k in range(20)]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.bin").write_bytes(binary.rip_octets(many))
+    (tmp_path / "sub" / "b.bin").write_bytes(gzip.compress(binary.rip_octets([ENTRY])))
+    (tmp_path / "_hidden").write_bytes(b"\1")
+    (tmp_path / "empty").write_bytes(b"")
+    response_files.register(spark)
+    d = spark.read.format("rip_responses").option("partition_mb", 0.0001).load(str(tmp_path))
+    got = sorted((r["entry"], r["id1"], r["track_pos"]) for r in d.where(F.col("path") == f"{tmp_path}/a.bin").collect())
+    assert got == [(k, k, t + 1) for k in range(20) for t in range(k % 3)]
+    # one frame, scanned with and without filters in one plan
+    few = d.where(F.col("path").endswith("b.bin"))
+    assert few.count() == 3 and d.count() == 22 and d.join(few.select("track_pos").distinct(), "track_pos").count() == 22 and few.unionByName(d.where(F.col("path").endswith("a.bin"))).count() == 22
+    pushing = lambda: response_files.pushing(spark, "rip_responses", str(tmp_path))
+    for test, n in ((F.col("path").endswith("b.bin"), 3), (F.col("path").contains("/sub/"), 3), (F.col("path").startswith("/nowhere"), 0), (F.col("path").isin(f"{tmp_path}/a.bin", f"{tmp_path}/sub/b.bin"), 22), (F.col("track_pos") == 2, 7)):
+        assert pushing().where(test).count() == n == d.where(test).count()
+    # the files of other paths are not opened: a malformed one does no harm
+    (tmp_path / "bad.bin").write_bytes(b"\5abc")
+    some = pushing().where(F.col("path").endswith("b.bin"))
+    assert some.count() == 3 and spark.read.format("rip_responses").option("only", "*/sub/*").load(str(tmp_path)).count() == 3
+    assert "PushedFilters: [StringEndsWith(path,b.bin)]" in spark._jvm.PythonSQLUtils.explainString(some._jdf.queryExecution(), "formatted")
+    with pytest.raises(Exception, match="remain"):
+        pushing().count()
+
+
+def test_data_source_writes_whole_files(spark, tmp_path):
+    from provena.sources import response_files
+
+    response_files.register(spark)
+    rows = [(f"f{k % 3}", 0, k, 1, 1, t, 1, k, t) for k in range(9) for t in (1, 2)]
+    d = spark.createDataFrame(rows, "path string, entry int, id1 long, id2 long, cddb long, track_pos int, confidence int, crc long, offset_crc long")
+    out = str(tmp_path / "out")
+    d.repartition(2, "path").sortWithinPartitions("path", "id1").write.format("rip_responses").mode("append").save(out)
+    back = spark.read.format("rip_responses").load(out)
+    assert sorted((r["path"].rsplit("/")[-1], r["entry"], r["id1"], r["track_pos"]) for r in back.collect()) == sorted((f"f{k % 3}", k // 3, k, t) for k in range(9) for t in (1, 2))
+    with pytest.raises(Exception, match="stand apart"):
+        d.coalesce(1).sortWithinPartitions("id1").write.format("rip_responses").mode("append").save(str(tmp_path / "apart"))
+    assert list((tmp_path / "apart").iterdir()) == []
+    one = d.where("path = 'f0'").coalesce(1).sortWithinPartitions("id1")
+    one.write.format("rip_responses").mode("overwrite").save(out)
+    assert {r["path"].rsplit("/")[-1] for r in spark.read.format("rip_responses").load(out).collect()} == {"f0"}
+
+
 def test_wav(spark, tmp_path):
     def wav(channels, body):
         form = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, channels, 44100, 44100 * 2 * channels, 2 * channels, 16)
