@@ -157,7 +157,11 @@ def metadata_distance(files: DataFrame, catalogue: DataFrame, key: list[str], wi
 
 
 def tag_record(pairs: DataFrame, key: str = "stream_index") -> DataFrame:
-    """One record per stream from rows (stream, name, value) of a container's dictionary: the known tags, and the sorted names of the others."""
+    """One record per stream from rows (stream, name, value) of a container's dictionary: the known tags, and the sorted names of the others.
+
+    Where a tag repeats the last one counts, by ordinal; without that column, the largest.
+    """
     known = F.lower("name").isin(*TAG_FIELDS)
-    cells = [F.max(F.when(F.lower("name") == t, F.col("value"))).alias(t) for t in TAG_FIELDS]
+    last = (lambda v: F.max_by(v, F.when(v.isNotNull(), F.col("ordinal")))) if "ordinal" in pairs.columns else F.max
+    cells = [last(F.when(F.lower("name") == t, F.col("value"))).alias(t) for t in TAG_FIELDS]
     return pairs.groupBy(key).agg(*cells, F.sort_array(F.collect_set(F.when(~known, F.col("name")))).alias("unknown"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -1063,3 +1064,33 @@ def tag_scan(spark, sf):
     head = F.concat(F.lit("84"), F.lpad(F.hex(F.call_function("div", F.length("body"), F.lit(2)).cast("int")), 6, "0"))
     files = table(spark, sf, "orders").withColumn("body", body).select("o_orderkey", F.unhex(F.concat(F.hex(F.lit("fLaC")), head, "body")).alias("content"))
     return tags.tag_record(container_tags.decode_tags(files), "o_orderkey").select("o_orderkey", "title", "sort_artist", "track", "unknown")
+
+
+def _tag_files(spark, sf, octets) -> DataFrame:
+    """Parts as files that hold nothing but tags, the title twice, read back into records."""
+    def written_(names: pd.Series, brands: pd.Series, kinds: pd.Series, keys: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([octets([("title", "first"), ("title", n), ("album", f"É {b}"), ("artist", k), ("track", f"{i % 90 + 1}/{s + 90}"), ("compilation", str(i % 2)), ("mood", "calm")]) for n, b, k, i, s in zip(names, brands, kinds, keys, sizes)])
+
+    content = F.pandas_udf(written_, "binary")("p_name", "p_brand", "p_type", "p_partkey", "p_size")
+    files = table(spark, sf, "part").select("p_partkey", content.alias("content"))
+    return tags.tag_record(container_tags.decode_tags(files), "p_partkey").select("p_partkey", "title", "album", "artist", "track", "compilation", "composer", "unknown")
+
+
+_TAG_FILES = """
+select p_partkey, p_name as title, 'É ' || p_brand as album, p_type as artist, p_partkey % 90 + 1 || '/' || p_size + 90 as track, (p_partkey % 2)::varchar as compilation, null::varchar as composer, ['mood'] as unknown from part
+"""
+
+
+@query("tag_scan_id3", _TAG_FILES)
+def tag_scan_id3(spark, sf):
+    return _tag_files(spark, sf, container_tags.id3_octets)
+
+
+@query("tag_scan_ogg", _TAG_FILES)
+def tag_scan_ogg(spark, sf):
+    return _tag_files(spark, sf, container_tags.ogg_octets)
+
+
+@query("tag_scan_mp4", _TAG_FILES)
+def tag_scan_mp4(spark, sf):
+    return _tag_files(spark, sf, container_tags.mp4_octets)
