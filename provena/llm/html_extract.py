@@ -7,7 +7,8 @@ siblings that score near it or read like text; where it lies in an article or ma
 blocks of links are left out. The text is what remains, block by block.
 
 Defined cases: a null or empty page, and one without text, give an empty text; unclosed, misnested and truncated markup is read as far as it
-goes; nothing recurses, so depth does not matter; repeated rows give the same text; other columns pass through.
+goes; repeated rows give the same text; other columns pass through. Time is in proportion to the page whatever its depth: open elements are kept by name, so no tag looks for its
+partner along its ancestors, and what a subtree holds is summed up once.
 """
 
 from __future__ import annotations
@@ -41,6 +42,9 @@ ENDS = {
     "head": frozenset({"body", "article", "main", "div", "p", "nav", "header", "section"}),
 }
 STOPS = {"li": frozenset({"ul", "ol", "menu", "dir"}), "dt": frozenset({"dl"}), "dd": frozenset({"dl"}), "tr": frozenset({"table"}), "td": frozenset({"table"}), "th": frozenset({"table"})}
+#: For the beginning of an element: those that it ends, and those beyond which it ends nothing.
+ENDED = {tag: frozenset(k for k, v in ENDS.items() if tag in v) for tag in frozenset().union(*ENDS.values())}
+FENCED = {tag: STOPS.get(tag, frozenset()) | {"table", "body", "article", "main", "div", "section", "blockquote"} for tag in ENDED}
 FURNITURE = frozenset(
     """ad ads advert advertisement adverts adsense adslot banner breadcrumb breadcrumbs byline comment comments commentlist cookie cookies consent disclaimer disqus
     dropdown footer gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter notice notification outbrain overlay pager pagination paywall popup print
@@ -54,13 +58,16 @@ _NAME_PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "points", "chars", "links", "commas")
+    __slots__ = ("tag", "attrs", "parent", "depth", "block", "children", "points", "chars", "links", "commas", "anchors", "page")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
+        self.depth = parent.depth + 1 if parent else 0
+        self.block = self.depth if parent is None or tag in BLOCK else parent.block  # depth of the nearest block, itself included
         self.children: list[Node | str] = []
         self.points = 0.0
-        self.chars = self.links = self.commas = 0
+        self.chars = self.links = self.commas = self.anchors = 0
+        self.page = False
 
     def attributes(self) -> dict[str, str]:
         return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(self.attrs)} if self.attrs else {}
@@ -68,6 +75,24 @@ class Node:
 
 def parse(html: str) -> Node:
     root = at = Node("html", "", None)
+    open_: dict[str, list[Node]] = {}  # by name, the deepest last
+
+    def last(tags) -> Node | None:
+        found = None
+        for t in tags:
+            if (x := open_.get(t)) and (found is None or x[-1].depth > found.depth):
+                found = x[-1]
+        return found
+
+    def close(x: Node) -> Node:
+        """Close x and all within it. Each element is closed once."""
+        y = at
+        while True:
+            open_[y.tag].pop()
+            if y is x:
+                return x.parent
+            y = y.parent
+
     pos = 0
     while True:
         m = _TOKEN.search(html, pos)
@@ -80,24 +105,19 @@ def parse(html: str) -> Node:
         if not tag:
             continue
         if m[1] or m[4]:
-            x: Node | None = at
-            while x is not None and x.tag != tag:
-                # a closing inline tag does not reach out of a block
-                x = None if x.tag in BLOCK and tag not in BLOCK and tag not in ("td", "th") else x.parent
-            if x is not None and x.parent is not None:
-                at = x.parent
+            x = last((tag,))
+            # a closing inline tag does not reach out of a block
+            if x is not None and (tag in BLOCK or tag in ("td", "th") or x.depth > at.block):
+                at = close(x)
             continue
         if tag == "html":
             root.attrs += m[3] or m[6] or ""
             continue
-        x = at
-        while x is not None:
-            if x.tag in ENDS and tag in ENDS[x.tag] and x.parent is not None:
-                at = x.parent
-                break
-            if x.tag in STOPS.get(tag, ()) or x.tag in ("table", "td", "th", "body", "article", "main", "div", "section", "blockquote") and x.tag not in ENDS:
-                break
-            x = x.parent
+        if tag in ENDED:
+            x = last(ENDED[tag])
+            fence = last(FENCED[tag]) if x is not None else None
+            if x is not None and (fence is None or x.depth >= fence.depth):
+                at = close(x)
         given = m[3] or m[6] or ""
         node = Node(tag, given, at)
         at.children.append(node)
@@ -105,6 +125,7 @@ def parse(html: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, pos)
             pos = end.end() if end else len(html)
         elif tag not in VOID and not given.rstrip().endswith("/"):
+            open_.setdefault(tag, []).append(node)
             at = node
 
 
@@ -133,41 +154,40 @@ def _cut(x: Node, within: bool) -> bool:
     return True
 
 
+def _in_order(root: Node) -> list[Node]:
+    """All nodes, parents first."""
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo += [c for c in x.children if isinstance(c, Node)]
+    return order
+
+
 def prune(root: Node) -> None:
+    for x in reversed(_in_order(root)):
+        x.page = any(isinstance(c, Node) and (c.page or c.tag in ("main", "h1") or c.tag == "article" and not _cut(c, False)) for c in x.children)
     todo = [(root, False)]
     while todo:
         x, within = todo.pop()
         within = within or x.tag in ("article", "main")
-        x.children = [c for c in x.children if isinstance(c, str) or not _cut(c, within) or _holds_the_page(c, x)]
+        x.children = [c for c in x.children if isinstance(c, str) or not _cut(c, within) or _holds_the_page(c)]
         todo += [(c, within) for c in x.children if isinstance(c, Node)]
 
 
-def _holds_the_page(x: Node, parent: Node) -> bool:
+def _holds_the_page(x: Node) -> bool:
     """A wrapper whose class has a furniture word (has-sidebar, ad-free) but which holds the article itself."""
-    if x.tag not in ("div", "section", "center", "table", "tr", "td", "span"):
+    if not x.page or x.tag not in ("div", "section", "center", "table", "tr", "td", "span"):
         return False
     a = x.attributes()
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "none" in a.get("style", "").lower() or a.get("role", ""):
-        return False
-    todo = [x]
-    while todo:
-        y = todo.pop()
-        for c in y.children:
-            if isinstance(c, Node):
-                if c.tag in ("main", "h1") or c.tag == "article" and not _cut(c, False):
-                    return True
-                todo.append(c)
-    return False
+    return not ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or "none" in a.get("style", "").lower() or a.get("role", ""))
 
 
 def measure(root: Node) -> list[Node]:
-    """Characters, commas and characters in links below every node; all nodes, parents first."""
-    order, todo = [], [root]
-    while todo:
-        x = todo.pop()
-        order.append(x)
-        todo += [c for c in x.children if isinstance(c, Node)]
+    """Characters, commas, links and characters in links below every node; all nodes, parents first."""
+    order = _in_order(root)
     for x in reversed(order):
+        x.anchors = int(x.tag == "a")
         for c in x.children:
             if isinstance(c, str):
                 t = c.strip()
@@ -176,6 +196,7 @@ def measure(root: Node) -> list[Node]:
             else:
                 x.chars += c.chars
                 x.commas += c.commas
+                x.anchors += c.anchors
                 x.links += c.chars if c.tag == "a" else c.links
     return order
 
@@ -186,15 +207,17 @@ def density(x: Node) -> float:
 
 def container(order: list[Node]) -> list[Node]:
     """The best container and the siblings that go with it."""
-    for x in order:
+    # all to the parent, half of what a node has got to the next: children before parents, so each node is done once
+    for x in reversed(order):
         direct = x.tag in ("div", "td", "section", "article", "main", "body") and sum(len(c.strip()) for c in x.children if isinstance(c, str)) >= 25
+        points = 0.0
         if (x.tag in ("p", "pre", "blockquote", "li", "dd") or direct) and x.chars >= 1:
             points = (1 + x.commas + min(x.chars / 100, 3)) * (1 - density(x))
-            up, share = x if direct else x.parent, 1.0
-            while up is not None:
-                up.points += points * share
-                share *= 0.5
-                up = up.parent
+        if direct:
+            x.points += points
+            points = 0.0
+        if x.parent is not None:
+            x.parent.points += points + x.points / 2
     scored = [(x.points * (1 - density(x)), -k, x) for k, x in enumerate(order) if x.points > 0]
     if not scored:
         return [order[0]]
@@ -238,7 +261,7 @@ def blocks(tops: list[Node]) -> Iterator[str]:
                 yield from flush()
             elif isinstance(x, str):
                 line.append(unescape(x))
-            elif x.tag in ("ul", "ol", "table", "div", "section", "p") and x.chars and density(x) > 0.75 and _many_links(x):
+            elif x.tag in ("ul", "ol", "table", "div", "section", "p") and x.chars and density(x) > 0.75 and x.anchors >= 3:
                 yield from flush()
             else:
                 if x.tag in BLOCK:
@@ -250,15 +273,6 @@ def blocks(tops: list[Node]) -> Iterator[str]:
         yield from flush()
 
 
-def _many_links(x: Node) -> bool:
-    n, todo = 0, [x]
-    while todo:
-        y = todo.pop()
-        n += y.tag == "a"
-        todo += [c for c in y.children if isinstance(c, Node)]
-    return n >= 3
-
-
 def main_text(html: str | None) -> str:
     if not html:
         return ""
