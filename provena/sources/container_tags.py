@@ -182,6 +182,8 @@ def _atoms(data: bytes, at: int, end: int) -> Iterator[tuple[str, int, int]]:
             raise ValueError(f"atom {name!r} is cut off")
         yield name.decode("latin-1"), at + head, at + size
         at += size
+    if end - at not in (0, 4) or any(data[at:end]):  # four zeros may end a list
+        raise ValueError("cut off between atoms")
 
 
 def _mp4_value(name: str, kind: int, body: bytes) -> str:
