@@ -74,6 +74,11 @@ def sort_releases(releases: DataFrame) -> DataFrame:
     return releases.orderBy(F.col("distance").asc(), F.col("score").desc(), F.col("release_id").asc())
 
 
+def numbered_releases(releases: DataFrame) -> DataFrame:
+    """releases with place, their number in the order of sort_releases(), over all of them."""
+    return numbered(releases, [F.col("distance").asc(), F.col("score").desc(), F.col("release_id").asc()], "place")
+
+
 def sort_groups(releases: DataFrame, group: str = "release_group_id") -> DataFrame:
     """Groups by the distance of their best release."""
     return releases.groupBy(group).agg(F.min("distance").alias("distance")).orderBy("distance", group)

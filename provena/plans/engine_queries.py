@@ -15,8 +15,9 @@ from pyspark.sql.window import Window
 from provena.functions import exprs
 from provena.operators import assign, checksum, cover, discs, limiter, merge, report, tags, votes
 from provena.plans.registry import query, table
+from provena.schema import TAG_FIELDS
 from provena.shared import shared_dir
-from provena.sources import binary, container_tags, lookup_xml, response_files
+from provena.sources import binary, bucketed, container_tags, lookup_xml, response_files
 
 #: A total order of an order's lines: line numbers repeat in the driver's table.
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -480,6 +481,18 @@ def toc_lengths(spark, sf):
     return discs.track_lengths(d, d.groupBy("disc_id").agg((F.max("offset") + 1000).alias("leadout")))
 
 
+@query("toc_lengths_lenient", """
+with o as (select o_custkey as disc_id, row_number() over (partition by o_custkey order by o_orderkey) as p, o_orderkey as "offset" from orders),
+d as (select disc_id, case when p % 5 = 0 then p + 1 else p end as position, min("offset") as "offset" from o group by all),
+e as (select disc_id, max("offset") + 1000 as leadout from d group by all)
+select d.disc_id, d.position, d."offset", coalesce(n."offset", leadout) - d."offset" as sectors from d join e using (disc_id) left join d n on n.disc_id = d.disc_id and n.position = d.position + 1
+""")
+def toc_lengths_lenient(spark, sf):
+    """As toc_lengths, the lead-out for any missing next track."""
+    d = toc_lengths(spark, sf).drop("sectors")
+    return discs.track_lengths(d, d.groupBy("disc_id").agg((F.max("offset") + 1000).alias("leadout")), lenient=True)
+
+
 @query("duration_match", """
 with c as (select distinct l_orderkey as release_id, l_linenumber as track_pos, l_suppkey as stream_index, case when l_partkey % 3 > 0 then l_partkey end as recording_id from lineitem),
 s as (select release_id, stream_index, min(recording_id) as lo, max(recording_id) as hi from c where recording_id is not null group by all),
@@ -747,6 +760,104 @@ def request_body(spark, sf):
     return limiter.request_body(l)
 
 
+@query("original_streams", f"select l_orderkey as lookup, cast(pos as int) as index, l_partkey as answer, l_suppkey as stream_index from ({LINES})")
+def original_streams(spark, sf):
+    """Answers by place in the request, with the caller's streams."""
+    answers = lines(spark, sf).select(F.col("l_orderkey").alias("lookup"), F.col("pos").cast("int").alias("index"), F.col("l_partkey").alias("answer"))
+    return limiter.original_streams(answers, request_body(spark, sf)).select("lookup", "index", "answer", "stream_index")
+
+
+@query("release_media", """
+with r as (select l_orderkey as release_id, l_linenumber as medium_pos, count(*) as streams from lineitem group by all),
+c as (select o_orderkey as release_id, unnest([1, 2, 3, 4]) as medium_pos, o_custkey % 9 + 1 as n_tracks from orders where o_orderkey % 11 > 0),
+d as (select l_orderkey as release_id, l_linenumber as medium_pos, count(distinct l_suppkey) as n_discs from lineitem where l_partkey % 3 = 0 group by all)
+select r.*, c.n_tracks, coalesce(n_discs, 0) as n_discs from r left join c using (release_id, medium_pos) left join d using (release_id, medium_pos) where release_id in (select release_id from c)
+""")
+def release_media(spark, sf):
+    """Responses, catalogue and discs written bucketed by release, and joined without an exchange."""
+    l, n = table(spark, sf, "lineitem"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = l.groupBy(F.col("l_orderkey").alias("release_id"), F.col("l_linenumber").alias("medium_pos")).agg(F.count("*").alias("streams"))
+    media = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.struct(k.alias("medium_pos"), (F.col("o_custkey") % 9 + 1).alias("n_tracks")))
+    c = table(spark, sf, "orders").where("o_orderkey % 11 > 0").select(F.col("o_orderkey").alias("release_id"), media.alias("media"))
+    d = l.where("l_partkey % 3 = 0").groupBy(F.col("l_orderkey").alias("release_id"), F.col("l_linenumber").alias("medium_pos")).agg(F.count_distinct("l_suppkey").alias("n_discs"))
+    d = d.groupBy("release_id").agg(F.collect_list(F.struct("medium_pos", "n_discs")).alias("media"))
+    return bucketed.release_media(*(bucketed.bucketed(x, "release_id", n, name) for x, name in ((r, "responses"), (c, "catalogue"), (d, "discs"))))
+
+
+@query("release_order", """
+with r as (select l_orderkey as release_id, min(l_partkey % 5) as distance, max(l_suppkey % 4) as score from lineitem group by 1)
+select *, row_number() over (order by distance, score desc, release_id) as place from r
+""")
+def release_order(spark, sf):
+    r = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("release_id")).agg(F.min(F.col("l_partkey") % 5).alias("distance"), F.max(F.col("l_suppkey") % 4).alias("score"))
+    return merge.numbered_releases(r)
+
+
+@query("add_elements", "select l_orderkey, l_partkey as element from lineitem union select l_orderkey, l_suppkey from lineitem")
+def add_elements(spark, sf):
+    l = table(spark, sf, "lineitem")
+    return merge.union_distinct(l.select("l_orderkey", F.col("l_partkey").alias("element")), l.select("l_orderkey", F.col("l_suppkey").alias("element")))
+
+
+_ROLES = ["composer", "writer", "arranger", "lyricist", "translator", "librettist", "performer"]
+_COMPOSERS = f"""
+rel as (select p_partkey as r, k, {_ROLES}[(p_size + k) % 7 + 1] as role, 'a' || (p_partkey * (k + 1)) % 4 as artist, p_brand || ' ' || (p_partkey * (k + 1)) % 4 as name, (p_partkey * (k + 1)) % 4 || ', ' || p_brand as sort_name,
+  k = 4 as additional, p_size % 2 = 0 as instrumental, p_brand || ' 3, ' || p_brand || ' 1' as reference from part, (select unnest(range(6)) as k)),
+c as (select r, artist, name, sort_name, k, reference from rel where role <> 'performer' and (not (role in ('arranger', 'translator', 'librettist') or additional or (instrumental and role = 'lyricist')) or contains(reference, name))
+  qualify row_number() over (partition by r, artist order by k, role) = 1)"""
+_GREEDY = """
+n as (select r, row_number() over (partition by r order by k, artist) as k, name, sort_name, reference from c), f as (select r, count(*) as n from n group by 1),
+g as (select r, cast([] as bigint[]) as used, '' as shown, '' as sort, 0 as i from f
+  union all select r, used, shown, sort, i from (select *, row_number() over (partition by r order by levenshtein(left(reference, len(shown)), shown), k) as place from (
+    select g.r, n.k, n.reference, list_append(g.used, n.k) as used, g.shown || case when g.i > 0 then ', ' else '' end || n.name as shown, g.sort || case when g.i > 0 then '; ' else '' end || n.sort_name as sort, g.i + 1 as i
+    from g join n on n.r = g.r and not list_contains(g.used, n.k))) where place = 1),
+composers as (select g.r as recording_id, shown as composer, case when sort = shown then '' else sort end as sort_composer from g join f on f.r = g.r and g.i = f.n)"""
+
+
+def _relations(spark, sf) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, sf, "part").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    a = (F.col("p_partkey") * (F.col("k") + 1) % 4).cast("string")
+    role = F.element_at(F.lit(_ROLES), (F.col("p_size") + F.col("k")) % 7 + 1)
+    rel = p.select(F.col("p_partkey").alias("recording_id"), F.lit("w").alias("work_id"), role.alias("role"), F.concat(F.lit("a"), a).alias("artist_id"), F.concat("p_brand", F.lit(" "), a).alias("name"), F.concat(a, F.lit(", "), "p_brand").alias("sort_name"), (F.col("k") == 4).alias("additional"), (F.col("p_size") % 2 == 0).alias("instrumental"), F.col("k").alias("ordinal"))
+    return rel, table(spark, sf, "part").select(F.col("p_partkey").alias("recording_id"), F.concat("p_brand", F.lit(" 3, "), "p_brand", F.lit(" 1")).alias("composer"))
+
+
+@query("composer_roles", f"with {_COMPOSERS} select r as recording_id, artist as artist_id, name, sort_name, cast(k as int) as ordinal, reference from c")
+def composer_roles(spark, sf):
+    """Credits of seven roles, artists several times; optional ones only where the file names them."""
+    return tags.composers_in_question(*_relations(spark, sf))
+
+
+@query("tag_mapping", f"""
+with recursive {_COMPOSERS}, {_GREEDY},
+l as ({LINES}), k as (select l_orderkey as release_id, l_linenumber % 2 + 1 as medium_pos, cast(pos as int) as track_pos, l_partkey % 3 as recording_id, 'T' || l_suppkey as title from l),
+m as (select cast(pos as int) as stream_index, l_orderkey as release_id, case when l_tax > 0.03 then l_partkey % 3 end as recording_id, l_linenumber % 2 + 1 as medium_pos, cast(pos + case when l_discount > 0.06 then 1 else 0 end as int) as track_pos, l_partkey from l),
+a as (select *, 1 as there from k qualify row_number() over (partition by release_id, recording_id order by medium_pos desc, track_pos desc, title desc) = 1),
+b as (select *, 1 as there from k qualify row_number() over (partition by release_id, medium_pos, track_pos order by title desc) = 1),
+t as (select m.*, case when a.there = 1 then a.medium_pos else b.medium_pos end as at_medium, case when a.there = 1 then a.track_pos else b.track_pos end as at_track, case when a.there = 1 then a.title else b.title end as track_title,
+    (select count(*) from k where k.release_id = m.release_id) as n_tracks
+  from m left join a on a.release_id = m.release_id and a.recording_id = m.recording_id left join b on b.release_id = m.release_id and b.medium_pos = m.medium_pos and b.track_pos = m.track_pos)
+select release_id, stream_index, 'Order ' || release_id as album, 'A' || release_id % 7 as album_artist, 'R' || l_partkey % 3 as artist, case when release_id % 3 = 0 then '1' else '0' end as compilation, composer, case when release_id % 2 = 0 then '2001' end as date,
+  at_medium || '/2' as disc, case when 'A' || release_id % 5 = 'A' || release_id % 7 then '' else 'A' || release_id % 5 end as sort_album_artist, '' as sort_artist, coalesce(sort_composer, '') as sort_composer, coalesce(track_title, 'Recording') as title, at_track || '/' || n_tracks as track
+from t left join composers c on c.recording_id = t.l_partkey
+""")
+def tag_mapping(spark, sf):
+    """Matches with the catalogue's tracks, by recording or by place, and the tag record that comes of them, composers of several roles included."""
+    l = lines(spark, sf).withColumn("pos", F.col("pos").cast("int"))
+    place = [F.col("l_orderkey").alias("release_id"), (F.col("l_linenumber") % 2 + 1).alias("medium_pos")]
+    catalogue = l.select(*place, F.col("pos").alias("track_pos"), (F.col("l_partkey") % 3).alias("recording_id"), F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("title"))
+    moved = F.when(F.col("l_discount") > 0.06, 1).otherwise(0)
+    found = l.select(F.col("pos").alias("stream_index"), *place, F.when(F.col("l_tax") > 0.03, F.col("l_partkey") % 3).alias("recording_id"), (F.col("pos") + moved).alias("track_pos"), "l_partkey")
+    names = tags.composers(tags.composers_in_question(*_relations(spark, sf))).withColumnRenamed("recording_id", "l_partkey")
+    sizes = catalogue.groupBy("release_id").agg(F.count("*").alias("n_tracks"))
+    rows = tags.recording_tracks(found, catalogue).join(sizes, "release_id").join(names, "l_partkey", "left")
+    named = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    release = F.col("release_id")
+    rows = rows.select(F.struct("release_id", "stream_index").alias("stream_index"), named("Order ", release).alias("album"), named("A", release % 7).alias("album_artist"), named("A", release % 5).alias("sort_album_artist"), named("R", F.col("l_partkey") % 3).alias("artist"), named("R", F.col("l_partkey") % 3).alias("sort_artist"), F.when(release % 3 == 0, "1").alias("compilation"), "composer", "sort_composer",
+        F.when(release % 2 == 0, "2001").alias("date"), F.col("t.medium_pos").alias("medium_pos"), F.lit(2).alias("n_media"), F.col("t.track_pos").alias("track_pos"), "n_tracks", F.col("t.title").alias("track_title"), F.lit("Recording").alias("recording_title"))
+    return tags.tag_values(rows).select("stream_index.*", *TAG_FIELDS)
+
+
 def _element(name: str, *inner) -> Column:
     return F.concat(F.lit(f"<{name}>"), *(x.cast("string") if isinstance(x, Column) else F.lit(x) for x in inner), F.lit(f"</{name}>"))
 

@@ -248,3 +248,22 @@ def test_the_last_tag_counts(spark):
     d = spark.createDataFrame([(k, bytearray(getattr(container_tags, f"{k}_octets")(TAGGED))) for k in ("id3", "ogg", "mp4")], "path string, content binary")
     got = tags.tag_record(container_tags.decode_tags(d), "path").collect()
     assert len(got) == 3 and all((r["title"], r["track"], r["disc"], r["compilation"], r["unknown"]) == ("last", "3/12", "1", "1", ["mood"]) for r in got)
+
+
+def test_bucketed_tables_meet_without_an_exchange(spark, sf):
+    from provena.plans import engine_queries
+
+    plan = engine_queries.release_media(spark, sf)
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert text.count("SortMergeJoin") == 2 and "Exchange" not in text and text.count("Bucketed: true") == 3
+
+
+def test_release_media_by_position(spark):
+    from provena.sources import bucketed
+
+    r = spark.createDataFrame([("a", 1, 3), ("a", 2, 1), ("b", 1, 1), ("unknown", 1, 1), (None, 1, 1)], "release_id string, medium_pos int, streams long")
+    c = spark.createDataFrame([("a", [(1, 10)]), ("b", []), ("c", [(1, 5)])], "release_id string, media array<struct<medium_pos: int, n_tracks: long>>")
+    d = spark.createDataFrame([("a", [(2, 4), (1, 7)])], "release_id string, media array<struct<medium_pos: int, n_discs: long>>")
+    tables = [bucketed.bucketed(x, "release_id", 3) for x in (r, c, d)]
+    assert sorted(map(tuple, bucketed.release_media(*tables).collect())) == [("a", 1, 3, 10, 7), ("a", 2, 1, None, 4), ("b", 1, 1, None, 0)]
