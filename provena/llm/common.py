@@ -129,3 +129,6 @@ class Shared:
     @property
     def value(self):
         return pickle.loads(self._sent.value)
+
+    def destroy(self) -> None:
+        self._sent.destroy()

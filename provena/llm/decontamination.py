@@ -8,7 +8,8 @@ in a wavelet matrix (rank in one step per bit of the alphabet), suffix positions
 symbol. All windows step backwards together; rows found walk to a sampled position; positions become word spans, which are merged.
 
 The benchmark is held in memory by each worker. Its size is measured first; beyond BENCHMARK_MB the items are dealt into that many
-parts, and the documents go through one pass per part, each adding its spans to those found before. Cutting waits for the spans of all parts
+parts, and the documents go through one pass per part, each adding its spans to those found before; after CHAIN parts the rows are written and the parts
+given up, so a task never holds more, however large the benchmark. Cutting waits for the spans of all parts
 and is repeated over all of them, so the parts change no result.
 
 Defined cases: a null or empty text has no words, no spans and no items; an item without words (or null) never occurs; an
@@ -35,6 +36,8 @@ WINDOW = 10
 CHUNK, SAMPLE, BLOCK = 64, 8, 1 << 19
 SHARD_BYTES = 8 << 20
 BENCHMARK_MB = 64
+#: Parts of the benchmark that a task holds at a time; after these the rows are written and the next parts sent.
+CHAIN = 4
 
 #: A-Z to a-z, all that is no word character to a space.
 WORDS = bytes(32 if b < 0x30 or 0x3A <= b < 0x61 or 0x7B <= b < 0x80 else b for b in LOWER)
@@ -247,21 +250,38 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     Columns of docs with these names are replaced.
     """
     out = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
-    names = out.columns
-    schema = T.StructType([*out.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("item_ids", T.ArrayType(T.StringType()))])
-    k = names.index(text_col)
-    for held in _held(docs.sparkSession, benchmark, item_col, item_text_col, window, benchmark_mb):
-        out = out.mapInArrow(_scanner(held, k, len(names)), schema)
+    k, given = out.columns.index(text_col), out.columns
+    parts = _parts(benchmark, item_col, item_text_col, window, benchmark_mb)
+    return _scanned(out.toDF(*(f"c{i}" for i in range(len(given)))), k, *parts).toDF(*given, *ADDED)
+
+
+def _scanned(docs: DataFrame, k: int, n_parts: int, held) -> DataFrame:
+    """docs with ADDED of all parts of the benchmark. After every CHAIN of them the rows are written and the parts given up, so that a task has as many at most."""
+    spark, given = docs.sparkSession, docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("item_ids", T.ArrayType(T.StringType()))])
+    out, used = docs, []
+    for part in range(n_parts):
+        if len(used) == CHAIN:
+            out = written(out, "spans")
+            for sent in used:
+                sent.destroy()
+            used = []
+        used.append(held(spark, part))
+        out = out.mapInArrow(_scanner(used[-1], k, len(given)), schema)
     return out
 
 
-def _held(spark, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, benchmark_mb: float) -> list:
-    """The benchmark's windows as broadcasts of a bounded size."""
+def _parts(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, benchmark_mb: float):
+    """(number of parts, held): held(spark, part) sends the windows of a part, about benchmark_mb of text, to every executor."""
     items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 50), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-int(size) // int(benchmark_mb * 1_000_000)))
-    mine = lambda part: items if parts == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)
-    return [Shared(spark, Patterns([(r["id"], bytes(r["text"])) for r in mine(part).collect()], window)) for part in range(parts)]
+
+    def held(spark, part: int) -> Shared:
+        mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)
+        return Shared(spark, Patterns([(r["id"], bytes(r["text"])) for r in mine.collect()], window))
+
+    return parts, held
 
 
 def _scanner(held, k: int, n_given: int):
@@ -319,18 +339,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     Where a cut brings words together that form a window, they are cut too.
     """
     k, schema, given = docs.columns.index(text_col), docs.schema, docs.columns
-    parts = _held(docs.sparkSession, benchmark, item_col, item_text_col, window, benchmark_mb)
-    if len(parts) == 1:
-        return docs.mapInArrow(_cleaner(parts[0], k), schema)
+    n_parts, held = _parts(benchmark, item_col, item_text_col, window, benchmark_mb)
+    if n_parts == 1:
+        return docs.mapInArrow(_cleaner(held(docs.sparkSession, 0), k), schema)
     # several parts: the spans of all on the same text, their union cut, and again on the documents that were cut
     todo = docs.toDF(*(f"c{i}" for i in range(len(given))))
     fields = todo.schema.fields
-    found = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("item_ids", T.ArrayType(T.StringType()))])
     out = None
     while True:
-        for held in parts:
-            todo = todo.mapInArrow(_scanner(held, k, len(given)), found)
-        done = written(todo.mapInArrow(_cutter(k, len(given)), T.StructType([*fields, T.StructField("cut", T.BooleanType())])), "decontaminated")
+        done = written(_scanned(todo, k, n_parts, held).mapInArrow(_cutter(k, len(given)), T.StructType([*fields, T.StructField("cut", T.BooleanType())])), "decontaminated")
         rest = done.where(~F.col("cut")).drop("cut")
         out = rest if out is None else out.unionAll(rest)
         todo = done.where("cut").drop("cut")

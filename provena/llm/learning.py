@@ -17,14 +17,25 @@ def fold_of(key: str, folds: int) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text as binary, y) of labelled rows that keep allows, about max_rows at most, chosen by a hash of the id. Written once.
 
-    A row labelled twice takes the larger label; null ids, labels and texts are not learned from.
+    A row labelled twice takes the larger label; null ids, labels and texts are not learned from; of rows that repeat an id the smallest text is, so the number of
+    rows is bounded however often an id stands there.
     """
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & keep).groupBy(id_col).agg(F.max(label).alias("y")).select(F.col(id_col).alias("id"), F.col("y").cast("int"))
     n = rows.count()
     chosen = rows.where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / max(n, 1))))
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
     # the chosen rows are at most about max_rows pairs of numbers
-    return written(texts.join(F.broadcast(chosen), F.col("doc") == F.col("id")).select("id", "text", "y"), f"train-{label}")
+    found = texts.join(F.broadcast(chosen), F.col("doc") == F.col("id"))
+    return written(found.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")), f"train-{label}")
+
+
+def of_bounded_size(sample: DataFrame, max_bytes: int) -> DataFrame:
+    """The rows of training_sample() whose texts have a 64th of max_bytes at most, and of these so many, chosen by a hash, that all together have about max_bytes."""
+    rows = sample.where(F.octet_length("text") <= max_bytes // 64)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    if size <= max_bytes:
+        return rows
+    return rows.where(F.pmod(F.xxhash64("id", F.lit("bytes")), F.lit(1_000_000)) < int(1_000_000 * max_bytes / size))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:

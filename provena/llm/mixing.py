@@ -14,7 +14,8 @@ modulo the number of blocks) is below what is left. A document takes what its in
 positions come from prefix sums over (source, cell), where a cell is the leading part of the hash, so that no task holds a source.
 
 Defined cases: a null or empty text has size 0 and takes 0; the null source comes last; a source without words has target 0;
-an empty table gives an empty result; repeated rows stand side by side in the line and each counts.
+an empty table gives an empty result; repeated rows stand side by side in the line and each counts; rows without a key are placed by their text, so
+they spread over the cells as others do (those that also share a text stand in one); rows of one key go by size and text.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ FINE = 256
 CELLS_HEX = 3
 
 
-def _hash(key: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
+def _hash(key: Column, seed: str, text: Column | None = None) -> Column:
+    """Of the key; rows without one are told apart by their text, where it is given."""
+    none = F.lit("null") if text is None else F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), none)))
 
 
 def targets(sizes: DataFrame, weights=(5, 2, 1), most: int = 3) -> DataFrame:
@@ -83,20 +86,20 @@ def mix(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", source
     """
     mine = ("size", "source_size", "target", "taken")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in mine])
-    h, cell, s, c, base, pos, rk, blk, quo = fresh(docs, "mix_hash", "mix_cell", "mix_s", "mix_c", "mix_base", "mix_pos", "mix_rank", "mix_block", "mix_quota")
-    d = docs.withColumn("size", n_words(F.col(text_col))).withColumn(h, _hash(F.col(key_col), seed)).withColumn(cell, F.substring(h, 1, CELLS_HEX))
-    small = docs.select(F.col(source_col).alias("source"), F.col(key_col).alias("key"), n_words(F.col(text_col)).alias("size"))
-    cells = small.groupBy("source", F.substring(_hash(F.col("key"), seed), 1, CELLS_HEX).alias("cell")).agg(F.sum("size").alias("n"))
+    h, same, cell, s, c, base, pos, rk, blk, quo = fresh(docs, "mix_hash", "mix_same", "mix_cell", "mix_s", "mix_c", "mix_base", "mix_pos", "mix_rank", "mix_block", "mix_quota")
+    d = docs.withColumn("size", n_words(F.col(text_col))).withColumn(h, _hash(F.col(key_col), seed, F.col(text_col))).withColumn(same, F.xxhash64(text_col)).withColumn(cell, F.substring(h, 1, CELLS_HEX))
+    small = docs.select(F.col(source_col).alias("source"), F.substring(_hash(F.col(key_col), seed, F.col(text_col)), 1, CELLS_HEX).alias("cell"), n_words(F.col(text_col)).alias("size"))
+    cells = small.groupBy("source", "cell").agg(F.sum("size").alias("n"))
     # prefix sums of cells: at most 16**CELLS_HEX rows a source, ordered within the source
     starts = cells.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     plan = apportion(targets(cells.groupBy("source").agg(F.sum("n").cast("long").alias("source_size")), weights, most), blocks)
     plan = plan.select(F.col("source").alias("plan_source"), "source_size", "target", F.col("rank").alias(rk), F.col("block").alias(blk), F.col("quota").alias(quo))
     starts = starts.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).select(F.col("source").alias(s), F.col("cell").alias(c), F.col("base").alias(base), "source_size", "target", rk, blk, quo)
-    order = Window.partitionBy(source_col, cell).orderBy(F.col(h), F.col(key_col).asc_nulls_last(), F.col("size"))
+    order = Window.partitionBy(source_col, cell).orderBy(F.col(h), F.col(key_col).asc_nulls_last(), F.col("size"), F.col(same))
     line = d.withColumn(pos, F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     line = line.join(starts, F.col(source_col).eqNullSafe(F.col(s)) & (F.col(cell) == F.col(c)))
     line = line.withColumn(pos, F.col(pos) + F.col(base))
-    return line.withColumn("taken", _taken(F.col("size"), F.col(pos), F.col("source_size"), F.col(blk), F.col(quo), F.col(rk), most, seed)).drop(h, cell, s, c, base, pos, rk, blk, quo)
+    return line.withColumn("taken", _taken(F.col("size"), F.col(pos), F.col("source_size"), F.col(blk), F.col(quo), F.col(rk), most, seed)).drop(h, same, cell, s, c, base, pos, rk, blk, quo)
 
 
 def _taken(size: Column, pos: Column, whole: Column, block: Column, quota: Column, rank: Column, most: int, seed: str) -> Column:
@@ -122,7 +125,7 @@ def op8_mixing(spark, sf_dir):
 OP8_SQL = r"""
 with d as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
-    md5('mix-1:' || coalesce(cast(doc_id as varchar), 'null')) as h from documents),
+    md5('mix-1:' || coalesce(cast(doc_id as varchar), 'null:' || md5(coalesce(text, '')))) as h from documents),
 s0 as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 s1 as (select *, row_number() over (order by source asc nulls last) - 1 as rank from s0),
 s2 as (select *, cast([5, 2, 1][1 + rank % 3] as double) as weight, cast(source_size * 3 as double) as cap,
@@ -138,7 +141,8 @@ q as (select rank, target, k from s6, lateral (select unnest(generate_series(0::
 won as (select rank, count(*) as seats from (select *, row_number() over (order by target / (2 * k + 1) desc, rank, k) as place from q)
   where place <= (select min(blocks) from s6) group by rank),
 s7 as (select s6.*, coalesce(seats, 0) as seats, cast(greatest(ceil(total / blocks), 1) as bigint) as block from s6 left join won using (rank)),
-s8 as (select *, cast(round(seats * total / blocks / block) as bigint) as quota from s7),
+s8a as (select *, cast(round(seats * total / blocks / block) as bigint) as quota, target < block * 256 as few, cast(greatest(floor(target / 256), 1) as bigint) as own from s7),
+s8 as (select * exclude (quota, block), cast(case when few then round(target / own) else quota end as bigint) as quota, case when few then own else block end as block from s8a),
 s9 as (select *, least(quota * block, source_size * 3) as want from s8),
 s10 as (select *, case when source_size > 0 then want // source_size else 0 end as passes, cast(ceil(source_size / block) as bigint) as nb from s9),
 s11 as (select *, cast(round((want - passes * source_size) / block) as bigint) as remaining from s10),

@@ -2,7 +2,7 @@
 
 A document is the mean of the vectors of its features: hashed words, hashed character n-grams of words, hashed pairs of neighbouring words
 (a repeated word is a pair of its own). A softmax layer on the mean gives the class. Vectors and layer are trained together by stochastic
-gradient descent in numpy, on at most MAX_TRAIN labelled rows, on the driver.
+gradient descent in numpy, on at most MAX_TRAIN labelled rows with MAX_BYTES of text (a text over a 64th of that is not learned from), on the driver.
 
 As the layer is linear in the mean, a trained model is one number per feature: scoring needs a table of 2 ** BITS numbers. Texts are hashed
 in batches of about BATCH_BYTES, all places at once, without a loop over words.
@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Shared, read
-from .learning import fold_of, training_sample
+from .learning import fold_of, of_bounded_size, training_sample
 
-MAX_TRAIN = 6_000
+#: Labelled rows that are learned from, and bytes of their texts: what goes to the driver at most.
+MAX_TRAIN, MAX_BYTES = 6_000, 64_000_000
+#: Bound of the output weights: a text of one word over and over, labelled both ways, would drive them out of all bounds.
+LARGEST = 100.0
 BITS, DIM = 17, 12
 NGRAMS = (3, 4)
 EPOCHS, UPDATES, RATE = 4, 24_000, 0.6
@@ -136,15 +139,16 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 11) -> Model:
             p[y[k]] -= 1
             back = w @ p
             w -= rate * np.outer(h, p)
+            np.clip(w, -LARGEST, LARGEST, out=w)
             b -= rate * 0.1 * p
             if len(f):
                 e[f] -= (rate * 40 * share)[:, None] * back
     return Model((e @ (w[:, 1] - w[:, 0])).astype(np.float64), float(b[1] - b[0]))
 
 
-def fit(sample: DataFrame) -> Model:
-    """From rows (id, text, y) of training_sample(); the rows go to the driver, MAX_TRAIN at most."""
-    rows = sample.select("id", "text", "y").toArrow().sort_by("id")
+def fit(sample: DataFrame, max_bytes: int = MAX_BYTES) -> Model:
+    """From rows (id, text, y) of training_sample(); the rows go to the driver, MAX_TRAIN at most, with max_bytes of text at most."""
+    rows = of_bounded_size(sample, max_bytes).select("id", "text", "y").toArrow().sort_by("id")
     return train(rows.column("text").to_pylist(), np.array([int(v > 0) for v in rows.column("y").to_pylist()], int))
 
 

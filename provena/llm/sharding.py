@@ -9,7 +9,7 @@ Slots number the rows of a shard from 0 without gaps. A window over a whole shar
 the table in one task; instead rows are numbered within (shard, cell), where a cell is a leading part of the key's
 hash, and a table of shards x cells counts (its size is a parameter, not a matter of the data) gives each cell's offset.
 
-Defined cases: a null key is a key like another; rows with the same key go to the same shard; a null text has size 1
+Defined cases: a null key is a key like another; rows with the same key go to the same shard, numbered by their whole numbers, then by a hash of their texts; a null text has size 1
 and the CRC of the empty text; an empty table gives an empty result.
 """
 
@@ -57,7 +57,8 @@ def shard_records(docs: DataFrame, weights: Sequence[float], key_col: str = "doc
     summed = F.aggregate("a", zero, lambda acc, x: F.struct((acc["sum"] + x["n"]).alias("sum"), F.concat(acc["out"], F.array(F.struct(x["c"].alias("c"), acc["sum"].alias("s")))).alias("out")), lambda acc: acc["out"])
     offsets = line.select(F.col("shard").alias(cs), F.explode(summed).alias("o")).select(cs, F.col("o.c").alias(cc), F.col("o.s").alias(start))
     rows = where(docs)
-    order = [F.col(key_col).asc_nulls_last(), *[F.col(c) for c, t in docs.dtypes if c != key_col and t in ("bigint", "int")]]
+    texts = [c for c, t in docs.dtypes if c != key_col and t == "string"]
+    order = [F.col(key_col).asc_nulls_last(), *[F.col(c) for c, t in docs.dtypes if c != key_col and t in ("bigint", "int")], *([F.xxhash64(*texts)] if texts else [])]
     numbered = rows.withColumn("slot", F.row_number().over(Window.partitionBy("shard", cell).orderBy(*order)) - 1)
     out = numbered.join(F.broadcast(offsets), (F.col("shard") == F.col(cs)) & (F.col(cell) == F.col(cc)))
     return out.withColumn("slot", (F.col("slot") + F.col(start)).cast("long")).drop(cell, start, cs, cc)

@@ -123,6 +123,19 @@ def test_features_do_not_depend_on_neighbours():
     assert together[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
 
 
+def test_what_goes_to_the_driver_is_bounded(spark):
+    """An id that repeats is one row; texts are taken up to a number of bytes, very long ones not at all."""
+    rows = [(7, f"copy {i}") for i in range(300)] + [(i, "w " * 400) for i in range(100, 400)] + [(500, "w " * 50_000)]
+    d, l = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, i % 2) for i in (7, *range(100, 400), 500)], "doc_id long, quality int")
+    sample = learning.training_sample(d, l, "quality", learning.fold_of("doc_id", 4) != 99, 10_000)
+    assert sample.count() == 302 and bytes(sample.where("id = 7").first()["text"]) == b"copy 0"
+    some = learning.of_bounded_size(sample, 80_000)
+    size = sum(len(r["text"]) for r in some.collect())
+    assert 40_000 < size < 120_000 and max(len(r["text"]) for r in some.collect()) <= 80_000 // 64
+    assert learning.of_bounded_size(sample, 10**9).count() == 302
+    assert 0 <= quality.score(d.limit(5), quality.fit(sample, 80_000)).first()["quality_score"] <= 1
+
+
 def test_op10_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     got = registered.QUERIES["op10_quality"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()

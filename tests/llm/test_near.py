@@ -157,6 +157,21 @@ def contaminated(seed):
     return texts
 
 
+def test_a_task_holds_few_parts_of_a_large_benchmark(spark):
+    """Eleven parts: as one plan they would be a chain of eleven workers; spans and cut texts are those of one part."""
+    draw = random.Random(6)
+    words_ = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(draw.choices(words_, k=60))) for i in range(30)] + [(30, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(draw.choices(words_, k=3))) for i in range(60)], "item_id long, text string")
+    whole, parts = (decontamination.find_contamination(docs, bench, benchmark_mb=mb) for mb in (64, 0.0004))
+    assert decontamination._parts(bench, "item_id", "text", 10, 0.0004)[0] > 2 * decontamination.CHAIN
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("MapInArrow") <= decontamination.CHAIN
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+    a, b = (sorted(map(str, decontamination.decontaminate(docs, bench, benchmark_mb=mb).collect())) for mb in (64, 0.0004))
+    assert a == b
+
+
 @pytest.mark.parametrize("mb", [64, 0.0001])
 def test_decontamination(spark, mb):
     texts = contaminated(5)
