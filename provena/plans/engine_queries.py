@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provena.functions import exprs
-from provena.operators import assign, checksum, cover, discs, limiter, merge, report, tags, votes
+from provena.operators import assign, checksum, cover, discs, limiter, merge, report, resample, tags, votes
 from provena.plans.registry import query, table
 from provena.schema import TAG_FIELDS
 from provena.shared import shared_dir
@@ -136,6 +136,19 @@ def sliding_crc_matches(spark, sf):
     return checksum.find_offsets_crc(s, t, centre=16, half=16, width=8, key="user_id")
 
 
+@query("resampled", f"""
+with s as ({SAMPLES}), x as (select user_id, j - 1 as a, side, case when v >= 32768 then v - 65536 else v end as v from (select user_id, j, side, case side when 0 then s & 65535 else s >> 16 end as v from s, (select unnest([0, 1]) as side))),
+n as (select user_id, count(*) as n from s group by 1), o as (select user_id, n, unnest(range((n * 147 + 159) // 160)) as m from n),
+w as (select user_id, m, side, m * 160 % 147 as p, m * 160 // 147 - 7 as first from o, (select unnest([0, 1]) as side)),
+t as (select w.user_id, m, w.side, cast(sum(coalesce(v, 0) * c[p + 1][a - first + 1]) as bigint) as total from (select {resample.phases(147, 160)} as c), w join x on x.user_id = w.user_id and x.side = w.side and a between first and first + 15 group by all),
+y as (select user_id, m, side, greatest(least((total + 16384) >> 15, 32767), -32768) & 65535 as v from t)
+select user_id, m + 1 as j, cast(sum(case side when 0 then v else v << 16 end) as bigint) as s from y group by 1, 2
+""")
+def resampled(spark, sf):
+    """Events as samples of 48 kHz at 44.1 kHz, in blocks of 64."""
+    return resample.resample(event_samples(spark, sf), 44100, 48000, key="user_id", block=64)
+
+
 @query("region_crcs", f"""
 with s as ({SAMPLES}), o as (select user_id, flatten(list({OCTETS} order by j)) as octets from s group by 1)
 select user_id, {CRC} as crc32, cast(len(octets) as bigint) as octets from o, ({CRC_TABLE})

@@ -11,6 +11,7 @@ import struct
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -93,26 +94,64 @@ def eac_octets(date: int, whole: list[list[tuple[int, int, int]]], part: list[li
     return struct.pack(f"<{len(words)}I", *words)
 
 
+def _format(body: bytes) -> tuple[int, int, int, int]:
+    """(kind, channels, rate, bits) of a format chunk; an extensible one says its kind in the first word of its subformat."""
+    kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", body)
+    if kind == 0xFFFE:
+        if len(body) < 40:
+            raise ValueError("an extensible format without its subformat")
+        kind = struct.unpack_from("<H", body, 24)[0]
+    if (kind, bits) not in _SAMPLES or channels not in (1, 2) or not rate:
+        raise ValueError("only linear samples of 8 to 32 bits or floating ones, mono or stereo")
+    return kind, channels, rate, bits
+
+
+def _wide(body: bytes) -> np.ndarray:
+    """24-bit samples: the two high octets."""
+    return np.frombuffer(body, np.uint8).reshape(-1, 3)[:, 1:].copy().view("<i2").ravel()
+
+
+#: By kind of format and bits: whole samples to 16 bits. Wider ones lose their low bits, floating ones are rounded to even and clipped, as not a number is to 0.
+_SAMPLES = {
+    (1, 8): lambda b: (np.frombuffer(b, np.uint8).astype(np.int16) - 128) << 8,
+    (1, 16): lambda b: np.frombuffer(b, "<i2"),
+    (1, 24): _wide,
+    (1, 32): lambda b: (np.frombuffer(b, "<i4") >> 16).astype(np.int16),
+    (3, 32): lambda b: np.clip(np.rint(np.nan_to_num(np.frombuffer(b, "<f4").astype(float) * 32768)), -32768, 32767).astype(np.int16),
+    (3, 64): lambda b: np.clip(np.rint(np.nan_to_num(np.frombuffer(b, "<f8") * 32768)), -32768, 32767).astype(np.int16),
+}
+
+
 def wav_rows(data: bytes) -> Iterator[tuple]:
-    """16-bit PCM in a RIFF container: (channels, rate, j from 1, the stereo pair as one unsigned word). Mono counts on both sides."""
+    """Linear or floating samples in a RIFF container, as 16 bits: (channels, rate, j from 1, the stereo pair as one unsigned word). Mono counts on both sides.
+
+    A file without samples, of open or cut off length, or with more than one format or body raises.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("not a RIFF wave")
-    at, form = 12, None
+    at, form, body = 12, None, None
     while at + 8 <= len(data):
         name, size = struct.unpack_from("<4sI", data, at)
+        if name in (b"fmt ", b"data") and at + 8 + size > len(data):
+            raise ValueError(f"{name.decode()} is cut off")
         if name == b"fmt ":
-            form = struct.unpack_from("<HHIIHH", data, at + 8)
+            if form is not None or size < 16:
+                raise ValueError("not one format")
+            form = _format(data[at + 8 : at + 8 + size])
         elif name == b"data":
-            if form is None or form[0] != 1 or form[5] != 16 or form[1] not in (1, 2):
-                raise ValueError("only 16-bit PCM, mono or stereo")
+            if form is None or body is not None:
+                raise ValueError("not one body after its format")
             body = data[at + 8 : at + 8 + size]
-            if form[1] == 2:
-                for j, (s,) in enumerate(struct.iter_unpack("<I", body[: len(body) // 4 * 4])):
-                    yield form[1], form[2], j + 1, s
-            else:
-                for j, (s,) in enumerate(struct.iter_unpack("<H", body[: len(body) // 2 * 2])):
-                    yield form[1], form[2], j + 1, s | s << 16
         at += 8 + size + size % 2
+    if not body:
+        raise ValueError("no samples")
+    kind, channels, rate, bits = form
+    frame = channels * bits // 8
+    words = _SAMPLES[kind, bits](body[: len(body) // frame * frame]).astype(np.int64) & 0xFFFF
+    pairs = (words[::2] | words[1::2] << 16) if channels == 2 else words | words << 16
+    for lo in range(0, len(pairs), 65536):
+        for j, s in enumerate(pairs[lo : lo + 65536].tolist(), lo + 1):
+            yield channels, rate, j, s
 
 
 def _decoded(rows: DataFrame, column: str, decode, schema: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -6,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from provena.operators import assign, checksum, cover, discs, limiter, merge, numbering, report, tags, votes
+from provena.operators import assign, checksum, cover, discs, limiter, merge, numbering, report, resample, tags, votes
 from provena.schema import MATCHES, WORK_RELATIONS
 
 M = 1 << 32
@@ -451,3 +452,47 @@ def test_from_samples_to_the_report(spark):
 def test_configuration_lines(spark):
     c = spark.createDataFrame([("r", 1, 1, 4, -2), ("r", 1, 1, 2, 0), ("r", 1, 2, None, None)], "release_id string, medium_pos int, track_pos int, stream_index int, residual int")
     assert sorted(map(tuple, report.configuration_lines(c).collect())) == [("r", 1, 1, "2 [0] 4 [-2]"), ("r", 1, 2, "UNASSIGNED")]
+
+
+@pytest.mark.parametrize(("up", "down", "taps"), [(147, 160, 16), (2, 1, 8), (1, 3, 8), (3, 2, 2), (5, 5, 4)])
+def test_resampling_is_a_direct_convolution(spark, up, down, taps):
+    """Whatever the blocks, and for the shortest streams; coefficients of this test's own."""
+    draw = random.Random(up)
+    streams = {0: [draw.getrandbits(32) for _ in range(333)], 1: [0x7FFF8000] * 40, 2: [5], 3: [draw.getrandbits(32) for _ in range(64)]}
+    common = math.gcd(up, down)
+    u, d = up // common, down // common
+    signed = lambda v: v - 65536 if v > 32767 else v
+
+    def weights(p):
+        cut = min(1, u / d)
+        raw = []
+        for k in range(taps):
+            x = k - taps // 2 + 1 - p / u
+            sinc = math.sin(math.pi * cut * x) / (math.pi * x) if x else cut
+            raw.append(sinc * (1 + math.cos(2 * math.pi * x / taps)) / 2)
+        w = [round(r / sum(raw) * 32768) for r in raw]
+        w[w.index(max(w))] += 32768 - sum(w)
+        return w
+
+    want = {}
+    for key, words in streams.items():
+        n = len(words)
+        for m in range(math.ceil(n * u / d)):
+            at, w, cells = m * d // u, weights(m * d % u), []
+            for shift in (0, 16):
+                x = {i: signed(v >> shift & 0xFFFF) for i, v in enumerate(words)}
+                total = sum(x.get(at - taps // 2 + 1 + k, 0) * w[k] for k in range(taps))
+                cells.append(max(-32768, min(32767, total + 16384 >> 15)) & 0xFFFF)
+            want[key, m + 1] = cells[0] | cells[1] << 16
+    rows_ = [(k, j + 1, s) for k, x in streams.items() for j, s in enumerate(x)]
+    draw.shuffle(rows_)
+    d_ = spark.createDataFrame(rows_, "stream_index int, j long, s long")
+    for block in (16, 64, 65536):
+        got = resample.resample(d_, up, down, taps, block=block).collect()
+        assert {(r["stream_index"], r["j"]): r["s"] for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("bad", [[(0, 1, 1), (0, 3, 1)], [(0, 2, 1)], [(0, 1, None)], [(0, 1, 1), (0, 1, 1)]])
+def test_resampling_needs_every_position(spark, bad):
+    with pytest.raises(Exception, match="positions"):
+        resample.resample(spark.createDataFrame(bad, "stream_index int, j long, s long"), 2, 1).collect()

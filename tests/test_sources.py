@@ -100,6 +100,39 @@ def test_wav(spark, tmp_path):
         list(binary.wav_rows(b"nothing"))
 
 
+def _wave(kind, channels, bits, body, extensible=False, more=b""):
+    form = struct.pack("<HHIIHH", 0xFFFE if extensible else kind, channels, 48000, 0, channels * bits // 8, bits)
+    if extensible:
+        form += struct.pack("<HHIH", 22, bits, 0, kind) + bytes.fromhex("000000001000800000aa00389b71")
+    chunk = lambda name, x: name + struct.pack("<I", len(x)) + x + bytes(len(x) % 2)
+    inner = b"WAVE" + chunk(b"LIST", b"odd") + chunk(b"fmt ", form) + more + chunk(b"data", body)
+    return b"RIFF" + struct.pack("<I", len(inner)) + inner
+
+
+@pytest.mark.parametrize("extensible", [False, True])
+@pytest.mark.parametrize(("kind", "bits", "body", "want"), [
+    (1, 8, bytes([0, 128, 255, 129]), [-32768, 0, 32512, 256]),
+    (1, 24, b"\xff\xff\x7f" + b"\0\0\x80" + b"\xff\xff\xff" + b"\x7f\1\0", [32767, -32768, -1, 1]),
+    (1, 32, struct.pack("<4i", 2**31 - 1, -(2**31), -1, 65536), [32767, -32768, -1, 1]),
+    (3, 32, struct.pack("<4f", 1.0, -2.0, 0.5, float("nan")), [32767, -32768, 16384, 0]),
+    (3, 64, struct.pack("<4d", 1.5 / 32768, 2.5 / 32768, -0.5 / 32768, float("-inf")), [2, 2, 0, -32768]),
+])
+def test_wave_samples_of_other_widths(kind, bits, body, want, extensible):
+    word = lambda v: v & 0xFFFF
+    stereo = [(2, 48000, 1, word(want[0]) | word(want[1]) << 16), (2, 48000, 2, word(want[2]) | word(want[3]) << 16)]
+    assert list(binary.wav_rows(_wave(kind, 2, bits, body, extensible))) == stereo
+    assert [r[3] for r in binary.wav_rows(_wave(kind, 1, bits, body, extensible))] == [word(v) | word(v) << 16 for v in want]
+
+
+def test_waves_that_are_none():
+    good = _wave(1, 2, 16, bytes(8))
+    assert len(list(binary.wav_rows(good))) == 2 and len(list(binary.wav_rows(_wave(1, 2, 16, bytes(7))))) == 1
+    two = b"data" + struct.pack("<I", 4) + bytes(4)
+    for bad in (good[:-1], _wave(1, 3, 16, bytes(12)), _wave(1, 2, 12, bytes(8)), _wave(2, 2, 16, bytes(8)), _wave(1, 2, 16, b""), _wave(1, 2, 16, bytes(8), more=two), good[:-12] + b"data" + struct.pack("<I", 2**32 - 1) + bytes(8), b"RIFF"):
+        with pytest.raises(ValueError):
+            list(binary.wav_rows(bad))
+
+
 IDS = """<response><status>ok</status><fingerprints><fingerprint><index>1</index><results>
 <result><id>f1</id><score>0.5</score><recordings><recording><id>r1</id><releasegroups><releasegroup><id>g</id><releases><release><id>l</id>
 <mediums><medium><position>1</position><tracks><track><position>2</position></track></tracks></medium></mediums></release></releases></releasegroup></releasegroups></recording></recordings></result>
