@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provena.functions import exprs
-from provena.operators import assign, checksum, cover, discs, limiter, merge, report, resample, tags, votes
+from provena.operators import assign, checksum, cover, discs, limiter, merge, numbering, report, resample, tags, votes
 from provena.plans.registry import query, table
 from provena.schema import TAG_FIELDS
 from provena.shared import shared_dir
@@ -194,8 +194,9 @@ select lang, count_if(x is not null and y is not null and x <> y) as changed, co
   count_if(x is null or y is null or x <> y) as different from b group by lang
 """)
 def byte_diff(spark, sf):
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    d = table(spark, sf, "documents").select("lang", (F.col("n_chars") % 3).alias("s"), (F.row_number().over(w) - 1).alias("k"))
+    rows = numbering.numbered(table(spark, sf, "documents").select("lang", "doc_id", (F.col("n_chars") % 3).alias("s")), ["lang", "doc_id"])
+    first = rows.groupBy("lang").agg(F.min("line").alias("first"))
+    d = rows.join(first, "lang").select("lang", "s", (F.col("line") - F.col("first")).alias("k"))
     side = lambda k: d.where(F.col("k") % 2 == k).select("lang", F.call_function("div", F.col("k"), F.lit(2)).alias("j"), "s")
     return checksum.byte_differences(side(0), side(1), ["lang"])
 
