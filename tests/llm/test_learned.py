@@ -159,6 +159,33 @@ def test_other_talk_is_unknown():
     assert m.scan("a\n\nb\n")[0] == 2
 
 
+def test_short_identifiers():
+    """In a comment, with what follows the name in practice; names of other licences are unknown."""
+    m = licenses.train()
+    for family, names in licenses.SHORT.items():
+        for name in names:
+            for text in (f"// SPDX-License-Identifier: {name}", f"/* SPDX-License-Identifier: {name}-or-later */\nint main() {{}}", f"some words of text\n# SPDX-License-Identifier: {name}\nimport os"):
+                assert [f for _, f, _ in m.scan(text)[1]] == [family], text
+    for name in licenses.OTHER_SHORT:
+        assert m.scan(f"# SPDX-License-Identifier: {name}")[1] == []
+
+
+def test_temperature_comes_from_variants_that_were_held_back():
+    x, y, held = licenses._examples(random.Random(7))
+    assert 0.1 < np.mean(held) < 0.5 and set(np.array(y)[np.array(held)]) == set(y)
+    assert 0.1 < licenses.train().temperature < 3.0
+
+
+def test_sparse_products_are_the_dense_ones():
+    vocabulary = {"a": 0, "b": 1, "a b": 2, "c": 3}
+    first, features, values = x = licenses._sparse([["a", "b"], [], ["c"] * 3, ["z"]], vocabulary)
+    dense = np.zeros((4, 5))
+    for k, (lo, hi) in enumerate(zip(first, [*first[1:], len(features)])):
+        dense[k, features[lo:hi]] = values[lo:hi]
+    w = np.arange(15.0).reshape(5, 3)
+    assert np.allclose(licenses._products(x, w), dense @ w) and (dense[:, 4] == 1).all()
+
+
 def test_a_licence_in_a_long_line():
     m = licenses.train()
     noise = " ".join(f"th{k}er" for k in range(400))
