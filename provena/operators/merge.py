@@ -100,3 +100,15 @@ def tracks_in_order(rows: DataFrame, keys: list[str], position: str = "track_pos
     """Each key's rows as an array in order of position: the nested form, for output."""
     rest = [c for c in rows.columns if c not in keys and c != position]
     return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(position, *rest))).alias("items"))
+
+
+def tree(rows: DataFrame, levels: list[str]) -> DataFrame:
+    """One row per value of the first level with the others nested in `items`, level by level, in order and each once: the whole tree, for output.
+
+    What is not known at a level (null) stands first. A tree is as large as its root's result, so roots are release groups or smaller.
+    """
+    out, cell = rows.select(*levels).distinct(), F.struct(levels[-1])
+    for k in range(len(levels) - 1, 0, -1):
+        out = out.groupBy(*levels[:k]).agg(F.sort_array(F.collect_list(cell)).alias("items"))
+        cell = F.struct(levels[k - 1], "items")
+    return out

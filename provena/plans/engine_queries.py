@@ -1075,6 +1075,23 @@ def nested_tracks(spark, sf):
     return t.select("l_orderkey", F.size("items").cast("long").alias("n_tracks"), F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["track_pos"].cast("string"), x["l_partkey"].cast("string"))), ",").alias("tracks"))
 
 
+@query("tree_dump", f"""
+with l as (select distinct l_orderkey // 4 as g, l_orderkey as r, l_linenumber % 2 as m, pos as t, l_suppkey as s from ({LINES})),
+t as (select g, r, m, t || '=' || string_agg(s, '+' order by s) as x, t from l group by g, r, m, t), m as (select g, r, m || '[' || string_agg(x, ',' order by t) || ']' as x, m from t group by g, r, m),
+r as (select g, r || '(' || string_agg(x, ';' order by m) || ')' as x, r from m group by g, r)
+select g as release_group_id, string_agg(x, ' ' order by r) as tree from r group by g
+""")
+def tree_dump(spark, sf):
+    """Four orders as a release group, its releases, media, tracks and streams in one row."""
+    levels = ["release_group_id", "release_id", "medium_pos", "track_pos", "stream_index"]
+    t = merge.tree(lines(spark, sf).select(F.call_function("div", F.col("l_orderkey"), F.lit(4)).alias(levels[0]), F.col("l_orderkey").alias(levels[1]), (F.col("l_linenumber") % 2).alias(levels[2]), F.col("pos").alias(levels[3]), F.col("l_suppkey").alias(levels[4])), levels)
+    text = lambda c: c.cast("string")
+    streams = lambda x: F.concat(text(x["track_pos"]), F.lit("="), F.array_join(F.transform(x["items"], lambda s: text(s["stream_index"])), "+"))
+    media = lambda x: F.concat(text(x["medium_pos"]), F.lit("["), F.array_join(F.transform(x["items"], streams), ","), F.lit("]"))
+    releases = lambda x: F.concat(text(x["release_id"]), F.lit("("), F.array_join(F.transform(x["items"], media), ";"), F.lit(")"))
+    return t.select(levels[0], F.array_join(F.transform("items", releases), " ").alias("tree"))
+
+
 @query("covering_cache", """
 with s as (select o_orderstatus as entity, o_custkey as id, o_orderpriority as resource, o_orderkey % 4 = 0 as media, o_orderkey as answer from orders where o_orderkey % 3 = 0)
 select o.o_orderkey, min(answer) as answer from orders o join s on entity = o_orderstatus and id = o_custkey and resource = o_orderpriority

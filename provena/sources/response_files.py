@@ -6,7 +6,7 @@
 
 Reading: files are listed once and dealt into partitions of about partition_mb (option, 32) of whole files; a rip file is fetched in ranges of about a megabyte that end
 with an entry, so its size is no matter. The option `only`, a pattern for whole paths, chooses files before anything is read. Writing: rows of one path that
-stand together become one file; files get their names when the job commits, so a lost task or job leaves none. Paths are those that pyarrow's file systems know;
+stand together become one file, compressed with the option compression=gzip; files get their names when the job commits, so a lost task or job leaves none. Paths are those that pyarrow's file systems know;
 binary.read_files() reads what only Spark's own readers reach.
 
 pushing() reads with filters on path pushed down to the choice of files (equality, in, prefix, suffix, part). That is no default, as Spark 4.1 keeps what a Python source has
@@ -18,6 +18,7 @@ Defined cases: hidden files and empty files have no rows; gzip files are inflate
 
 from __future__ import annotations
 
+import gzip
 import sys
 import uuid
 from collections.abc import Iterator
@@ -143,7 +144,8 @@ class _Writer(DataSourceWriter):
             name = path.rsplit("/", 1)[-1]
             hidden = f"{root}/_{uuid.uuid4().hex}"
             with store.open_output_stream(hidden) as f:
-                f.write(self.encode(list(rows)))
+                data = self.encode(list(rows))
+                f.write(gzip.compress(data, mtime=0) if self.options.get("compression") == "gzip" else data)
             files.append((hidden, f"{root}/{name}"))
         return _Written(files)
 

@@ -496,3 +496,10 @@ def test_resampling_is_a_direct_convolution(spark, up, down, taps):
 def test_resampling_needs_every_position(spark, bad):
     with pytest.raises(Exception, match="positions"):
         resample.resample(spark.createDataFrame(bad, "stream_index int, j long, s long"), 2, 1).collect()
+
+
+def test_tree_with_unknown_levels(spark):
+    rows_ = spark.createDataFrame([("g", "r", 1, 2), ("g", "r", 1, 1), ("g", "r", 1, 1), ("g", None, None, 7), ("h", "s", 3, None)], "a string, b string, c int, d int")
+    got = {r["a"]: r["items"] for r in merge.tree(rows_, ["a", "b", "c", "d"]).collect()}
+    assert [(x.b, [(y.c, [z.d for z in y["items"]]) for y in x["items"]]) for x in got["g"]] == [(None, [(None, [7])]), ("r", [(1, [1, 2])])]
+    assert [(x.b, [(y.c, [z.d for z in y["items"]]) for y in x["items"]]) for x in got["h"]] == [("s", [(3, [None])])]

@@ -84,6 +84,8 @@ def test_data_source_writes_whole_files(spark, tmp_path):
     one = d.where("path = 'f0'").coalesce(1).sortWithinPartitions("id1")
     one.write.format("rip_responses").mode("overwrite").save(out)
     assert {r["path"].rsplit("/")[-1] for r in spark.read.format("rip_responses").load(out).collect()} == {"f0"}
+    one.write.format("rip_responses").option("compression", "gzip").mode("append").save(str(tmp_path / "packed"))
+    assert (tmp_path / "packed" / "f0").read_bytes()[:2] == b"\x1f\x8b" and spark.read.format("rip_responses").load(str(tmp_path / "packed")).count() == 6
 
 
 def test_wav(spark, tmp_path):
