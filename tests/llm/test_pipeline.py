@@ -1,9 +1,13 @@
 """The corpus pipeline, each stage on its own input."""
 
+import hashlib
+import math
+
 import corpus_pipeline
+import duckdb
 import pytest
 
-from provena.llm import decontamination, toxicity
+from provena.llm import decontamination, registered, toxicity
 from test_near import components_by_hand
 
 
@@ -35,6 +39,53 @@ def test_toxic_documents_go(spark, sf, stages):
     assert ids(stages[0]) == sorted(set(ids(docs)) - set(ids(rejected)))
 
 
+def toxicity_by_hand(text, lexicon):
+    """The score from the lexicon's entries, by looking at every word."""
+    words = toxicity.folded(text or "").split()
+    positive = {k: w for k, w in lexicon.weights.items() if w > 0}
+    total, kinds, top = 0.0, set(), 0.0
+    for i in range(len(words)):
+        fits = [k for k in positive if (words[i].startswith(k[:-1]) if k.endswith("*") else words[i : i + len(k.split())] == k.split())]
+        if fits:
+            # a whole word with the spaces around it is longer than a beginning of as many letters
+            k = max(fits, key=lambda k: len(k) if k.endswith("*") else len(k) + 2)
+            total, top = total + positive[k], max(top, positive[k])
+            kinds.add(k)
+        for k, w in lexicon.weights.items():
+            if w < 0 and words[i : i + len(k.split())] == k.split():
+                total += w
+    n = len(words)
+    x = [math.log1p(total), math.log1p(1000 * total / (n + 20)), math.log1p(len(kinds)), top, math.log1p(n)] if total > 0 else [0.0, 0.0, 0.0, 0.0, math.log1p(n)]
+    z = sum(a * b for a, b in zip(x, lexicon.coefficients)) + lexicon.coefficients[-1]
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_toxic_documents_by_hand(spark, sf, stages):
+    lexicon = toxicity.learned(spark, sf)
+    if not lexicon.weights:  # few labelled rows: one lexicon of every kind of entry
+        lexicon.weights = {"the": 1.0, "the*": 0.5, "und": 2.0}
+    lexicon.weights |= {"zz top": 1.5, "not zz top": -1.5}
+    odd = [(-1, "zz top zz TOP"), (-2, "not zz top"), (-3, "z2 t0p"), (-4, ""), (-5, None)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    got = {r["doc_id"]: (r["toxicity"], r["text"]) for r in toxicity.score(docs, lexicon).collect()}
+    for i, (score, text) in got.items():
+        assert score == pytest.approx(toxicity_by_hand(text, lexicon), abs=1e-9), i
+    kept = ids(toxicity.reject_toxic(docs, lexicon))
+    assert kept == sorted(i for i, (_, text) in got.items() if toxicity_by_hand(text, lexicon) < toxicity.REJECT)
+
+
+def test_copies_in_the_mix_by_sql(spark, stages):
+    """Taken words by the SQL of mixing, and the draw of the fraction by hand."""
+    con = duckdb.connect()
+    con.register("documents", stages[2].select("doc_id", "text", "lang", "source").toArrow())
+    want = []
+    for doc, size, _, _, taken in con.execute(registered.ORACLES["op8_mixing"]).fetchall():
+        draw = int(hashlib.md5(f"mix-1:copies:{doc}".encode()).hexdigest()[:8], 16) / 2**32
+        share = taken / size if size else 1
+        want += [doc] * (math.floor(share) + (draw < share - math.floor(share)))
+    assert ids(stages[3]) == sorted(want)
+
+
 def test_one_of_each_group_stays(stages):
     rows = [(r["doc_id"], r["text"]) for r in stages[0].collect()]
     assert ids(stages[1]) == sorted(i for i, _, c in components_by_hand(rows, 5, 80, 100) if i == c)
