@@ -44,11 +44,15 @@ def text_failures(text: bytes) -> int:
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(fp, text, id, part, n): rows of a batch that agree in all as one."""
     for b in batches:
-        place: dict = {}  # of each different row among those that are kept
+        place: dict = {}  # the kept rows of each fingerprint, identifier and part; their texts are looked at where there are several
         keep, n = [], []
-        for i, k in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "id", "part")), strict=True)):
-            at = place.setdefault(k, len(keep))
-            if at == len(keep):
+        whole = b.column("text")
+        for i, k in enumerate(zip(*(b.column(c).to_pylist() for c in ("fp", "id", "part")), strict=True)):
+            mine = place.setdefault(k, [])
+            at = next((j for j in mine if whole[keep[j]].equals(whole[i])), None)
+            if at is None:
+                at = len(keep)
+                mine.append(at)
                 keep.append(i)
                 n.append(0)
             n[at] += 1
