@@ -6,7 +6,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -129,51 +129,83 @@ def toc_distance(tracks: DataFrame, streams: DataFrame, disc: list[str], positio
     return rows.groupBy(*disc, "candidate").agg(F.sum(F.abs(F.col("sectors") - F.col("length"))).alias("distance"))
 
 
+#: Groups of positions whose sums bound a distance from below, and pairs per list of a first round at most.
+_GROUPS, _MET = 3, 64
+
+
+def _group_sums(values: str) -> list[Column]:
+    """The sums of an array's first, middle and last third; of three values or fewer, the values themselves."""
+    def one(k: int) -> Column:
+        inside = F.filter(values, lambda _, i: F.call_function("div", i * _GROUPS, F.size(values)) == k)
+        return F.aggregate(inside, F.lit(0).cast("long"), lambda a, x: a + x).alias(f"_s{k}")
+
+    return [one(k) for k in range(_GROUPS)]
+
+
 def nearest_toc_bounded(tracks: DataFrame, streams: DataFrame, disc: list[str], position: str = "track_pos", reach: int | None = None) -> DataFrame:
-    """(disc, candidate, distance, compared): nearest_toc(toc_distance(...)) without all pairs; compared: how many candidates the disc met.
+    """(disc, candidate, distance, compared): nearest_toc(toc_distance(...)) without all pairs; compared: how many different lists the disc was held against.
 
-    The difference of two total lengths is never above the distance of the lists. So discs meet the candidates whose totals are within reach, by buckets as
-    wide as the reach; a disc whose best distance is within reach is done, since whatever it did not meet is farther away. The others go on with four times the reach, or more where the distances found say so.
-    Totals are taken over the positions that a disc and a candidate share, for each pair of sets of positions that there is. reach: of the first round; by default a few
-    times the mean gap between candidates.
+    Equal lists are one, on both sides. The positions are cut into three groups; the differences of the groups' sums together are never above the distance of the lists. So lists
+    meet in the cells of a grid over these sums, twice as wide as the reach; a disc whose best distance is within reach is done, since whatever it did not meet is
+    farther away. The others go on with twice the reach, or more where the distances found say so. Sums are taken over the positions that a disc and a candidate share, for
+    each pair of sets of positions that there is. reach: of the first round; by default so that a list meets some tens of others.
     """
-    join_key = ["_have", "_common"]
-    lists = lambda rows, by, length: rows.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(position), F.col(length).cast("long").alias("n"))))).alias("_at"))
-    known = lists(tracks, disc, "sectors").withColumn("_have", F.map_keys("_at"))
+    shape, whose, sums = ["_have", "_common"], ["_have", "_of"], [f"_s{k}" for k in range(_GROUPS)]
+    entries = lambda length: F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.col(length).cast("long").alias("n"))))
+    part = lambda c, f: F.transform(c, lambda x: x[f])
+    known = tracks.groupBy(*disc).agg(F.map_from_entries(entries("sectors")).alias("_at")).select(*disc, F.map_keys("_at").alias("_have"), F.map_values("_at").alias("_of"))
+    known = written(known, "toc-discs")
     # a candidate meets each set of positions that discs have, where they share one; the sets are few
     places = known.select("_have").distinct().select("_have", F.explode("_have").alias(position))
-    offered = streams.join(places, position).groupBy("candidate", "_have").agg(F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.col("length").cast("long").alias("n")))).alias("_at"))
-    values = lambda at: F.transform(at, lambda x: x["n"])
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    offered = offered.select("candidate", "_have", F.transform("_at", lambda x: x["p"]).alias("_common"), values(F.col("_at")).alias("_lengths"))
-    offered = written(offered.withColumn("_total", total(F.col("_lengths"))), "toc-candidates")
-    shapes = offered.select(*join_key).distinct()
-    open_ = known.join(shapes, "_have").select(*disc, *join_key, F.transform("_common", lambda p: F.col("_at")[p]).alias("_sectors")).withColumn("_sum", total(F.col("_sectors")))
-    open_ = written(open_, "toc-discs")
-    span = offered.agg(F.max("_total").alias("hi"), F.min("_total").alias("lo"), F.count("*").alias("n")).first()
-    farthest = open_.agg(F.max(F.abs("_sum")).alias("m")).first()["m"] or 0
-    reach = reach or 4 * ((span["hi"] or 0) - (span["lo"] or 0)) // max(span["n"], 1) + 1
+    offered = streams.join(places, position).groupBy("candidate", "_have").agg(entries("length").alias("_at"))
+    offered = offered.groupBy("_have", part("_at", "p").alias("_common"), part("_at", "n").alias("_lengths")).agg(F.min("candidate").alias("candidate"))
+    offered = written(offered.select("*", *_group_sums("_lengths")), "toc-candidates")
+    open_ = known.select(*whose).distinct().join(offered.select(*shape).distinct(), "_have")
+    open_ = open_.withColumn("_sectors", F.transform("_common", lambda p: F.map_from_arrays("_have", "_of")[p]))
+    open_ = written(open_.select("*", *_group_sums("_sectors")), "toc-open")
+
+    def cells(rows: DataFrame, values: str, reach: int, sides: tuple[int, ...]) -> DataFrame:
+        """rows with their cells _c0 to _c2, one row for each cell that a move by reach to these sides leads to."""
+        cell = lambda c: F.floor(c / F.lit(2 * reach)).cast("long")
+        for k, c in enumerate(sums):
+            rows = rows.withColumn(f"_c{k}", F.explode(F.when(F.size(values) > k, F.array(*(cell(F.col(c) + d * reach) for d in sides))).otherwise(F.array(F.lit(0).cast("long")))))
+        return rows
+
+    grid = [*shape, *(f"_c{k}" for k in range(_GROUPS))]
+
+    def pairs(reach: int) -> int:
+        count = lambda rows, n: rows.groupBy(*grid).agg(F.count("*").alias(n))
+        both = count(cells(open_, "_sectors", reach, (-1, 1)), "_n").join(count(cells(offered, "_lengths", reach, (0,)), "_m"), grid)
+        return int(both.agg(F.sum(F.col("_n").cast("decimal(38,0)") * F.col("_m"))).first()[0] or 0)
+
+    far = sum((F.abs(c) for c in sums), F.lit(0))
+    farthest = sum(int(rows.agg(F.max(far)).first()[0] or 0) for rows in (open_, offered))
+    if reach is None:
+        reach, lists = max(farthest, 1), open_.count()
+        while reach > 1 and pairs(reach) > _MET * lists:
+            reach = max(reach // 4, 1)
     done: list[DataFrame] = []
     while True:
-        whole = reach > farthest + max(abs(span["hi"] or 0), abs(span["lo"] or 0))
-        bucket = lambda c, reach=reach: F.floor(F.col(c) / F.lit(reach)).cast("long")
-        near = open_.withColumn("_b", F.explode(F.array(*(bucket("_sum") + d for d in (-1, 0, 1)))))
-        met = near.join(offered.withColumn("_b", bucket("_total")), [*join_key, "_b"])
+        whole = reach >= farthest
+        met = cells(open_, "_sectors", reach, (-1, 1)).join(cells(offered.withColumnsRenamed({c: f"_t{c}" for c in sums}).withColumns({c: F.col(f"_t{c}") for c in sums}), "_lengths", reach, (0,)).drop(*sums), grid)
+        met = met.where(sum((F.abs(F.col(c) - F.col(f"_t{c}")) for c in sums), F.lit(0)) <= reach)
         met = met.withColumn("distance", F.aggregate(F.zip_with("_sectors", "_lengths", lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda a, x: a + x))
-        best = met.groupBy(*disc).agg(F.min(F.struct("distance", "candidate")).alias("b"), F.count("*").alias("compared"))
-        best = written(best.select(*disc, F.col("b.candidate").alias("candidate"), F.col("b.distance").alias("distance"), "compared"), "toc-best")
+        best = met.groupBy(*whose).agg(F.min(F.struct("distance", "candidate")).alias("b"), F.count("*").alias("compared"))
+        best = written(best.select(*whose, F.col("b.candidate").alias("candidate"), F.col("b.distance").alias("distance"), "compared"), "toc-best")
         settled = best if whole else best.where(F.col("distance") <= reach)
         done.append(settled)
-        open_ = open_.join(settled.select(*disc), disc, "left_anti")
-        if whole or open_.isEmpty():
+        if whole:
+            break
+        open_ = written(open_.join(settled.select(*whose), whose, "left_anti"), "toc-open")
+        if open_.isEmpty():
             break
         # within the distance that a disc has found already it is done at the latest
-        found = best.where(F.col("distance") > reach).agg(F.percentile_approx("distance", 0.9).alias("d")).first()["d"]
-        open_, reach = written(open_, "toc-open"), max(4 * reach, found or 0)
+        found = best.where(F.col("distance") > reach).agg(F.percentile_approx("distance", 0.1).alias("d")).first()["d"]
+        reach = max(2 * reach, found or 0)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return known.join(out, whose).select(*disc, "candidate", "distance", "compared")
 
 
 def nearest_toc(distances: DataFrame, disc: list[str]) -> DataFrame:

@@ -421,6 +421,26 @@ def test_nearest_toc_with_a_bound(spark, reach):
     assert assign.nearest_toc_bounded(t, s.limit(0), ["disc"]).count() == 0
 
 
+def test_nearest_toc_where_totals_say_nothing(spark):
+    """Lists of one total and copies of lists: a list meets a few others of all, copies on both sides share what is found."""
+    draw = random.Random(6)
+    lists = [(a, b, 1000 - a - b) for a, b in ((draw.randint(0, 500), draw.randint(0, 500)) for _ in range(400))]
+    cells = lambda x: [(k, p, n) for k, v in enumerate(x) for p, n in enumerate(v, 1)]
+    t = spark.createDataFrame(cells(lists[:100] * 2), "disc int, track_pos int, sectors long")
+    s = spark.createDataFrame(cells(lists[100:] * 3), "candidate int, track_pos int, length long")
+    want = {d: min((sum(abs(a - b) for a, b in zip(x, y)), c) for c, y in enumerate(lists[100:])) for d, x in enumerate(lists[:100] * 2)}
+    got = assign.nearest_toc_bounded(t, s, ["disc"]).collect()
+    assert {r["disc"]: (r["distance"], r["candidate"]) for r in got} == want and len(got) == 200
+    assert sum(r["compared"] for r in got) < 0.1 * 200 * 300
+
+
+def test_slots_of_many_calls_in_a_slice(spark):
+    """Over 2 ** 31 / interval calls in one slice of time."""
+    d = spark.range(40_000).select(F.lit("s").alias("service"), F.lit(0).cast("long").alias("arrival"), F.col("id").alias("ordinal"))
+    got = limiter.rate_slots(d, F.lit(60_000), order=["arrival", "ordinal"]).agg(F.max("slot").alias("slot"), F.count_distinct("slot").alias("n")).first()
+    assert (got["slot"], got["n"]) == (39_999 * 60_000, 40_000)
+
+
 def test_matches_that_cannot_be_compared(spark):
     draw = random.Random(2)
     m = {(r, c): [draw.randint(0, 3) for _ in range(draw.randint(1, 4))] for r in "ab" for c in range(12)}
