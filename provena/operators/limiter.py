@@ -15,9 +15,9 @@ def rate_slots(arrivals: DataFrame, interval: Column, service: str = "service",
     In closed form slot_i = i * I + running maximum of (arrival_k - k * I). A service is cut into slices of the time of `calls` intervals; the
     number of calls and the maximum before a slice come from one row per slice, so no task holds a service.
     """
-    slice_ = F.floor(F.col(arrival) / (interval * calls))
+    slice_ = F.floor(F.col(arrival) / (interval * F.lit(calls).cast("long")))
     within = Window.partitionBy(service, "_s").orderBy(*(order or [arrival]))
-    rows = arrivals.withColumn("_s", slice_).withColumn("_i", F.row_number().over(within) - 1).withColumn("_a", F.col(arrival) - F.col("_i") * interval)
+    rows = arrivals.withColumn("_s", slice_).withColumn("_i", F.row_number().over(within).cast("long") - 1).withColumn("_a", F.col(arrival) - F.col("_i") * interval)
     before = Window.partitionBy("_v").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
     slices = rows.groupBy(F.col(service).alias("_v"), F.col("_s").alias("_t")).agg(F.count("*").alias("_n"), F.max("_a").alias("_m"))
     slices = slices.withColumn("_b", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_p", F.max(F.col("_m") - F.col("_b") * interval).over(before))
