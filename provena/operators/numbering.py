@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from provena.shared import written
 
 
-def numbered(rows: DataFrame, order: list[Column | str], name: str = "line", first: int = 1) -> DataFrame:
-    """rows with `name` (long): their place in the order, from first.
+def numbered(rows: DataFrame, order: list[Column | str], name: str = "line", first: int = 1, keep: list[str] | None = None) -> DataFrame:
+    """rows with `name` (long): their place in the order, from first. keep: the columns that stay, by default all.
 
     Rows are range-partitioned by the order and numbered in each partition; the numbers of rows of the partitions before, one figure each, are added. The order should
     be total: which of several equal rows comes first is open, and they share a partition. An existing column of that name is replaced.
@@ -22,7 +22,7 @@ def numbered(rows: DataFrame, order: list[Column | str], name: str = "line", fir
         mark = f"_{mark}"
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     # Spark's ids: the partition's number above 33 bits that count its rows. Written, as ranges are drawn anew in each job.
-    kept = written(placed.withColumn(mark, F.monotonically_increasing_id()), "numbered")
+    kept = written(placed.select(*(keep or ["*"]), F.monotonically_increasing_id().alias(mark)), "numbered")
     sizes = {r["p"]: r["n"] for r in kept.groupBy(F.shiftright(mark, 33).cast("int").alias("p")).agg(F.count("*").alias("n")).collect()}  # a row a partition
     before = accumulate((sizes.get(p, 0) for p in range(max(sizes, default=0))), initial=first)
     offsets = F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>")

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from provena.operators.numbering import numbered
+from provena.shared import written
 
 PLACE = ["release_group_id", "release_id", "medium_pos", "disc_id", "track_pos"]
 _CELLS = {"offset": "long", "conf_v1": "long", "conf_v2": "long", "conf_total": "long", "conf_max": "int", "conf_eac": "long", "eac_total": "long", "eac_max": "long", "stream_index": "int", "field": "string", "file_value": "string", "database_value": "string"}
 
 
-def _rows(found: DataFrame, kind: str, **cells: Column) -> DataFrame:
-    return found.select(*PLACE, F.lit(kind).alias("kind"), *(cells.get(c, F.lit(None)).cast(t).alias(c) for c, t in _CELLS.items()))
+def _rows(found: DataFrame, kind: Column, **cells: Column) -> DataFrame:
+    return found.select(*PLACE, kind.alias("kind"), *(cells.get(c, F.lit(None)).cast(t).alias(c) for c, t in _CELLS.items()))
 
 
 def both_databases(voted: DataFrame, voted_eac: DataFrame) -> DataFrame:
@@ -20,12 +22,11 @@ def both_databases(voted: DataFrame, voted_eac: DataFrame) -> DataFrame:
 
     What a database does not know is 0. Totals and maxima are a track's, so an offset that only one database has been asked for carries those of both.
     """
-    key = ["disc_id", "track_pos"]
+    key, own = ["disc_id", "track_pos"], ["total", "max", "eac_total", "eac_max"]
     eac = voted_eac.select(*key, "offset", "conf_eac", F.col("total").alias("eac_total"), F.col("max").cast("long").alias("eac_max"))
-    rows = voted.select(*key, "offset", "conf_v1", "conf_v2").join(eac.select(*key, "offset", "conf_eac"), [*key, "offset"], "full")
-    rows = rows.join(voted.groupBy(*key).agg(F.max("total").alias("total"), F.max("max").alias("max")), key, "left")
-    rows = rows.join(eac.groupBy(*key).agg(F.max("eac_total").alias("eac_total"), F.max("eac_max").alias("eac_max")), key, "left")
-    return rows.fillna(0, ["conf_v1", "conf_v2", "conf_eac", "total", "max", "eac_total", "eac_max"])
+    rows = voted.select(*key, "offset", "conf_v1", "conf_v2", "total", "max").join(eac, [*key, "offset"], "full")
+    rows = rows.withColumns({c: F.max(c).over(Window.partitionBy(*key)) for c in own})
+    return rows.select(*key, "offset", "conf_v1", "conf_v2", "conf_eac", *own).fillna(0, ["conf_v1", "conf_v2", "conf_eac", *own])
 
 
 def mismatch_report(tracks: DataFrame, voted: DataFrame, diffs: DataFrame, voted_eac: DataFrame | None = None) -> DataFrame:
@@ -39,21 +40,26 @@ def mismatch_report(tracks: DataFrame, voted: DataFrame, diffs: DataFrame, voted
     eac_vote_aggregate returns. diffs: release_id, medium_pos, track_pos, stream_index, field, file_value, database_value.
     """
     alone = F.col("disc_id").isNull()
-    places = tracks.groupBy(*PLACE).agg(F.count_distinct("stream_index").alias("_streams"), F.count_distinct("fingerprint_id").alias("_prints"))
+    several = lambda c: F.coalesce(F.min(c) < F.max(c), F.lit(False))
+    # a place is met four times below, so it is made once; what is said of a disc's track goes to its places in one join, votes and bad rips alike
+    places = tracks.groupBy(*PLACE).agg(F.collect_set("stream_index").alias("_streams"), several("fingerprint_id").alias("_prints"))
+    places = written(places, "places")
     no_disc = places.where(alone).select(*PLACE[:-1], F.lit(None).cast(places.schema["track_pos"].dataType).alias("track_pos")).distinct()
     none = F.lit(0).cast("long")
     all_votes = both_databases(voted, voted_eac) if voted_eac is not None else voted.withColumns({c: none for c in ("conf_eac", "eac_total", "eac_max")})
+    track = Window.partitionBy("disc_id", "track_pos")
     known = all_votes.where("total > 0 or eac_total > 0").withColumn("_any", F.col("conf_v1") + F.col("conf_v2") + F.col("conf_eac"))
-    on_disc = places.where(~alone).select(*PLACE).join(known, ["disc_id", "track_pos"])
-    bad = on_disc.groupBy(*PLACE).agg(F.max("_any").alias("_best")).where("_best = 0")
-    at = tracks.select(*PLACE, "stream_index").distinct().join(diffs, ["release_id", "medium_pos", "track_pos", "stream_index"])
+    known = known.withColumns({"_best": F.max("_any").over(track), "_n": F.row_number().over(track.orderBy("offset"))}).where("_any > 0 or (_best = 0 and _n = 1)")
+    cells = {c: F.when(F.col("_any") > 0, F.col(x)) for c, x in {"offset": "offset", "conf_v1": "conf_v1", "conf_v2": "conf_v2", "conf_total": "total", "conf_max": "max", "conf_eac": "conf_eac", "eac_total": "eac_total", "eac_max": "eac_max"}.items()}
+    said = known.select("disc_id", "track_pos", F.when(F.col("_any") > 0, "votes").otherwise("bad_rip").alias("kind"), *(v.alias(c) for c, v in cells.items()))
+    on_disc = places.where(~alone).select(*PLACE).join(said, ["disc_id", "track_pos"])
+    more = F.when(alone & F.col("_prints"), "several_fingerprints").when(~alone & (F.size("_streams") > 1), "several_streams")
+    at = places.select(*PLACE, "_streams").join(diffs, ["release_id", "medium_pos", "track_pos"]).where(F.array_contains("_streams", F.col("stream_index")))
     found = [
-        _rows(no_disc, "no_disc"),
-        _rows(on_disc.where("_any > 0"), "votes", offset=F.col("offset"), conf_v1=F.col("conf_v1"), conf_v2=F.col("conf_v2"), conf_total=F.col("total"), conf_max=F.col("max"), **{c: F.col(c) for c in ("conf_eac", "eac_total", "eac_max")}),
-        _rows(bad, "bad_rip"),
-        _rows(places.where(~alone & (F.col("_streams") > 1)), "several_streams"),
-        _rows(places.where(alone & (F.col("_prints") > 1)), "several_fingerprints"),
-        _rows(at, "field", stream_index=F.col("stream_index"), field=F.col("field"), file_value=F.col("file_value"), database_value=F.col("database_value")),
+        _rows(no_disc, F.lit("no_disc")),
+        _rows(on_disc, F.col("kind"), **{c: F.col(c) for c in cells}),
+        _rows(places.withColumn("kind", more).where("kind is not null"), F.col("kind")),
+        _rows(at, F.lit("field"), stream_index=F.col("stream_index"), field=F.col("field"), file_value=F.col("file_value"), database_value=F.col("database_value")),
     ]
     out = found[0]
     for x in found[1:]:
@@ -78,7 +84,10 @@ def report_lines(tracks: DataFrame, found: DataFrame) -> DataFrame:
         cells = [F.col(p).alias(p) if i <= k else F.lit(None).cast(tracks.schema[p].dataType).alias(p) for i, p in enumerate(PLACE)]
         shown = F.col("disc_id").isNotNull() if c == "disc_id" else F.lit(True)
         heads.append(F.struct(*cells, F.lit(k).alias("depth"), F.concat(F.lit(word), F.col(c).cast("string")).alias("text"), shown.alias("shown")))
-    rows = tracks.select(*PLACE).distinct().select(F.explode(F.array(*heads)).alias("h")).select("h.*").where("shown").drop("shown").distinct()
+    places = tracks.select(*PLACE).distinct()
+    above = lambda some: F.explode(F.array(*some)).alias("h")
+    # a track's heading stands once as it is; those above it are many times the same
+    rows = places.select(above(heads[:-1])).select("h.*").where("shown").distinct().unionByName(places.select(above(heads[-1:])).select("h.*")).drop("shown")
     rows = rows.withColumns({"_kind": F.lit(-1), "offset": F.lit(None).cast("long"), "stream_index": F.lit(None).cast("int"), "field": F.lit(None).cast("string")})
     cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     said = {
@@ -94,7 +103,7 @@ def report_lines(tracks: DataFrame, found: DataFrame) -> DataFrame:
         text, kind = F.when(F.col("kind") == name, said[name]).otherwise(text), F.when(F.col("kind") == name, k).otherwise(kind)
     below = F.when(F.col("kind") == "no_disc", 3).otherwise(5)
     rows = rows.unionByName(found.select(*PLACE, below.alias("depth"), text.alias("text"), kind.alias("_kind"), "offset", "stream_index", "field"))
-    return numbered(rows, _ORDER).select("line", *PLACE, "depth", "text")
+    return numbered(rows, _ORDER, keep=[*PLACE, "depth", "text"]).select("line", *PLACE, "depth", "text")
 
 
 def configuration_lines(candidates: DataFrame, release: str = "release_id") -> DataFrame:

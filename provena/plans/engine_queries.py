@@ -15,8 +15,9 @@ from pyspark.sql.window import Window
 from provena.functions import exprs
 from provena.operators import assign, checksum, cover, discs, limiter, merge, numbering, report, resample, tags, votes
 from provena.plans.registry import query, table
+from provena.operators.report import PLACE
 from provena.schema import TAG_FIELDS
-from provena.shared import shared_dir
+from provena.shared import shared_dir, written
 from provena.sources import binary, bucketed, container_tags, lookup_xml, response_files
 
 #: A total order of an order's lines: line numbers repeat in the driver's table.
@@ -1150,15 +1151,15 @@ union all select release_group_id, t.release_id, t.medium_pos, disc_id, t.track_
 
 def _report(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Lines as tracks, a quarter of them on media without a disc, with votes of two databases that know different tracks, and one differing tag."""
-    l = lines(spark, sf).withColumn("pos", F.col("pos").cast("int")).withColumn("q", F.col("l_quantity").cast("int"))
+    l = lines(spark, sf).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", F.col("pos").cast("int").alias("pos"))
+    l = written(l, "lines").withColumn("q", F.col("l_quantity").cast("int"))  # numbered once for the tracks, both databases and the tags
     place = [F.col("l_suppkey").alias("release_group_id"), F.col("l_orderkey").alias("release_id"), F.col("l_linenumber").alias("medium_pos"), F.when(F.col("l_partkey") % 4 > 0, F.col("l_partkey")).alias("disc_id"), F.col("pos").alias("track_pos")]
-    one = l.select(*place, F.col("q").alias("stream_index"), F.col("l_returnflag").alias("fingerprint_id"))
-    other = l.select(*place, (F.col("q") + (F.col("l_suppkey") % 3).cast("int")).alias("stream_index"), F.col("l_linestatus").alias("fingerprint_id"))
+    two = [F.struct(F.col("q").alias("stream_index"), F.col("l_returnflag").alias("fingerprint_id")), F.struct((F.col("q") + (F.col("l_suppkey") % 3).cast("int")).alias("stream_index"), F.col("l_linestatus").alias("fingerprint_id"))]
+    tracks = l.select(*place, F.explode(F.array(*two)).alias("x")).select(*PLACE, "x.*")
     track = [F.col("l_partkey").alias("disc_id"), F.col("pos").alias("track_pos")]
     v = l.where("l_partkey % 3 > 0").groupBy(*track, (F.col("l_suppkey") % 5).alias("offset")).agg(F.max(F.when(F.col("l_tax") > 0.04, F.col("l_quantity")).otherwise(0).cast("long")).alias("conf_v1"), F.max((F.col("l_suppkey") % 2).cast("long")).alias("conf_v2"), F.max(F.col("l_suppkey") % 6).alias("total"), F.lit(6).alias("max"))
     eac = l.where("l_partkey % 5 > 1").groupBy(*track, (F.col("l_suppkey") % 7).alias("offset")).agg(F.max(F.when(F.col("l_discount") > 0.07, F.col("l_linenumber")).otherwise(0).cast("long")).alias("conf_eac"), F.max(F.col("l_suppkey") % 4).alias("total"), F.max(F.col("l_suppkey") % 3).alias("max"))
     d = l.where("l_discount > 0.05").select(F.col("l_orderkey").alias("release_id"), F.col("l_linenumber").alias("medium_pos"), F.col("pos").alias("track_pos"), F.col("q").alias("stream_index"), F.lit("title").alias("field"), F.col("l_returnflag").alias("file_value"), F.col("l_linestatus").alias("database_value"))
-    tracks = one.unionByName(other)
     return tracks, report.mismatch_report(tracks, v, d, eac)
 
 

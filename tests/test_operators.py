@@ -347,6 +347,17 @@ def test_report_with_the_second_database(spark):
     ]
 
 
+def test_report_makes_places_once(spark):
+    """Tracks are read by one aggregate and votes meet places in one join, whatever kinds of findings come of them."""
+    t = spark.createDataFrame([("g", "r", 1, "d", 1, s, f) for s, f in ((0, "f"), (None, None), (1, None))] + [("g", "r", 2, None, 1, 3, f) for f in ("f", "f", None)], "release_group_id string, release_id string, medium_pos int, disc_id string, track_pos int, stream_index int, fingerprint_id string")
+    v = spark.createDataFrame([("d", 1, o, 0, 0, 5, 5) for o in (4, 6, 6)], "disc_id string, track_pos int, offset long, conf_v1 long, conf_v2 long, total long, max int")
+    d = spark.createDataFrame([("r", 1, 1, s, "title", "a", "b") for s in (0, 9, None)], "release_id string, medium_pos int, track_pos int, stream_index int, field string, file_value string, database_value string")
+    found = report.mismatch_report(t, v, d)
+    assert sorted((r["kind"], r["medium_pos"], r["stream_index"]) for r in found.collect()) == [("bad_rip", 1, None), ("field", 1, 0), ("no_disc", 2, None), ("several_streams", 1, None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "Expand" not in plan
+
+
 @pytest.mark.parametrize("parts", [1, 3, 16])
 def test_numbers_without_a_single_task(spark, parts):
     spark.conf.set("spark.sql.shuffle.partitions", parts)
