@@ -2,40 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRACK = ["disc_id", "track_pos"]
 
 
+def _voted(checksums: DataFrame, votes: DataFrame, track: list[str], crc: str, count: str) -> DataFrame:
+    """checksums of the tracks that have votes, with _votes (summed per checksum, as a map), total and max of their track.
+
+    Both sides are exchanged once, by track: the sums per checksum and per track and the join all find their rows there. Entries are summed per checksum before they meet the
+    offsets, so a popular pressing with many entries is one cell.
+    """
+    by_crc = votes.repartition(*track).groupBy(*track, crc).agg(F.sum(count).alias("_c"), F.max(count).alias("_m"))
+    cell = F.when(F.col(crc).isNotNull(), F.struct(F.col(crc).alias("k"), F.col("_c").alias("v")))
+    whole = by_crc.groupBy(*track).agg(F.map_from_entries(F.collect_list(cell)).alias("_votes"), F.sum("_c").cast("long").alias("total"), F.max("_m").alias("max"))
+    return checksums.join(whole, track)
+
+
+def _votes_on(value: str) -> Column:
+    return F.coalesce(F.try_element_at("_votes", F.col(value)), F.lit(0)).cast("long")
+
+
 def vote_aggregate(checksums: DataFrame, votes: DataFrame, track: list[str] = TRACK) -> DataFrame:
     """Per track and offset: conf_v1 and conf_v2, the confidence of the entries that equal v1 or v2 (one entry may count for both); per track:
     total and max confidence of all entries. checksums: track, offset, v1, v2. votes: track, crc, confidence.
 
-    Entries are summed per checksum before they meet the offsets, so a popular pressing with many entries is one row. A track that the
-    response is too short for has no entry, hence no row.
+    A track that the response is too short for has no entry, hence no row.
     """
-    by_crc = votes.groupBy(*track, "crc").agg(F.sum("confidence").alias("c"))
-    whole = votes.groupBy(*track).agg(F.sum("confidence").alias("total"), F.max("confidence").alias("max"))
-    rows = checksums.join(whole, track)
-    met = lambda v: by_crc.select(*track, F.col("crc").alias(v), F.col("c").alias(f"conf_{v}"))
-    rows = rows.join(met("v1"), [*track, "v1"], "left").join(met("v2"), [*track, "v2"], "left")
-    return rows.select(*track, "offset", F.coalesce("conf_v1", F.lit(0)).cast("long").alias("conf_v1"), F.coalesce("conf_v2", F.lit(0)).cast("long").alias("conf_v2"), F.col("total").cast("long").alias("total"), "max")
+    rows = _voted(checksums, votes, track, "crc", "confidence")
+    return rows.select(*track, "offset", _votes_on("v1").alias("conf_v1"), _votes_on("v2").alias("conf_v2"), "total", "max")
 
 
 def vote_aggregate_exclusive(checksums: DataFrame, votes: DataFrame, track: list[str] = TRACK) -> DataFrame:
     """The older rule: an entry counts for v2 only where it does not equal v1."""
-    out = vote_aggregate(checksums, votes, track)
-    same = checksums.where("v1 = v2").select(*track, "offset").withColumn("same", F.lit(True))
-    return out.join(same, [*track, "offset"], "left").withColumn("conf_v2", F.when(F.col("same"), F.lit(0).cast("long")).otherwise(F.col("conf_v2"))).drop("same")
+    rows = _voted(checksums, votes, track, "crc", "confidence")
+    older = F.when(F.col("v1") == F.col("v2"), F.lit(0).cast("long")).otherwise(_votes_on("v2"))
+    return rows.select(*track, "offset", _votes_on("v1").alias("conf_v1"), older.alias("conf_v2"), "total", "max")
 
 
 def eac_vote_aggregate(checksums: DataFrame, votes: DataFrame, track: list[str] = TRACK) -> DataFrame:
     """As vote_aggregate, for whole-track CRC-32 counts. The live pipeline fetches these but does not verify with them."""
-    whole = votes.groupBy(*track).agg(F.sum("count").alias("total"), F.max("count").alias("max"))
-    by_crc = votes.groupBy(*track, "crc32").agg(F.sum("count").alias("c"))
-    rows = checksums.join(whole, track).join(by_crc, [*track, "crc32"], "left")
-    return rows.select(*track, "offset", F.coalesce("c", F.lit(0)).cast("long").alias("conf_eac"), F.col("total").cast("long").alias("total"), "max")
+    return _voted(checksums, votes, track, "crc32", "count").select(*track, "offset", _votes_on("crc32").alias("conf_eac"), "total", "max")
 
 
 def with_votes(voted: DataFrame, track: list[str] = TRACK) -> tuple[DataFrame, DataFrame]:

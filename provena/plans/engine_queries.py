@@ -387,7 +387,7 @@ def _votes(spark, sf) -> tuple[DataFrame, DataFrame]:
     l = table(spark, sf, "lineitem")
     v = l.select(F.col("l_orderkey").alias("disc_id"), F.col("l_linenumber").alias("track_pos"), (F.col("l_partkey") % 11).alias("crc"), F.col("l_quantity").cast("int").alias("confidence"))
     o = F.explode(F.array(*map(F.lit, (0, 1, 2))))
-    c = l.select(F.col("l_orderkey").alias("disc_id"), F.col("l_linenumber").alias("track_pos"), "l_suppkey", o.alias("offset"))
+    c = l.select(F.col("l_orderkey").alias("disc_id"), F.col("l_linenumber").alias("track_pos"), "l_suppkey").repartition("disc_id", "track_pos").withColumn("offset", o)  # before each line is three, and where its votes are
     return c.select("disc_id", "track_pos", "offset", (F.col("l_suppkey") % 11).alias("v1"), ((F.col("l_suppkey") + F.col("offset")) % 11).alias("v2")).distinct(), v
 
 

@@ -157,6 +157,16 @@ def test_votes_count_for_both(spark):
     assert got.count() == 2 and rows(bad, "track_pos") == [(2,)]
 
 
+def test_votes_are_exchanged_once(spark):
+    c = spark.createDataFrame([("d", 1, 0, 7, None), ("d", 2, 0, 7, 7)], "disc_id string, track_pos int, offset int, v1 int, v2 int")
+    v = spark.createDataFrame([("d", 1, 7, 5), ("d", 1, None, 3), ("d", 3, 7, 2)], "disc_id string, track_pos int, crc long, confidence int")
+    for f, crc, n in ((votes.vote_aggregate, "crc", "confidence"), (votes.vote_aggregate_exclusive, "crc", "confidence"), (votes.eac_vote_aggregate, "crc32", "count")):
+        out = f(c.withColumn("crc32", F.col("v1")), v.withColumnsRenamed({"crc": crc, "confidence": n}))
+        got = out.first()
+        assert out.count() == 1 and (got["track_pos"], got[3], got["total"], got["max"]) == (1, 5, 8, 5) and ("conf_v2" not in out.columns or got["conf_v2"] == 0)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+
+
 def test_neighbours_by_position(spark):
     d = spark.createDataFrame([("d", 1, 10), ("d", 2, 20), ("d", 4, 40)], "disc_id string, track_pos int, v int")
     assert rows(votes.neighbours(d, "disc_id", "track_pos", "v"), "track_pos", "before", "after") == [(1, None, 20), (2, 10, None), (4, None, None)]
