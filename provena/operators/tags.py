@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -109,7 +108,7 @@ def _distance(a: str, b: str) -> int:
 
 
 def order_composers(reference: str, names: list[str]) -> list[int]:
-    """Greedy order: each next name is the one whose trial text is nearest to the reference cut to the trial's octets; the first minimum wins."""
+    """Greedy order: each next name is the one whose trial text is nearest to the reference cut to the trial's octets; the first minimum wins. composers() does this for whole tables."""
     left, out, text = list(range(len(names))), [], ""
     octets = reference.encode()
     while left:
@@ -121,17 +120,32 @@ def order_composers(reference: str, names: list[str]) -> list[int]:
     return out
 
 
-def composers(rows: DataFrame) -> DataFrame:
-    """(recording_id, composer, sort_composer) from composers_in_question(). A recording has a handful of them, so a group is small."""
-    kind = rows.schema["recording_id"].dataType.simpleString()
+def _cut(text: Column, n: Column) -> Column:
+    """The first n octets of a text, less those of a character that is cut."""
+    octets = text.cast("binary")
+    within = lambda at: F.hex(F.substring(octets, at + 1, F.lit(1))).between("80", "BF")
+    whole = F.when(~within(n), n).when(~within(n - 1), n - 1).when(~within(n - 2), n - 2).otherwise(n - 3)
+    return F.substring(octets, F.lit(1), whole).cast("string")
 
-    def arrange(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["ordinal", "artist_id"])
-        order = order_composers(p["reference"].iloc[0], p["name"].tolist())
-        shown, sort = ", ".join(p["name"].iloc[k] for k in order), "; ".join(p["sort_name"].iloc[k] for k in order)
-        return pd.DataFrame({"recording_id": [p["recording_id"].iloc[0]], "composer": [shown], "sort_composer": ["" if sort == shown else sort]})
 
-    return rows.groupBy("recording_id").applyInPandas(arrange, f"recording_id {kind}, composer string, sort_composer string")
+def composers(rows: DataFrame) -> DataFrame:
+    """(recording_id, composer, sort_composer) from composers_in_question(), in order_composers()'s order. A recording has a handful of them, so a group is small."""
+    order = [x for c in ("ordinal", "artist_id") for x in (F.col(c).isNull().alias(f"_{c}"), F.col(c))]
+    groups = rows.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct(*order, "name", "sort_name", "reference"))).alias("c"))
+    groups = groups.withColumn("_r", F.col("c")[0]["reference"])
+    name, sort = lambda k: F.element_at("c", k)["name"], lambda k: F.element_at("c", k)["sort_name"]
+    added = lambda acc, field, by, text: F.when(acc["n"] > 0, F.concat(acc[field], F.lit(by), text)).otherwise(text)
+
+    def step(acc: Column, _: Column) -> Column:
+        trial = lambda k: added(acc, "shown", ", ", name(k))
+        best = F.array_min(F.transform(acc["left"], lambda k: F.struct(F.levenshtein(_cut(F.col("_r"), F.octet_length(trial(k))), trial(k)).alias("d"), k.alias("k"))))["k"]
+        grown = lambda k: F.struct(F.filter(acc["left"], lambda x: x != k).alias("left"), trial(k).alias("shown"), added(acc, "sort", "; ", sort(k)).alias("sort"), (acc["n"] + 1).alias("n"))
+        return F.transform(F.array(best), grown)[0]
+
+    places = F.sequence(F.lit(1), F.size("c"))
+    start = F.struct(places.alias("left"), F.lit("").alias("shown"), F.lit("").alias("sort"), F.lit(0).alias("n"))
+    done = groups.select("recording_id", F.aggregate(places, start, step).alias("x"))
+    return done.select("recording_id", F.col("x.shown").alias("composer"), F.when(F.col("x.sort") == F.col("x.shown"), "").otherwise(F.col("x.sort")).alias("sort_composer"))
 
 
 def _fields(rows: DataFrame, key: list[str], value: str, fields: tuple[str, ...]) -> DataFrame:

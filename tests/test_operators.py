@@ -226,6 +226,18 @@ def test_composers(spark):
     assert rows(tags.composers(tags.composers_in_question(w, f)), "composer", "sort_composer") == [("Bob, Ann", "B; A")]
 
 
+def test_composers_in_spark_as_in_their_definition(spark):
+    """Names and references with characters of one to four octets, cut anywhere; and no Python in the plan."""
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("ab, é€𝄞") for _ in range(draw.randint(1, 5)))
+    groups = {r: (word() + word() + word(), [word() for _ in range(draw.randint(1, 5))]) for r in range(60)}
+    cells = [(r, str(k), n, n.upper(), k, ref) for r, (ref, names) in groups.items() for k, n in enumerate(names)]
+    d = tags.composers(spark.createDataFrame(cells, "recording_id int, artist_id string, name string, sort_name string, ordinal int, reference string"))
+    want = {r: ", ".join(names[k] for k in tags.order_composers(ref, names)) for r, (ref, names) in groups.items()}
+    assert {r["recording_id"]: r["composer"] for r in d.collect()} == want
+    assert "Pandas" not in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_field_diff_and_distance(spark):
     a = spark.createDataFrame([(1, "x", None, None), (2, "y", "1", "z")], "k int, title string, compilation string, album string")
     b = spark.createDataFrame([(1, "x", "0", ""), (2, "Y", "1", "z")], "k int, title string, compilation string, album string")
