@@ -6,7 +6,7 @@
 
 Reading: files are listed once and dealt into partitions of about partition_mb (option, 32) of whole files; a rip file is fetched in ranges of about a megabyte that end
 with an entry, so its size is no matter. The option `only`, a pattern for whole paths, chooses files before anything is read. Writing: rows of one path that
-stand together become one file, compressed with the option compression=gzip; files get their names when the job commits, so a lost task or job leaves none. Paths are those that pyarrow's file systems know;
+stand together become one file, a rip file entry by entry, compressed with the option compression=gzip; files get their names when the job commits, so a lost task or job leaves none. Paths are those that pyarrow's file systems know;
 binary.read_files() reads what only Spark's own readers reach.
 
 pushing() reads with filters on path pushed down to the choice of files (equality, in, prefix, suffix, part). That is no default, as Spark 4.1 keeps what a Python source has
@@ -22,6 +22,7 @@ import gzip
 import sys
 import uuid
 from collections.abc import Iterator
+from contextlib import nullcontext
 from dataclasses import dataclass
 from fnmatch import fnmatchcase
 from itertools import groupby, islice
@@ -63,19 +64,20 @@ def _eac_file(stream) -> Iterator[tuple]:
     return binary.eac_rows(data) if data else iter(())
 
 
-def _rip_bytes(rows: list) -> bytes:
-    out = []
+def _rip_bytes(rows: Iterator) -> Iterator[bytes]:
+    """Octets of an entry at a time, so a file's size is no matter."""
     for (_, *ids), entry in groupby(rows, key=lambda r: (r["entry"], r["id1"], r["id2"], r["cddb"])):
-        out.append((*ids, [(r["confidence"], r["crc"], r["offset_crc"]) for r in sorted(entry, key=lambda r: r["track_pos"])]))
-    return binary.rip_octets(out)
+        some = list(islice(entry, 256))  # more than 255 can't be written
+        yield binary.rip_octets([(*ids, [(r["confidence"], r["crc"], r["offset_crc"]) for r in sorted(some, key=lambda r: r["track_pos"])])])
 
 
-def _eac_bytes(rows: list) -> bytes:
+def _eac_bytes(rows: Iterator) -> Iterator[bytes]:
+    rows = list(rows)  # one response, a few kilobytes
     n = 1 + max(r["track_pos"] for r in rows)
     lists = {k: [[] for _ in range(n)] for k in ("whole", "part")}
     for r in sorted(rows, key=lambda r: r["ordinal"]):
         lists[r["kind"]][r["track_pos"]].append((r["crc32"], r["count"], r["date"]))
-    return binary.eac_octets(max(r["date"] for r in rows), lists["whole"], lists["part"])
+    yield binary.eac_octets(max(r["date"] for r in rows), lists["whole"], lists["part"])
 
 
 @dataclass
@@ -143,9 +145,10 @@ class _Writer(DataSourceWriter):
         for path, rows in groupby(iterator, key=lambda r: r["path"]):
             name = path.rsplit("/", 1)[-1]
             hidden = f"{root}/_{uuid.uuid4().hex}"
-            with store.open_output_stream(hidden) as f:
-                data = self.encode(list(rows))
-                f.write(gzip.compress(data, mtime=0) if self.options.get("compression") == "gzip" else data)
+            packed = self.options.get("compression") == "gzip"
+            with store.open_output_stream(hidden, buffer_size=RANGE) as f, gzip.GzipFile("", "wb", 9, f, 0) if packed else nullcontext(f) as out:
+                for data in self.encode(rows):
+                    out.write(data)
             files.append((hidden, f"{root}/{name}"))
         return _Written(files)
 

@@ -68,6 +68,26 @@ def test_data_source_reads_ranges_and_pushes_filters(spark, tmp_path, monkeypatc
         pushing().count()
 
 
+def test_rip_files_are_written_entry_by_entry(tmp_path):
+    """The writer holds one entry's rows, whatever the file's size."""
+    from provena.sources import response_files
+
+    taken, written_at = [0], []
+
+    def rows_():
+        for k in range(3000):
+            taken[0] += 1
+            yield {"entry": 0, "id1": k // 3, "id2": 1, "cddb": 1, "track_pos": 1 + k % 3, "confidence": 1, "crc": k, "offset_crc": 0}
+
+    octets = []
+    for data in response_files._rip_bytes(rows_()):
+        octets.append(data)
+        written_at.append(taken[0])
+    assert written_at[0] <= 4 and len(octets) == 1000 and [r[6] for r in binary.rip_rows(b"".join(octets))] == list(range(3000))
+    with pytest.raises(struct.error):
+        list(response_files._rip_bytes({"entry": 0, "id1": 1, "id2": 1, "cddb": 1, "track_pos": k, "confidence": 1, "crc": k, "offset_crc": 0} for k in range(300)))
+
+
 def test_data_source_writes_whole_files(spark, tmp_path):
     from provena.sources import response_files
 
