@@ -204,6 +204,26 @@ def test_any_order_of_elements():
         assert got == [(7, "f", None, None, *none), (7, "f", None, "r", *none), (7, None, 0.1, None, *none), (None, None, None, None, *none)]
 
 
+def test_walked_rows_are_the_automatons(monkeypatch):
+    """Responses of the form are walked; odd ones, one change each, end as the automaton ends."""
+    def outcome(f, body, kind):
+        try:
+            return [tuple(r) for r in f(body, kind)]
+        except Exception as e:
+            return type(e), str(e)
+
+    for kind, body in (("ids", IDS.encode()), ("descriptive", b"<response><status>o<!-- -->k</status><fingerprints><fingerprint><index>1</index><results><result><id>f</id><recordings><recording><artists><artist><id>1</id><name>A</name></artist></artists><releases><release><date><year>1999</year></date><mediums><medium><position>1</position><tracks><track/><track><title>T &lt;</title></track></tracks></medium></mediums></release></releases></recording></recordings></result></results></fingerprint></fingerprints></response>")):
+        at = [i for i, c in enumerate(body) if c == ord("<")]
+        for i in at:
+            for new in (b"", b"x", b"<id>2</id>", b"<!-- -->", b" ", b"<status>ok</status>", b"<!DOCTYPE a>"):
+                odd = body[:i] + new + body[i:]
+                assert outcome(lookup_xml.rows_of, odd, kind) == outcome(lookup_xml._automaton_rows, odd, kind)
+        want = lookup_xml._automaton_rows(body, kind)
+        with monkeypatch.context() as m:
+            m.setattr(lookup_xml, "_automaton_rows", None)
+            assert list(lookup_xml.rows_of(body, kind)) == list(want)
+
+
 def test_one_parse_in_the_plan(spark):
     d = spark.createDataFrame([("k", IDS)], "lookup string, body string")
     for df in (lookup_xml.matches(d, ["lookup"]), lookup_xml.descriptions(d, ["lookup"])):
