@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from provena.operators.dealing import dealt
 from provena.operators.numbering import numbered
 
 KEYS = ["release_group_id", "release_id", "medium_pos", "track_pos", "recording_id", "fingerprint_id", "stream_index"]
@@ -102,13 +103,14 @@ def tracks_in_order(rows: DataFrame, keys: list[str], position: str = "track_pos
     return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(position, *rest))).alias("items"))
 
 
-def tree(rows: DataFrame, levels: list[str]) -> DataFrame:
+def tree(rows: DataFrame, levels: list[str], n_rows: int | None = None) -> DataFrame:
     """One row per value of the first level with the others nested in `items`, level by level, in order and each once: the whole tree, for output.
 
     What is not known at a level (null) stands first. A tree is as large as its root's result, so roots are release groups or smaller.
+    Rows are dealt by root first, and all levels are grouped in that task; n_rows as in dealt().
     """
-    out, cell = rows.select(*levels).distinct(), F.struct(levels[-1])
+    out, cell, collect = dealt(rows.select(*levels), levels[0], n_rows=n_rows), F.struct(levels[-1]), F.collect_set
     for k in range(len(levels) - 1, 0, -1):
-        out = out.groupBy(*levels[:k]).agg(F.sort_array(F.collect_list(cell)).alias("items"))
-        cell = F.struct(levels[k - 1], "items")
+        out = out.groupBy(*levels[:k]).agg(F.sort_array(collect(cell)).alias("items"))
+        cell, collect = F.struct(levels[k - 1], "items"), F.collect_list
     return out

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from provena.functions import exprs
 from provena.operators import assign, checksum, cover, discs, limiter, merge, numbering, report, resample, tags, votes
+from provena.operators.dealing import dealt
 from provena.plans.registry import query, table
 from provena.operators.report import PLACE
 from provena.schema import TAG_FIELDS
@@ -28,7 +29,7 @@ U32 = 4294967296
 def lines(spark, sf: str) -> DataFrame:
     """lineitem with pos, the place of a line in its order."""
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    return table(spark, sf, "lineitem").withColumn("pos", F.row_number().over(w))
+    return dealt(table(spark, sf, "lineitem"), "l_orderkey").withColumn("pos", F.row_number().over(w))
 
 
 LINES = "select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as pos from lineitem"
@@ -1085,7 +1086,7 @@ select g as release_group_id, string_agg(x, ' ' order by r) as tree from r group
 def tree_dump(spark, sf):
     """Four orders as a release group, its releases, media, tracks and streams in one row."""
     levels = ["release_group_id", "release_id", "medium_pos", "track_pos", "stream_index"]
-    t = merge.tree(lines(spark, sf).select(F.call_function("div", F.col("l_orderkey"), F.lit(4)).alias(levels[0]), F.col("l_orderkey").alias(levels[1]), (F.col("l_linenumber") % 2).alias(levels[2]), F.col("pos").alias(levels[3]), F.col("l_suppkey").alias(levels[4])), levels)
+    t = merge.tree(lines(spark, sf).select(F.call_function("div", F.col("l_orderkey"), F.lit(4)).alias(levels[0]), F.col("l_orderkey").alias(levels[1]), (F.col("l_linenumber") % 2).alias(levels[2]), F.col("pos").alias(levels[3]), F.col("l_suppkey").alias(levels[4])), levels, table(spark, sf, "lineitem").count())
     text = lambda c: c.cast("string")
     streams = lambda x: F.concat(text(x["track_pos"]), F.lit("="), F.array_join(F.transform(x["items"], lambda s: text(s["stream_index"])), "+"))
     media = lambda x: F.concat(text(x["medium_pos"]), F.lit("["), F.array_join(F.transform(x["items"], streams), ","), F.lit("]"))

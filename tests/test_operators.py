@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from provena.operators import assign, checksum, cover, discs, limiter, merge, numbering, report, resample, tags, votes
+from provena.operators import assign, checksum, cover, dealing, discs, limiter, merge, numbering, report, resample, tags, votes
 from provena.schema import MATCHES, WORK_RELATIONS
 
 M = 1 << 32
@@ -556,3 +556,28 @@ def test_tree_with_unknown_levels(spark):
     got = {r["a"]: r["items"] for r in merge.tree(rows_, ["a", "b", "c", "d"]).collect()}
     assert [(x.b, [(y.c, [z.d for z in y["items"]]) for y in x["items"]]) for x in got["g"]] == [(None, [(None, [7])]), ("r", [(1, [1, 2])])]
     assert [(x.b, [(y.c, [z.d for z in y["items"]]) for y in x["items"]]) for x in got["h"]] == [("s", [(3, [None])])]
+
+
+def _roots_a_task(d):
+    return [r["count"] for r in d.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+
+
+def test_dealt_rows_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "TASK_ROWS", 250)
+    few, many = (spark.range(n).select((F.col("id") % 2000).alias("k")) for n in (250, 8000))
+    assert dealing.dealt(few, "k") is few
+    assert dealing.dealt(many, "k").rdd.getNumPartitions() == dealing.dealt(many, "k", n_rows=8000).rdd.getNumPartitions() == 32
+    assert dealing.dealt(many, "k", n_rows=251).rdd.getNumPartitions() == 4  # no fewer than Spark's own
+
+
+def test_trees_are_made_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "TASK_ROWS", 250)
+    rows_ = spark.range(8000).select((F.col("id") % 2000).alias("a"), F.expr("if(id % 3 = 0, null, id % 3)").alias("b"), F.expr("if(id % 7 = 0, null, id div 4000)").alias("c"))
+    d = merge.tree(rows_.union(rows_), ["a", "b", "c"])
+    tasks = _roots_a_task(d)
+    assert sum(tasks) == 2000 and max(tasks) < 100  # 64 tasks of 31 trees; 500 a task where Spark's four partitions hold all
+    want = {}
+    for i in range(8000):
+        want.setdefault(i % 2000, {}).setdefault(i % 3 or None, set()).add(None if i % 7 == 0 else i // 4000)
+    key = lambda x: (x is not None, x)
+    assert {r["a"]: [(x.b, [y.c for y in x["items"]]) for x in r["items"]] for r in d.collect()} == {a: [(b, sorted(bs[b], key=key)) for b in sorted(bs, key=key)] for a, bs in want.items()}

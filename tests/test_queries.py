@@ -5,6 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from provena.operators import dealing
 from provena.plans import engine_queries, registry  # noqa: F401
 
 
@@ -13,6 +14,13 @@ def test_same_as_sql(name, spark, sf, same_rows):
     same_rows(registry.QUERIES[name](spark, sf), registry.ORACLES[name])
 
 
+@pytest.mark.parametrize("name", ["tree_dump", "stream_permutation", "configuration_choice"])
+def test_same_as_sql_when_dealt(name, spark, sf, same_rows, monkeypatch):
+    """Tasks of 300 rows, as larger tables have of TASK_ROWS."""
+    monkeypatch.setattr(dealing, "TASK_ROWS", 300)
+    same_rows(registry.QUERIES[name](spark, sf), registry.ORACLES[name])
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(name, spark, sf):
     assert registry.QUERIES[name](spark, sf).count() > 0
