@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provena.functions.exprs import compilation, edit_distance, position_of, text_or_empty, title, unless_same
+from provena.operators.dealing import dealt
 from provena.schema import MISSING_METADATA, TAG_FIELDS
 
 #: Fields that are compared, in this order; the date is not.
@@ -85,10 +86,11 @@ def composers_in_question(relations: DataFrame, files: DataFrame) -> DataFrame:
     """Distinct composers of a recording, in order of first sight. relations: as schema.WORK_RELATIONS. files: recording_id, composer (the file's tag).
 
     Optional credits (arrangers, translators, librettists, additional ones, lyricists of an instrumental) count only where the artist's name
-    is part of the file's tag.
+    is part of the file's tag. Relations are counted and dealt by recording, so what a task sorts is bounded.
     """
     optional = F.col("role").isin("arranger", "translator", "librettist") | text_flag("additional") | (text_flag("instrumental") & (F.col("role") == "lyricist"))
-    rows = relations.where(F.col("role").isin(*ROLES)).join(files.select("recording_id", F.col("composer").alias("reference")), "recording_id", "left")
+    rows = dealt(relations.where(F.col("role").isin(*ROLES)), "recording_id", n_rows=relations.count())
+    rows = rows.join(files.select("recording_id", F.col("composer").alias("reference")), "recording_id", "left")
     rows = rows.where(~optional | F.coalesce(F.contains(F.col("reference"), F.col("name")), F.lit(False)))
     first = Window.partitionBy("recording_id", "artist_id").orderBy("ordinal", "role")
     return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("recording_id", "artist_id", "name", "sort_name", "ordinal", text_or_empty(F.col("reference")).alias("reference"))

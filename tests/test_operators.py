@@ -570,12 +570,28 @@ def test_dealt_rows_do_not_grow_with_the_table(spark, monkeypatch):
     assert dealing.dealt(many, "k", n_rows=251).rdd.getNumPartitions() == 4  # no fewer than Spark's own
 
 
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_composers_are_sorted_in_tasks_of_bounded_rows(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(dealing, "TASK_ROWS", 250)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        w = spark.range(0, 8000, 1, 1).selectExpr("cast(id % 2000 as string) recording_id", "'w' work_id", "if(id % 8000 < 6000, 'composer', 'arranger') role", "cast(id div 4000 as string) artist_id", "concat('n', id div 4000) name", "'s' sort_name", "false additional", "false instrumental", "cast(id div 2000 as int) ordinal")
+        f = spark.range(1000).selectExpr("cast(id as string) recording_id", "'n0' composer")
+        d = tags.composers_in_question(w, f)
+        tasks = _roots_a_task(d)
+        assert sum(tasks) == 4000 and max(tasks) < 250  # 32 tasks of 125 rows; more where it is left to Spark
+        assert rows(d, "recording_id", "artist_id", "ordinal", "reference") == sorted(((str(r), str(a), 2 * a, "n0" if r < 1000 else "") for r in range(2000) for a in range(2)), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_trees_are_made_in_tasks_of_bounded_rows(spark, monkeypatch):
     monkeypatch.setattr(dealing, "TASK_ROWS", 250)
     rows_ = spark.range(8000).select((F.col("id") % 2000).alias("a"), F.expr("if(id % 3 = 0, null, id % 3)").alias("b"), F.expr("if(id % 7 = 0, null, id div 4000)").alias("c"))
     d = merge.tree(rows_.union(rows_), ["a", "b", "c"])
     tasks = _roots_a_task(d)
-    assert sum(tasks) == 2000 and max(tasks) < 100  # 64 tasks of 31 trees; 500 a task where Spark's four partitions hold all
+    assert sum(tasks) == 2000 and max(tasks) < 100  # 64 tasks of 31 trees; 2000 in one where it is left to Spark
     want = {}
     for i in range(8000):
         want.setdefault(i % 2000, {}).setdefault(i % 3 or None, set()).add(None if i % 7 == 0 else i // 4000)

@@ -14,7 +14,7 @@ def test_same_as_sql(name, spark, sf, same_rows):
     same_rows(registry.QUERIES[name](spark, sf), registry.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["tree_dump", "stream_permutation", "configuration_choice"])
+@pytest.mark.parametrize("name", ["tree_dump", "stream_permutation", "configuration_choice", "composer_roles", "tag_mapping"])
 def test_same_as_sql_when_dealt(name, spark, sf, same_rows, monkeypatch):
     """Tasks of 300 rows, as larger tables have of TASK_ROWS."""
     monkeypatch.setattr(dealing, "TASK_ROWS", 300)
