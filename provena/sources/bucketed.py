@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from provena.shared import shared_dir
 
 
-def bucketed(df: DataFrame, key: str, buckets: int, label: str = "bucketed") -> DataFrame:
+def bucketed(df: DataFrame, key: str, buckets: int, label: str = "bucketed", apart: bool = False) -> DataFrame:
     """df written as a table of `buckets` buckets by key, sorted by it, in the shared folder, and read again.
 
     Tables that are to be joined need the same number of buckets. The rows of a bucket are brought together by one exchange while writing, so a
-    bucket is one file; the table stays in the session's catalogue and in the folder until it is dropped.
+    bucket is one file; the table stays in the session's catalogue and in the folder until it is dropped. apart: df is partitioned so already.
     """
     name = f"{label}_{uuid.uuid4().hex}"
     path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.repartition(buckets, F.col(key)).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    (df if apart else df.repartition(buckets, F.col(key))).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
     return df.sparkSession.table(name)
 
 

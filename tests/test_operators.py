@@ -380,6 +380,50 @@ def test_report_makes_places_once(spark):
     assert plan.count("Join") == 2 and "Expand" not in plan
 
 
+@pytest.mark.parametrize("task_rows", [20, 500_000])
+def test_printed_report_is_the_report_in_lines(spark, monkeypatch, task_rows):
+    """Places that carry their findings print what single findings print, in any number of tasks: with unknown ids, offsets named twice and unknown, groups over several releases."""
+    monkeypatch.setattr(dealing, "TASK_ROWS", task_rows)
+    rng = random.Random(7)
+    some = lambda *c: rng.choice(c)
+    rows = [(some("g", "h", None), some("r", "s", "u"), some(1, 2), some("d", "e", None), some(1, 2, 3), some(0, 1, None), some("f", "h", None)) for _ in range(90)] + [("g", None, None, None, None, 5, "f"), (None, "r", 1, "d", None, 5, "f")]
+    t = spark.createDataFrame(rows, "release_group_id string, release_id string, medium_pos int, disc_id string, track_pos int, stream_index int, fingerprint_id string")
+    v = spark.createDataFrame([(some("d", "e", None), some(1, 2, None), some(-3, 0, 3, 12, None), some(0, 0, 2), some(0, 0, 1), some(0, 5, None), 5) for _ in range(20)], "disc_id string, track_pos int, offset long, conf_v1 long, conf_v2 long, total long, max int")
+    e = spark.createDataFrame([(some("d", "e"), some(2, 3), some(0, 3, 7, None), some(0, 4), 7, some(4, None)) for _ in range(20)], "disc_id string, track_pos int, offset long, conf_eac long, total long, max long")
+    d = spark.createDataFrame([(some("r", "s", None), some(1, 2), some(1, 2, 3), some(0, 1, None), some("title", "artist"), some("a", None), "b") for _ in range(40)], "release_id string, medium_pos int, track_pos int, stream_index int, field string, file_value string, database_value string")
+    for eac in (e, None):
+        got, found = report.printed_report(t, v, d, eac), report.mismatch_report(t, v, d, eac)
+        want = report.report_lines(t, found)
+        assert got.dtypes == want.dtypes
+        got, want = ([tuple(r) for r in x.orderBy("line").collect()] for x in (got, want))
+        assert got == want and [r[0] for r in got] == list(range(1, len(got) + 1))
+        heads = {(k, *p[: k + 1]) for p in ((r[0], r[1], r[2], r[3], r[4]) for r in rows) for k in range(5) if k != 3 or p[3] is not None}
+        assert len(got) == len(heads) + found.count()
+        places = [tuple((c is not None, c) for c in r[1:6]) for r in got]
+        assert places == sorted(places)
+
+
+def test_votes_of_tracks(spark):
+    """An offset of both databases is one, one that is named twice meets each of the other's, unknown ones meet nothing; tracks without votes stay if they are known."""
+    v = spark.createDataFrame([("d", 1, 0, 1, 0, 5, 4), ("d", 1, 3, 0, 0, 5, 4), ("d", 1, 6, 2, 0, 5, 4), ("d", 1, 6, 3, 0, 5, 4), ("d", 1, None, 4, 0, 5, 4), ("d", 2, 0, 0, 0, 5, 4), ("d", 3, 0, 0, 0, 0, 0)], "disc_id string, track_pos int, offset long, conf_v1 long, conf_v2 long, total long, max int")
+    e = spark.createDataFrame([("d", 1, 0, 7, 9, 8), ("d", 1, 6, 1, 9, 8), ("d", 1, 8, 2, 9, 8), ("d", 1, None, 3, 9, 8), ("e", 1, 0, 0, 2, 1)], "disc_id string, track_pos int, offset long, conf_eac long, total long, max long")
+    got = {(r["disc_id"], r["track_pos"]): (sorted(map(tuple, r["votes"]), key=str), r["total"], r["max"], r["eac_total"], r["eac_max"]) for r in report.votes_of_tracks(v, e).collect()}
+    votes_ = [(0, 1, 0, 7), (6, 2, 0, 1), (6, 3, 0, 1), (8, 0, 0, 2), (None, 0, 0, 3), (None, 4, 0, 0)]
+    assert got == {("d", 1): (sorted(votes_, key=str), 5, 4, 9, 8), ("d", 2): ([], 5, 4, 0, 0), ("e", 1): ([], 0, 0, 2, 1)}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_rows_that_take_several_numbers(spark, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        d = spark.createDataFrame([(k, k % 4 + 1) for k in range(40)], "a int, n int").repartitionByRange(parts, "a").sortWithinPartitions("a")
+        got = {r["a"]: r["line"] for r in numbering.counted(d, first=5, takes=F.col("n")).collect()}
+        assert got == {k: 5 + sum(j % 4 + 1 for j in range(k)) for k in range(40)}
+        assert numbering.counted(d.limit(0), takes=F.col("n")).columns == ["a", "n", "line"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
 @pytest.mark.parametrize("parts", [1, 3, 16])
 def test_numbers_without_a_single_task(spark, parts):
     spark.conf.set("spark.sql.shuffle.partitions", parts)

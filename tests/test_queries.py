@@ -5,7 +5,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from provena.operators import dealing
+from provena import shared
+from provena.operators import dealing, numbering
 from provena.plans import engine_queries, registry  # noqa: F401
 
 
@@ -21,6 +22,21 @@ def test_same_as_sql_when_dealt(name, spark, sf, same_rows, monkeypatch):
     same_rows(registry.QUERIES[name](spark, sf), registry.ORACLES[name])
 
 
+@pytest.mark.parametrize("name", ["mismatch_report", "report_lines"])
+def test_reports_same_as_sql_when_dealt(name, spark, sf, same_rows, monkeypatch):
+    monkeypatch.setattr(dealing, "TASK_ROWS", 300)
+    same_rows(registry.QUERIES[name](spark, sf), registry.ORACLES[name])
+
+
+def test_report_lines_writes_places_and_not_lines(spark, sf, duck, monkeypatch):
+    """What stays on disk to be numbered is a row for each place and release group, not one for each line."""
+    kept = []
+    monkeypatch.setattr(numbering, "written", lambda *a: kept.append(shared.written(*a)) or kept[-1])
+    n = registry.QUERIES["report_lines"](spark, sf).count()
+    lines, groups = duck.execute("select count(*), count(distinct l_suppkey) from lineitem").fetchone()
+    assert [x.count() for x in kept] == [lines + groups] and lines + groups < n
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(name, spark, sf):
     assert registry.QUERIES[name](spark, sf).count() > 0
